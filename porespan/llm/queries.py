@@ -5,15 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, quality_rules, url_filters, warc
+from . import fingerprints, mixing, pieces, quality_rules, token_counts, url_filters, warc
 from .common import table
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file; the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.derive(warc.responses_from_pages(table(spark, sf_dir, "pages")))
     return records.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "payload_digest", F.md5(F.col("header").cast("binary")).alias("header_md5"), "block")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, vocabulary("word_bpe_49k.json")).drop("text")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.url_verdicts(pages).select("page_id", "host", "path", "rule", "template", F.round("purity", 6).alias("purity"), "verdict")
@@ -33,8 +45,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.adaptive_rules(docs, carry=["doc_id"])
 
 
+def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = pieces.sample_segmentations(docs, vocabulary("piece_bpe_32k.model"))
+    return drawn.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.md5(F.col("decoded").cast("binary")).alias("decoded_md5"), "log_prob", "perturbed", "inclusion")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op5_url_filters, op7_fingerprints, op8_mixing, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op5_url_filters, op7_fingerprints, op8_mixing, op9_quality_rules, op10_segmentations)}
 
 
 def oracle_sql() -> dict[str, str]:
