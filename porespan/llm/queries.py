@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, pieces, quality_rules, token_counts, url_filters, warc
+from . import fingerprints, mixing, pieces, quality_rules, token_counts, toxicity, url_filters, warc
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(pages).select("page_id", "host", "path", "rule", "template", F.round("purity", 6).alias("purity"), "verdict")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_documents(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op5_url_filters, op7_fingerprints, op8_mixing, op9_quality_rules, op10_segmentations)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op5_url_filters, op6_toxicity, op7_fingerprints, op8_mixing, op9_quality_rules, op10_segmentations)}
 
 
 def oracle_sql() -> dict[str, str]:
