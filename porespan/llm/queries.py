@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_dedup, pieces, quality_rules, token_counts, toxicity, url_filters, warc
+from . import fingerprints, mixing, near_dedup, pieces, quality_rules, substring_dedup, token_counts, toxicity, url_filters, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocabulary("word_bpe_49k.json")).drop("text")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -61,7 +65,7 @@ def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op4_near_dedup, op5_url_filters, op6_toxicity, op7_fingerprints, op8_mixing, op9_quality_rules, op10_segmentations)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_substring_dedup, op4_near_dedup, op5_url_filters, op6_toxicity, op7_fingerprints, op8_mixing, op9_quality_rules, op10_segmentations)}
 
 
 def oracle_sql() -> dict[str, str]:
