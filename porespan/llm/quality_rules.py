@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, split_words, written
+from .common import BLANKS, checkpointed, split_words, written
 
 #: Relative accuracy of the sketch: a value's bucket is off by at most 2 %.
 GAMMA = 1.04
@@ -106,7 +106,7 @@ def adaptive_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sour
 
 
 def apply_fences(judged: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
-    fine = sketches(judged.where("NOT base_failed"), ["_lang", "_source"])
+    fine = checkpointed(sketches(judged.where("NOT base_failed"), ["_lang", "_source"]))
     by_lang = fine.groupBy("_lang", "metric", "bucket").agg(F.sum("n").alias("n"))
     whole = by_lang.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
     a, b, c = fences(fine, ["_lang", "_source"]), fences(by_lang, ["_lang"]), fences(whole, [])
