@@ -120,26 +120,25 @@ def sized_documents(docs: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")), "sizes")
 
 
-def mix(docs: DataFrame, **plan) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", **plan) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it whole, and once more with the words of a partial take.
 
     Rows keep the columns of ``docs``; of a partial row ``text`` has the words taken, joined by blanks, and ``n_chars``
-    (where there is one) its length. Documents of which nothing is taken go.
+    (where there is one) its length. Documents of which nothing is taken go. Rows that agree in doc_id, source and size
+    are dealt its decisions in a fixed order; a null doc_id is one more key.
     """
-    keyed = docs.withColumn("_size", count_words(F.col("text"))).withColumn("_fp", F.xxhash64("text"))
-    plan_rows = apportion(sized_documents(docs.withColumn("doc_id", F.col("doc_id"))), **plan)
-    # a repeated row must get its own decision: number equal keys on both sides
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("_fp"))
-    left = keyed.withColumn("_n", nth)
-    nth_plan = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("taken"))
-    right = plan_rows.withColumn("_n", nth_plan).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_n").alias("_m"), "passes", "run", "skip_to")
-    both = left.join(right, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_n") == F.col("_m")))
-    copies = F.concat(F.array_repeat(F.lit(True), F.col("passes").cast("int")), F.when(F.col("run") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
-    rows = both.withColumn("_whole", F.explode(copies))
-    words = split_words(F.col("text"))
-    twice = F.concat(words, words)
-    part = F.array_join(F.slice(twice, (F.col("skip_to") + 1).cast("int"), F.col("run").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(part))
+    same = lambda a, b: a.eqNullSafe(b)
+    decided = apportion(sized_documents(docs), **plan)
+    # rows that can't be told apart by their keys: deal the decisions out in the order of their texts' hashes
+    nth = lambda order: F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(order))
+    slots = decided.withColumn("_nth", nth(F.col("taken"))).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_nth", "passes", "run", "skip_to")
+    rows = docs.withColumn("size", count_words(F.col(text))).withColumn("_mine", nth(F.xxhash64(text)))
+    both = rows.join(slots, same(F.col("doc_id"), F.col("_d")) & same(F.col("source"), F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_mine") == F.col("_nth")))
+    whole = F.array_repeat(F.lit(True), F.col("passes").cast("int"))
+    both = both.withColumn("_whole", F.explode(F.concat(whole, F.when(F.col("run") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))))
+    words = split_words(F.col(text))
+    part = F.array_join(F.slice(F.concat(words, words), (F.col("skip_to") + 1).cast("int"), F.greatest(F.lit(1), F.col("run")).cast("int")), " ")
+    out = both.withColumn(text, F.when(F.col("_whole"), F.col(text)).otherwise(part))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        out = out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
