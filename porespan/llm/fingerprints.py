@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,29 +52,31 @@ def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.greatest(F.lit(0.0), (same / bins - chance) / (1 - chance)))
 
 
-def with_next(df: DataFrame, key: str, columns: dict[str, str], bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """Add to every row columns of the next row by ascending ``key``, the last taking the first row's: ``columns`` maps
-    names to their new names. Nulls come first; rows with equal keys follow each other by the columns' values.
+def with_next(df: DataFrame, key: str, value: str, derived: dict[str, Callable[[DataFrame], DataFrame]], bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+    """Add to every row the next row's ``value`` and derived columns, by ascending ``key``, as ``_next_`` and their names.
 
-    Rows are dealt to buckets of neighbouring keys, sized from the least, greatest and number of keys; only each bucket's
-    first row goes to the bucket before it. One row is its own next.
+    The last row's next is the first one. Nulls come first; rows with equal keys follow each other by their values. Rows are
+    dealt to buckets of neighbouring keys, sized from the least, greatest and number of keys; only each bucket's first row
+    goes to the bucket before it. ``derived`` maps columns to functions that add them, applied to all rows and, apart from
+    them, to the buckets' first rows, so that no expensive column is made twice. One row is its own next.
     """
-    spread = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    lowest, highest, n = (x or 0 for x in spread)
+    lowest, highest, n = (x or 0 for x in df.agg(F.min(key), F.max(key), F.count(key)).first())
     width = max(1, (highest - lowest + 1) * bucket_docs // max(n, 1))
-    bucket = F.coalesce(((F.col(key) - F.lit(lowest)) / F.lit(width)).cast("long"), F.lit(-1))
-    order = [F.col(key).asc_nulls_first(), *[F.col(c) for c in columns]]
-    inside = Window.partitionBy("_bucket").orderBy(*order)
-    rows = df.withColumn("_bucket", bucket)
-    rows = rows.withColumn("_next", F.lead(F.struct(*columns)).over(inside))
-    heads = df.withColumn("_bucket", bucket).withColumn("_k", F.struct(F.col(key).isNotNull(), F.col(key), *columns)).groupBy("_bucket").agg(F.min("_k").alias("_k"))
-    heads = heads.select("_bucket", F.struct(*[F.col(f"_k.{c}").alias(c) for c in columns]).alias("_head"))
-    whole = Window.orderBy("_bucket")
+    placed = df.withColumn("_bucket", F.coalesce(F.floor((F.col(key) - F.lit(lowest)) / F.lit(width)).cast("long"), F.lit(-1)))
+    heads = placed.groupBy("_bucket").agg(F.min(F.struct(F.col(key).isNotNull(), F.col(key), F.col(value))).alias("_k")).select("_bucket", F.col(f"_k.{value}").alias(value))
+    rows = placed
+    for add in derived.values():
+        rows, heads = add(rows), add(heads)
+    taken = F.struct(value, *derived)
+    inside = Window.partitionBy("_bucket").orderBy(F.col(key).asc_nulls_first(), value)
+    rows = rows.withColumn("_next", F.lead(taken).over(inside))
+    heads = heads.select(F.col("_bucket").alias("_of"), taken.alias("_head"))
+    whole = Window.orderBy("_of")
     first = F.first("_head").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.withColumn("_after", F.coalesce(F.lead("_head").over(whole), first)).select(F.col("_bucket").alias("_of"), "_after")
+    heads = heads.withColumn("_after", F.coalesce(F.lead("_head").over(whole), first)).drop("_head")
     joined = rows.join(heads, F.col("_bucket") == F.col("_of"), "left")
     pick = F.coalesce("_next", "_after")
-    return joined.select(*df.columns, *[pick[c].alias(new) for c, new in columns.items()])
+    return joined.select(*df.columns, *derived, *[pick[c].alias(f"_next_{c}") for c in (value, *derived)])
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -87,11 +91,11 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     Null texts count as empty. Rows with null keys come before all others; an empty table gives an empty result. Texts
     are moved once, to meet the next document; columns other than key and text take no part.
     """
-    base = with_fingerprint(docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text", "fingerprint")
-    pairs = with_next(base, key, {"_text": "_next_text", "fingerprint": "_next_print"})
-    pairs = pairs.withColumn("_edit", edited(F.col("_text"), F.col("_next_text")))
-    both = with_fingerprint(pairs.select(key, F.char_length("_text").cast("long").alias("n_chars"), "_edit", "fingerprint", "_next_print"), "_edit", "edited_fingerprint")
+    base = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    pairs = with_next(base, key, "_text", {"fingerprint": lambda df: with_fingerprint(df, "_text", "fingerprint")})
+    pairs = pairs.withColumn("_edit", edited(F.col("_text"), F.col("_next__text")))
+    both = with_fingerprint(pairs.select(key, F.char_length("_text").cast("long").alias("n_chars"), "_edit", "fingerprint", "_next_fingerprint"), "_edit", "edited_fingerprint")
     return both.select(
         key, "n_chars", F.sha2(F.col("_edit").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next_print")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next_fingerprint")).alias("near_next"),
     )
