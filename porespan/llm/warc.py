@@ -43,16 +43,13 @@ def responses_from_pages(pages: DataFrame, page_id: str = "page_id", url: str =
 
 #: Removed or replaced, in this order; patterns are read alike by Java and RE2.
 STEPS = (
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<script\b.*?</script\s*>", " "),
-    (r"(?is)<style\b.*?</style\s*>", " "),
-    (r"(?is)<noscript\b.*?</noscript\s*>", " "),
+    (r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>", " "),
     (r"(?i)<(?:br|/p|/div|/li|/ul|/ol|/tr|/table|/h[1-6]|/article|/section|/nav|/header|/footer|/title|/blockquote|/pre)\b[^>]*>", "\n"),
     (r"<[A-Za-z/!?][^>]*>", ""),
 )
 #: The named character references that are decoded, the ampersand last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
-SPACES = ((r"[ \t\r\x0b\x0c]+", " "), (r" ?\n ?", "\n"), (r"\n\n+", "\n"), (r"^[ \n]+|[ \n]+$", ""))
+SPACES = ((r"[ \t\r\x0b\x0c]*\n[ \t\r\n\x0b\x0c]*", "\n"), (r"[ \t\r\x0b\x0c]+", " "))
 
 
 def plain_text(html: Column) -> Column:
@@ -65,7 +62,7 @@ def plain_text(html: Column) -> Column:
         out = F.replace(out, F.lit(name), F.lit(char))
     for pattern, by in SPACES:
         out = F.regexp_replace(out, pattern, by)
-    return out
+    return F.trim(out, F.lit(" \n"))
 
 
 def header_value(header: Column, name: str) -> Column:
