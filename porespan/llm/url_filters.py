@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: (action, host suffix, path prefix); a rule is written as host/path, the longest that fits wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Segments below this depth join one branch, ``**``.
@@ -49,11 +51,13 @@ def path_templates(urls: DataFrame, depth: int = DEPTH, many: int = MANY, share:
     there are more than ``many`` and none holds ``share`` of the rows they all become ``*``. Siblings whose own children
     have like shapes (total variation to the pooled siblings at most ``alike``) and whose blocked labels agree (both
     unlabelled, or rates within 0.25 after smoothing) merge into ``~``. Adds ``template`` and ``branch``, the template
-    before merging at the last level. Each level is a pre-aggregated count and a join on the branch.
+    before merging at the last level. Each level is a pre-aggregated count and a join on the branch; its
+    result is checkpointed, since the next level reads it twice.
     """
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = urls.withColumns({"_s": F.transform(segs, shape), "template": F.lit("")})
-    for level in range(depth):
+    rows = checkpointed(urls.withColumns({"_s": F.transform(segs, shape), "template": F.lit("")}))
+    deepest = rows.agg(F.max(F.size("_s"))).first()[0] or 0
+    for level in range(min(depth, deepest)):
         child = F.get(F.col("_s"), F.lit(level)) if level < depth - 1 else F.when(F.size("_s") > level, F.lit("**"))
         rows = rows.withColumn("_c", child)
         below = F.coalesce(F.get(F.col("_s"), F.lit(level + 1)), F.lit(""))
@@ -73,6 +77,7 @@ def path_templates(urls: DataFrame, depth: int = DEPTH, many: int = MANY, share:
         one = one.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("_c").alias("_d"), name.alias("_name"))
         rows = rows.join(one, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("_c") == F.col("_d")), "left")
         rows = rows.withColumn("template", F.when(F.col("_name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.col("_name")))).drop("_h", "_t", "_d", "_name", "_c")
+        rows = checkpointed(rows)
     return rows.drop("_s")
 
 
