@@ -82,7 +82,7 @@ def stride_sample(runs: DataFrame, step: int) -> DataFrame:
 def block_any(runs: DataFrame, step: int, gas: int = GAS) -> DataFrame:
     """Blocks of ``step`` voxels an edge that have a gas voxel; a run marks its blocks without its voxels being made."""
     spans = F.sequence(F.floor(F.col("x0") / step), F.floor(F.col("x1") / step))
-    return runs.where(F.col("label") == gas).select("scan_index", F.floor(F.col("z") / step).cast("int").alias("bz"), F.floor(F.col("y") / step).cast("int").alias("by"), F.explode(spans).cast("int").alias("bx")).distinct()
+    return runs.where(F.col("label") == gas).select("scan_index", F.floor(F.col("z") / step).cast("int").alias("bz"), F.floor(F.col("y") / step).cast("int").alias("by"), F.explode(spans).alias("bx")).select("scan_index", "bz", "by", F.col("bx").cast("int").alias("bx")).distinct()
 
 
 def projection(runs: DataFrame, axis: str) -> DataFrame:

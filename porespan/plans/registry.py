@@ -1,11 +1,654 @@
-"""The registered queries and their SQL oracles."""
+"""The registered queries: each applies one operator to the fixture catalogue or to the driver's tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..fixtures import SHAPE, Catalogue, catalogue
+from ..functions import names as N
+from ..operators import boxes as B
+from ..operators import catalog as R
+from ..operators import compare, fitting
+from ..operators import components as C
+from ..operators import permeability as P
+from ..operators import regime as T
+from ..operators import runs as RL
+from ..operators import voxels as V
+from ..streaming import windows
+from .oracles import oracle_sql  # noqa: F401
+
+NS, NZ, NY, NX = SHAPE
+FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[Catalogue], DataFrame]) -> Callable:
+    """Register a query on the fixture catalogue under its function's name."""
+    FOUND[f.__name__] = lambda spark, sf_dir: f(catalogue(spark, sf_dir))
+    return f
+
+
+def on_tables(f: Callable[..., DataFrame]) -> Callable:
+    """Register a query on the driver's tables: f gets a function that reads one."""
+    FOUND[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return f
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+# -- voxels
+
+
+@query
+def label_histogram(c):
+    return V.label_histogram(c.runs_x)
+
+
+@query
+def sw_series(c):
+    return rounded(V.sw_series(c.runs_x), "sw")
+
+
+@query
+def x_density(c):
+    return V.x_density(c.runs_x)
+
+
+@query
+def z_profile(c):
+    return V.z_profile(c.runs_x.where("label = 2"), ["scan_index"])
+
+
+@query
+def flow_crop(c):
+    return V.flow_crop(V.z_profile(c.runs_x.where("label = 2"), ["scan_index"]), ["scan_index"])
+
+
+@query
+def runs_encode(c):
+    return RL.runs_from_voxels(c.voxels)
+
+
+@query
+def runs_roundtrip(c):
+    return RL.voxels_from_runs(c.runs_x)
+
+
+@query
+def slices_roundtrip(c):
+    slices = RL.slices_from_runs(c.runs_x, NZ, NY, NX)
+    return V.label_histogram(RL.runs_from_slices(slices))
+
+
+def wrapped(c: Catalogue) -> DataFrame:
+    """Columns 4 .. 11 of the fixture on a 16-wide grid, folded over its border."""
+    v = c.voxels.where("label > 0 AND x >= 4").withColumn("x", F.pmod(F.col("x") + 9, F.lit(16)))
+    return RL.runs_from_voxels(v)
+
+
+@query
+def x_shift(c):
+    return V.x_shift(wrapped(c), 16)
+
+
+@query
+def unwrap_x(c):
+    w = wrapped(c)
+    r = V.roll_x(w, V.x_shift(w, 16), 16)
+    return r.groupBy("scan_index", "label").agg(F.sum(RL.length()).alias("n"), F.min("x0").alias("x_min"), F.max("x1").alias("x_max"))
+
+
+@query
+def mip_z(c):
+    return V.projection(c.runs_x, "z")
+
+
+@query
+def mip_y(c):
+    return V.projection(c.runs_x, "y")
+
+
+@query
+def mip_x(c):
+    return V.projection(c.runs_x, "x")
+
+
+@query
+def stride_sample(c):
+    return V.stride_sample(c.runs_x, 3)
+
+
+@query
+def or_downsample(c):
+    return V.block_any(c.runs_x, 4)
+
+
+@query
+def domain_counts(c):
+    n = RL.length()
+    open_ = lambda kind: F.sum(F.when(V.domain_value(kind, F.col("label"), F.col("label") == 2) == 0, n).otherwise(0)).alias(f"{kind}_open")
+    return c.runs_x.groupBy("scan_index").agg(*[open_(k) for k in ("absolute", "gas", "water")])
+
+
+@query
+def box_crop(c):
+    return RL.clip(c.runs_x, c.boxes, []).groupBy("track_id", "scan_index", "label").agg(F.sum(RL.length()).alias("n"))
+
+
+def gas_voxels(c: Catalogue) -> DataFrame:
+    return RL.voxels_from_runs(c.runs_x.where("label = 2")).drop("label")
+
+
+@query
+def overlap_agreement(c):
+    a = gas_voxels(c).where(F.col("scan_index") < NS - 1)
+    b = gas_voxels(c).where("scan_index > 0").withColumn("scan_index", F.col("scan_index") - 1)
+    return rounded(V.agreement(V.overlap(a, b, ["scan_index"]), ["scan_index"]), "agreement", "count_agreement", places=6)
+
+
+@query
+def registration(c):
+    g = gas_voxels(c)
+    return V.register(g.where("scan_index = 0"), g.where("scan_index = 3 AND z >= 5 AND y >= 2"))
+
+
+@query
+def surface_voxels(c):
+    return V.surface_voxels(gas_voxels(c).where("scan_index = 0").drop("scan_index"))
+
+
+@query
+def footprint(c):
+    return V.footprint(c.clusters, ["track_id"])
+
+
+# -- regime
+
+
+@query
+def regime_fit_shared(c):
+    return rounded(T.three_segments(c.points, ["series"]).drop("series"), "sse", "slope1", "slope2", "slope3")
+
+
+@query
+def regime_fit_disjoint(c):
+    f = T.three_segments(c.points, ["series"], share_breakpoints=False, origin=False)
+    return rounded(f.select("i", "j", "sse"), "sse")
+
+
+@query
+def timestep_x(c):
+    return T.timestep_x(c.points, T.three_segments(c.points, ["series"]), ["series"]).drop("series")
+
+
+@query
+def timestep_x_transition(c):
+    return T.timestep_x(c.points, c.fit, ["series"], "transition").drop("series")
+
+
+@query
+def timestep_x_override(c):
+    return T.timestep_x(c.points, c.fit, ["series"], override=55.0).drop("series")
+
+
+@query
+def qualifying_scans(c):
+    return T.mark_scans(c.points, c.step, ["series"]).select("scan_index", "qualifying", "is_x")
+
+
+@query
+def regime_tags(c):
+    return T.regime_tags(c.points, c.fit, ["series"]).select("scan_index", "regime")
+
+
+# -- components
+
+
+@query
+def cca_6n(c):
+    return C.component_sizes(C.label_components(c.runs_x, 6, slab_depth=4))
+
+
+@query
+def cca_18n(c):
+    return C.component_sizes(C.label_components(c.runs_x, 18, slab_depth=4))
+
+
+@query
+def cca_26n(c):
+    return C.component_sizes(C.label_components(c.runs_x, 26, slab_depth=4))
+
+
+@query
+def topn_clusters(c):
+    return C.top_clusters(C.component_sizes(c.labelled)).select("scan_index", "label_id", "component", "n")
+
+
+@query
+def cluster_cog(c):
+    return rounded(V.centre_of_gravity(c.clusters, ["track_id"]), "cog_z", "cog_y", "cog_x", places=6)
+
+
+@query
+def cluster_bbox(c):
+    return V.bounding_boxes(c.clusters, ["track_id"])
+
+
+@query
+def largest_component(c):
+    return C.top_clusters(C.component_sizes(C.label_components(c.runs_x, 18, slab_depth=16)), 1).drop("label_id")
+
+
+@query
+def percolation_6n(c):
+    return C.percolation(c.labelled, ["scan_index"], 0, NZ)
+
+
+@query
+def percolation_26n(c):
+    return C.percolation(C.label_components(c.runs_x, 26, slab_depth=5), ["scan_index"], 0, NZ)
+
+
+@query
+def split_check(c):
+    """Whether a crop makes scan 3 percolate: slices 5 .. 10, alone and with two more on either side."""
+    crops = F.explode(F.array(F.struct(F.lit(0).alias("pad"), F.lit(5).alias("z0"), F.lit(11).alias("z1")), F.struct(F.lit(2).alias("pad"), F.lit(3).alias("z0"), F.lit(13).alias("z1"))))
+    r = c.runs_x.where("scan_index = 3").withColumn("c", crops).where("z >= c.z0 AND z < c.z1").select("*", "c.pad", "c.z0", "c.z1")
+    lab = C.label_components(r, 26, slab_depth=4, keys=["pad", "z0", "z1"])
+    return C.percolation(lab, ["pad"], "z0", "z1").drop("largest")
+
+
+@query
+def matched_component(c):
+    place = V.footprint(c.runs_x.where("scan_index = 6 AND label = 2 AND z < 3"), [])
+    return C.matched_component(c.labelled, place, ["scan_index"])
+
+
+@query
+def x_route_overlap(c):
+    lab = C.label_components(c.runs_x, 26, slab_depth=4)
+    largest = C.top_clusters(C.component_sizes(lab.where("scan_index = 3")), 1).select("scan_index", "component")
+    route = lab.join(F.broadcast(largest), ["scan_index", "component"]).where(F.col("z").isin(0, NZ - 1))
+    route = route.select(F.when(F.col("z") == 0, 0).otherwise(1).alias("face"), "y", F.explode(F.sequence("x0", "x1")).alias("x")).distinct()
+    r = C.route_overlap(lab, route, ["scan_index"], 0, NZ)
+    return rounded(r.select("scan_index", "component", "n", "score", "place"), "score", places=6)
+
+
+@query
+def disagreement_components(c):
+    a, b = gas_voxels(c).where("scan_index = 3").drop("scan_index"), gas_voxels(c).where("scan_index = 4").drop("scan_index")
+    v = V.overlap(a, b).where("value > 1")
+    marked = v.select(F.lit(0).alias("scan_index"), "z", "y", "x", F.lit(2).alias("label"))
+    lab = C.label_components(RL.runs_from_voxels(marked), 26, slab_depth=4)
+    return C.disagreement_shapes(lab, v.where("value = 2").select(F.lit(0).alias("scan_index"), "z", "y", "x"), ["scan_index"])
+
+
+# -- boxes, tracks
+
+
+@query
+def frozen_boxes(c):
+    return B.frozen_boxes(c.clusters, NY, NX).select("track_id", "z0", "z1")
+
+
+@query
+def box_counts(c):
+    n = B.box_counts(c.runs_x, c.boxes, c.points)
+    return rounded(rounded(n, "sw_local"), "cog_z", "cog_y", "cog_x", places=6)
+
+
+@query
+def box_occupancy(c):
+    return c.counts.select("track_id", "scan_index", F.round(100.0 * F.col("gas_voxels") / (F.col("extent_z") * NY * NX), 6).alias("occupancy"))
+
+
+@query
+def sw_local_x(c):
+    return rounded(c.fixed_boxes.select("run_id", "track_id", "scan_index", "gas_voxels", "brine_voxels", "sw_local", "percolates"), "sw_local")
+
+
+@query
+def sw_corrected(c):
+    return rounded(B.corrected_saturation(c.fixed_boxes, ["run_id", "track_id", "connectivity"]).select("run_id", "track_id", "scan_index", "sw_corrected"), "sw_corrected")
+
+
+def all_clusters(c: Catalogue) -> DataFrame:
+    top = C.top_clusters(C.component_sizes(c.labelled)).select("scan_index", "component", "label_id")
+    return V.centre_of_gravity(c.labelled.join(top, ["scan_index", "component"]), ["scan_index", "label_id"]).withColumn("series", F.lit("r1"))
+
+
+@query
+def track_clusters(c):
+    return B.track_clusters(all_clusters(c), ["series"], distance=4.0)
+
+
+@query
+def match_across_connectivity(c):
+    lab = C.label_components(c.runs_x, 18, slab_depth=4)
+    top = C.top_clusters(C.component_sizes(lab)).select("scan_index", "component", "label_id")
+    other = V.centre_of_gravity(lab.join(top, ["scan_index", "component"]), ["scan_index", "label_id"])
+    return compare.match_clusters(all_clusters(c), other, ["scan_index"], 5.0)
+
+
+@query
+def gas_pct_change(c):
+    return rounded(B.pct_change(c.fixed_boxes, ["run_id", "track_id"]).drop("gas_voxels"), "pct_change", places=6)
+
+
+@query
+def sat_coherence(c):
+    return rounded(B.coherence(c.counts, V.sw_series(c.runs_x)).drop("sw"), "mean_sw", "min_sw", "max_sw", "sd_sw", "spread", "offset")
+
+
+@query
+def z_rank(c):
+    return B.section_order(c.fixed_boxes, ["run_id", "track_id"])
+
+
+@query
+def section_pivot(c):
+    p = B.section_pivot(c.counts, B.section_order(c.boxes, ["track_id"]))
+    return rounded(p, *[f"s{i}" for i in range(1, 9)], "mean_sw", "sd_sw")
+
+
+# -- names and units
+
+
+@query
+def domain_names(c):
+    return c.names
+
+
+@query
+def domain_name_parse(c):
+    p = c.names.withColumn("p", N.parse_domain(F.col("name"))).where("p IS NOT NULL")
+    return p.select("name", *[F.col(f"p.{f}").alias(f) for f in ("kind", "track", "scan", "voxel_um", "nx", "nz")])
+
+
+@on_tables
+def scan_prefix(read):
+    k = F.col("o_orderkey")
+    name = F.when(k % 3 == 0, F.concat_ws("_", k.cast("string"), F.col("o_custkey").cast("string"), F.lit("sub"))).when(k % 3 == 1, k.cast("string")).otherwise(F.concat(F.lit("x"), k.cast("string")))
+    return read("orders").select(name.alias("name")).withColumns({"prefix": N.scan_prefix(F.col("name")), "prefix_or_name": N.scan_prefix(F.col("name"), whole=True)})
+
+
+@on_tables
+def scan_order(read):
+    from ..sources.readers import scan_order as numbered
+
+    k = F.col("s_suppkey")
+    name = F.when(k % 5 == 0, F.concat(F.lit("raw"), k.cast("string"))).otherwise(F.concat_ws("_", (k % 11).cast("string"), k.cast("string"), F.lit("a")))
+    return numbered(read("supplier").select(name.alias("name")))
+
+
+@on_tables
+def int_list_parse(read):
+    k = F.col("s_suppkey")
+    text = F.concat((k % 5).cast("string"), F.lit(", "), (k % 7).cast("string"), F.lit("-"), (k % 7 + 3).cast("string"))
+    return read("supplier").select("s_suppkey", N.int_list(text).alias("ids"))
+
+
+@on_tables
+def unit_conversion(read):
+    k = F.col("l_quantity") * 1e-13
+    return read("lineitem").select("l_orderkey", "l_linenumber", F.round(N.darcy(k), 9).alias("darcy"), F.round(N.millidarcy(k), 6).alias("millidarcy"), F.round(N.voxel_edge(F.col("l_extendedprice"), F.col("l_quantity")), 9).alias("edge"))
+
+
+@query
+def job_estimates(c):
+    minutes, gb = N.job_estimate(F.col("gas_voxels"), F.col("extent_z"))
+    return c.counts.select("track_id", "scan_index", F.round(minutes, 9).alias("minutes"), F.round(gb, 6).alias("gb"))
+
+
+# -- permeability
+
+
+@query
+def kr_table(c):
+    return rounded(P.kr_table(c.simulation_results.drop("kr")).select("run_id", "track_id", "simulator", "scan_index", "sim_type", "kr"), "kr")
+
+
+def wide(c: Catalogue) -> DataFrame:
+    return P.kr_wide(c.simulation_results.drop("kr"))
+
+
+@query
+def kr_wide(c):
+    return rounded(wide(c).drop("connectivity"), "sw", "kr_gas", "kr_brine")
+
+
+@query
+def kr_complete(c):
+    return P.complete_cases(wide(c), [4]).select("run_id", "track_id", "simulator", "scan_index")
+
+
+@query
+def kr_per_timestep(c):
+    t = P.per_timestep(wide(c), ["run_id", "simulator"])
+    return rounded(t, *[x for x in t.columns if x.startswith(("mean", "sd"))])
+
+
+@query
+def kabs_summary(c):
+    k = P.kabs_summary(c.simulation_results).select("run_id", "track_id", "simulator", "k_md", "k_d", "dev_reference", "dev_mean")
+    return rounded(rounded(k, "k_md", "dev_reference", "dev_mean", places=6), "k_d")
+
+
+def barred(c: Catalogue) -> DataFrame:
+    return P.error_bars(P.complete_cases(wide(c)), ["run_id", "simulator"], "kr_gas")
+
+
+@query
+def error_bars(c):
+    return rounded(barred(c).select("run_id", "simulator", "track_id", "scan_index", "sigma"), "sigma")
+
+
+@query
+def corey_eval(c):
+    b = c.baseline.withColumn("kr_gas_standard", P.corey(P.gas_base(F.col("sw")), 0.9467, 2.154))
+    return rounded(b.drop("sw"), "kr_gas", "kr_brine", "kr_gas_standard")
+
+
+@query
+def curve_rmse(c):
+    curve = P.corey(P.gas_base(F.col("sw")), 0.7699, 3.339, 0.2946)
+    return rounded(P.curve_rmse(wide(c).where("simulator = 'LIR'"), "kr_gas", curve), "rmse")
+
+
+def fit_points(c: Catalogue) -> DataFrame:
+    return barred(c).select("run_id", "simulator", F.lit("gas").alias("phase"), P.gas_base(F.col("sw")).alias("base"), F.col("kr_gas").alias("value"), "sigma")
+
+
+@query
+def corey_grid_fit(c):
+    return rounded(fitting.grid_fit(fit_points(c), ["run_id", "simulator"]).drop("sse"), "n", "k0", places=6)
+
+
+@query
+def corey_fit(c):
+    return fitting.fit_curves(fitting.anchor(fit_points(c), ["run_id", "simulator"]), ["run_id", "simulator"], modified=True)
+
+
+@query
+def corey_band(c):
+    return fitting.fit_bands(fit_points(c), ["run_id", "simulator"], modified=False)
+
+
+@query
+def nearest_sw(c):
+    n = P.nearest_saturation(wide(c), c.baseline, ["run_id", "track_id", "simulator", "scan_index"])
+    return rounded(n.drop("sw", "sw_baseline"), "dev_gas", "dev_brine", places=6)
+
+
+@query
+def rev_effect(c):
+    r = P.rev_effect(c.fixed_boxes, c.simulation_results).select("run_id", "simulator", "n_all", "r_all", "slope_all", "n_inliers")
+    return rounded(r, "r_all", "slope_all", places=6)
+
+
+@on_tables
+def iqr_outliers(read):
+    li = read("lineitem").select("l_returnflag", "l_extendedprice")
+    q = li.groupBy("l_returnflag").agg(*[F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY l_extendedprice)").alias(n) for p, n in ((0.25, "q1"), (0.75, "q3"))])
+    far = (F.col("l_extendedprice") < F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) | (F.col("l_extendedprice") > F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
+    return li.join(F.broadcast(q), "l_returnflag").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(far).alias("n_outliers"))  # three flags
+
+
+@query
+def cross_solver(c):
+    x = P.cross_solver(c.simulation_results, "LIR", "lbm_MRT").select("run_id", "scan_index", "track_id", "sim_type", "deviation")
+    return rounded(x, "deviation", places=6)
+
+
+# -- catalogue
+
+
+@query
+def latest_run(c):
+    return R.latest_run(c.runs)
+
+
+@query
+def latest_run_with_results(c):
+    return R.latest_run(c.runs, c.simulation_results)
+
+
+@query
+def run_listing(c):
+    return R.run_listing(c.runs, c.scans, c.fixed_boxes).drop("started_at")
+
+
+@query
+def track_profile(c):
+    return rounded(R.track_profile(c.fixed_boxes, thin=4), "min_sw", "max_sw")
+
+
+@query
+def orphan_counts(c):
+    return R.orphans(c.runs, c.scans, c.fixed_boxes.where("track_id <= 5"), c.simulation_results)
+
+
+@query
+def provenance_join(c):
+    return rounded(R.provenance(c.simulation_results, c.fixed_boxes, c.scans).drop("connectivity", "k_z"), "sw_global")
+
+
+@query
+def convergence(c):
+    return rounded(rounded(R.convergence(c.simulation_results), "share_below"), "median_bound", places=6)
+
+
+@query
+def scan_inventory(c):
+    return R.inventory(c.runs, c.scans, c.fixed_boxes, c.simulation_results)
+
+
+@query
+def select_domains(c):
+    d = R.select_domains(R.domains(c.fixed_boxes), c.scans, tracks=[1, 2, 3], kinds=["absolute", "gas"], exclude_thin=4)
+    return d.select("run_id", "scan_index", "track_id", "sim_type")
+
+
+@query
+def job_list(c):
+    return R.job_list(R.domains(c.fixed_boxes)).drop("connectivity")
+
+
+@query
+def resume_todo(c):
+    left = R.todo(R.job_list(R.domains(c.fixed_boxes)), c.simulation_results, ["run_id", "scan_index", "track_id", "connectivity", "sim_type"])
+    return left.select("run_id", "scan_index", "track_id", "sim_type")
+
+
+@query
+def delete_empty_runs(c):
+    left = R.delete_runs({"runs": c.runs, "scans": c.scans, "fixed_boxes": c.fixed_boxes}, R.empty_runs(c.runs, c.simulation_results))
+    n = [df.agg(F.lit(name).alias("tbl"), F.count("*").alias("n")) for name, df in left.items()]
+    return n[0].unionByName(n[1]).unionByName(n[2])
+
+
+@query
+def preflight_gates(c):
+    done = c.names.where("name LIKE 'domain_gas_01-1_%' OR name LIKE 'domain_water_01-1_%'").withColumn("p", N.parse_domain(F.col("name")))
+    s = done.select("name", (F.col("p.nx") + F.when(F.col("p.kind") == "water", 1).otherwise(0)).alias("nx"), "p.ny", "p.nz", F.lit(4.99684e-6).alias("voxel_m"), F.lit(1e-13).alias("permeability"))
+    return R.preflight(c.names, s, c.fixed_boxes)
+
+
+@query
+def output_summary(c):
+    return R.output_summary(c.fixed_boxes).drop("connectivity")
+
+
+@query
+def overview(c):
+    return R.overview({"scans": c.scans, "fixed_boxes": c.fixed_boxes}, "r1")
+
+
+def _orders(read) -> tuple[DataFrame, DataFrame]:
+    o = read("orders").select("o_orderkey", "o_totalprice")
+    new = o.where("o_orderkey % 4 = 0").withColumn("o_totalprice", F.lit(0.0)).unionByName(o.where("o_orderkey % 8 = 0").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit(1.0).alias("o_totalprice")).where("o_orderkey < 0"))
+    return o, new
+
+
+@on_tables
+def upsert_replace(read):
+    return R.upsert(*_orders(read), ["o_orderkey"])
+
+
+@on_tables
+def insert_ignore(read):
+    return R.insert_ignore(*_orders(read), ["o_orderkey"])
+
+
+@on_tables
+def update_coalesce(read):
+    o, _ = _orders(read)
+    new = o.where("o_orderkey % 4 = 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 8 != 0, F.lit(0.0)))
+    return R.update(o, new, ["o_orderkey"], ["o_totalprice"])
+
+
+@on_tables
+def anti_semi_join(read):
+    cust, orders = read("customer").select("c_custkey"), read("orders").select(F.col("o_custkey").alias("c_custkey"))
+    n = lambda how, kind: cust.join(orders, "c_custkey", how).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    return n("left_semi", "with").unionByName(n("left_anti", "without"))
+
+
+@on_tables
+def distinct_list(read):
+    return read("lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.count_distinct("l_returnflag").alias("n"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags"), F.count_if(F.col("l_quantity") > 25).alias("n_large"))
+
+
+@on_tables
+def fixed_histogram(read):
+    bin_ = F.expr("CASE WHEN l_quantity < 0 THEN 0 WHEN l_quantity >= 50 THEN 11 ELSE width_bucket(l_quantity, 0, 50, 10) END")
+    return read("lineitem").groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@on_tables
+def json_extract(read):
+    return read("events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
+
+
+@on_tables
+def latest_rows(read):
+    return R.row_number_latest(read("orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+
+
+def stream_sw_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return rounded(windows.final_state(windows.windowed_mean(events)), "mean_value", places=6)
+
+
+FOUND["stream_sw_windows"] = stream_sw_windows
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(FOUND)
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
