@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,32 +55,43 @@ def risk(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, np.ndar
     return prior * plus, prior * sig(z_p) / len(z_p), -sig(z_u) / len(z_u)
 
 
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, most_words: int = MOST_WORDS, clear: float = CLEAR) -> Classifier:
-    """Fit on samples of texts given as word sets. Without positives, or without clear words, every score is the prior.
+class Vocabulary(dict):
+    """Numbers of words in the order in which they are met; texts are kept as arrays of them."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def encode(self, found: Iterable[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, found), dtype=np.uint32)
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], vocabulary: Vocabulary, prior: float, most_words: int = MOST_WORDS, clear: float = CLEAR) -> Classifier:
+    """Fit on samples of texts, each an array of its distinct words. Without positives, or without clear words, every score
+    is the prior.
 
     Words enter by the z-value of the difference of document rates; ties go by the word. Adam on the whole sample.
     """
     base = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     if not positive or not unlabelled:
         return Classifier({}, base)
-    in_p, in_u = Counter(w for d in positive for w in d), Counter(w for d in unlabelled for w in d)
-    n, m = len(positive), len(unlabelled)
-
-    def z(w: str) -> float:
-        p, q = in_p[w] / n, in_u[w] / m
-        both = (in_p[w] + in_u[w]) / (n + m)
-        return (p - q) / max((both * (1 - both) * (1 / n + 1 / m)) ** 0.5, 1e-9)
-
-    scored = sorted(((-abs(z(w)), w) for w in in_p.keys() | in_u.keys() if in_p[w] + in_u[w] >= 5), key=lambda x: x)
-    chosen = [w for s, w in scored[:most_words] if -s >= clear]
+    n, m, size = len(positive), len(unlabelled), len(vocabulary)
+    in_p, in_u = (np.bincount(np.concatenate(d), minlength=size) if size else np.zeros(0) for d in (positive, unlabelled))
+    both = (in_p + in_u) / (n + m)
+    z = (in_p / n - in_u / m) / np.maximum(np.sqrt(both * (1 - both) * (1 / n + 1 / m)), 1e-9)
+    names = list(vocabulary)
+    able = np.flatnonzero((in_p + in_u >= 5) & (np.abs(z) >= clear)).tolist()
+    chosen = [i for _, _, i in sorted((-abs(z[i]), names[i], i) for i in able)[:most_words]]
     if not chosen:
         return Classifier({}, base)
-    place = {w: i for i, w in enumerate(chosen)}
+    place = np.full(size, -1)
+    place[chosen] = np.arange(len(chosen))
 
-    def matrix(docs: list[set[str]]) -> np.ndarray:
+    def matrix(docs: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(docs), len(chosen)), dtype=np.float32)
         for i, d in enumerate(docs):
-            x[i, [place[w] for w in d & place.keys()]] = 1
+            at = place[d]
+            x[i, at[at >= 0]] = 1
         return x
 
     xp, xu = matrix(positive), matrix(unlabelled)
@@ -93,7 +103,7 @@ def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, most
         g1, g2 = 0.9 * g1 + 0.1 * g, 0.999 * g2 + 0.001 * g * g
         move = RATE * (g1 / (1 - 0.9**step)) / (np.sqrt(g2 / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return Classifier({c: float(x) for c, x in zip(chosen, w, strict=True)}, float(b))
+    return Classifier({names[c]: float(x) for c, x in zip(chosen, w, strict=True)}, float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Classifier:
@@ -115,10 +125,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for b in batches:
             yield pd.DataFrame({"positive": b["_positive"], "words": [" ".join(sorted(words(t))) for t in b[text]]})
 
-    got: dict[bool, list[set[str]]] = {True: [], False: []}
+    got: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    vocabulary = Vocabulary()
     for r in texts.mapInPandas(to_words, "positive boolean, words string").toLocalIterator():
-        got[r.positive].append(set(r.words.split()))
-    return fit(got[True], got[False], prior)
+        got[r.positive].append(vocabulary.encode(r.words.split()))
+    return fit(got[True], got[False], vocabulary, prior)
 
 
 def score(text: Column, model: Classifier) -> Column:
