@@ -1,36 +1,22 @@
-"""Helpers that the corpus operators share: word syntax, scratch storage, connected components."""
+"""Helpers that the corpus operators share: word syntax and scratch storage."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
+from ..scratch import checkpointed, shared_dir
+
+__all__ = ["BLANKS", "GAP", "WORD", "ascii_lower", "checkpointed", "connected_components", "count_words", "split_words", "table", "written"]
 #: A word is a run of characters other than ASCII white space; Java and DuckDB read the same class.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; our own only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="porespan-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, its lineage cut; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: as ``checkpointed``, but columnar and compressed."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -54,44 +40,6 @@ def count_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Label every vertex of ``edges(src, dst)`` with the smallest vertex that it reaches: ``(vertex, component)``.
-
-    Alternates the large-star and small-star steps (Kiveris et al., SoCC 2014) until the edge set no longer changes.
-    Minima are pre-aggregated per task and joined back, so a vertex with very many edges is never held by one task;
-    each round is checkpointed. Vertices are longs; loops and repeated edges do no harm; no edges give no rows.
-    """
-
-    def signature(df: DataFrame) -> tuple:
-        h = F.xxhash64("src", "dst")
-        return tuple(df.agg(F.count("*"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.bit_xor(h)).first())
-
-    def star(df: DataFrame, large: bool) -> DataFrame:
-        both = df.unionByName(df.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if large else df
-        low = both.groupBy("src").agg(F.min("dst").alias("m")).withColumn("m", F.least("m", "src"))
-        linked = both.join(low, "src")
-        if large:
-            out = linked.where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        else:
-            out = linked.select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionByName(low.select("src", F.col("m").alias("dst")))
-        return out.where("src <> dst").distinct()
-
-    now = checkpointed(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct())
-    seen = signature(now)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
-        now = checkpointed(star(star(now, True), False))
-        was, seen = seen, signature(now)
-        if was == seen:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.groupBy(F.col("src").alias("vertex")).agg(F.min("dst").alias("component")).unionByName(
-        now.select(F.col("dst").alias("vertex"), F.col("dst").alias("component")).distinct()
-    )
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -74,11 +74,12 @@ def apportion(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int
     whole stream as often as it fits, and for the rest a run of blocks from a seeded start, wrapping round. So a document
     gives ``size`` times the passes, plus what the run covers of it: never more than ``most`` times its size.
 
-    Output: the columns given, ``source_size``, ``target`` (its source's), ``taken``, and ``passes``, ``skip_to``,
+    Output: doc_id, source and size (other columns don't come along), ``source_size``, ``target`` (its source's), ``taken``, and ``passes``, ``skip_to``,
     ``run``: of its words beyond the whole passes, the run takes ``run`` from word ``skip_to`` on (wrapping in the document
     where the run wraps in a one-document shard). Null doc_ids and repeated rows are documents like others; empty ones
     give 0. An empty table gives an empty result.
     """
+    sized = sized.select("doc_id", "source", "size")
     targets = source_targets(sized, weights, percent, most)
     smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy())
     block = F.greatest(F.lit(1), F.least(F.lit(4096), F.floor(F.coalesce(smallest, F.lit(1.0)) / 500))).cast("long")
@@ -127,18 +128,19 @@ def mix(docs: DataFrame, text: str = "text", **plan) -> DataFrame:
     (where there is one) its length. Documents of which nothing is taken go. Rows that agree in doc_id, source and size
     are dealt its decisions in a fixed order; a null doc_id is one more key.
     """
-    same = lambda a, b: a.eqNullSafe(b)
     decided = apportion(sized_documents(docs), **plan)
     # rows that can't be told apart by their keys: deal the decisions out in the order of their texts' hashes
-    nth = lambda order: F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(order))
-    slots = decided.withColumn("_nth", nth(F.col("taken"))).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_nth", "passes", "run", "skip_to")
-    rows = docs.withColumn("size", count_words(F.col(text))).withColumn("_mine", nth(F.xxhash64(text)))
-    both = rows.join(slots, same(F.col("doc_id"), F.col("_d")) & same(F.col("source"), F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_mine") == F.col("_nth")))
-    whole = F.array_repeat(F.lit(True), F.col("passes").cast("int"))
-    both = both.withColumn("_whole", F.explode(F.concat(whole, F.when(F.col("run") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))))
+    nth = lambda keys, order: F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    slots = decided.withColumn("_mix_nth", nth(["doc_id", "source", "size"], F.col("taken")))
+    slots = slots.select(*[F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "source", "size", "passes", "run", "skip_to")], "_mix_nth")
+    rows = docs.withColumn("_mix_words", count_words(F.col(text))).withColumn("_mix_mine", nth(["doc_id", "source", "_mix_words"], F.xxhash64(text)))
+    on = [F.col(c).eqNullSafe(F.col(f"_mix_{c}")) for c in ("doc_id", "source")]
+    both = rows.join(slots, [*on, F.col("_mix_words") == F.col("_mix_size"), F.col("_mix_mine") == F.col("_mix_nth")])
+    whole = F.array_repeat(F.lit(True), F.col("_mix_passes").cast("int"))
+    both = both.withColumn("_mix_whole", F.explode(F.concat(whole, F.when(F.col("_mix_run") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))))
     words = split_words(F.col(text))
-    part = F.array_join(F.slice(F.concat(words, words), (F.col("skip_to") + 1).cast("int"), F.greatest(F.lit(1), F.col("run")).cast("int")), " ")
-    out = both.withColumn(text, F.when(F.col("_whole"), F.col(text)).otherwise(part))
+    part = F.array_join(F.slice(F.concat(words, words), (F.col("_mix_skip_to") + 1).cast("int"), F.greatest(F.lit(1), F.col("_mix_run")).cast("int")), " ")
+    out = both.withColumn(text, F.when(F.col("_mix_whole"), F.col(text)).otherwise(part))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -92,8 +92,8 @@ def url_verdicts(pages: DataFrame, rules=RULES, smooth: float = SMOOTH, reject:
     made = ["host", "path", "rule", "template", "purity", "verdict"]
     own = [c for c in pages.columns if c not in made]
     rule, action = match_rule(F.col("host"), F.col("path"), rules)
-    parsed = parse_urls(pages.select(*own)).withColumns({"rule": rule, "action": action})
-    urls = parsed.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.when(F.col("action").isNotNull(), 1).otherwise(0)).alias("n_label"), F.sum(F.when(F.col("action") == "block", 1).otherwise(0)).alias("n_block"))
+    parsed = parse_urls(pages.select(*own)).withColumns({"rule": rule, "_action": action})
+    urls = parsed.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.when(F.col("_action").isNotNull(), 1).otherwise(0)).alias("n_label"), F.sum(F.when(F.col("_action") == "block", 1).otherwise(0)).alias("n_block"))
     tree = path_templates(urls)
     whole = tree.agg(F.sum("n_block").alias("gb"), F.sum("n_label").alias("gl"))
     prior = F.when(F.col("gl") > 0, F.col("gb") / F.col("gl")).otherwise(0.0)
@@ -104,4 +104,4 @@ def url_verdicts(pages: DataFrame, rules=RULES, smooth: float = SMOOTH, reject:
     judged = judged.withColumn("purity", (F.col("hb") + smooth * middle) / (F.col("hl") + smooth)).select("_h", F.col("_t2"), "purity")
     by_url = tree.join(judged, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t2"))).select(F.col("host").alias("_h1"), F.col("path").alias("_p1"), "template", "purity")
     out = parsed.join(by_url, (F.col("host") == F.col("_h1")) & (F.col("path") == F.col("_p1")))
-    return out.withColumn("verdict", F.coalesce("action", F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow")))).select(*own, *made)
+    return out.withColumn("verdict", F.coalesce("_action", F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow")))).select(*own, *made)
