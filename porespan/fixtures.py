@@ -78,7 +78,7 @@ class Catalogue:
     @cached_property
     def labelled(self) -> DataFrame:
         """6N components of every scan."""
-        return checkpointed(C.label_components(self.runs_x, 6, slab_depth=4))
+        return checkpointed(C.label_components(self.runs_x, 6, slab_depth=4, shape=SHAPE[1:]))
 
     @cached_property
     def clusters(self) -> DataFrame:

@@ -57,17 +57,17 @@ def local_roots(rows: list[tuple[int, int, int, int]], connectivity: int) -> lis
     return [find(i) for i in range(len(rows))]
 
 
-def label_components(runs: DataFrame, connectivity: int = 18, slab_depth: int = 64, seam_mode: str = "true", gas: int = GAS, keys: list[str] | None = None) -> DataFrame:
+def label_components(runs: DataFrame, connectivity: int = 18, slab_depth: int = 64, seam_mode: str = "true", gas: int = GAS, keys: list[str] | None = None, shape: tuple[int, int, int] | None = None) -> DataFrame:
     """Gas runs with ``component``: the least linear voxel number (z, then y, then x) of their component.
 
     Slabs of ``slab_depth`` slices are labelled on their own; only runs next to a seam meet those beyond it, by an equi-join on
     row and an overlap of x ranges; the graph of slab components is contracted. The result doesn't depend on the
     depth. ``seam_mode`` "compat26" joins seams by 26 neighbours whatever the connectivity. ``keys`` are further columns that
-    part volumes, besides scan_index.
+    part volumes, besides scan_index. ``shape`` (nz, ny, nx) numbers the voxels; without it the gas's own extent does.
     """
     own = ["scan_index", *(keys or [])]
     gas_runs = runs.where(F.col("label") == gas).select(*own, "z", "y", "x0", "x1")
-    nz, ny, nx = (v + 1 if v is not None else 1 for v in gas_runs.agg(F.max("z"), F.max("y"), F.max("x1")).first())
+    nz, ny, nx = shape or (v + 1 if v is not None else 1 for v in gas_runs.agg(F.max("z"), F.max("y"), F.max("x1")).first())
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in gas_runs.schema.fields) + ", slab int, local long"
     columns = [*gas_runs.columns, "slab", "local"]
 

@@ -210,17 +210,17 @@ def regime_tags(c):
 
 @query
 def cca_6n(c):
-    return C.component_sizes(C.label_components(c.runs_x, 6, slab_depth=4))
+    return C.component_sizes(C.label_components(c.runs_x, 6, slab_depth=4, shape=SHAPE[1:]))
 
 
 @query
 def cca_18n(c):
-    return C.component_sizes(C.label_components(c.runs_x, 18, slab_depth=4))
+    return C.component_sizes(C.label_components(c.runs_x, 18, slab_depth=4, shape=SHAPE[1:]))
 
 
 @query
 def cca_26n(c):
-    return C.component_sizes(C.label_components(c.runs_x, 26, slab_depth=4))
+    return C.component_sizes(C.label_components(c.runs_x, 26, slab_depth=4, shape=SHAPE[1:]))
 
 
 @query
@@ -240,7 +240,7 @@ def cluster_bbox(c):
 
 @query
 def largest_component(c):
-    return C.top_clusters(C.component_sizes(C.label_components(c.runs_x, 18, slab_depth=16)), 1).drop("label_id")
+    return C.top_clusters(C.component_sizes(C.label_components(c.runs_x, 18, slab_depth=16, shape=SHAPE[1:])), 1).drop("label_id")
 
 
 @query
@@ -250,7 +250,7 @@ def percolation_6n(c):
 
 @query
 def percolation_26n(c):
-    return C.percolation(C.label_components(c.runs_x, 26, slab_depth=5), ["scan_index"], 0, NZ)
+    return C.percolation(C.label_components(c.runs_x, 26, slab_depth=5, shape=SHAPE[1:]), ["scan_index"], 0, NZ)
 
 
 @query
@@ -258,7 +258,7 @@ def split_check(c):
     """Whether a crop makes scan 3 percolate: slices 5 .. 10, alone and with two more on either side."""
     crops = F.explode(F.array(F.struct(F.lit(0).alias("pad"), F.lit(5).alias("z0"), F.lit(11).alias("z1")), F.struct(F.lit(2).alias("pad"), F.lit(3).alias("z0"), F.lit(13).alias("z1"))))
     r = c.runs_x.where("scan_index = 3").withColumn("c", crops).where("z >= c.z0 AND z < c.z1").select("*", "c.pad", "c.z0", "c.z1")
-    lab = C.label_components(r, 26, slab_depth=4, keys=["pad", "z0", "z1"])
+    lab = C.label_components(r, 26, slab_depth=4, shape=SHAPE[1:], keys=["pad", "z0", "z1"])
     return C.percolation(lab, ["pad"], "z0", "z1").drop("largest")
 
 
@@ -270,7 +270,7 @@ def matched_component(c):
 
 @query
 def x_route_overlap(c):
-    lab = C.label_components(c.runs_x, 26, slab_depth=4)
+    lab = C.label_components(c.runs_x, 26, slab_depth=4, shape=SHAPE[1:])
     largest = C.top_clusters(C.component_sizes(lab.where("scan_index = 3")), 1).select("scan_index", "component")
     route = lab.join(F.broadcast(largest), ["scan_index", "component"]).where(F.col("z").isin(0, NZ - 1))
     route = route.select(F.when(F.col("z") == 0, 0).otherwise(1).alias("face"), "y", F.explode(F.sequence("x0", "x1")).alias("x")).distinct()
@@ -283,7 +283,7 @@ def disagreement_components(c):
     a, b = gas_voxels(c).where("scan_index = 3").drop("scan_index"), gas_voxels(c).where("scan_index = 4").drop("scan_index")
     v = V.overlap(a, b).where("value > 1")
     marked = v.select(F.lit(0).alias("scan_index"), "z", "y", "x", F.lit(2).alias("label"))
-    lab = C.label_components(RL.runs_from_voxels(marked), 26, slab_depth=4)
+    lab = C.label_components(RL.runs_from_voxels(marked), 26, slab_depth=4, shape=SHAPE[1:])
     return C.disagreement_shapes(lab, v.where("value = 2").select(F.lit(0).alias("scan_index"), "z", "y", "x"), ["scan_index"])
 
 
@@ -328,7 +328,7 @@ def track_clusters(c):
 
 @query
 def match_across_connectivity(c):
-    lab = C.label_components(c.runs_x, 18, slab_depth=4)
+    lab = C.label_components(c.runs_x, 18, slab_depth=4, shape=SHAPE[1:])
     top = C.top_clusters(C.component_sizes(lab)).select("scan_index", "component", "label_id")
     other = V.centre_of_gravity(lab.join(top, ["scan_index", "component"]), ["scan_index", "label_id"])
     return compare.match_clusters(all_clusters(c), other, ["scan_index"], 5.0)

@@ -197,7 +197,7 @@ def saturation_reference(spark: SparkSession, path: str, name_col: int = 0, sg_c
 
 def text_table(spark: SparkSession, path: str) -> DataFrame:
     """(row_number, cells) of a CSV file without a header; a byte order mark is taken off."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", "^﻿", "").alias("value"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"))
     lines = raw.select(F.posexplode(F.split("value", "\r?\n")).alias("row_number", "line")).where("line <> ''")
     fields = F.regexp_extract_all("line", F.lit(r'(?:^|,)(?:"((?:[^"]|"")*)"|([^,]*))'), F.lit(0))
     clean = F.transform(fields, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "^,", ""), '^"|"$', ""), '""', '"'))
@@ -252,15 +252,16 @@ def solver_summaries(spark: SparkSession, path: str) -> DataFrame:
 
 def solver_values(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Last value of each key in white-space separated key/value lines, by file."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
     kv = lines.select("file", "n", F.lower(F.regexp_extract("line", r"^\s*(\S+)\s+(\S+)", 1)).alias("key"), F.regexp_extract("line", r"^\s*(\S+)\s+(\S+)", 2).alias("value"))
     return kv.where(F.col("key").isin([k.lower() for k in keys])).groupBy("file", "key").agg(F.max_by("value", "n").alias("value"))
 
 
 def solver_log(spark: SparkSession, path: str, pattern: str = r"(?i)permeability\s*=\s*([-+0-9.eE]+)") -> DataFrame:
     """Last positive match of ``pattern`` in each log."""
-    logs = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract_all("value", F.lit(pattern), F.lit(1)).alias("v"))
-    return logs.select("file", F.element_at(F.filter(F.transform("v", lambda x: x.try_cast("double")), lambda x: x > 0), -1).alias("value")).where("value IS NOT NULL")
+    logs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract_all("value", F.lit(pattern), F.lit(1)).alias("v"))
+    last = F.aggregate("v", F.lit(None).cast("double"), lambda found, x: F.when(x.try_cast("double") > 0, x.try_cast("double")).otherwise(found))
+    return logs.select("file", last.alias("value")).where("value IS NOT NULL")
 
 
 def tables_with_run_id(spark: SparkSession, database: str) -> list[str]:
