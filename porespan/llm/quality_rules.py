@@ -65,9 +65,13 @@ def bucket(value: Column) -> Column:
     return F.when(value <= 0, F.lit(0)).otherwise(1 + F.ceil(F.log(value.cast("double")) / F.lit(math.log(GAMMA)))).cast("long")
 
 
-def sketches(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Bucket counts of every metric per group. Counts add up, so sketches of parts merge by summation."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in METRICS]))
+def sketches(df: DataFrame, keys: list[str], out: Column | None = None) -> DataFrame:
+    """Bucket counts of every metric per group, without the rows for which ``out`` holds. Counts add up, so sketches of
+    parts merge by summation.
+
+    ``out`` is no filter: one would be pushed below the counts, and make them again inside every lambda."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in METRICS])
+    pairs = F.explode(pairs if out is None else F.when(~out, pairs))
     return df.select(*keys, pairs.alias("p")).groupBy(*keys, "p.metric", "p.bucket").agg(F.count("*").alias("n"))
 
 
@@ -106,7 +110,7 @@ def adaptive_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sour
 
 
 def apply_fences(judged: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
-    fine = checkpointed(sketches(judged.where("NOT base_failed"), ["_lang", "_source"]))
+    fine = checkpointed(sketches(judged, ["_lang", "_source"], F.col("base_failed")))
     by_lang = fine.groupBy("_lang", "metric", "bucket").agg(F.sum("n").alias("n"))
     whole = by_lang.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
     a, b, c = fences(fine, ["_lang", "_source"]), fences(by_lang, ["_lang"]), fences(whole, [])

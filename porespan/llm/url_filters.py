@@ -11,7 +11,7 @@ from .common import checkpointed
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Segments below this depth join one branch, ``**``.
 DEPTH = 6
-#: A branch with more distinct children than this, none of them holding this share of its rows, has variable children.
+#: Of a branch with more distinct children than this, those that hold less than this share of its rows are variable.
 MANY, SHARE = 12, 0.25
 #: Siblings merge where the shares of their child shapes differ by at most this total variation, and their labels agree.
 ALIKE = 0.25
@@ -48,7 +48,7 @@ def path_templates(urls: DataFrame, depth: int = DEPTH, many: int = MANY, share:
     """Template of every distinct ``(host, path)`` of ``urls(host, path, n, n_label, n_block)``, a table of counts.
 
     Level by level, a branch is a host with the template so far. Its children are the next segments, by shape; where
-    there are more than ``many`` and none holds ``share`` of the rows they all become ``*``. Siblings whose own children
+    there are more than ``many``, those with less than ``share`` of the rows become ``*``. Siblings whose own children
     have like shapes (total variation to the pooled siblings at most ``alike``) and whose blocked labels agree (both
     unlabelled, or rates within 0.25 after smoothing) merge into ``~``. Adds ``template`` and ``branch``, the template
     before merging at the last level. Each level is a pre-aggregated count and a join on the branch; its
@@ -70,10 +70,10 @@ def path_templates(urls: DataFrame, depth: int = DEPTH, many: int = MANY, share:
             F.first("cn").alias("cn"), F.first("total").alias("total"), F.sum("n_label").alias("lab"), F.sum("n_block").alias("blk"),
             (F.sum(F.abs(F.col("n") / F.col("cn") - F.col("kn") / F.col("total"))) / 2 + (1 - F.sum(F.col("kn") / F.col("total"))) / 2).alias("tv"),
         )
-        one = one.withColumns({"kids": F.count("*").over(sib), "top": F.max("cn").over(sib), "sl": F.sum("lab").over(sib), "sb": F.sum("blk").over(sib)})
+        one = one.withColumns({"kids": F.count("*").over(sib), "sl": F.sum("lab").over(sib), "sb": F.sum("blk").over(sib)})
         rate = lambda b, n: (F.col(b) + 1) / (F.col(n) + 2)
         merged = (F.col("kids") > 1) & (F.col("tv") <= alike) & (((F.col("lab") == 0) & (F.col("sl") == 0)) | ((F.col("lab") > 0) & (F.abs(rate("blk", "lab") - rate("sb", "sl")) <= 0.25)))
-        name = F.when((F.col("kids") > many) & (F.col("top") < share * F.col("total")), F.lit("*")).when(merged & ~F.col("_c").startswith("{"), F.lit("~")).otherwise(F.col("_c"))
+        name = F.when((F.col("kids") > many) & (F.col("cn") < share * F.col("total")), F.lit("*")).when(merged & ~F.col("_c").startswith("{"), F.lit("~")).otherwise(F.col("_c"))
         one = one.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("_c").alias("_d"), name.alias("_name"))
         rows = rows.join(one, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("_c") == F.col("_d")), "left")
         rows = rows.withColumn("template", F.when(F.col("_name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.col("_name")))).drop("_h", "_t", "_d", "_name", "_c")
