@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,11 +24,15 @@ SPACE = "▁"
 #: Cost of a piece: PIECE + RANK * log(1 + its rank in the vocabulary); a segmentation has probability ~ exp(-sum of costs).
 PIECE, RANK = 8.0, 4.0
 SAMPLES, SEED = 3, 11
-RESCALE = 1e180
+RESCALE = 1e140
+#: Chunks up to this length are decoded many at a time; each character scales a path by exp(SHIFT), which all paths share.
+SHORT, SHIFT = 20, 30.0
+#: Segmentations of longer chunks aren't listed but drawn.
+LISTED = 40
+#: Bytes of the texts that are prepared and returned together.
+TOGETHER = 1_000_000
 #: Distributions of chunks that a worker keeps; beyond that they are forgotten and made again, with equal results.
-KEPT = 250_000
-#: A frame that a worker returns holds about so many pieces.
-FRAME_PIECES = 2_000_000
+KEPT, KEPT_LISTED = 120_000, 2_000
 #: No piece spans the border between another character and a space mark, so the lattice falls apart there.
 CHUNKS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
 
@@ -36,51 +42,260 @@ SAMPLE = T.ArrayType(T.StructType([
 ]))
 
 
-class Chunk:
-    """The distribution over the segmentations of a chunk: the likeliest one at once, the others by A* when asked for.
+def likeliest(model: Pieces, text: str) -> tuple[float, tuple[int, ...]]:
+    """Log probability and ids of a chunk's best segmentation: Viterbi and backward sums over the lattice in one pass."""
+    weights, n = model.weights, len(text)
+    get = weights.get
+    mass, high, to = [1.0] * (n + 1), [1.0] * (n + 1), [0] * n
+    for i in range(n - 1, -1, -1):
+        total = peak = 0.0
+        for j in range(i + 1, n + 1):
+            w = get(text[i:j])
+            if w is None:
+                break
+            if w:
+                total += w * mass[j]
+                h = w * high[j]
+                if h > peak:
+                    peak, to[i] = h, j
+        if not get(text[i]):
+            w = model.byte_weight(text[i])
+            total += w * mass[i + 1]
+            if w * high[i + 1] > peak:
+                peak, to[i] = w * high[i + 1], i + 1
+        mass[i], high[i] = total, peak
+        if total < 1e-150:  # in long chunks: rescale all that later steps read
+            for j in range(i, min(n, i + model.longest) + 1):
+                mass[j] *= RESCALE
+                high[j] *= RESCALE
+    ids, i = [], 0
+    while i < n:
+        ids += model.piece_ids(text, i, to[i])
+        i = to[i]
+    return min(0.0, math.log(high[0] / mass[0])), tuple(ids)
+
+
+class LongChunk:
+    """A chunk too long to list: segmentations are drawn by a forward walk through the backward sums, and numbered as they
+    come; number 0 is the likeliest."""
 
-    ``log_z`` is the log mass of all segmentations, by backward sums, in which ``top`` is the log probability of the best.
-    """
+    def __init__(self, model: Pieces, text: str):
+        self.text, self.model = text, model
+        n = len(text)
+        self.arcs = [model.arcs(text, i) for i in range(n)]
+        self.mass = [0.0] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            terms = [w + self.mass[j] for w, j in self.arcs[i]]
+            high = max(terms)
+            self.mass[i] = high + math.log(sum(math.exp(x - high) for x in terms))
+        row = model.store.rows[text]
+        at, count = model.store.at1[row], model.store.n1[row]
+        self.ids: list[tuple[int, ...]] = [tuple(model.store.ids[at : at + count].tolist())]
+        self.logs = [float(model.store.top[row])]
+        self.number = {self.ids[0]: 0}
+
+    def _draw(self, rng: np.random.Generator) -> int:
+        ids, i, lp, n = [], 0, 0.0, len(self.text)
+        while i < n:
+            arcs, u = self.arcs[i], rng.random()
+            for w, j in arcs:
+                p = math.exp(w + self.mass[j] - self.mass[i])
+                u -= p
+                if u <= 0:
+                    break
+            ids += self.model.piece_ids(self.text, i, j)
+            lp += w + self.mass[j] - self.mass[i]
+            i = j
+        found = tuple(ids)
+        if found not in self.number:
+            self.number[found] = len(self.ids)
+            self.ids.append(found)
+            self.logs.append(min(0.0, lp))
+        return self.number[found]
+
+    def at(self, u: float) -> int:
+        """A draw, given that it isn't the likeliest, as ``u`` lies beyond that one's probability."""
+        return self.other(u, {0}) or 0
+
+    def other(self, u: float, taken: set[int], tries: int = 400) -> int | None:
+        """A draw that isn't one of ``taken``; None if none comes in so many tries, as then next to nothing is left."""
+        rng = seeded(0, u)
+        for _ in range(tries if any(len(a) > 1 for a in self.arcs) else 0):
+            got = self._draw(rng)
+            if got not in taken:
+                return got
+        return None
+
+
+class Table:
+    """Weights of pieces, and of what begins one (0), by a 64-bit hash of the characters, for arrays of hashes: a table of
+    slots, and further ones for what clashes in the first."""
+
+    def __init__(self, weights: dict[str, float], ids: dict[str, int]):
+        names = list(weights)
+        self.ids = np.array([*[ids.get(p, -1) for p in names], -1], dtype=np.int32)
+        rng = np.random.default_rng(97)
+        self.mul = np.uint64(int(rng.integers(1 << 62)) * 2 + 1)
+        keys = np.array([self.hash(p) for p in names], dtype=np.uint64)
+        if len(np.unique(keys)) < len(names):
+            raise ValueError("two pieces share a hash")
+        self.keys = np.append(keys, np.uint64(0))
+        self.values = np.append([weights[p] * math.exp(SHIFT * len(p)) if len(p) <= SHORT else 0.0 for p in names], 0.0)
+        self.tables, left = [], np.arange(len(names))
+        while len(left):
+            by = np.uint64(int(rng.integers(1 << 62)) * 2 + 1)
+            slot = (keys[left] * by) >> np.uint64(44)
+            _, first = np.unique(slot, return_index=True)
+            places = np.full(1 << 20, len(names), dtype=np.int32)
+            places[slot[first]] = left[first]
+            self.tables.append((by, places))
+            left = np.delete(left, first)
+
+    def hash(self, piece: str) -> int:
+        h = np.zeros(1, dtype=np.uint64)
+        for c in piece:
+            h = self.add(h, np.array([ord(c)], dtype=np.uint64))
+        return int(h[0])
+
+    def add(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Hash of a string that goes on with ``c``."""
+        return (h ^ (h >> np.uint64(29))) * self.mul + c + np.uint64(0x9E3779B97F4A7C15)
+
+    def get(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of these hashes have an entry, their weights, 0 where there is none, and their places."""
+        by, places = self.tables[0]
+        at = places[(h * by) >> np.uint64(44)]
+        hit = self.keys[at] == h
+        for by, places in self.tables[1:]:
+            miss = np.flatnonzero(~hit)
+            other = places[(h[miss] * by) >> np.uint64(44)]
+            found = self.keys[other] == h[miss]
+            at[miss[found]] = other[found]
+            hit[miss[found]] = True
+        return hit, np.where(hit, self.values[at], 0.0), at
+
+
+def two_likeliest(model: Pieces, texts: list[str]) -> tuple[np.ndarray, ...]:
+    """For chunks by rising length: log probabilities of the best and the second best segmentation, and their ids.
+
+    The lattice passes of ``likeliest`` for all chunks at once, aligned at their ends, with the two best paths from each
+    position. Ids come flat, with their number per chunk; the second has none where it is rarely drawn, and probability 0
+    where there is none."""
+    n, size = len(texts[-1]), len(texts)
+    sizes = np.array([len(t) for t in texts])
+    codes = np.array([t.rjust(n, "\0") for t in texts]).view(np.uint32).reshape(size, n).astype(np.uint64).T.copy()
+    n_bytes = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    spelled = np.exp(n_bytes * math.log(model.per_byte) + SHIFT)
+    mass, h1, h2 = (np.zeros((n + 1, size)) for _ in range(3))
+    mass[n] = h1[n] = 1.0
+    e1, e2, r2 = (np.zeros((n, size), dtype=np.int8) for _ in range(3))
+    g1, g2 = (np.zeros((n, size), dtype=np.int32) for _ in range(2))
+    for i in range(n - 1, -1, -1):
+        alive = np.arange(np.searchsorted(sizes, n - i), size)
+        h = np.zeros(len(alive), dtype=np.uint64)
+        for j in range(i + 1, min(n, i + model.longest) + 1):
+            h = model.table.add(h, codes[j - 1][alive])
+            hit, w, place = model.table.get(h)
+            if j == i + 1:
+                by_bytes = w == 0
+                piece = np.where(by_bytes, model.spell[np.minimum(codes[i, alive], 128).astype(np.int64)], model.table.ids[place])
+                w = np.where(by_bytes, spelled[i, alive], w)
+                mass[i, alive], h1[i, alive], h2[i, alive] = w * mass[j, alive], w * h1[j, alive], w * h2[j, alive]
+                e1[i, alive], e2[i, alive], r2[i, alive], g1[i, alive], g2[i, alive] = j, j, 1, piece, piece
+            else:
+                some = np.flatnonzero(w)
+                if len(some):
+                    at, v, piece = alive[some], w[some], model.table.ids[place[some]]
+                    mass[i, at] += v * mass[j, at]
+                    c1, c2, a1, a2 = v * h1[j, at], v * h2[j, at], h1[i, at], h2[i, at]
+                    first = c1 > a1
+                    kept, late = first & (a1 >= c2), ~first & (c1 > a2)
+                    change = np.flatnonzero(first | late)
+                    if len(change):
+                        at, c1, c2, a1, piece, first, kept = at[change], c1[change], c2[change], a1[change], piece[change], first[change], kept[change]
+                        e2[i, at] = np.where(kept, e1[i, at], j)
+                        g2[i, at] = np.where(kept, g1[i, at], piece)
+                        r2[i, at] = first & ~kept
+                        h2[i, at] = np.where(kept, a1, np.where(first, c2, c1))
+                        up = at[first]
+                        h1[i, up], e1[i, up], g1[i, up] = c1[first], j, piece[first]
+            if not hit.all():
+                alive, h = alive[hit], h[hit]
+                if not len(alive):
+                    break
+    start, every = n - sizes, np.arange(size)
+
+    def follow(chosen: np.ndarray, second: bool) -> tuple[np.ndarray, np.ndarray]:
+        at, pos, rank = chosen, start[chosen], np.full(len(chosen), second)
+        who, what = [], []
+        while len(at):
+            who.append(at)
+            what.append(np.where(rank, g2[pos, at], g1[pos, at]))
+            after = np.where(rank, e2[pos, at], e1[pos, at]).astype(np.int64)
+            rank = rank & (r2[pos, at] == 1)
+            on = after < n
+            at, pos, rank = at[on], after[on], rank[on]
+        order = np.argsort(np.concatenate(who) if who else chosen, kind="stable")
+        return (np.concatenate(what)[order] if what else np.zeros(0, dtype=np.int32)), np.bincount(np.concatenate(who), minlength=size) if who else np.zeros(size, dtype=np.int64)
+
+    total, best, other = mass[start, every], h1[start, every], h2[start, every]
+    top, share = np.minimum(0.0, np.log(best / total)), other / total
+    ids1, n1 = follow(every, False)
+    ids2, n2 = follow(np.flatnonzero(share > 2e-3), True)
+    with np.errstate(divide="ignore"):
+        return top, np.log(share), ids1, n1, ids2, n2
+
+
+class Store:
+    """Best and second best segmentations of chunks, in arrays; ``rows`` gives a chunk's row."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.top, self.second = np.zeros(0), np.zeros(0)
+        self.at1, self.n1, self.at2, self.n2, self.uses = (np.zeros(0, dtype=np.int64) for _ in range(5))
+        self.ids = np.zeros(0, dtype=np.int32)
+
+    def add(self, names: list[str], top: np.ndarray, second: np.ndarray, ids1: np.ndarray, n1: np.ndarray, ids2: np.ndarray, n2: np.ndarray) -> None:
+        base, here = len(self.top), len(self.ids)
+        self.rows.update(zip(names, range(base, base + len(names)), strict=True))
+        starts = lambda n, off: off + np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)
+        join = lambda a, b: np.concatenate((a, b))
+        self.at1, self.at2 = join(self.at1, starts(n1, here)), join(self.at2, starts(n2, here + len(ids1)))
+        self.n1, self.n2, self.uses = join(self.n1, n1), join(self.n2, n2), join(self.uses, np.zeros(len(names), dtype=np.int64))
+        self.top, self.second, self.ids = join(self.top, top), join(self.second, second), np.concatenate((self.ids, ids1, ids2)).astype(np.int32)
+
+    def gather(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The ids of stretches (at, n), one after the other."""
+        ends = np.cumsum(n)
+        return self.ids[np.repeat(at - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def trim(self, most: int) -> None:
+        """Beyond ``most`` chunks keep the half that was used most; what goes is made again when it is needed."""
+        if len(self.rows) <= most:
+            return
+        names, at = list(self.rows), np.fromiter(self.rows.values(), dtype=np.int64)
+        best = np.sort(np.argsort(-self.uses[at], kind="stable")[: most // 2])
+        keep, left = at[best], Store()
+        left.add([names[i] for i in best.tolist()], self.top[keep], self.second[keep], self.gather(self.at1[keep], self.n1[keep]), self.n1[keep], self.gather(self.at2[keep], self.n2[keep]), self.n2[keep])
+        left.uses = self.uses[keep] // 2
+        self.__dict__.update(left.__dict__)
+
+
+class Chunk:
+    """The distribution over the segmentations of a chunk: the likeliest one first, the others by A* when asked for."""
 
     __slots__ = ("best", "cum", "ids", "logs", "model", "more", "text", "top")
 
     def __init__(self, model: Pieces, text: str):
         self.model, self.text = model, text
-        weights, n = model.weights, len(text)
-        mass, high, to = [1.0] * (n + 1), [1.0] * (n + 1), [0] * n
-        scale = 0  # halvings of the exponent range, for long chunks
-        for i in range(n - 1, -1, -1):
-            total = peak = 0.0
-            j = i + 1
-            while j <= n:
-                w = weights.get(text[i:j])
-                if w is None:
-                    break
-                if w:
-                    total += w * mass[j]
-                    h = w * high[j]
-                    if h > peak:
-                        peak, to[i] = h, j
-                j += 1
-            if not weights.get(text[i]):
-                w = model.byte_weight(text[i])
-                total += w * mass[i + 1]
-                if w * high[i + 1] > peak:
-                    peak, to[i] = w * high[i + 1], i + 1
-            mass[i], high[i] = total, peak
-            if total < 1e-200:  # rescale what later steps read
-                stop = min(n, i + model.longest)
-                for j in range(i, stop + 1):
-                    mass[j] *= RESCALE
-                    high[j] *= RESCALE
-                scale += 1
-        ids, i = [], 0
-        while i < n:
-            ids += model.piece_ids(text, i, to[i])
-            i = to[i]
-        self.ids: list[tuple[int, ...]] = [tuple(ids)]
-        self.top = min(0.0, math.log(high[0] / mass[0]))
-        self.logs, self.cum, self.more, self.best = [self.top], [math.exp(self.top)], None, False
+        store = model.store
+        row = store.rows[text]
+        self.top, self.ids, self.logs = float(store.top[row]), [], []
+        for at, n, log in ((store.at1, store.n1, store.top), (store.at2, store.n2, store.second)):
+            if n[row]:
+                self.ids.append(tuple(store.ids[at[row] : at[row] + n[row]].tolist()))
+                self.logs.append(float(log[row]))
+        self.cum, self.more, self.best = list(itertools.accumulate(map(math.exp, self.logs))), None, False
 
     def grow(self) -> bool:
         """List one more segmentation; false where there is none."""
@@ -96,13 +311,14 @@ class Chunk:
         return True
 
     def _others(self) -> Iterator[tuple[tuple[int, ...], float]]:
-        """All segmentations but the best by A*, in falling order; the heuristic is the best that can follow, so it is exact."""
+        """All segmentations but those known by A*, in falling order; the heuristic is the best that can follow, so it is
+        exact."""
         n, model = len(self.text), self.model
         arcs, best = [model.arcs(self.text, i) for i in range(n)], [0.0] * (n + 1)
         for i in range(n - 1, -1, -1):
             best[i] = max(w + best[j] for w, j in arcs[i])
         shift = self.top - best[0]  # - log_z
-        queue, count, skipped = [(-best[0], 0, 0, 0.0, ())], 0, False
+        queue, count, known = [(-best[0], 0, 0, 0.0, ())], 0, set(self.ids)
         while queue:
             _, _, i, lp, ends = heapq.heappop(queue)
             if i == n:
@@ -110,8 +326,7 @@ class Chunk:
                 for j in ends:
                     ids += model.piece_ids(self.text, at, j)
                     at = j
-                if not skipped and tuple(ids) == self.ids[0]:
-                    skipped = True
+                if tuple(ids) in known:
                     continue
                 yield tuple(ids), lp + shift
                 continue
@@ -127,8 +342,19 @@ class Chunk:
 
     def other(self, u: float, taken: set[int]) -> int | None:
         """Place of the one at quantile ``u`` of what is left without those ``taken``; None if nothing is left."""
-        aim = u * (1.0 - sum(math.exp(self.logs[i]) for i in taken))
-        i, acc, last = 0, 0.0, None
+        rest = 1.0 - sum(math.exp(self.logs[i]) for i in taken)
+        if rest < 1e-9:  # too little for a difference from 1: sum up what is left, as far as it counts
+            left: list[int] = []
+            i = 0
+            while (i < len(self.ids) or self.grow()) and len(left) < 64 and (not left or self.logs[i] > self.logs[left[0]] - 12):
+                if i not in taken:
+                    left.append(i)
+                i += 1
+            if not left:
+                return None
+            cum = list(itertools.accumulate(math.exp(self.logs[i] - self.logs[left[0]]) for i in left))
+            return left[min(bisect_left(cum, u * cum[-1]), len(left) - 1)]
+        aim, i, acc, last = u * rest, 0, 0.0, None
         while i < len(self.ids) or self.grow():
             if i not in taken:
                 last = i
@@ -159,7 +385,10 @@ class Pieces:
             for i in range(1, len(p)):
                 self.weights.setdefault(p[:i], 0.0)
         self.per_byte = math.exp(-piece)
-        self.known = _Known(self)
+        self.table = Table(self.weights, self.ids)
+        self.store = Store()
+        self.spell = np.array([*[self.bytes.get(b, -1) for b in range(128)], -1], dtype=np.int32)
+        self.listed = _Kept(lambda text: Chunk(self, text) if len(text) <= LISTED else LongChunk(self, text), KEPT_LISTED)
         self.unknown = self.lib.unk_id()
 
     def byte_ids(self, char: str) -> tuple[int, ...]:
@@ -186,13 +415,39 @@ class Pieces:
         return out
 
     def chunk(self, text: str) -> Chunk:
-        return self.known[text]
+        return self.listed[text]
 
     def prepared(self, text: str) -> list[str]:
         """The normalised text's chunks, with the space mark that the model puts before a text."""
         return CHUNKS(self.lib.normalize(text).replace(" ", SPACE)) if text else []
 
-    def sample(self, text: str, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float, float]]:
+    def located(self, lists: list[list[str]]) -> list[np.ndarray]:
+        """Rows in the store of the chunks of some texts; those not known yet are decoded, the short ones together."""
+        get = self.store.rows.get
+        rows = [np.fromiter(map(get, names, itertools.repeat(-1)), dtype=np.int64, count=len(names)) for names in lists]
+        holes = [np.flatnonzero(r < 0).tolist() for r in rows]
+        self._decode({names[i] for names, at in zip(lists, holes, strict=True) for i in at})
+        get = self.store.rows.__getitem__
+        for names, r, at in zip(lists, rows, holes, strict=True):
+            r[at] = [get(names[i]) for i in at]
+        return rows
+
+    def _decode(self, missing: set[str]) -> None:
+        new = sorted(missing, key=len)
+        short = bisect_left(new, SHORT + 1, key=len)
+        for at in range(0, short, 30_000):
+            part = new[at : min(at + 30_000, short)]
+            got = two_likeliest(self, part)
+            self.store.add(part, *got)
+            odd = [np.repeat(np.arange(len(part)), n)[ids < 0] for ids, n in ((got[2], got[3]), (got[4], got[5]))]
+            new += [part[i] for i in np.unique(np.concatenate(odd)).tolist()]  # has characters that several bytes spell
+        rest = new[short:]
+        if rest:
+            tops, ids = zip(*(likeliest(self, name) for name in rest), strict=True)
+            none = np.zeros(len(rest), dtype=np.int64)
+            self.store.add(rest, np.array(tops), np.full(len(rest), np.nan), np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32), np.array([len(x) for x in ids]), none[:0].astype(np.int32), none)
+
+    def sample(self, text: str, k: int, rng: np.random.Generator, names: list[str] | None = None, row: np.ndarray | None = None) -> list[tuple[np.ndarray, float, float, float]]:
         """``k`` distinct segmentations (fewer where there are not so many) by Gumbel top-k without replacement.
 
         A* over regions of the space of segmentations, each with the greatest perturbed log probability in it as its exact
@@ -200,20 +455,23 @@ class Pieces:
         by the first chunk that differs; the parts' maxima are Gumbels of their mass, truncated at the popped value. Each
         result has ids, log probability, perturbed value and inclusion score: the probability to pass the (k+1)-th value.
         """
-        names = self.prepared(text)
+        if names is None:
+            names = self.prepared(text)
+            row = self.located([names])[0]
         if not names:
             return [(np.zeros(0, dtype=np.int32), 0.0, _gumbel(rng, 0.0), 1.0)]
         if k < 1:
             return []
-        chunks = list(map(self.known.__getitem__, names))
-        if len(self.known) > KEPT:
-            self.known.clear()
-        n = len(chunks)
-        top = np.array([c.top for c in chunks])
+        store, n = self.store, len(names)
+        store.uses[row] += 1
+        top, second, two = store.top[row], store.second[row], store.n2[row] > 0
         top_p = np.exp(top)
-        plain = [c.ids[0] for c in chunks]
-        ends = np.cumsum([len(x) for x in plain])
-        base_ids = np.fromiter(itertools.chain.from_iterable(plain), dtype=np.int32, count=int(ends[-1]))
+        both_p = np.where(two, top_p + np.exp(second), top_p)
+        chunk = self.chunk
+
+        def log_of(i: int, at: int) -> float:
+            return float(top[i] if at == 0 else second[i] if at == 1 and two[i] else chunk(names[i]).logs[at])
+
         found: list[tuple[list[int], float, float]] = []
         # a region: picks before ``at`` are those of ``base``; at ``at`` the places in ``taken`` are out; free after it
         first = _gumbel(rng, 0.0)
@@ -226,31 +484,32 @@ class Pieces:
             picks = np.zeros(n, dtype=np.int32)
             if base is not None:
                 picks[:at] = base[:at]
-            for i in np.flatnonzero(u > top_p[at:]) + at:
-                picks[i] = chunks[i].at(u[i - at])
+            picks[at:] = (u > top_p[at:]) & two[at:]
+            for i in np.flatnonzero(u > both_p[at:]) + at:
+                picks[i] = chunk(names[i]).at(u[i - at])
             if taken:
-                other = chunks[at].other(u[0], set(taken))
+                other = chunk(names[at]).other(u[0], set(taken))
                 if other is None:
                     continue
                 picks[at] = other
-            logs = top.copy()
-            for i in np.flatnonzero(picks):
-                logs[i] = chunks[i].logs[picks[i]]
+            logs = np.where(picks == 1, second, top)
+            for i in np.flatnonzero((picks > 1) | ((picks == 1) & ~two)):
+                logs[i] = log_of(i, picks[i])
             prefix = np.concatenate(([0.0], np.cumsum(logs)))
             found.append((picks, float(prefix[-1]), value))
             # the rest of the region, by the first chunk that differs from what was found
-            gone = -np.expm1(logs)
+            gone = np.where(picks == 0, np.where(np.isnan(second), -np.expm1(logs), np.where(second > -np.inf, np.maximum(-np.expm1(logs), np.exp(second)), 0.0)), -np.expm1(logs))
             if taken:
-                gone[at] = 1.0 - sum(math.exp(chunks[at].logs[j]) for j in taken) - math.exp(logs[at])
+                gone[at] = 1.0 - sum(math.exp(log_of(at, j)) for j in taken) - math.exp(logs[at])
             mass = np.maximum(gone[at:], 0.0)
-            open_ = np.flatnonzero(mass > 1e-15)
+            open_ = np.flatnonzero(mass > 1e-290)
             if len(open_):
                 m = prefix[at + open_] + np.log(mass[open_])
                 g = m - np.log(-np.log(rng.random(len(m))))
                 bound = np.maximum(value, -700.0)
                 parts = -np.logaddexp(-bound, -g)
                 # only the k + 1 greatest can still be popped
-                for i in np.argsort(-parts)[: k + 1]:
+                for i in np.argpartition(-parts, k)[: k + 1] if len(parts) > k + 1 else range(len(parts)):
                     order += 1
                     j = int(at + open_[i])
                     out = taken | {int(picks[j])} if j == at else frozenset({int(picks[j])})
@@ -258,11 +517,15 @@ class Pieces:
         kappa = -queue[0][0] if queue else -math.inf
         out = []
         for picks, log_prob, value in found:
-            parts, last = [], 0
-            for i in np.flatnonzero(picks):
-                parts += [base_ids[last : ends[i] - len(plain[i])], np.array(chunks[i].ids[picks[i]], dtype=np.int32)]
-                last = ends[i]
-            ids = np.concatenate([*parts, base_ids[last:]])
+            is_second = picks == 1
+            at, count = np.where(is_second, store.at2[row], store.at1[row]), np.where(is_second, store.n2[row], store.n1[row])
+            deep = np.flatnonzero((picks > 1) | (is_second & ~two))
+            count[deep] = 0
+            ids = store.gather(at, count)
+            if len(deep):
+                cuts = np.cumsum(count)[deep]
+                parts = np.split(ids, cuts)
+                ids = np.concatenate([x for q, i in zip(parts, deep, strict=False) for x in (q, np.array(chunk(names[i]).ids[picks[i]], dtype=np.int32))] + [parts[-1]])
             score = 1.0 if kappa == -math.inf else -math.expm1(-math.exp(min(50.0, log_prob - kappa)))
             out.append((ids, log_prob, value, score))
         return out
@@ -274,17 +537,24 @@ class Pieces:
         return self.lib.decode(ids)
 
 
-class _Known(dict):
-    def __init__(self, model: Pieces):
+class _Kept(dict):
+    """What ``make`` makes of a text, up to ``most`` of them; ``trim`` forgets all when there are more."""
+
+    def __init__(self, make, most: int):
         super().__init__()
-        self.model = model
+        self.make, self.most = make, most
 
-    def __missing__(self, text: str) -> Chunk:
-        got = Chunk(self.model, text)
-        if len(text) <= 64:
-            self[text] = got
+    def __missing__(self, text: str):
+        self[text] = got = self.make(text)
         return got
 
+    def trim(self) -> None:
+        """Between two texts only, so that places within a chunk's list hold while a text is sampled; long texts go at once."""
+        if len(self) > self.most:
+            self.clear()
+        for text in [t for t in self if len(t) > LISTED]:
+            del self[text]
+
 
 def _gumbel(rng: np.random.Generator, at: float) -> float:
     return at - math.log(-math.log(rng.random()))
@@ -311,22 +581,53 @@ def sample_segmentations(docs: DataFrame, path: str, key: str = "doc_id", text:
     """
     schema = T.StructType([docs.schema[key], *[T.StructField(n, t) for n, t in (("sample", T.IntegerType()), ("ids", T.ArrayType(T.IntegerType())), ("log_prob", T.DoubleType()), ("perturbed", T.DoubleType()), ("inclusion", T.DoubleType()), ("decoded", T.StringType()))]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
-        for batch in batches:
-            rows, size = [], 0
-            for row_key, t in zip(batch[key], batch[text], strict=True):
-                row_key = None if row_key is None or row_key != row_key else int(row_key) if isinstance(row_key, (float, np.integer)) else row_key
-                for i, (ids, lp, value, score) in enumerate(model.sample(t or "", k, seeded(seed, row_key)), 1):
-                    rows.append((row_key, i, ids, lp, value, score, model.decode(ids.tolist()) if decode else None))
-                    size += len(ids)
-                if size >= FRAME_PIECES:
-                    yield pd.DataFrame(rows, columns=schema.names).astype({key: object})
-                    rows, size = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=schema.names).astype({key: object})
-
-    return docs.select(key, text).mapInPandas(run, schema)
+        try:
+            for batch in batches:
+                for part in _together(batch):
+                    yield _sampled(model, part, k, seed, decode)
+        finally:  # the worker may go on with another stage
+            model.store = Store()
+            model.listed.clear()
+
+    return docs.select(key, text).mapInArrow(run, schema)
+
+
+def _sampled(model: Pieces, part: pa.RecordBatch, k: int, seed: int, decode: bool) -> pa.RecordBatch:
+    """Samples of some rows (key, text), as columns."""
+    keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+    lists = [model.prepared(t or "") for t in texts]
+    rows = model.located(lists)
+    at, numbers, ids, facts, decoded = [], [], [], [], []
+    for row, (row_key, names) in enumerate(zip(keys, lists, strict=True)):
+        for i, (found, *rest) in enumerate(model.sample("", k, seeded(seed, row_key), names, rows[row]), 1):
+            at.append(row)
+            numbers.append(i)
+            ids.append(found)
+            facts.append(rest)
+            decoded.append(model.decode(found.tolist()) if decode else None)
+        lists[row] = ()
+    model.store.trim(KEPT)
+    model.listed.trim()
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32), type=pa.int32())
+    numeric = [pa.array([f[j] for f in facts], type=pa.float64()) for j in range(3)]
+    columns = [part.column(0).take(pa.array(at, type=pa.int64())), pa.array(numbers, type=pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat), *numeric, pa.array(decoded, type=pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=[part.schema.names[0], "sample", "ids", "log_prob", "perturbed", "inclusion", "decoded"])
+
+
+def _together(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about TOGETHER bytes of text, in which a longer text is on its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    start = size = 0
+    for i, n in enumerate(sizes):
+        if size and size + n > TOGETHER:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if start < len(sizes):
+        yield batch.slice(start)
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
