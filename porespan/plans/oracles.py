@@ -146,6 +146,15 @@ SELECT pad, CAST""", 1),
     f AS (SELECT scan_index, component, CASE WHEN z = 0 THEN 0 ELSE 1 END AS face, y, x FROM lab WHERE z IN (0, {NZ - 1})),
     route AS (SELECT face, y, x FROM f WHERE scan_index = 3 AND component = (SELECT component FROM lab WHERE scan_index = 3 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))
 SELECT scan_index, component, n, round(j_inlet""", 1),
+        "disagreement_components": sql("""SELECT 0 AS scan_index, component, n_vox, n_a, n_vox - n_a AS n_b, extent_z, extent_y, extent_x, round(fill, 3) AS fill, round(elong, 2) AS elongation, round(rf, 3) AS share_a,
+          CASE WHEN elong > 8 AND fill < 0.25 THEN 'boundary_strip' WHEN abs(rf - 0.5) < 0.2 AND elong > 3 THEN 'interleaved_boundary' WHEN rf > 0.75 THEN 'raw_dominant' WHEN rf < 0.25 THEN 'tif_dominant' ELSE 'mixed_boundary' END AS kind, round(cz, 1) AS cz, round(cy, 1) AS cy, round(cx, 1) AS cx
+          FROM (SELECT *, n_a / n_vox::DOUBLE AS rf, n_vox / (extent_z * extent_y * extent_x)::DOUBLE AS fill, greatest(extent_z, extent_y, extent_x) / least(extent_z, extent_y, extent_x)::DOUBLE AS elong
+          FROM (SELECT component, count(*) AS n_vox, count(*) FILTER (in_a) AS n_a, max(z) - min(z) + 1 AS extent_z, max(y) - min(y) + 1 AS extent_y, max(x) - min(x) + 1 AS extent_x, avg(z) AS cz, avg(y) AS cy, avg(x) AS cx FROM gas JOIN rooted USING (id) GROUP BY 1))""", "vox").replace("\nSELECT 0 AS scan_index", f""",
+    gas AS (SELECT a.z, a.y, a.x, a.label = 2 AS in_a, (a.z * {NY} + a.y) * {NX} + a.x AS id FROM vox a JOIN vox b ON a.scan_index = 3 AND b.scan_index = 4 AND a.z = b.z AND a.y = b.y AND a.x = b.x WHERE (a.label = 2) <> (b.label = 2)),
+    edge AS (SELECT a.id AS s, b.id AS d FROM gas a JOIN gas b ON b.z BETWEEN a.z - 1 AND a.z + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND a.id <> b.id),
+    reach AS (SELECT id, id AS root FROM gas UNION SELECT e.d, r.root FROM reach r JOIN edge e ON r.id = e.s AND r.root < e.d),
+    rooted AS (SELECT id, min(root) AS component FROM reach GROUP BY 1)
+SELECT 0 AS scan_index""", 1),
         "frozen_boxes": sql("SELECT track_id, z0, z1 FROM boxes", "boxes"),
         "box_counts": sql("SELECT track_id, scan_index, z0, z1, extent_z, gas_voxels, brine_voxels, round(sw_local, 9) AS sw_local, extent_gas, round(cog_z, 6) AS cog_z, round(cog_y, 6) AS cog_y, round(cog_x, 6) AS cog_x FROM counts", "counts"),
         "box_occupancy": sql(f"SELECT track_id, scan_index, round(100.0 * gas_voxels / (extent_z * {NY} * {NX})::DOUBLE, 6) AS occupancy FROM counts", "counts"),
