@@ -157,6 +157,8 @@ SELECT scan_index, component, n, round(j_inlet""", 1),
 SELECT 0 AS scan_index""", 1),
         "frozen_boxes": sql("SELECT track_id, z0, z1 FROM boxes", "boxes"),
         "box_counts": sql("SELECT track_id, scan_index, z0, z1, extent_z, gas_voxels, brine_voxels, round(sw_local, 9) AS sw_local, extent_gas, round(cog_z, 6) AS cog_z, round(cog_y, 6) AS cog_y, round(cog_x, 6) AS cog_x FROM counts", "counts"),
+        "domain_files": sql(f"SELECT b.track_id, v.scan_index, any_value(z1 - z0) AS nz, {NY} AS ny, {NX} AS nx, count(*) FILTER (label = 2) AS n_open FROM boxes b JOIN vox v ON v.z >= b.z0 AND v.z < b.z1 GROUP BY b.track_id, v.scan_index HAVING count(*) FILTER (label > 0) > 0", "boxes"),
+        "cluster_masks": sql(f"SELECT track_id, greatest(0, min(z) - 2) AS z0, least({NZ - 1}, max(z) + 2) AS z1, (least({NZ - 1}, max(z) + 2) - greatest(0, min(z) - 2) + 1) * {NY * NX} AS n_bytes, count(*) AS n_set FROM clusters GROUP BY 1", "clusters"),
         "box_occupancy": sql(f"SELECT track_id, scan_index, round(100.0 * gas_voxels / (extent_z * {NY} * {NX})::DOUBLE, 6) AS occupancy FROM counts", "counts"),
         "sw_local_x": sql("SELECT run_id, track_id, scan_index, gas_voxels, brine_voxels, round(sw_local, 9) AS sw_local, percolates FROM fixed_boxes", "fixed_boxes"),
         "sw_corrected": sql("SELECT run_id, track_id, scan_index, round(sw_corrected, 9) AS sw_corrected FROM corrected", "sim"),
@@ -210,6 +212,9 @@ SELECT 0 AS scan_index""", 1),
         "fixed_histogram": "SELECT width_bucket_ AS bin, count(*) AS n FROM (SELECT CASE WHEN l_quantity < 0 THEN 0 WHEN l_quantity >= 50 THEN 11 ELSE CAST(floor(l_quantity / 5) AS INT) + 1 END AS width_bucket_ FROM lineitem) GROUP BY 1",
         "json_extract": "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS INT)) AS BIGINT) AS k FROM events GROUP BY 1",
         "latest_rows": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1",
+        "am_history": "SELECT 's' || s_suppkey AS scan_file, 1 AS step_order, 'Filter_' || s_suppkey % 3 AS module, 'L' || s_suppkey AS label, '9.1' AS version, s_suppkey::VARCHAR AS size FROM supplier UNION ALL SELECT 's' || s_suppkey, 2, 'Crop', NULL, NULL, NULL FROM supplier",
+        "am_voxel_size": "SELECT 's' || s_suppkey AS scan_file, 'ushort' AS dtype, 'hxzip' AS codec, 3 AS nz, 5 AS ny, s_suppkey % 4 + 1 AS nx, round(3 * s_suppkey / 2.0::DOUBLE, 6) AS dz, round(2 * s_suppkey / 4.0::DOUBLE, 6) AS dy, CASE WHEN s_suppkey % 4 > 0 THEN round(s_suppkey / (s_suppkey % 4)::DOUBLE, 6) END AS dx, 3.0 AS last_dz, 9.0 AS last_dy, 1.0 AS last_dx FROM supplier",
+        "saturation_ref": "SELECT s_suppkey AS scan_index, '8_' || s_suppkey || '_sub.am' AS file_name, r.m AS elapsed_minutes, r.sw AS sw_ref FROM supplier LEFT JOIN (SELECT s_suppkey % 40 AS p, max(s_suppkey) * 2.0::DOUBLE AS m, round(1 - max_by(s_suppkey % 100 / 100.0::DOUBLE, s_suppkey), 6) AS sw FROM supplier GROUP BY 1) r ON r.p = s_suppkey",
         "stream_sw_windows": "SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1",
     }
     return q

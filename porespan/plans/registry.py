@@ -301,6 +301,25 @@ def box_counts(c):
     return rounded(rounded(n, "sw_local"), "cog_z", "cog_y", "cog_x", places=6)
 
 
+@query
+def domain_files(c):
+    """Size and open voxels of the gas domain file of every box and scan."""
+    from ..sources.writers import domain_files as files
+
+    blocked = F.char_length(F.replace(F.hex("content"), F.lit("0"), F.lit("")))
+    f = files(c.runs_x, c.boxes, "gas")
+    return f.select("track_id", "scan_index", "nz", "ny", "nx", (F.octet_length("content") - blocked).alias("n_open"))
+
+
+@query
+def cluster_masks(c):
+    """Bounds and set voxels of the mask file of every cluster at X, with a margin of two slices."""
+    from ..sources.writers import cluster_mask
+
+    m = cluster_mask(c.clusters, NY, NX, NZ, margin=2)
+    return m.select("track_id", "z0", "z1", F.octet_length("content").alias("n_bytes"), F.char_length(F.replace(F.hex("content"), F.lit("0"), F.lit(""))).alias("n_set"))
+
+
 @query
 def box_occupancy(c):
     return c.counts.select("track_id", "scan_index", F.round(100.0 * F.col("gas_voxels") / (F.col("extent_z") * NY * NX), 6).alias("occupancy"))
@@ -639,6 +658,44 @@ def latest_rows(read):
     return R.row_number_latest(read("orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
 
 
+def _headers(read) -> DataFrame:
+    """Volume headers written from the suppliers' keys."""
+    k = F.col("s_suppkey")
+    t = lambda c: c.cast("string")
+    uid = "UID:12345678-1234-1234-1234-12345678901"
+    text = F.concat(
+        F.lit("define Lattice "), t(k % 4 + 1), F.lit(" 5 3\n" + uid + "2 { Module:Filter_"), t(k % 3), F.lit(' { Parameter:size "'), t(k), F.lit('" Parameter:kind "a" } Label "L'), t(k), F.lit('" Version "9.1" }\n' + uid + "3 { Module:Crop { } }\nBoundingBox 0 "),
+        t(k), F.lit(" 0 "), t(2 * k), F.lit(" 0 "), t(3 * k), F.lit(",\nBoundingBox 0 9 0 9 0 9,\nLattice { ushort Data } @1(HxZip,7)"),
+    )
+    return read("supplier").select(F.concat(F.lit("s"), t(k)).alias("scan_file"), text.alias("header"))
+
+
+@on_tables
+def am_history(read):
+    from ..sources.readers import history
+
+    h = history(_headers(read))
+    return h.select("scan_file", "step_order", "module", "label", F.col("version"), F.element_at("parameters", "size").alias("size"))
+
+
+@on_tables
+def am_voxel_size(read):
+    from ..sources import readers as S
+
+    header = F.col("header")
+    h = _headers(read).select("scan_file", S.header_dtype(header).alias("dtype"), S.header_codec(header).alias("codec"), S.lattice_box(header).alias("b"), S.header_spacing(header, F.lit(4), F.lit(1), F.lit(10)).alias("s"))
+    return h.select("scan_file", "dtype", "codec", "b.nz", "b.ny", "b.nx", F.round("b.dz", 6).alias("dz"), F.round("b.dy", 6).alias("dy"), F.round("b.dx", 6).alias("dx"), F.round("s.dz", 6).alias("last_dz"), F.round("s.dy", 6).alias("last_dy"), F.round("s.dx", 6).alias("last_dx"))
+
+
+@on_tables
+def saturation_ref(read):
+    """Scans aligned with reference rows by numeric prefix; of repeated prefixes the last row counts."""
+    k = F.col("s_suppkey").cast("int")
+    scans = read("supplier").select(k.alias("scan_index"), F.concat(F.lit("8_"), k.cast("string"), F.lit("_sub.am")).alias("file_name"))
+    ref = read("supplier").select(k.alias("row_number"), F.concat(F.lit("8_"), (k % 40).cast("string")).alias("name"), (k % 100 / 100).alias("sg"), (k * 2.0).alias("elapsed_minutes"))
+    return rounded(T.align_reference(scans, ref), "sw_ref", places=6)
+
+
 def stream_sw_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
