@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..scratch import checkpointed, shared_dir
 
-__all__ = ["BLANKS", "GAP", "WORD", "ascii_lower", "checkpointed", "connected_components", "count_words", "split_words", "table", "written"]
+__all__ = ["BLANKS", "GAP", "WORD", "ascii_lower", "checkpointed", "connected_components", "count_words", "split_words", "table", "tidied", "written"]
 #: A word is a run of characters other than ASCII white space; Java and DuckDB read the same class.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -24,6 +29,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function on batches that hands a worker's free memory back when its task ends, as the worker may go on with the
+    next stage beside an executor that needs it."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def split_words(text: Column) -> Column:
     """The words of a text as an array; empty for null, empty and blank texts."""
     core = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{GAP}|{GAP}$", "")

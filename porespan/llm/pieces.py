@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidied
+
 SPACE = "▁"
 #: Cost of a piece: PIECE + RANK * log(1 + its rank in the vocabulary); a segmentation has probability ~ exp(-sum of costs).
 PIECE, RANK = 8.0, 4.0
@@ -371,6 +373,8 @@ class Pieces:
     def __init__(self, path: str, piece: float = PIECE, rank: float = RANK):
         import sentencepiece
 
+        gc.set_threshold(200_000, 50, 1000)  # what is kept holds no cycles; frequent collections only walk over it
+
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
         self.weights, self.ids, self.bytes = {}, {}, {}
         for i in range(self.lib.get_piece_size()):
@@ -568,7 +572,6 @@ def seeded(seed: int, key: object) -> np.random.Generator:
 @lru_cache(maxsize=2)
 def loaded(path: str) -> Pieces:
     """The worker's model of a file; one for each process."""
-    gc.set_threshold(200_000, 50, 1000)  # chunks hold no cycles of their own; frequent collections only walk over them
     return Pieces(path)
 
 
@@ -582,16 +585,13 @@ def sample_segmentations(docs: DataFrame, path: str, key: str = "doc_id", text:
     schema = T.StructType([docs.schema[key], *[T.StructField(n, t) for n, t in (("sample", T.IntegerType()), ("ids", T.ArrayType(T.IntegerType())), ("log_prob", T.DoubleType()), ("perturbed", T.DoubleType()), ("inclusion", T.DoubleType()), ("decoded", T.StringType()))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = loaded(path)
-        try:
-            for batch in batches:
-                for part in _together(batch):
-                    yield _sampled(model, part, k, seed, decode)
-        finally:  # the worker may go on with another stage
-            model.store = Store()
-            model.listed.clear()
-
-    return docs.select(key, text).mapInArrow(run, schema)
+        model = None
+        for batch in batches:
+            model = model or Pieces(path)
+            for part in _together(batch):
+                yield _sampled(model, part, k, seed, decode)
+
+    return docs.select(key, text).mapInArrow(tidied(run), schema)
 
 
 def _sampled(model: Pieces, part: pa.RecordBatch, k: int, seed: int, decode: bool) -> pa.RecordBatch:
