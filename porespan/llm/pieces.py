@@ -34,7 +34,7 @@ LISTED = 40
 #: Bytes of the texts that are prepared and returned together.
 TOGETHER = 1_000_000
 #: Distributions of chunks that a worker keeps; beyond that they are forgotten and made again, with equal results.
-KEPT, KEPT_LISTED = 120_000, 2_000
+KEPT, KEPT_LISTED = 160_000, 2_000
 #: No piece spans the border between another character and a space mark, so the lattice falls apart there.
 CHUNKS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
 
@@ -272,11 +272,11 @@ class Store:
         return self.ids[np.repeat(at - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
     def trim(self, most: int) -> None:
-        """Beyond ``most`` chunks keep the half that was used most; what goes is made again when it is needed."""
+        """Beyond ``most`` chunks keep the three quarters that were used most; what goes is made again when it is needed."""
         if len(self.rows) <= most:
             return
         names, at = list(self.rows), np.fromiter(self.rows.values(), dtype=np.int64)
-        best = np.sort(np.argsort(-self.uses[at], kind="stable")[: most // 2])
+        best = np.sort(np.argsort(-self.uses[at], kind="stable")[: most * 3 // 4])
         keep, left = at[best], Store()
         left.add([names[i] for i in best.tolist()], self.top[keep], self.second[keep], self.gather(self.at1[keep], self.n1[keep]), self.n1[keep], self.gather(self.at2[keep], self.n2[keep]), self.n2[keep])
         left.uses = self.uses[keep] // 2
@@ -390,7 +390,7 @@ class Pieces:
                 self.weights.setdefault(p[:i], 0.0)
         self.per_byte = math.exp(-piece)
         self.table = Table(self.weights, self.ids)
-        self.store = Store()
+        self.store, self.spans = Store(), None
         self.spell = np.array([*[self.bytes.get(b, -1) for b in range(128)], -1], dtype=np.int32)
         self.listed = _Kept(lambda text: Chunk(self, text) if len(text) <= LISTED else LongChunk(self, text), KEPT_LISTED)
         self.unknown = self.lib.unk_id()
@@ -471,6 +471,10 @@ class Pieces:
         top, second, two = store.top[row], store.second[row], store.n2[row] > 0
         top_p = np.exp(top)
         both_p = np.where(two, top_p + np.exp(second), top_p)
+        # log probability of all but the likeliest of a chunk; exact through the second where that is tiny
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gone_top = np.log(-np.expm1(top))
+            gone_top = np.where(np.isnan(second), gone_top, np.where(second > -np.inf, np.maximum(gone_top, second), -np.inf))
         chunk = self.chunk
 
         def log_of(i: int, at: int) -> float:
@@ -502,13 +506,16 @@ class Pieces:
             prefix = np.concatenate(([0.0], np.cumsum(logs)))
             found.append((picks, float(prefix[-1]), value))
             # the rest of the region, by the first chunk that differs from what was found
-            gone = np.where(picks == 0, np.where(np.isnan(second), -np.expm1(logs), np.where(second > -np.inf, np.maximum(-np.expm1(logs), np.exp(second)), 0.0)), -np.expm1(logs))
+            log_gone = gone_top.copy()
+            moved = np.flatnonzero(picks)
+            with np.errstate(divide="ignore"):
+                log_gone[moved] = np.log(-np.expm1(logs[moved]))
             if taken:
-                gone[at] = 1.0 - sum(math.exp(log_of(at, j)) for j in taken) - math.exp(logs[at])
-            mass = np.maximum(gone[at:], 0.0)
-            open_ = np.flatnonzero(mass > 1e-290)
+                left = 1.0 - sum(math.exp(log_of(at, j)) for j in taken) - math.exp(logs[at])
+                log_gone[at] = math.log(left) if left > 1e-290 else -math.inf
+            open_ = np.flatnonzero(log_gone[at:] > -600)
             if len(open_):
-                m = prefix[at + open_] + np.log(mass[open_])
+                m = prefix[at + open_] + log_gone[at + open_]
                 g = m - np.log(-np.log(rng.random(len(m))))
                 bound = np.maximum(value, -700.0)
                 parts = -np.logaddexp(-bound, -g)
@@ -540,6 +547,19 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         return self.lib.decode(ids)
 
+    def spelled_out(self, ids: np.ndarray) -> str:
+        """What ``decode`` gives for an array of ids that a text has: the pieces' bytes, without the mark put before it."""
+        if not len(ids):
+            return ""
+        if self.spans is None:
+            raw = [bytes([int(p[3:5], 16)]) if self.lib.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(map(self.lib.id_to_piece, range(self.lib.get_piece_size())))]
+            n = np.array([len(x) for x in raw], dtype=np.int64)
+            self.spans = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum(n) - n, n
+        data, at, n = self.spans[0], self.spans[1][ids], self.spans[2][ids]
+        ends = np.cumsum(n)
+        out = data[np.repeat(at - ends + n, n) + np.arange(ends[-1])].tobytes().decode("utf-8", "replace")
+        return out[1:] if out[:1] == " " else out
+
 
 class _Kept(dict):
     """What ``make`` makes of a text, up to ``most`` of them; ``trim`` forgets all when there are more."""
@@ -606,7 +626,7 @@ def _sampled(model: Pieces, part: pa.RecordBatch, k: int, seed: int, decode: boo
             numbers.append(i)
             ids.append(found)
             facts.append(rest)
-            decoded.append(model.decode(found.tolist()) if decode else None)
+            decoded.append(model.spelled_out(found) if decode else None)
         lists[row] = ()
     model.store.trim(KEPT)
     model.listed.trim()
