@@ -167,6 +167,21 @@ def test_passages_edges(spark, odd):
     assert [r.doc_id for r in substring_dedup.passages(run).collect()] == [2]
 
 
+def test_fuzzy_passages_are_found(spark):
+    """Passages of 52 and 60 words with one word in 10 or in 8 changed: few of them have 16 equal words in a row."""
+    rng = random.Random(4)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    texts, want = {}, set()
+    for i in range(80):
+        passage, every = fresh((52, 60)[i % 2]), (10, 8)[i // 2 % 2]
+        fuzzy = [w if (j + 1) % every or j + 1 == len(passage) else "changed" for j, w in enumerate(passage)]
+        texts[i], texts[1000 + i] = fresh(40) + passage + fresh(30), fresh(25) + fuzzy + fresh(50)
+        want.add((1000 + i, i))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(5)
+    got = {(r.doc_id, r.source_doc_id) for r in substring_dedup.passages(df).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want)
+
+
 def brute_chain(m, k, gap):
     best = {}
     for i, (x, y) in sorted(enumerate(m), key=lambda q: q[1]):
