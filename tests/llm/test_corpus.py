@@ -182,6 +182,20 @@ def test_fuzzy_passages_are_found(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_every_copy_in_a_document_is_found(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(70)
+    texts = {1: fresh(30) + passage + fresh(20), 2: fresh(40) + passage + fresh(60) + passage + fresh(10)}
+    rows = [(i, " ".join(w)) for i, w in texts.items()]
+    one = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    apart = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(2, "doc_id")
+    assert apart.select(F.spark_partition_id()).distinct().count() == 2
+    for df in (one, apart):
+        got = sorted((r.doc_id, r.source_doc_id, r.start_word, r.end_word, r.source_start, r.source_end) for r in substring_dedup.passages(df).collect())
+        assert got == [(2, 1, 40, 110, 30, 100), (2, 1, 170, 240, 30, 100)]
+
+
 def brute_chain(m, k, gap):
     best = {}
     for i, (x, y) in sorted(enumerate(m), key=lambda q: q[1]):
