@@ -196,6 +196,17 @@ def test_every_copy_in_a_document_is_found(spark):
         assert got == [(2, 1, 40, 110, 30, 100), (2, 1, 170, 240, 30, 100)]
 
 
+def test_passages_of_pieces_that_others_hold(spark):
+    rng = random.Random(7)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(60)
+    texts = {1: fresh(20) + passage[:30] + fresh(20), 2: fresh(25) + passage[30:] + fresh(15), 3: fresh(33) + passage + fresh(21), 4: fresh(12) + passage + fresh(8)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    for parts in (df.coalesce(1), df.repartitionByRange(4, "doc_id")):
+        got = [(r.doc_id, r.source_doc_id, r.start_word, r.end_word) for r in substring_dedup.passages(parts).collect()]
+        assert got == [(4, 3, 12, 72)]
+
+
 def brute_chain(m, k, gap):
     best = {}
     for i, (x, y) in sorted(enumerate(m), key=lambda q: q[1]):
