@@ -33,6 +33,16 @@ def test_stages(spark, sf):
         docs = out
 
 
+def test_near_dedup_judges_rows_without_a_key_of_their_own(spark, sf):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    near = text("d").replace("d39", "other")
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (3, text("c")), (3, text("e")), (1, text("c")), (5, text("d")), (None, near), (7, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {(None, text("a")), (None, text("b")), (3, text("e")), (1, text("c")), (5, text("d")), (7, None), (None, None)}
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one(spark, df, sf).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
