@@ -9,8 +9,6 @@ from .common import checkpointed
 
 #: (action, host suffix, path prefix); a rule is written as host/path, the longest that fits wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Segments below this depth join one branch, ``**``.
-DEPTH = 6
 #: Of a branch with more distinct children than this, those that hold less than this share of its rows are variable.
 MANY, SHARE = 12, 0.25
 #: Siblings merge where the shares of their child shapes differ by at most this total variation, and their labels agree.
@@ -44,7 +42,7 @@ def shape(segment: Column) -> Column:
     return F.when(stem.rlike(r"^[0-9]+$"), F.concat(F.lit("{9}"), ext)).when(stem.rlike(r"^(?=.*[0-9])[0-9A-Za-z_-]{6,}$"), F.concat(F.lit("{x9}"), ext)).otherwise(segment)
 
 
-def path_templates(urls: DataFrame, depth: int = DEPTH, many: int = MANY, share: float = SHARE, alike: float = ALIKE) -> DataFrame:
+def path_templates(urls: DataFrame, many: int = MANY, share: float = SHARE, alike: float = ALIKE) -> DataFrame:
     """Template of every distinct ``(host, path)`` of ``urls(host, path, n, n_label, n_block)``, a table of counts.
 
     Level by level, a branch is a host with the template so far. Its children are the next segments, by shape; where
@@ -52,14 +50,19 @@ def path_templates(urls: DataFrame, depth: int = DEPTH, many: int = MANY, share:
     have like shapes (total variation to the pooled siblings at most ``alike``) and whose blocked labels agree (both
     unlabelled, or rates within 0.25 after smoothing) merge into ``~``. Adds ``template`` and ``branch``, the template
     before merging at the last level. Each level is a pre-aggregated count and a join on the branch; its
-    result is checkpointed, since the next level reads it twice.
+    result is checkpointed, since the next level reads it twice. Levels go on while a branch has two urls with segments
+    left; an only one keeps its segments as they are.
     """
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = checkpointed(urls.withColumns({"_s": F.transform(segs, shape), "template": F.lit("")}))
     deepest = rows.agg(F.max(F.size("_s"))).first()[0] or 0
-    for level in range(min(depth, deepest)):
-        child = F.get(F.col("_s"), F.lit(level)) if level < depth - 1 else F.when(F.size("_s") > level, F.lit("**"))
-        rows = rows.withColumn("_c", child)
+    for level in range(deepest):
+        left = rows.where(F.size("_s") > level)
+        if left.groupBy("host", "template").count().where("count > 1").isEmpty():
+            rest = F.array_join(F.slice("_s", level + 1, deepest), "/")
+            rows = rows.withColumn("template", F.when(F.size("_s") > level, F.concat("template", F.lit("/"), rest)).otherwise(F.col("template")))
+            break
+        rows = rows.withColumn("_c", F.get(F.col("_s"), F.lit(level)))
         below = F.coalesce(F.get(F.col("_s"), F.lit(level + 1)), F.lit(""))
         kind = F.when(below.startswith("{"), F.regexp_extract(below, r"^(\{[x9]+\})", 1)).when(below == "", F.lit("")).otherwise(F.lit("w"))
         per_kind = rows.where("_c IS NOT NULL").groupBy("host", "template", "_c", kind.alias("_k")).agg(*[F.sum(c).alias(c) for c in ("n", "n_label", "n_block")])

@@ -314,6 +314,14 @@ def test_templates_generalise_and_judge(spark):
     assert {got[200 + i][0] for i in range(60)} == {"/*/view"}
 
 
+def test_templates_of_deep_paths(spark):
+    rows = [(i, f"http://shop.com/a/b/c/d/e/f/{branch}/{i}") for i in range(60) for branch in ("deal", "news")] + [(900, "http://one.com/a/b/c/d/e/f/g/h/7")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {(r.template, r.path.split("/")[-2]) for r in url_filters.url_verdicts(df).collect()}
+    assert {t for t, b in got if b == "h"} == {"/a/b/c/d/e/f/g/h/{9}"}
+    assert {t for t, b in got if b == "deal"} == {"/a/b/c/d/e/f/~/{9}"}
+
+
 # -- 6: toxicity
 
 
