@@ -28,8 +28,8 @@ def near_dedup(k: int = 3, percent: int = 85) -> str:
 
 def quality() -> str:
     metrics, g = quality_rules.METRICS, math.log(quality_rules.GAMMA)
-    pairs = ", ".join(f"{{'metric': '{m}', 'value': {m}}}" for m in metrics)
-    floors = " ".join(f"WHEN '{m}' THEN {v}" for m, v in metrics.items())
+    pairs = ", ".join(f"{{'metric': '{m}', 'value': {m}}}" for m in (*metrics, quality_rules.LENGTH))
+    events = " ".join(f"WHEN '{m}' THEN {10_000.0 * v}" for m, v in metrics.items())
     passed = " AND ".join(f"coalesce({m} <= max_{m}, TRUE)" for m in metrics)
     picks = ", ".join(f"max(fence) FILTER (metric = '{m}') AS max_{m}" for m in metrics)
     value = lambda b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE pow({quality_rules.GAMMA}, ({b} - 1)::DOUBLE) END"
@@ -37,8 +37,12 @@ def quality() -> str:
     def fences(name: str, keys: str) -> str:
         part = f"{keys}, metric" if keys else "metric"
         q = lambda p: f"min(bucket) FILTER (cum >= ceil(size * {p}::DOUBLE))"
-        return f"""{name} AS (SELECT {part}, any_value(size) AS size, CAST(floor(greatest(({value(q(0.75))}) + {quality_rules.FENCE} * (({value(q(0.75))}) - ({value(q(0.25))})), CASE metric {floors} END)) AS BIGINT) AS fence
-      FROM (SELECT *, sum(n) OVER (PARTITION BY {part} ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY {part}) AS size FROM (SELECT {part}, bucket, sum(n) AS n FROM fine GROUP BY ALL)) GROUP BY {part})"""
+        same = " AND ".join(f"a.{k} = l.{k}" for k in keys.split(", ")) if keys else "TRUE"
+        mine = ", ".join(f"a.{k}" for k in part.split(", "))
+        return f"""{name}_q AS (SELECT {part}, any_value(size) AS size, {value(q(0.25))} AS q1, {value(q(0.75))} AS q3
+      FROM (SELECT *, sum(n) OVER (PARTITION BY {part} ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY {part}) AS size FROM (SELECT {part}, bucket, sum(n) AS n FROM fine GROUP BY ALL)) GROUP BY {part}),
+    {name} AS (SELECT {mine}, a.size, CAST(floor(a.q3 + {quality_rules.FENCE} * greatest(a.q3 - a.q1, (CASE a.metric {events} END)::DOUBLE / greatest(1.0, l.q1))) AS BIGINT) AS fence
+      FROM {name}_q a JOIN {name}_q l ON l.metric = '{quality_rules.LENGTH}' AND a.metric <> '{quality_rules.LENGTH}' AND {same})"""
 
     return f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, {WORDS} AS w FROM documents),
     win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),

@@ -7,16 +7,19 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, checkpointed, split_words, written
+from .common import BLANKS, split_words, written
 
 #: Relative accuracy of the sketch: a value's bucket is off by at most 2 %.
 GAMMA = 1.04
 #: A group's own sketch is used from so many documents on; smaller groups use the language's, then the whole corpus's.
 LEAST_GROUP = 200
-#: A document fails where a rate lies above the upper quartile by more than FENCE interquartile ranges, and above FLOOR.
+#: A document fails where a rate lies above the upper quartile by more than FENCE times the spread of its group.
 FENCE = 6
-#: Rates are integers per 10,000 words, so that every engine computes the same numbers.
-METRICS = {"symbol_rate": 2000, "dup_line_rate": 300, "repeat_rate": 3000, "long_word_rate": 160_000}
+#: Rates are integers per 10,000 words, so that every engine computes the same numbers. With each rate, the least that one
+#: more occurrence adds to its count (two windows without a word in common; one long word): no spread is finer than that.
+METRICS = {"symbol_rate": 1, "dup_line_rate": 1, "repeat_rate": 6, "long_word_rate": 10}
+#: Sketched beside the rates: the length that says how coarse the rates of a group are.
+LENGTH = "n_words"
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -38,13 +41,14 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ).alias("_s"),
     )
-    return ranked.select(
+    placed = ranked.select("_t", "_l", F.size("_w").alias("_n"), F.array_sort(_repeated("_s")).alias("_p"), *docs.columns)
+    return placed.select(
         *docs.columns,
-        F.size("_w").cast("long").alias("n_words"),
+        F.col("_n").cast("long").alias("n_words"),
         (F.char_length("_t") - F.char_length(F.regexp_replace("_t", r"[^\x20\x09-\x0D]+", ""))).cast("long").alias("word_chars"),
         (F.char_length("_t") - F.char_length(F.regexp_replace("_t", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.size(F.array_distinct(F.flatten(F.transform(_repeated("_s"), lambda p: F.array(p, p + 1, p + 2))))), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.coalesce(_covered("_p"), F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
 
@@ -55,6 +59,13 @@ def _repeated(name: str) -> Column:
     return F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"])
 
 
+def _covered(name: str) -> Column:
+    """Words in the 3-word windows at these ascending positions."""
+    p = F.col(name)
+    step = lambda a, x: F.struct((a["n"] + F.least(F.lit(3), x - a["last"])).alias("n"), x.alias("last"))
+    return F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), step)["n"]
+
+
 def rates(df: DataFrame) -> DataFrame:
     per = lambda c: F.floor(F.col(c) * 10_000 / F.greatest(F.col("n_words"), F.lit(1))).cast("long")
     return df.withColumns({"symbol_rate": per("n_symbols"), "dup_line_rate": per("n_dup_lines"), "repeat_rate": per("n_repeat_words"), "long_word_rate": per("word_chars")})
@@ -70,13 +81,16 @@ def sketches(df: DataFrame, keys: list[str], out: Column | None = None) -> DataF
     parts merge by summation.
 
     ``out`` is no filter: one would be pushed below the counts, and make them again inside every lambda."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in METRICS])
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in (*METRICS, LENGTH)])
     pairs = F.explode(pairs if out is None else F.when(~out, pairs))
     return df.select(*keys, pairs.alias("p")).groupBy(*keys, "p.metric", "p.bucket").agg(F.count("*").alias("n"))
 
 
 def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Upper fence of each group and metric, as a bucket: values in higher buckets fail. Needs the sketch alone."""
+    """Upper fence of each group and rate: values above it fail. Needs the sketch alone.
+
+    The spread of a rate is its interquartile range, or what one occurrence adds to a text of the lower-quartile length of the
+    group where that is more, as where most texts have none."""
     ordered = F.array_sort(F.collect_list(F.struct("bucket", "n")))
     g = sketch.groupBy(*keys, "metric").agg(F.sum("n").alias("size"), ordered.alias("b"))
 
@@ -87,9 +101,13 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
         return F.aggregate("b", start, step)["at"]
 
     value = lambda b: F.when(b == 0, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), (b - 1).cast("double")))
-    floors = F.create_map(*[F.lit(x) for m, v in METRICS.items() for x in (m, v)])
+    events = F.create_map(*[F.lit(x) for m, v in METRICS.items() for x in (m, 10_000.0 * v)])
     q = g.select(*keys, "metric", "size", value(quantile(0.25)).alias("q1"), value(quantile(0.75)).alias("q3"))
-    return q.select(*keys, "metric", "size", F.floor(F.greatest(F.col("q3") + FENCE * (F.col("q3") - F.col("q1")), F.element_at(floors, F.col("metric")))).cast("long").alias("fence"))
+    part = F.struct(F.lit(0), *keys)  # the corpus as a whole has no keys
+    lengths = q.where(F.col("metric") == LENGTH).select(part.alias("_part"), F.greatest(F.lit(1.0), "q1").alias("length"))
+    both = q.where(F.col("metric") != LENGTH).withColumn("_mine", part).join(lengths, F.col("_mine") == F.col("_part"))
+    spread = F.greatest(F.col("q3") - F.col("q1"), F.element_at(events, F.col("metric")) / F.col("length"))
+    return both.select(*keys, "metric", "size", F.floor(F.col("q3") + FENCE * spread).cast("long").alias("fence"))
 
 
 def adaptive_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None, least_group: int = LEAST_GROUP) -> DataFrame:
@@ -110,7 +128,7 @@ def adaptive_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sour
 
 
 def apply_fences(judged: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
-    fine = checkpointed(sketches(judged, ["_lang", "_source"], F.col("base_failed")))
+    fine = sketches(judged, ["_lang", "_source"], F.col("base_failed"))  # one exchange, which the three levels share
     by_lang = fine.groupBy("_lang", "metric", "bucket").agg(F.sum("n").alias("n"))
     whole = by_lang.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
     a, b, c = fences(fine, ["_lang", "_source"]), fences(by_lang, ["_lang"]), fences(whole, [])
