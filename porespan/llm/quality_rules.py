@@ -20,6 +20,8 @@ FENCE = 6
 METRICS = {"symbol_rate": 1, "dup_line_rate": 1, "repeat_rate": 6, "long_word_rate": 10}
 #: Sketched beside the rates: the length that says how coarse the rates of a group are.
 LENGTH = "n_words"
+#: Places that the documents of a group are spread over when they meet its fences.
+SALT = 32
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -103,9 +105,8 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     value = lambda b: F.when(b == 0, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), (b - 1).cast("double")))
     events = F.create_map(*[F.lit(x) for m, v in METRICS.items() for x in (m, 10_000.0 * v)])
     q = g.select(*keys, "metric", "size", value(quantile(0.25)).alias("q1"), value(quantile(0.75)).alias("q3"))
-    part = F.struct(F.lit(0), *keys)  # the corpus as a whole has no keys
-    lengths = q.where(F.col("metric") == LENGTH).select(part.alias("_part"), F.greatest(F.lit(1.0), "q1").alias("length"))
-    both = q.where(F.col("metric") != LENGTH).withColumn("_mine", part).join(lengths, F.col("_mine") == F.col("_part"))
+    length = F.greatest(F.lit(1.0), F.max(F.when(F.col("metric") == LENGTH, F.col("q1")))).alias("length")
+    both = q.groupBy(*keys).agg(F.max("size").alias("size"), length, F.collect_list(F.struct("metric", "q1", "q3")).alias("m")).select(*keys, "size", "length", F.inline("m")).where(F.col("metric") != LENGTH)
     spread = F.greatest(F.col("q3") - F.col("q1"), F.element_at(events, F.col("metric")) / F.col("length"))
     return both.select(*keys, "metric", "size", F.floor(F.col("q3") + FENCE * spread).cast("long").alias("fence"))
 
@@ -142,4 +143,7 @@ def apply_fences(judged: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame
     passed = F.lit(True)
     for m in METRICS:
         passed &= F.coalesce(F.col(m) <= F.col(f"max_{m}"), F.lit(True))
-    return judged.join(chosen, ["_lang", "_source"], "left").withColumn("kept", ~F.col("base_failed") & passed)
+    # a group may hold a third of all rows: its one row of fences goes to SALT places, over which its documents are spread
+    chosen = chosen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    spread = judged.withColumn("_salt", F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols"), F.lit(SALT)).cast("int"))
+    return spread.join(chosen, ["_lang", "_source", "_salt"], "left").withColumn("kept", ~F.col("base_failed") & passed)
