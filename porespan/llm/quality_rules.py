@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BLANKS, split_words, written
 
@@ -145,5 +146,5 @@ def apply_fences(judged: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame
         passed &= F.coalesce(F.col(m) <= F.col(f"max_{m}"), F.lit(True))
     # a group may hold a third of all rows: its one row of fences goes to SALT places, over which its documents are spread
     chosen = chosen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    spread = judged.withColumn("_salt", F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols"), F.lit(SALT)).cast("int"))
+    spread = judged.withColumn("_salt", F.pmod(F.xxhash64(*[f.name for f in judged.schema if isinstance(f.dataType, T.AtomicType)]), F.lit(SALT)).cast("int"))
     return spread.join(chosen, ["_lang", "_source", "_salt"], "left").withColumn("kept", ~F.col("base_failed") & passed)
