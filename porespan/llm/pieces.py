@@ -7,9 +7,7 @@ import hashlib
 import heapq
 import itertools
 import math
-import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import tidied
+from .words import mix, pieced
 
 SPACE = "▁"
 #: Cost of a piece: PIECE + RANK * log(1 + its rank in the vocabulary); a segmentation has probability ~ exp(-sum of costs).
@@ -29,19 +28,12 @@ SAMPLES, SEED = 3, 11
 RESCALE = 1e140
 #: Chunks up to this length are decoded many at a time; each character scales a path by exp(SHIFT), which all paths share.
 SHORT, SHIFT = 20, 30.0
-#: Segmentations of longer chunks aren't listed but drawn.
-LISTED = 40
+#: Chunks of some texts, padded to the longest, that are sampled together.
+CELLS = 1 << 14
 #: Bytes of the texts that are prepared and returned together.
 TOGETHER = 1_000_000
-#: Distributions of chunks that a worker keeps; beyond that they are forgotten and made again, with equal results.
-KEPT, KEPT_LISTED = 160_000, 2_000
-#: No piece spans the border between another character and a space mark, so the lattice falls apart there.
-CHUNKS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
-
-SAMPLE = T.ArrayType(T.StructType([
-    T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("log_prob", T.DoubleType()),
-    T.StructField("perturbed", T.DoubleType()), T.StructField("inclusion", T.DoubleType()), T.StructField("decoded", T.StringType()),
-]))
+#: Chunks that a worker keeps decoded; beyond that they are forgotten and made again, with equal results.
+KEPT, KEPT_LATTICES = 160_000, 8_000
 
 
 def likeliest(model: Pieces, text: str) -> tuple[float, tuple[int, ...]]:
@@ -77,56 +69,121 @@ def likeliest(model: Pieces, text: str) -> tuple[float, tuple[int, ...]]:
     return min(0.0, math.log(high[0] / mass[0])), tuple(ids)
 
 
-class LongChunk:
-    """A chunk too long to list: segmentations are drawn by a forward walk through the backward sums, and numbered as they
-    come; number 0 is the likeliest."""
+class Lattice:
+    """The segmentations of one chunk, of any length, as paths from its start to its end; a path is the tuple of its pieces' ends.
+
+    ``arcs`` has, for each position, the probability of each piece given that a path comes by. Paths met so far have codes: 0 the
+    likeliest, 1 the second likeliest where the store has it, then as they come. What is left without some paths is a sum of
+    what leaves them anywhere, without differences, so it is exact however small."""
 
-    def __init__(self, model: Pieces, text: str):
+    __slots__ = ("arcs", "codes", "model", "paths", "text")
+
+    def __init__(self, model: Pieces, text: str, row: int | None = None):
         self.text, self.model = text, model
-        n = len(text)
-        self.arcs = [model.arcs(text, i) for i in range(n)]
-        self.mass = [0.0] * (n + 1)
+        get, n = model.weights.get, len(text)
+        mass, self.arcs = [1.0] * (n + 1), [None] * n
         for i in range(n - 1, -1, -1):
-            terms = [w + self.mass[j] for w, j in self.arcs[i]]
-            high = max(terms)
-            self.mass[i] = high + math.log(sum(math.exp(x - high) for x in terms))
-        row = model.store.rows[text]
-        at, count = model.store.at1[row], model.store.n1[row]
-        self.ids: list[tuple[int, ...]] = [tuple(model.store.ids[at : at + count].tolist())]
-        self.logs = [float(model.store.top[row])]
-        self.number = {self.ids[0]: 0}
-
-    def _draw(self, rng: np.random.Generator) -> int:
-        ids, i, lp, n = [], 0, 0.0, len(self.text)
-        while i < n:
-            arcs, u = self.arcs[i], rng.random()
-            for w, j in arcs:
-                p = math.exp(w + self.mass[j] - self.mass[i])
-                u -= p
-                if u <= 0:
+            out, total = [], 0.0
+            for j in range(i + 1, n + 1):
+                w = get(text[i:j])
+                if w is None:
                     break
-            ids += self.model.piece_ids(self.text, i, j)
-            lp += w + self.mass[j] - self.mass[i]
+                if w:
+                    x = w * mass[j]
+                    out.append((x, j))
+                    total += x
+            if not get(text[i]):
+                x = model.byte_weight(text[i]) * mass[i + 1]
+                out.append((x, i + 1))
+                total += x
+            mass[i] = total
+            self.arcs[i] = [(x / total, j) for x, j in out]
+            if total < 1e-150:  # in long chunks: rescale all that later steps read
+                for j in range(i, min(n, i + model.longest) + 1):
+                    mass[j] *= RESCALE
+        self.paths: dict[int, tuple[int, ...]] = {}
+        if row is not None:
+            store = model.store
+            for code, (at, count) in enumerate(((store.at1[row], store.n1[row]), (store.at2[row], store.n2[row]))):
+                if count:
+                    self.paths[code] = model.ends(text, store.ids[at : at + count].tolist())
+        self.codes = {p: c for c, p in self.paths.items()}
+
+    def log(self, path: tuple[int, ...]) -> float:
+        i, total = 0, 0.0
+        for j in path:
+            total += math.log(next(p for p, e in self.arcs[i] if e == j))
             i = j
-        found = tuple(ids)
-        if found not in self.number:
-            self.number[found] = len(self.ids)
-            self.ids.append(found)
-            self.logs.append(min(0.0, lp))
-        return self.number[found]
-
-    def at(self, u: float) -> int:
-        """A draw, given that it isn't the likeliest, as ``u`` lies beyond that one's probability."""
-        return self.other(u, {0}) or 0
-
-    def other(self, u: float, taken: set[int], tries: int = 400) -> int | None:
-        """A draw that isn't one of ``taken``; None if none comes in so many tries, as then next to nothing is left."""
-        rng = seeded(0, u)
-        for _ in range(tries if any(len(a) > 1 for a in self.arcs) else 0):
-            got = self._draw(rng)
-            if got not in taken:
-                return got
-        return None
+        return min(0.0, total)
+
+    def ids(self, code: int) -> list[int]:
+        i, out = 0, []
+        for j in self.paths[code]:
+            out += self.model.piece_ids(self.text, i, j)
+            i = j
+        return out
+
+    def _without(self, out: Iterable[tuple[int, ...]]) -> tuple[list[float], list[dict[int, int]]]:
+        """The tree of these paths' beginnings: for each node the share of the paths by there that goes on as none of them, and its
+        children by their ends."""
+        kids: list[dict[int, int]] = [{}]
+        place = [0]
+        for path in out:
+            node = 0
+            for j in path:
+                after = kids[node].get(j)
+                if after is None:
+                    after = kids[node][j] = len(kids)
+                    kids.append({})
+                    place.append(j)
+                node = after
+        left, n = [0.0] * len(kids), len(self.text)
+        for node in range(len(kids) - 1, -1, -1):
+            if place[node] < n:
+                own, total = kids[node], 0.0
+                for p, j in self.arcs[place[node]]:
+                    total += p * left[own[j]] if j in own else p
+                left[node] = total
+        return left, kids
+
+    def rest(self, codes: Iterable[int]) -> float:
+        """Log probability of all paths but these."""
+        left = self._without([self.paths[c] for c in codes])[0][0]
+        return min(0.0, math.log(left)) if left > 0 else -math.inf
+
+    def draw(self, codes: Iterable[int], u: float) -> int | None:
+        """A path that isn't one of these, with the probabilities of what is left; None if nothing is. ``u`` seeds the choices."""
+        left, kids = self._without([self.paths[c] for c in codes])
+        if not left[0]:
+            return None
+        state, path, node, i, n = int(u * 2**53) ^ 0x5DEECE66D, [], 0, 0, len(self.text)
+        while i < n:
+            arcs = self.arcs[i]
+            if node >= 0:
+                branch = kids[node]
+                arcs = [(p * left[branch[j]] if j in branch else p, j) for p, j in arcs]
+                total = sum(p for p, _ in arcs)
+            else:
+                branch, total = {}, 1.0
+            got = arcs[0][1]
+            if len(arcs) > 1:
+                state = (state * 6364136223846793005 + 1442695040888963407) & 0xFFFFFFFFFFFFFFFF
+                x = ((state ^ (state >> 33)) * 0xFF51AFD7ED558CCD) & 0xFFFFFFFFFFFFFFFF
+                aim = ((x >> 11) + 0.5) * 2.0**-53 * total
+                for p, j in arcs:
+                    if p > 0:
+                        got = j
+                        aim -= p
+                        if aim <= 0:
+                            break
+            node = branch.get(got, -1)
+            path.append(got)
+            i = got
+        found = tuple(path)
+        if found not in self.codes:
+            code = 2 + sum(c > 1 for c in self.paths)
+            self.codes[found], self.paths[code] = code, found
+        return self.codes[found]
 
 
 class Table:
@@ -177,15 +234,13 @@ class Table:
         return hit, np.where(hit, self.values[at], 0.0), at
 
 
-def two_likeliest(model: Pieces, texts: list[str]) -> tuple[np.ndarray, ...]:
-    """For chunks by rising length: log probabilities of the best and the second best segmentation, and their ids.
+def two_likeliest(model: Pieces, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For chunks by rising length: log probabilities of the best and the second best segmentation and of all but the best, and ids.
 
-    The lattice passes of ``likeliest`` for all chunks at once, aligned at their ends, with the two best paths from each
+    ``codes`` has a column of characters for each. The lattice passes of ``likeliest`` for all at once, aligned at their ends, with the two best paths from each
     position. Ids come flat, with their number per chunk; the second has none where it is rarely drawn, and probability 0
     where there is none."""
-    n, size = len(texts[-1]), len(texts)
-    sizes = np.array([len(t) for t in texts])
-    codes = np.array([t.rjust(n, "\0") for t in texts]).view(np.uint32).reshape(size, n).astype(np.uint64).T.copy()
+    n, size = codes.shape
     n_bytes = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
     spelled = np.exp(n_bytes * math.log(model.per_byte) + SHIFT)
     mass, h1, h2 = (np.zeros((n + 1, size)) for _ in range(3))
@@ -243,128 +298,81 @@ def two_likeliest(model: Pieces, texts: list[str]) -> tuple[np.ndarray, ...]:
     total, best, other = mass[start, every], h1[start, every], h2[start, every]
     top, share = np.minimum(0.0, np.log(best / total)), other / total
     ids1, n1 = follow(every, False)
-    ids2, n2 = follow(np.flatnonzero(share > 2e-3), True)
+    ids2, n2 = follow(np.flatnonzero(share > 1e-6), True)
     with np.errstate(divide="ignore"):
-        return top, np.log(share), ids1, n1, ids2, n2
+        second = np.log(share)
+        # a difference from 1; exact through the second where that is tiny
+        gone = np.where(second > -np.inf, np.maximum(np.log(-np.expm1(top)), second), -np.inf)
+    return top, second, gone, ids1, n1, ids2, n2
 
 
 class Store:
-    """Best and second best segmentations of chunks, in arrays; ``rows`` gives a chunk's row."""
+    """Best and second best segmentations of chunks, in arrays, and the log probability of all but the best. A chunk's row is found
+    by its 64-bit hash."""
 
     def __init__(self):
-        self.rows: dict[str, int] = {}
-        self.top, self.second = np.zeros(0), np.zeros(0)
-        self.at1, self.n1, self.at2, self.n2, self.uses = (np.zeros(0, dtype=np.int64) for _ in range(5))
+        self.key, self.sorted = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        self.top, self.second, self.gone = np.zeros(0), np.zeros(0), np.zeros(0)
+        self.at1, self.n1, self.at2, self.n2, self.uses, self.place = (np.zeros(0, dtype=np.int64) for _ in range(6))
         self.ids = np.zeros(0, dtype=np.int32)
 
-    def add(self, names: list[str], top: np.ndarray, second: np.ndarray, ids1: np.ndarray, n1: np.ndarray, ids2: np.ndarray, n2: np.ndarray) -> None:
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of these chunks, -1 for those not here."""
+        if not len(self.key):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.sorted, keys), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == keys, self.place[at], -1)
+
+    def add(self, key: np.ndarray, top: np.ndarray, second: np.ndarray, gone: np.ndarray, ids1: np.ndarray, n1: np.ndarray, ids2: np.ndarray, n2: np.ndarray) -> None:
         base, here = len(self.top), len(self.ids)
-        self.rows.update(zip(names, range(base, base + len(names)), strict=True))
+        order = np.argsort(key, kind="stable")
+        at = np.searchsorted(self.sorted, key[order])
+        self.sorted, self.place = np.insert(self.sorted, at, key[order]), np.insert(self.place, at, base + order)
         starts = lambda n, off: off + np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)
         join = lambda a, b: np.concatenate((a, b))
+        self.key = join(self.key, key)
         self.at1, self.at2 = join(self.at1, starts(n1, here)), join(self.at2, starts(n2, here + len(ids1)))
-        self.n1, self.n2, self.uses = join(self.n1, n1), join(self.n2, n2), join(self.uses, np.zeros(len(names), dtype=np.int64))
-        self.top, self.second, self.ids = join(self.top, top), join(self.second, second), np.concatenate((self.ids, ids1, ids2)).astype(np.int32)
+        self.n1, self.n2, self.uses = join(self.n1, n1), join(self.n2, n2), join(self.uses, np.zeros(len(key), dtype=np.int64))
+        self.top, self.second, self.gone = join(self.top, top), join(self.second, second), join(self.gone, gone)
+        self.ids = np.concatenate((self.ids, ids1, ids2)).astype(np.int32)
 
     def gather(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The ids of stretches (at, n), one after the other."""
         ends = np.cumsum(n)
         return self.ids[np.repeat(at - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
-    def trim(self, most: int) -> None:
-        """Beyond ``most`` chunks keep the three quarters that were used most; what goes is made again when it is needed."""
-        if len(self.rows) <= most:
-            return
-        names, at = list(self.rows), np.fromiter(self.rows.values(), dtype=np.int64)
-        best = np.sort(np.argsort(-self.uses[at], kind="stable")[: most * 3 // 4])
-        keep, left = at[best], Store()
-        left.add([names[i] for i in best.tolist()], self.top[keep], self.second[keep], self.gather(self.at1[keep], self.n1[keep]), self.n1[keep], self.gather(self.at2[keep], self.n2[keep]), self.n2[keep])
+    def trim(self, most: int) -> bool:
+        """Beyond ``most`` chunks keep the three quarters that were used most; what goes is made again when it is needed. Whether
+        rows have changed."""
+        if len(self.key) <= most:
+            return False
+        keep, left = np.sort(np.argsort(-self.uses, kind="stable")[: most * 3 // 4]), Store()
+        left.add(self.key[keep], self.top[keep], self.second[keep], self.gone[keep], self.gather(self.at1[keep], self.n1[keep]), self.n1[keep], self.gather(self.at2[keep], self.n2[keep]), self.n2[keep])
         left.uses = self.uses[keep] // 2
         self.__dict__.update(left.__dict__)
+        return True
 
 
-class Chunk:
-    """The distribution over the segmentations of a chunk: the likeliest one first, the others by A* when asked for."""
-
-    __slots__ = ("best", "cum", "ids", "logs", "model", "more", "text", "top")
-
-    def __init__(self, model: Pieces, text: str):
-        self.model, self.text = model, text
-        store = model.store
-        row = store.rows[text]
-        self.top, self.ids, self.logs = float(store.top[row]), [], []
-        for at, n, log in ((store.at1, store.n1, store.top), (store.at2, store.n2, store.second)):
-            if n[row]:
-                self.ids.append(tuple(store.ids[at[row] : at[row] + n[row]].tolist()))
-                self.logs.append(float(log[row]))
-        self.cum, self.more, self.best = list(itertools.accumulate(map(math.exp, self.logs))), None, False
-
-    def grow(self) -> bool:
-        """List one more segmentation; false where there is none."""
-        if not self.best:
-            self.best, self.more = True, self._others()
-        got = next(self.more, None) if self.more is not None else None
-        if got is None:
-            self.more = None
-            return False
-        self.ids.append(got[0])
-        self.logs.append(min(0.0, got[1]))
-        self.cum.append(self.cum[-1] + math.exp(got[1]))
-        return True
+class Chunks:
+    """The chunks of some normalised texts: characters, where chunks begin and end, how many each text has, and their hashes. No
+    piece spans the border between another character and a space mark, so the lattice falls apart there."""
 
-    def _others(self) -> Iterator[tuple[tuple[int, ...], float]]:
-        """All segmentations but those known by A*, in falling order; the heuristic is the best that can follow, so it is
-        exact."""
-        n, model = len(self.text), self.model
-        arcs, best = [model.arcs(self.text, i) for i in range(n)], [0.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            best[i] = max(w + best[j] for w, j in arcs[i])
-        shift = self.top - best[0]  # - log_z
-        queue, count, known = [(-best[0], 0, 0, 0.0, ())], 0, set(self.ids)
-        while queue:
-            _, _, i, lp, ends = heapq.heappop(queue)
-            if i == n:
-                ids, at = [], 0
-                for j in ends:
-                    ids += model.piece_ids(self.text, at, j)
-                    at = j
-                if tuple(ids) in known:
-                    continue
-                yield tuple(ids), lp + shift
-                continue
-            for w, j in arcs[i]:
-                count += 1
-                heapq.heappush(queue, (-(lp + w + best[j]), count, j, lp + w, (*ends, j)))
-
-    def at(self, u: float) -> int:
-        """Place of the segmentation at quantile ``u``."""
-        while self.cum[-1] < u and self.grow():
-            pass
-        return min(bisect_left(self.cum, u), len(self.cum) - 1)
-
-    def other(self, u: float, taken: set[int]) -> int | None:
-        """Place of the one at quantile ``u`` of what is left without those ``taken``; None if nothing is left."""
-        rest = 1.0 - sum(math.exp(self.logs[i]) for i in taken)
-        if rest < 1e-9:  # too little for a difference from 1: sum up what is left, as far as it counts
-            left: list[int] = []
-            i = 0
-            while (i < len(self.ids) or self.grow()) and len(left) < 64 and (not left or self.logs[i] > self.logs[left[0]] - 12):
-                if i not in taken:
-                    left.append(i)
-                i += 1
-            if not left:
-                return None
-            cum = list(itertools.accumulate(math.exp(self.logs[i] - self.logs[left[0]]) for i in left))
-            return left[min(bisect_left(cum, u * cum[-1]), len(left) - 1)]
-        aim, i, acc, last = u * rest, 0, 0.0, None
-        while i < len(self.ids) or self.grow():
-            if i not in taken:
-                last = i
-                acc += math.exp(self.logs[i])
-                if acc >= aim:
-                    break
-            i += 1
-        return last
+    def __init__(self, texts: list[str]):
+        self.whole = "".join(texts)
+        self.chars = np.frombuffer(self.whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        mark = self.chars == ord(SPACE)
+        begins = mark.copy()
+        begins[1:] &= ~mark[:-1]
+        begins[(ends - sizes)[sizes > 0]] = True
+        self.first = np.flatnonzero(begins)
+        self.last = np.append(self.first[1:], len(self.chars))[: len(self.first)]
+        self.counts = np.diff(np.searchsorted(self.first, np.concatenate(([0], ends))))
+        self.keys = pieced(self.chars, self.first, self.last, lambda c: mix(c.astype(np.uint64) + np.uint64(1 << 40)))
+
+    def name(self, i: int) -> str:
+        return self.whole[self.first[i] : self.last[i]]
 
 
 class Pieces:
@@ -392,8 +400,9 @@ class Pieces:
         self.table = Table(self.weights, self.ids)
         self.store, self.spans = Store(), None
         self.spell = np.array([*[self.bytes.get(b, -1) for b in range(128)], -1], dtype=np.int32)
-        self.listed = _Kept(lambda text: Chunk(self, text) if len(text) <= LISTED else LongChunk(self, text), KEPT_LISTED)
         self.unknown = self.lib.unk_id()
+        self.lengths = {i: len(p) for p, i in self.ids.items()}
+        self.lattices: dict[int, Lattice] = {}
 
     def byte_ids(self, char: str) -> tuple[int, ...]:
         return tuple(self.bytes[b] for b in char.encode("utf-8", "replace")) if self.bytes else (self.unknown,)
@@ -418,128 +427,205 @@ class Pieces:
             out.append((math.log(self.byte_weight(text[i])), i + 1))
         return out
 
-    def chunk(self, text: str) -> Chunk:
-        return self.listed[text]
-
-    def prepared(self, text: str) -> list[str]:
-        """The normalised text's chunks, with the space mark that the model puts before a text."""
-        return CHUNKS(self.lib.normalize(text).replace(" ", SPACE)) if text else []
-
-    def located(self, lists: list[list[str]]) -> list[np.ndarray]:
-        """Rows in the store of the chunks of some texts; those not known yet are decoded, the short ones together."""
-        get = self.store.rows.get
-        rows = [np.fromiter(map(get, names, itertools.repeat(-1)), dtype=np.int64, count=len(names)) for names in lists]
-        holes = [np.flatnonzero(r < 0).tolist() for r in rows]
-        self._decode({names[i] for names, at in zip(lists, holes, strict=True) for i in at})
-        get = self.store.rows.__getitem__
-        for names, r, at in zip(lists, rows, holes, strict=True):
-            r[at] = [get(names[i]) for i in at]
-        return rows
-
-    def _decode(self, missing: set[str]) -> None:
-        new = sorted(missing, key=len)
-        short = bisect_left(new, SHORT + 1, key=len)
-        for at in range(0, short, 30_000):
-            part = new[at : min(at + 30_000, short)]
-            got = two_likeliest(self, part)
-            self.store.add(part, *got)
-            odd = [np.repeat(np.arange(len(part)), n)[ids < 0] for ids, n in ((got[2], got[3]), (got[4], got[5]))]
-            new += [part[i] for i in np.unique(np.concatenate(odd)).tolist()]  # has characters that several bytes spell
-        rest = new[short:]
-        if rest:
-            tops, ids = zip(*(likeliest(self, name) for name in rest), strict=True)
-            none = np.zeros(len(rest), dtype=np.int64)
-            self.store.add(rest, np.array(tops), np.full(len(rest), np.nan), np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32), np.array([len(x) for x in ids]), none[:0].astype(np.int32), none)
-
-    def sample(self, text: str, k: int, rng: np.random.Generator, names: list[str] | None = None, row: np.ndarray | None = None) -> list[tuple[np.ndarray, float, float, float]]:
-        """``k`` distinct segmentations (fewer where there are not so many) by Gumbel top-k without replacement.
+    def ends(self, text: str, ids: list[int]) -> tuple[int, ...]:
+        """The path through a chunk that these ids stand for."""
+        out, i, at = [], 0, 0
+        while i < len(text):
+            if ids[at] in self.lengths:
+                i, at = i + self.lengths[ids[at]], at + 1
+            else:
+                i, at = i + 1, at + len(self.byte_ids(text[i]))
+            out.append(i)
+        return tuple(out)
+
+    def prepared(self, texts: list[str]) -> Chunks:
+        """The normalised texts' chunks, with the space mark that the model puts before a text."""
+        return Chunks([self.lib.normalize(t).replace(" ", SPACE) if t else "" for t in texts])
+
+    def located(self, chunks: Chunks) -> np.ndarray:
+        """Rows in the store of some texts' chunks; those not known yet are decoded, the short ones together."""
+        keys, at, back = np.unique(chunks.keys, return_index=True, return_inverse=True)
+        new = at[self.store.find(keys) < 0]
+        if len(new):
+            self._decode(chunks, new)
+        return self.store.find(keys)[back]
+
+    def _decode(self, chunks: Chunks, new: np.ndarray) -> None:
+        sizes = chunks.last[new] - chunks.first[new]
+        order = np.argsort(sizes, kind="stable")
+        new, sizes = new[order], sizes[order]
+        short, single = int(np.searchsorted(sizes, SHORT + 1)), []
+        for a in range(0, short, 30_000):
+            part, size = new[a : min(a + 30_000, short)], sizes[a : min(a + 30_000, short)]
+            back = np.arange(-int(size[-1]), 0)[:, None]
+            codes = np.where(back >= -size, chunks.chars[np.maximum(chunks.last[part] + back, 0)], 0).astype(np.uint64)
+            got = two_likeliest(self, codes, size)
+            odd = np.zeros(len(part), dtype=bool)  # has characters that several bytes spell
+            for ids, n in ((got[3], got[4]), (got[5], got[6])):
+                odd[np.repeat(np.arange(len(part)), n)[ids < 0]] = True
+            single += part[odd].tolist()
+            if odd.any():
+                keep1, keep2 = np.repeat(~odd, got[4]), np.repeat(~odd, got[6])
+                got = (got[0][~odd], got[1][~odd], got[2][~odd], got[3][keep1], got[4][~odd], got[5][keep2], got[6][~odd])
+                part = part[~odd]
+            self.store.add(chunks.keys[part], *got)
+        single += new[short:].tolist()
+        if single:
+            tops, ids, gone = [], [], []
+            for i in single:
+                name = chunks.name(i)
+                top, best = likeliest(self, name)
+                lattice = Lattice(self, name)
+                lattice.paths[0] = self.ends(name, list(best))
+                tops.append(top)
+                ids.append(best)
+                gone.append(lattice.rest([0]))
+            none = np.zeros(len(single), dtype=np.int64)
+            self.store.add(chunks.keys[single], np.array(tops), np.full(len(single), np.nan), np.array(gone), np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32), np.array([len(x) for x in ids]), none[:0].astype(np.int32), none)
+
+    def sample(self, text: str, k: int, key: object, seed: int = SEED) -> list[tuple[np.ndarray, float, float, float]]:
+        """``k`` distinct segmentations of one text; see ``sample_many``."""
+        return self.sample_many([text], np.array([seeded(seed, key)], dtype=np.uint64), k)[0]
+
+    def sample_many(self, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+        """For each text ``k`` distinct segmentations (fewer where there are not so many) by Gumbel top-k without replacement.
 
         A* over regions of the space of segmentations, each with the greatest perturbed log probability in it as its exact
         bound. The whole space draws a Gumbel; popping a region draws its best member from the lattice, and splits the rest
         by the first chunk that differs; the parts' maxima are Gumbels of their mass, truncated at the popped value. Each
         result has ids, log probability, perturbed value and inclusion score: the probability to pass the (k+1)-th value.
+        Texts of like length go together, in arrays; a text's random numbers follow from its seed alone.
         """
-        if names is None:
-            names = self.prepared(text)
-            row = self.located([names])[0]
-        if not names:
-            return [(np.zeros(0, dtype=np.int32), 0.0, _gumbel(rng, 0.0), 1.0)]
-        if k < 1:
-            return []
-        store, n = self.store, len(names)
-        store.uses[row] += 1
-        top, second, two = store.top[row], store.second[row], store.n2[row] > 0
+        chunks = self.prepared(texts)
+        rows, sizes = self.located(chunks), chunks.counts
+        self.store.uses += np.bincount(rows, minlength=len(self.store.uses))
+        starts = np.cumsum(sizes) - sizes
+        out: list = [[] for _ in texts]
+        for i in np.flatnonzero(sizes == 0).tolist() if k > 0 else ():
+            out[i] = [(np.zeros(0, dtype=np.int32), 0.0, float(-np.log(-np.log(_uniform(seeds[i : i + 1], 0, 1)))[0, 0]), 1.0)]
+        order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] > 0]
+        end = len(order)
+        while end and k > 0:
+            begin = max(0, end - max(1, CELLS // int(sizes[order[end - 1]])))
+            part = order[begin:end]
+            for i, got in zip(part.tolist(), self._sampled_group(chunks, rows, starts[part], sizes[part], seeds[part], k), strict=True):
+                out[i] = got
+            end = begin
+        return out
+
+    def _sampled_group(self, chunks: Chunks, rows: np.ndarray, starts: np.ndarray, n: np.ndarray, seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+        store, size, width = self.store, len(n), int(n.max())
+        col, every = np.arange(width), np.arange(size)
+        mask = col < n[:, None]
+        row = np.where(mask, rows[np.minimum(starts[:, None] + col, len(rows) - 1)], 0)
+        top = np.where(mask, store.top[row], 0.0)
+        two = mask & (store.n2[row] > 0)
+        second = np.where(two, store.second[row], -np.inf)
+        gone = np.where(mask, store.gone[row], -np.inf)
         top_p = np.exp(top)
-        both_p = np.where(two, top_p + np.exp(second), top_p)
-        # log probability of all but the likeliest of a chunk; exact through the second where that is tiny
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gone_top = np.log(-np.expm1(top))
-            gone_top = np.where(np.isnan(second), gone_top, np.where(second > -np.inf, np.maximum(gone_top, second), -np.inf))
-        chunk = self.chunk
-
-        def log_of(i: int, at: int) -> float:
-            return float(top[i] if at == 0 else second[i] if at == 1 and two[i] else chunk(names[i]).logs[at])
-
-        found: list[tuple[list[int], float, float]] = []
-        # a region: picks before ``at`` are those of ``base``; at ``at`` the places in ``taken`` are out; free after it
-        first = _gumbel(rng, 0.0)
-        queue: list[tuple[float, int, np.ndarray | None, int, frozenset, float]] = [(-first, 0, None, 0, frozenset(), 0.0)]
-        order = 0
-        while queue and len(found) < k:
-            value, _, base, at, taken, before = heapq.heappop(queue)
-            value = -value
-            u = rng.random(n - at)
-            picks = np.zeros(n, dtype=np.int32)
-            if base is not None:
-                picks[:at] = base[:at]
-            picks[at:] = (u > top_p[at:]) & two[at:]
-            for i in np.flatnonzero(u > both_p[at:]) + at:
-                picks[i] = chunk(names[i]).at(u[i - at])
-            if taken:
-                other = chunk(names[at]).other(u[0], set(taken))
-                if other is None:
-                    continue
-                picks[at] = other
-            logs = np.where(picks == 1, second, top)
-            for i in np.flatnonzero((picks > 1) | ((picks == 1) & ~two)):
-                logs[i] = log_of(i, picks[i])
-            prefix = np.concatenate(([0.0], np.cumsum(logs)))
-            found.append((picks, float(prefix[-1]), value))
-            # the rest of the region, by the first chunk that differs from what was found
-            log_gone = gone_top.copy()
-            moved = np.flatnonzero(picks)
-            with np.errstate(divide="ignore"):
-                log_gone[moved] = np.log(-np.expm1(logs[moved]))
-            if taken:
-                left = 1.0 - sum(math.exp(log_of(at, j)) for j in taken) - math.exp(logs[at])
-                log_gone[at] = math.log(left) if left > 1e-290 else -math.inf
-            open_ = np.flatnonzero(log_gone[at:] > -600)
-            if len(open_):
-                m = prefix[at + open_] + log_gone[at + open_]
-                g = m - np.log(-np.log(rng.random(len(m))))
-                bound = np.maximum(value, -700.0)
-                parts = -np.logaddexp(-bound, -g)
-                # only the k + 1 greatest can still be popped
-                for i in np.argpartition(-parts, k)[: k + 1] if len(parts) > k + 1 else range(len(parts)):
-                    order += 1
-                    j = int(at + open_[i])
-                    out = taken | {int(picks[j])} if j == at else frozenset({int(picks[j])})
-                    heapq.heappush(queue, (-float(parts[i]), order, picks, j, out, float(m[i])))
-        kappa = -queue[0][0] if queue else -math.inf
-        out = []
-        for picks, log_prob, value in found:
+        both_p = top_p + np.exp(second)
+        lattices = self.lattices
+
+        def lattice(r: int, c: int) -> Lattice:
+            at = int(row[r, c])
+            got = lattices.get(at)
+            if got is None:
+                got = lattices[at] = Lattice(self, chunks.name(starts[r] + c), at)
+            return got
+
+        # a region: picks before ``at`` are those of an earlier result; at ``at`` those in ``taken`` are out; free after it
+        value = -np.log(-np.log(_uniform(seeds, 0, 1)))[:, 0]
+        queues: list[list[tuple]] = [[(-v, 0, -1, 0, frozenset())] for v in value.tolist()]
+        history: list[np.ndarray] = []
+        results: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        pushed = 0
+        for t in range(k):
+            live = np.array([bool(q) for q in queues])
+            if not live.any():
+                break
+            at, base, taken = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), {}
+            for r in np.flatnonzero(live).tolist():
+                v, _, b, a, out = heapq.heappop(queues[r])
+                value[r], base[r], at[r] = -v, b, a
+                if out:
+                    taken[r] = out
+            u = _uniform(seeds, 2 * t + 1, width)
+            free = col >= at[:, None]
+            picks = ((u > top_p) & two).astype(np.int32)
+            if history:
+                picks = np.where(free, picks, np.stack(history)[base, every])
+            deep = (u > both_p) & free & live[:, None]
+            for r in taken:
+                deep[r, at[r]] = False
+            known = []
+            for r, c in zip(*(x.tolist() for x in np.nonzero(deep)), strict=True):
+                got = lattice(r, c).draw((0, 1) if two[r, c] else (0,), u[r, c])
+                picks[r, c] = got if got is not None else int(two[r, c])  # None: a rounded probability promised more than there is
+            for r, out in taken.items():
+                c = at[r]
+                if out == {0} and two[r, c] and u[r, c] < math.exp(second[r, c] - gone[r, c]):
+                    picks[r, c] = 1
+                else:
+                    got = lattice(r, c).draw({0, 1} if out == {0} and two[r, c] else out, u[r, c])
+                    if got is None:
+                        got = 1 if out == {0} and two[r, c] else -1
+                    if got < 0:  # nothing left: such a region has no mass and is not pushed
+                        live[r] = False
+                        continue
+                    picks[r, c] = got
+                known.append((r, c, out | {int(picks[r, c])}))
+            moved = np.nonzero(picks)
+            logs = top.copy()
+            logs[moved] = second[moved]
+            for r, c in zip(*(x.tolist() for x in np.nonzero(picks > 1)), strict=True):
+                found = lattice(r, c)
+                logs[r, c] = found.log(found.paths[int(picks[r, c])])
+            history.append(picks)
+            prefix = np.zeros((size, width + 1))
+            np.cumsum(logs, axis=1, out=prefix[:, 1:])
+            results.append((live, picks, prefix[:, -1], value.copy()))
+            # the rest of each region, by the first chunk that differs from what was found
+            left = gone.copy()
+            left[moved] = np.log(-np.expm1(logs[moved]))
+            for r, c, out in known:
+                rest = 1.0 - both_p[r, c] if out == {0, 1} and two[r, c] else 0.0
+                left[r, c] = math.log(rest) if rest > 1e-6 else lattice(r, c).rest(out)
+            open_ = free & mask & live[:, None] & (left > -600)
+            with np.errstate(invalid="ignore"):
+                g = np.where(open_, prefix[:, :-1] + left - np.log(-np.log(_uniform(seeds, 2 * t + 2, width))), -np.inf)
+            # truncated at the region's value, which keeps their order; only the k - t greatest can still be popped or be the next
+            best = np.argpartition(-g, k - t, axis=1)[:, : k - t] if width > k - t else np.broadcast_to(col, (size, width))
+            chosen = -np.logaddexp(-np.maximum(value, -700.0)[:, None], -np.take_along_axis(g, best, axis=1))
+            for r, cs, vs in zip(every.tolist(), best.tolist(), chosen.tolist(), strict=True):
+                for c, v in zip(cs, vs, strict=True):
+                    if v > -math.inf:
+                        pushed += 1
+                        one = frozenset((int(picks[r, c]),))
+                        heapq.heappush(queues[r], (-v, pushed, t, c, taken[r] | one if r in taken and c == at[r] else one))
+        kappa = [-q[0][0] if q else -math.inf for q in queues]
+        found_of: list[list] = [[] for _ in range(size)]
+        for live, picks, log_prob, v in results:
             is_second = picks == 1
-            at, count = np.where(is_second, store.at2[row], store.at1[row]), np.where(is_second, store.n2[row], store.n1[row])
-            deep = np.flatnonzero((picks > 1) | (is_second & ~two))
-            count[deep] = 0
-            ids = store.gather(at, count)
-            if len(deep):
-                cuts = np.cumsum(count)[deep]
-                parts = np.split(ids, cuts)
-                ids = np.concatenate([x for q, i in zip(parts, deep, strict=False) for x in (q, np.array(chunk(names[i]).ids[picks[i]], dtype=np.int32))] + [parts[-1]])
-            score = 1.0 if kappa == -math.inf else -math.expm1(-math.exp(min(50.0, log_prob - kappa)))
-            out.append((ids, log_prob, value, score))
-        return out
+            start, count = np.where(is_second, store.at2[row], store.at1[row]), np.where(mask & live[:, None], np.where(is_second, store.n2[row], store.n1[row]), 0)
+            pool, extra = store.ids, []
+            extra_at = len(pool)
+            for r, c in zip(*(x.tolist() for x in np.nonzero((picks > 1) & live[:, None])), strict=True):
+                ids = lattice(r, c).ids(int(picks[r, c]))
+                start[r, c], count[r, c] = extra_at, len(ids)
+                extra_at += len(ids)
+                extra += ids
+            if extra:
+                pool = np.concatenate((pool, np.array(extra, dtype=np.int32)))
+            a, m = start[mask], count[mask]
+            ends = np.cumsum(m)
+            flat = pool[np.repeat(a - ends + m, m) + np.arange(ends[-1] if len(ends) else 0)]
+            cuts = np.cumsum(count.sum(axis=1))
+            for r, ids in enumerate(np.split(flat, cuts[:-1])):
+                if live[r]:
+                    score = 1.0 if kappa[r] == -math.inf else -math.expm1(-math.exp(min(50.0, log_prob[r] - kappa[r])))
+                    found_of[r].append((ids, float(log_prob[r]), float(v[r]), score))
+        return found_of
 
     def encode(self, text: str) -> list[int]:
         return self.lib.encode(text)
@@ -547,46 +633,29 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         return self.lib.decode(ids)
 
-    def spelled_out(self, ids: np.ndarray) -> str:
-        """What ``decode`` gives for an array of ids that a text has: the pieces' bytes, without the mark put before it."""
-        if not len(ids):
-            return ""
+    def spelled_out(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """What ``decode`` gives for each of the stretches of ``ids`` that texts have: the pieces' bytes, without the mark put before."""
         if self.spans is None:
             raw = [bytes([int(p[3:5], 16)]) if self.lib.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(map(self.lib.id_to_piece, range(self.lib.get_piece_size())))]
             n = np.array([len(x) for x in raw], dtype=np.int64)
             self.spans = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum(n) - n, n
         data, at, n = self.spans[0], self.spans[1][ids], self.spans[2][ids]
-        ends = np.cumsum(n)
-        out = data[np.repeat(at - ends + n, n) + np.arange(ends[-1])].tobytes().decode("utf-8", "replace")
-        return out[1:] if out[:1] == " " else out
-
-
-class _Kept(dict):
-    """What ``make`` makes of a text, up to ``most`` of them; ``trim`` forgets all when there are more."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, text: str):
-        self[text] = got = self.make(text)
-        return got
-
-    def trim(self) -> None:
-        """Between two texts only, so that places within a chunk's list hold while a text is sampled; long texts go at once."""
-        if len(self) > self.most:
-            self.clear()
-        for text in [t for t in self if len(t) > LISTED]:
-            del self[text]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        flat = data[np.repeat(at - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cuts = ends[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        texts = [flat[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [t[1:] if t[:1] == " " else t for t in texts]
 
 
-def _gumbel(rng: np.random.Generator, at: float) -> float:
-    return at - math.log(-math.log(rng.random()))
+def seeded(seed: int, key: object) -> int:
+    """A row's random numbers follow from this, made of seed and key alone."""
+    return int.from_bytes(hashlib.blake2b(f"{seed}:{key}".encode(), digest_size=8).digest(), "little")
 
 
-def seeded(seed: int, key: object) -> np.random.Generator:
-    """The row's random numbers, from seed and key alone."""
-    return np.random.Generator(np.random.Philox(key=int.from_bytes(hashlib.blake2b(f"{seed}:{key}".encode(), digest_size=8).digest(), "little")))
+def _uniform(seeds: np.ndarray, stream: int, width: int) -> np.ndarray:
+    """Uniform numbers in (0, 1), a row for each seed."""
+    x = seeds[:, None] + (np.arange(width, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(stream * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))[None, :]
+    return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 @lru_cache(maxsize=2)
@@ -617,23 +686,22 @@ def sample_segmentations(docs: DataFrame, path: str, key: str = "doc_id", text:
 def _sampled(model: Pieces, part: pa.RecordBatch, k: int, seed: int, decode: bool) -> pa.RecordBatch:
     """Samples of some rows (key, text), as columns."""
     keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-    lists = [model.prepared(t or "") for t in texts]
-    rows = model.located(lists)
-    at, numbers, ids, facts, decoded = [], [], [], [], []
-    for row, (row_key, names) in enumerate(zip(keys, lists, strict=True)):
-        for i, (found, *rest) in enumerate(model.sample("", k, seeded(seed, row_key), names, rows[row]), 1):
+    at, numbers, ids, facts = [], [], [], []
+    seeds = np.array([seeded(seed, row_key) for row_key in keys], dtype=np.uint64)
+    for row, got in enumerate(model.sample_many([t or "" for t in texts], seeds, k)):
+        for i, (found, *rest) in enumerate(got, 1):
             at.append(row)
             numbers.append(i)
             ids.append(found)
             facts.append(rest)
-            decoded.append(model.spelled_out(found) if decode else None)
-        lists[row] = ()
-    model.store.trim(KEPT)
-    model.listed.trim()
-    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-    flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32), type=pa.int32())
+    if model.store.trim(KEPT) or len(model.lattices) > KEPT_LATTICES:  # between texts only, as codes and rows hold within one
+        model.lattices.clear()
+    sizes = np.array([len(x) for x in ids], dtype=np.int64)
+    whole = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
+    decoded = model.spelled_out(whole, sizes) if decode else [None] * len(ids)
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
     numeric = [pa.array([f[j] for f in facts], type=pa.float64()) for j in range(3)]
-    columns = [part.column(0).take(pa.array(at, type=pa.int64())), pa.array(numbers, type=pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat), *numeric, pa.array(decoded, type=pa.string())]
+    columns = [part.column(0).take(pa.array(at, type=pa.int64())), pa.array(numbers, type=pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(whole, type=pa.int32())), *numeric, pa.array(decoded, type=pa.string())]
     return pa.RecordBatch.from_arrays(columns, names=[part.schema.names[0], "sample", "ids", "log_prob", "perturbed", "inclusion", "decoded"])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 #: Bytes of a text whose words are coded together; longer texts go piece by piece.
@@ -55,17 +57,23 @@ def runs(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * _MIX)
 
 
-def codes_of(data: np.ndarray) -> np.ndarray:
-    """A code for each word of a text's bytes, A-Z taken as a-z."""
-    first, last = spans(data)
+def pieced(data: np.ndarray, first: np.ndarray, last: np.ndarray, letters: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Hashes of the ascending runs ``data[first:last]``, whose elements ``letters`` turns into numbers; long data go piece by piece."""
+    if not len(first):
+        return np.zeros(0, dtype=np.uint64)
     if len(data) <= PIECE:
-        return runs(_LETTER[data], first, last) if len(first) else np.zeros(0, dtype=np.uint64)
+        return runs(letters(data), first, last)
     cuts = np.flatnonzero(np.diff(first // PIECE, prepend=-1))
     out = []
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(first)], strict=True):
         low = first[a]
-        out.append(runs(_LETTER[data[low : last[b - 1]]], first[a:b] - low, last[a:b] - low))
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+        out.append(runs(letters(data[low : last[b - 1]]), first[a:b] - low, last[a:b] - low))
+    return np.concatenate(out)
+
+
+def codes_of(data: np.ndarray) -> np.ndarray:
+    """A code for each word of a text's bytes, A-Z taken as a-z."""
+    return pieced(data, *spans(data), _LETTER.__getitem__)
 
 
 def word_codes(text: str | bytes | None) -> np.ndarray:
