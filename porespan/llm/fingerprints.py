@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +13,8 @@ from .common import ascii_lower, split_words
 #: Words in a shingle, bins of the fingerprint (a power of two), low-order bits kept of each bin (one hex digit).
 SHINGLE, BINS, BITS = 5, 128, 4
 SEED = 7
-#: About so many documents share a bucket when each is paired with the next one.
-BUCKET_DOCS = 2000
+#: About so many documents share a bucket when each is paired with the next one, and more when there would be over MOST_BUCKETS.
+BUCKET_DOCS, MOST_BUCKETS = 2000, 1 << 15
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, shingle: int = SHINGLE, bins: int = BINS, seed: int = SEED) -> DataFrame:
@@ -52,31 +53,57 @@ def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.greatest(F.lit(0.0), (same / bins - chance) / (1 - chance)))
 
 
-def with_next(df: DataFrame, key: str, value: str, derived: dict[str, Callable[[DataFrame], DataFrame]], bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """Add to every row the next row's ``value`` and derived columns, by ascending ``key``, as ``_next_`` and their names.
+def _buckets(df: DataFrame, key: str, order: str, bucket_docs: int) -> tuple[Column, Column]:
+    """Numbers (first, second) of buckets that ascend with the key, nulls first, and with ``order`` (a hash) among equal keys.
 
-    The last row's next is the first one. Nulls come first; rows with equal keys follow each other by their values. Rows are
-    dealt to buckets of neighbouring keys, sized from the least, greatest and number of keys; only each bucket's first row
-    goes to the bucket before it. ``derived`` maps columns to functions that add them, applied to all rows and, apart from
-    them, to the buckets' first rows, so that no expensive column is made twice. One row is its own next.
+    The quantiles of the keys bound them, whatever their distribution; of a key that holds several quantiles, and of the null key, the
+    rows are parted by ``order``. No more than MOST_BUCKETS quantiles, and as many parts of the null key."""
+    n, every = df.agg(F.count(key), F.count(F.lit(1))).first()
+    parts = lambda rows: min(MOST_BUCKETS, -(-rows // bucket_docs))
+    bounds = []
+    if parts(n) > 1:
+        shares = F.split(F.lit(",".join(repr(i / parts(n)) for i in range(1, parts(n)))), ",").cast("array<double>")
+        bounds = df.agg(F.percentile_approx(key, shares, 8 * MOST_BUCKETS)).first()[0]
+    step = max(1, math.isqrt(len(bounds)))
+    listed = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") if x else F.array().cast("array<bigint>")
+    k = F.col(key)
+
+    def count(fits: Callable[[Column], Column]) -> Column:
+        """Of the ascending bounds so many fit: looked up by every ``step``-th one, then among the ``step`` from there on."""
+        block = F.size(F.filter(listed(bounds[::step]), fits)) - 1
+        return F.when(block < 0, F.lit(0)).otherwise(block * step + F.size(F.filter(F.slice(listed(bounds), block * step + 1, step), fits)))
+
+    up_to, below = count(lambda b: b <= k), count(lambda b: b < k)
+    m = F.when(k.isNull(), F.lit(max(1, parts(every - n)))).when(up_to - below > 1, up_to - below).otherwise(0).cast("long")
+    place = F.shiftrightunsigned(F.col(order).bitwiseXOR(F.lit(-(1 << 63))), 33)  # 31 bits that ascend with the hash
+    return F.when(k.isNull(), F.lit(-1)).otherwise(up_to).cast("int"), (F.shiftright(place * m, 31) - m).cast("int")
+
+
+def with_next(df: DataFrame, key: str, value: str, derived: list[str], bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+    """Add to every row the next row's ``value`` and ``derived`` columns, by ascending ``key``, as ``_next_`` and their names.
+
+    The last row's next is the first one. Nulls come first; rows with equal keys follow each other by their values' hashes. Rows are
+    dealt to buckets of neighbouring keys, and each bucket's first row, marked as an extra one, also to the bucket before; so
+    values move once. Which rows these are follows from keys and hashes alone, a table of MOST_BUCKETS rows or twice as many
+    that every task gets. Rows alike in key and value share a bucket. One row is its own next.
     """
-    lowest, highest, n = (x or 0 for x in df.agg(F.min(key), F.max(key), F.count(key)).first())
-    width = max(1, (highest - lowest + 1) * bucket_docs // max(n, 1))
-    placed = df.withColumn("_bucket", F.coalesce(F.floor((F.col(key) - F.lit(lowest)) / F.lit(width)).cast("long"), F.lit(-1)))
-    heads = placed.groupBy("_bucket").agg(F.min(F.struct(F.col(key).isNotNull(), F.col(key), F.col(value))).alias("_k")).select("_bucket", F.col(f"_k.{value}").alias(value))
-    rows = placed
-    for add in derived.values():
-        rows, heads = add(rows), add(heads)
-    taken = F.struct(value, *derived)
-    inside = Window.partitionBy("_bucket").orderBy(F.col(key).asc_nulls_first(), value)
-    rows = rows.withColumn("_next", F.lead(taken).over(inside))
-    heads = heads.select(F.col("_bucket").alias("_of"), taken.alias("_head"))
-    whole = Window.orderBy("_of")
-    first = F.first("_head").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.withColumn("_after", F.coalesce(F.lead("_head").over(whole), first)).drop("_head")
-    joined = rows.join(heads, F.col("_bucket") == F.col("_of"), "left")
-    pick = F.coalesce("_next", "_after")
-    return joined.select(*df.columns, *derived, *[pick[c].alias(f"_next_{c}") for c in (value, *derived)])
+    hashed = df.withColumn("_o", F.xxhash64(value))
+    first, second = _buckets(df, key, "_o", bucket_docs)
+    placed = hashed.withColumns({"_b1": first, "_b2": second})
+    least = F.min(F.struct(F.col(key).isNotNull(), F.col(key).alias("k"), F.col("_o").alias("o"))).alias("_k")
+    heads = placed.groupBy("_b1", "_b2").agg(least)
+    along = Window.orderBy("_b1", "_b2")  # a row for each bucket
+    last = F.last(F.struct("_b1", "_b2")).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select(F.col("_b1").alias("_h1"), F.col("_b2").alias("_h2"), F.col("_k.k").alias("_hk"), F.col("_k.o").alias("_ho"), F.coalesce(F.lag(F.struct("_b1", "_b2")).over(along), last).alias("_before"))
+    met = placed.join(F.broadcast(heads), (F.col("_b1") == F.col("_h1")) & (F.col("_b2") == F.col("_h2")))  # bounded by MOST_BUCKETS
+    own = F.struct(F.lit(False).alias("extra"), F.col("_b1").alias("b1"), F.col("_b2").alias("b2"))
+    before = F.struct(F.lit(True).alias("extra"), F.col("_before._b1").alias("b1"), F.col("_before._b2").alias("b2"))
+    is_head = F.col(key).eqNullSafe(F.col("_hk")) & (F.col("_o") == F.col("_ho"))
+    dealt = met.select(*df.columns, "_o", F.explode(F.when(is_head, F.array(own, before)).otherwise(F.array(own))).alias("_t"))
+    inside = Window.partitionBy("_t.b1", "_t.b2").orderBy("_t.extra", F.col(key).asc_nulls_first(), "_o", value)
+    taken = [value, *derived]
+    rows = dealt.withColumn("_next", F.lead(F.struct(*taken)).over(inside)).where(~F.col("_t.extra"))
+    return rows.select(*df.columns, *[F.col(f"_next.{c}").alias(f"_next_{c}") for c in taken])
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -92,7 +119,7 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     are moved once, to meet the next document; columns other than key and text take no part.
     """
     base = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    pairs = with_next(base, key, "_text", {"fingerprint": lambda df: with_fingerprint(df, "_text", "fingerprint")})
+    pairs = with_next(with_fingerprint(base, "_text", "fingerprint"), key, "_text", ["fingerprint"])
     pairs = pairs.withColumn("_edit", edited(F.col("_text"), F.col("_next__text")))
     both = with_fingerprint(pairs.select(key, F.char_length("_text").cast("long").alias("n_chars"), "_edit", "fingerprint", "_next_fingerprint"), "_edit", "edited_fingerprint")
     return both.select(

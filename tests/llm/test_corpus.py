@@ -397,6 +397,27 @@ def test_next_rows_cross_buckets(spark):
     assert got == {i * i: f"t{(i + 1) % 300}" for i in range(300)}
 
 
+def test_next_rows_with_odd_keys(spark):
+    """Keys at both ends of their range, one far off, a null key and another one that hold a third of the rows each."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    r = [(k, f"t{i}") for i, k in enumerate([low, high, 5, -9 * 10**18, 9 * 10**18, *range(1000, 1100), *[None] * 100, *[2000] * 100])]
+    df = spark.createDataFrame(r, "k long, v string").repartition(5)
+    got = fingerprints.with_next(df, "k", "v", [], bucket_docs=10).collect()
+    after = {x.v: x._next_v for x in got}
+    assert len(got) == len(r) and sorted(after.values()) == sorted(after)
+    key, at, seen = {v: k for k, v in r}, max(r, key=lambda x: x[0] if x[0] is not None else low - 1)[1], []
+    for _ in r:  # one ring through all rows, by ascending key
+        at = after[at]
+        seen.append(low - 1 if key[at] is None else key[at])
+    assert seen == sorted(seen)
+    # the rows of either hot key share no task's bucket
+    first, second = fingerprints._buckets(df.withColumn("_o", F.xxhash64("v")), "k", "_o", 10)
+    sizes = df.withColumn("_o", F.xxhash64("v")).groupBy(first, second).count()
+    assert sizes.agg(F.max("count")).first()[0] < 40
+    one = spark.createDataFrame([(9 * 10**18, "a"), (-9 * 10**18, "b"), (5, "c")], "doc_id long, text string")
+    assert fingerprints.fingerprint_edits(one).count() == 3
+
+
 # -- 8: mixing
 
 
