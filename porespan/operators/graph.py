@@ -17,13 +17,14 @@ def hot_keys(counts: DataFrame, key: str, n: str, total: int | None = None) -> l
     return [r[0] for r in counts.where(F.col(n) > max(HOT_ROWS, int(total * HOT_SHARE))).select(key).collect()]
 
 
-def hot_join(rows: DataFrame, one: DataFrame, key: str, hot: list) -> DataFrame:
+def hot_join(rows: DataFrame, one: DataFrame, key: str, hot: list, also: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with what ``one`` has for their key, a row for each key: by shuffle, but for the ``hot`` keys by broadcast of their
-    few rows, so that no task gets all rows of such a key."""
+    few rows, so that no task gets all rows of such a key. Where ``key`` is a hash, ``also`` names the columns that it is of."""
+    on = [key, *also]
     if not hot:
-        return rows.join(one, key)
+        return rows.join(one, on)
     is_hot = F.col(key).isin(hot)
-    return rows.where(~is_hot).join(one.where(~is_hot), key).unionByName(rows.where(is_hot).join(F.broadcast(one.where(is_hot)), key))
+    return rows.where(~is_hot).join(one.where(~is_hot), on).unionByName(rows.where(is_hot).join(F.broadcast(one.where(is_hot)), on))
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
