@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import base64
+import contextlib
+import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
-RESPONSE = "record_id string, target_uri string, warc_date string, http_header string, payload string"
+RESPONSE = "record_id string, target_uri string, warc_date string, http_header string, payload string, payload_digest string, block_digest string, payload_length long"
 #: Date of records made from tables that have none, so that reruns agree.
 NO_DATE = "1970-01-01T00:00:00Z"
 
@@ -49,22 +55,49 @@ STEPS = (
 )
 #: The named character references that are decoded, the ampersand last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: Fixed value: stands for numeric references that name no character.
+NO_CHARACTER = "\ufffd"
 SPACES = ((r"[ \t\r\x0b\x0c]*\n[ \t\r\n\x0b\x0c]*", "\n"), (r"[ \t\r\x0b\x0c]+", " "))
 
 
-def plain_text(html: Column) -> Column:
-    """The text of a page: comments, scripts and styles go, block ends become line ends, tags go, references are decoded,
-    blanks and empty lines collapse. Unclosed tags stay as text."""
+def numeric_references(text: Column) -> Column:
+    """The text with decimal and hexadecimal character references decoded, those that have their semicolon."""
+
+    def decoded(part: Column) -> Column:
+        number = F.regexp_extract(part, r"^([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});", 1)
+        value = F.when(F.lower(F.substring(number, 1, 1)) == "x", F.conv(F.substring(number, F.lit(2), F.lit(6)), 16, 10)).otherwise(number).cast("long")
+        fits = (value > 0) & (value < 0x110000) & ~value.between(0xD800, 0xDFFF)
+        char = F.when(fits, F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32")).otherwise(F.lit(NO_CHARACTER))
+        return F.when(number == "", F.concat(F.lit("&#"), part)).otherwise(F.concat(char, F.substring(part, F.length(number) + 2, F.length(part))))
+
+    parts = F.split(text, "&#")
+    return F.when(F.contains(text, F.lit("&#")), F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))).otherwise(text)
+
+
+def without_tags(html: Column) -> Column:
+    """The first part of ``plain_text``: the page without tags, with its named references but the ampersand's decoded."""
     out = html
     for pattern, by in STEPS:
         out = F.regexp_replace(out, pattern, by)
-    for name, char in ENTITIES:
+    for name, char in ENTITIES[:-1]:
         out = F.replace(out, F.lit(name), F.lit(char))
+    return out
+
+
+def as_lines(text: Column) -> Column:
+    """The second part: the other references decoded, blanks and empty lines collapsed. It reads ``text`` more than once."""
+    out = F.replace(numeric_references(text), *map(F.lit, ENTITIES[-1]))
     for pattern, by in SPACES:
         out = F.regexp_replace(out, pattern, by)
     return F.trim(out, F.lit(" \n"))
 
 
+def plain_text(html: Column) -> Column:
+    """The text of a page: comments, scripts and styles go, block ends become line ends, tags go, references are decoded,
+    blanks and empty lines collapse. Unclosed tags stay as text."""
+    return as_lines(without_tags(html))
+
+
 def header_value(header: Column, name: str) -> Column:
     """A field of an HTTP header block, without blanks around it; null where there is none. The first one counts."""
     got = F.regexp_extract(header, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
@@ -74,8 +107,9 @@ def header_value(header: Column, name: str) -> Column:
 def derive(responses: DataFrame) -> DataFrame:
     """Two records for each response: ``metadata`` and, linked to the same source, ``conversion`` to plain text.
 
-    ``responses`` has record_id, target_uri, warc_date, http_header and payload; further columns stay, but those named
-    like an output. Both records refer to the response's identifier, target and date. The metadata block
+    ``responses`` has record_id, target_uri, warc_date, http_header and payload, and may have payload_digest, block_digest and
+    payload_length of the source as it was recorded: these are kept as they are, and computed from the payload only where they are null
+    or missing. Further columns stay, but those named like an output. Both records refer to the response's identifier, target and date. The metadata block
     (application/warc-fields) keeps the source's headers, digests and length and names the conversion; the conversion
     block is the text, of null or empty payloads the empty one. Output: record_type, record_id, refers_to,
     target_uri, warc_date, content_type, content_length, block_digest, payload_digest (the source's payload), block and
@@ -85,14 +119,19 @@ def derive(responses: DataFrame) -> DataFrame:
     source = ["record_id", "target_uri", "warc_date", "http_header", "payload"]
     own = [c for c in responses.columns if c not in made and c not in source]
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    s = responses.select(*own, *[text(c).alias(f"_{c}") for c in source])
-    s = s.select("*", digest(F.col("_payload")).alias("_payload_digest"), digest(F.concat("_http_header", F.lit(CRLF), "_payload")).alias("_source_digest"), plain_text(F.col("_payload")).alias("_text"), urn(F.lit("conversion"), F.col("_record_id")).alias("_conversion"))
+    given = lambda c, kind: F.col(c).cast(kind) if c in responses.columns else F.lit(None).cast(kind)
+    recorded = (given("payload_digest", "string").alias("_pd"), given("block_digest", "string").alias("_bd"), given("payload_length", "long").alias("_pl"))
+    s = responses.select(*[c for c in own if c != "payload_length"], *[text(c).alias(f"_{c}") for c in source], *recorded)
+    own = [c for c in own if c != "payload_length"]
+    whole = F.concat("_http_header", F.lit(CRLF), "_payload")
+    s = s.select("*", F.coalesce("_pd", digest(F.col("_payload"))).alias("_payload_digest"), F.coalesce("_bd", digest(whole)).alias("_source_digest"), without_tags(F.col("_payload")).alias("_raw"), urn(F.lit("conversion"), F.col("_record_id")).alias("_conversion"))
+    s = s.select("*", as_lines(F.col("_raw")).alias("_text")).drop("_raw")
     status = F.regexp_extract("_http_header", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
     fields = F.concat(
         F.lit("source-record-id: "), "_record_id", F.lit(CRLF + "conversion-record-id: "), "_conversion", F.lit(CRLF + "source-status: "), status,
         F.lit(CRLF + "source-content-type: "), F.coalesce(header_value(F.col("_http_header"), "Content-Type"), F.lit("")),
         F.lit(CRLF + "source-block-digest: "), "_source_digest", F.lit(CRLF + "source-payload-digest: "), "_payload_digest",
-        F.lit(CRLF + "source-payload-length: "), F.octet_length("_payload").cast("string"),
+        F.lit(CRLF + "source-payload-length: "), F.coalesce("_pl", F.octet_length("_payload")).cast("string"),
         F.lit(CRLF + "source-header: "), F.regexp_replace(F.regexp_replace("_http_header", r"[\r\n]+$", ""), r"\r\n", "\r\n "), F.lit(CRLF),
     )
     records = F.explode(F.array(
@@ -118,42 +157,76 @@ def write_warc(records: DataFrame, path: str) -> None:
     records.select(whole.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
-def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of an unpacked WARC file: header fields in lower case, and block."""
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        fields = {}
-        for x in data[at:end].decode("utf-8", "replace").split(CRLF)[1:]:
-            name, _, value = x.partition(":")
-            fields[name.strip().lower()] = value.strip()
-        length = int(fields.get("content-length", 0))
-        yield fields, data[end + 4 : end + 4 + length]
-        at = end + 4 + length
+def _records(rows: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records (header fields in lower case, block) of a file cut at each ``WARC/1.``: a block that has these signs itself, and so is
+    shorter than its length says, goes on in the next rows."""
+    fields, block, length = None, b"", 0
+    for row in rows:
+        if fields is not None and len(block) < length:
+            block += b"WARC/1." + row
+            continue
+        if fields is not None:
+            yield fields, block[:length]
+        fields = None
+        head, mark, rest = row.partition(b"\r\n\r\n")
+        if mark and head[:3] in (b"0\r\n", b"1\r\n"):
+            pairs = (x.partition(":") for x in head.decode("utf-8", "replace").split(CRLF)[1:])
+            fields, block = {name.strip().lower(): value.strip() for name, _, value in pairs}, rest
+            length = int(fields.get("content-length") or 0)
+    if fields is not None:
+        yield fields, block[:length]
+
+
+def sha1_digest(data: bytes) -> str:
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def body_text(http_header: str, body: bytes) -> str:
+    """The text of a response's body: chunks joined, content unpacked (gzip, deflate) and decoded by the charset that the header
+    or, in the first 2,048 bytes, the page names; UTF-8 else. What can't be undone stays as it is."""
+    fields = {n.strip().lower(): v.strip().lower() for n, _, v in (x.partition(":") for x in http_header.split(CRLF)[1:])}
+    if "chunked" in fields.get("transfer-encoding", ""):
+        parts, at = [], 0
+        while (end := body.find(b"\r\n", at)) >= 0 and re.fullmatch(rb"[0-9A-Fa-f]+", size := body[at:end].split(b";")[0].strip()):
+            if not int(size, 16):
+                body = b"".join(parts)
+                break
+            parts.append(body[end + 2 : end + 2 + int(size, 16)])
+            at = end + 4 + int(size, 16)
+    if (coding := fields.get("content-encoding", "")) in ("gzip", "x-gzip", "deflate"):
+        for bits in (47, -15) if coding == "deflate" else (47,):
+            with contextlib.suppress(zlib.error):
+                body = zlib.decompressobj(bits).decompress(body)
+                break
+    named = re.search(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", fields.get("content-type", "").encode() + b"\n" + body[:2048])
+    with contextlib.suppress(LookupError):
+        return body.decode(named[1].decode() if named else "utf-8", "replace")
+    return body.decode("utf-8", "replace")
 
 
 def read_warc(spark: SparkSession, path: str, kind: str = "response") -> DataFrame:
-    """Response records (or records of another ``kind``, with the block as payload) of plain or gzipped WARC files."""
-    import zlib
-
-    def parse(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows = []
-            for data in batch["content"]:
-                while data[:2] == b"\x1f\x8b":  # one gzip member for each record, or one for all
-                    unpack, got = zlib.decompressobj(31), []
-                    rest = data
-                    while rest[:2] == b"\x1f\x8b":
-                        unpack = zlib.decompressobj(31)
-                        got.append(unpack.decompress(rest))
-                        rest = unpack.unused_data
-                    data = b"".join(got)
-                for f, block in _records(data):
-                    if f.get("warc-type") == kind:
-                        head, mark, body = block.partition(b"\r\n\r\n") if kind == "response" else (b"", b"", block)
-                        rows.append([f.get("warc-record-id"), f.get("warc-target-uri"), f.get("warc-date"), head.decode("utf-8", "replace") + CRLF * bool(mark), body.decode("utf-8", "replace")])
-            yield pd.DataFrame(rows, columns=["record_id", "target_uri", "warc_date", "http_header", "payload"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, RESPONSE)
+    """Response records (or records of another ``kind``, with the block as payload) of plain or gzipped WARC files, with the digests
+    that they have; missing ones, and the payload's length, are of the bytes as recorded, ``payload`` is their text.
+
+    Files are read as a stream of records, not as a whole; files that aren't compressed are read in splits."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "long": pa.int64()}
+        schema = pa.schema([(n, kinds[t]) for n, t in (f.split() for f in RESPONSE.split(", "))])
+        rows, size = [], 0
+        for f, block in _records(x for b in batches for x in b.column(0).to_pylist()):
+            if f.get("warc-type") != kind:
+                continue
+            head, mark, body = block.partition(b"\r\n\r\n") if kind == "response" else (b"", b"", block)
+            header = head.decode("utf-8", "replace") + CRLF * bool(mark)
+            text = body_text(header, body) if kind == "response" else body.decode("utf-8", "replace")
+            rows.append((f.get("warc-record-id"), f.get("warc-target-uri"), f.get("warc-date"), header, text, f.get("warc-payload-digest") or sha1_digest(body), f.get("warc-block-digest") or sha1_digest(block), len(body)))
+            size += len(block)
+            if size > 8 << 20:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+
+    cut = spark.read.option("lineSep", "WARC/1.").text(path)
+    return cut.select(F.col("value").cast("binary").alias("value")).mapInArrow(parse, RESPONSE)
