@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..scratch import checkpointed, shared_dir
+from ..scratch import checkpointed, table_path
 
 __all__ = ["BLANKS", "GAP", "WORD", "ascii_lower", "checkpointed", "connected_components", "count_words", "split_words", "table", "tidied", "written"]
 #: A word is a run of characters other than ASCII white space; Java and DuckDB read the same class.
@@ -24,7 +23,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: as ``checkpointed``, but columnar and compressed."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = table_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
