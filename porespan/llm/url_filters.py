@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import hot_join, hot_keys
 from .common import checkpointed
 
 #: (action, host suffix, path prefix); a rule is written as host/path, the longest that fits wins.
@@ -55,6 +56,7 @@ def path_templates(urls: DataFrame, many: int = MANY, share: float = SHARE, alik
     """
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = checkpointed(urls.withColumns({"_s": F.transform(segs, shape), "template": F.lit("")}))
+    columns = rows.columns
     deepest = rows.agg(F.max(F.size("_s"))).first()[0] or 0
     for level in range(deepest):
         left = rows.where(F.size("_s") > level)
@@ -65,21 +67,29 @@ def path_templates(urls: DataFrame, many: int = MANY, share: float = SHARE, alik
         rows = rows.withColumn("_c", F.get(F.col("_s"), F.lit(level)))
         below = F.coalesce(F.get(F.col("_s"), F.lit(level + 1)), F.lit(""))
         kind = F.when(below.startswith("{"), F.regexp_extract(below, r"^(\{[x9]+\})", 1)).when(below == "", F.lit("")).otherwise(F.lit("w"))
-        per_kind = rows.where("_c IS NOT NULL").groupBy("host", "template", "_c", kind.alias("_k")).agg(*[F.sum(c).alias(c) for c in ("n", "n_label", "n_block")])
-        branch, sib = Window.partitionBy("host", "template", "_c"), Window.partitionBy("host", "template")
-        same_kind = Window.partitionBy("host", "template", "_k")
-        t = per_kind.withColumns({"cn": F.sum("n").over(branch), "total": F.sum("n").over(sib), "kn": F.sum("n").over(same_kind)})
-        one = t.groupBy("host", "template", "_c").agg(
-            F.first("cn").alias("cn"), F.first("total").alias("total"), F.sum("n_label").alias("lab"), F.sum("n_block").alias("blk"),
+        per_kind = rows.where("_c IS NOT NULL").groupBy("host", "template", "_c", kind.alias("_k")).agg(*[F.sum(c).alias(c) for c in ("n", "n_label", "n_block")], F.count("*").alias("n_urls"))
+        # totals are pre-aggregated; a branch may hold a third of all urls, so they meet its children by hot_join
+        of_branch, of_child, of_kind = (F.xxhash64(*c).alias(n) for c, n in ((["host", "template"], "_branch"), (["host", "template", "_c"], "_child"), (["host", "template", "_k"], "_kind")))
+        t = checkpointed(per_kind.select("*", of_branch, of_child, of_kind))
+        sums = lambda by, **names: t.groupBy(by).agg(*[F.sum(c).alias(n) for n, c in names.items()], F.count("*").alias("_rows"))
+        totals = {"_kind": sums("_kind", kn="n"), "_child": sums("_child", cn="n", lab="n_label", blk="n_block"), "_branch": sums("_branch", total="n", sl="n_label", sb="n_block")}
+        met = t.select("host", "template", "_c", "_branch", "_child", "_kind", "n")
+        for by, found in totals.items():
+            met = hot_join(met, found.drop("_rows"), by, hot_keys(found, by, "_rows"))
+        one = met.groupBy("_child").agg(
+            *[F.first(c).alias(c) for c in ("host", "template", "_c", "_branch", "cn", "lab", "blk", "total", "sl", "sb")],
             (F.sum(F.abs(F.col("n") / F.col("cn") - F.col("kn") / F.col("total"))) / 2 + (1 - F.sum(F.col("kn") / F.col("total"))) / 2).alias("tv"),
         )
-        one = one.withColumns({"kids": F.count("*").over(sib), "sl": F.sum("lab").over(sib), "sb": F.sum("blk").over(sib)})
+        kids = one.groupBy("_branch").agg(F.count("*").alias("kids"))
+        one = hot_join(one, kids, "_branch", hot_keys(kids, "_branch", "kids"))
         rate = lambda b, n: (F.col(b) + 1) / (F.col(n) + 2)
         merged = (F.col("kids") > 1) & (F.col("tv") <= alike) & (((F.col("lab") == 0) & (F.col("sl") == 0)) | ((F.col("lab") > 0) & (F.abs(rate("blk", "lab") - rate("sb", "sl")) <= 0.25)))
         name = F.when((F.col("kids") > many) & (F.col("cn") < share * F.col("total")), F.lit("*")).when(merged & ~F.col("_c").startswith("{"), F.lit("~")).otherwise(F.col("_c"))
-        one = one.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("_c").alias("_d"), name.alias("_name"))
-        rows = rows.join(one, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("_c") == F.col("_d")), "left")
-        rows = rows.withColumn("template", F.when(F.col("_name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.col("_name")))).drop("_h", "_t", "_d", "_name", "_c")
+        one = one.select("_child", name.alias("_name"))
+        deep = rows.where("_c IS NOT NULL").withColumn("_child", F.xxhash64("host", "template", "_c"))
+        urls_of = t.groupBy("_child").agg(F.sum("n_urls").alias("_rows"))
+        named = hot_join(deep, one, "_child", hot_keys(urls_of, "_child", "_rows")).withColumn("template", F.concat("template", F.lit("/"), F.col("_name")))
+        rows = named.select(*columns).unionByName(rows.where("_c IS NULL").select(*columns))
         rows = checkpointed(rows)
     return rows.drop("_s")
 
@@ -105,6 +115,10 @@ def url_verdicts(pages: DataFrame, rules=RULES, smooth: float = SMOOTH, reject:
     judged = own_t.join(shared, F.col("_t2") == F.col("_t")).join(F.broadcast(whole))  # one row
     middle = (F.col("tb") + smooth * prior) / (F.col("tl") + smooth)
     judged = judged.withColumn("purity", (F.col("hb") + smooth * middle) / (F.col("hl") + smooth)).select("_h", F.col("_t2"), "purity")
-    by_url = tree.join(judged, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t2"))).select(F.col("host").alias("_h1"), F.col("path").alias("_p1"), "template", "purity")
-    out = parsed.join(by_url, (F.col("host") == F.col("_h1")) & (F.col("path") == F.col("_p1")))
+    template_of, url_of = F.xxhash64("host", "template"), F.xxhash64("host", "path")
+    hot = hot_keys(tree.groupBy(template_of.alias("_template")).agg(F.count("*").alias("_rows")), "_template", "_rows")
+    by_url = hot_join(tree.withColumn("_template", template_of), judged.select(F.xxhash64("_h", "_t2").alias("_template"), F.col("_h").alias("host"), F.col("_t2").alias("template"), "purity"), "_template", hot, ("host", "template"))
+    by_url = by_url.select(url_of.alias("_url"), "host", "path", "template", "purity")
+    # one url, as that of rows without any, may be a third of all rows
+    out = hot_join(parsed.withColumn("_url", url_of), by_url, "_url", hot_keys(tree.select(url_of.alias("_url"), "n"), "_url", "n"), ("host", "path"))
     return out.withColumn("verdict", F.coalesce("_action", F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow")))).select(*own, *made)
