@@ -90,7 +90,8 @@ def apportion(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int
 
     plan = src.select(F.col("source").alias("_source"), "source_size", "target", "block", "source_blocks", "n_shards")
     dealt = sized.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    dealt = dealt.withColumns({"shard": F.pmod(seeded(F.col("doc_id"), seed, "shard"), F.col("n_shards")), "order": seeded(F.col("doc_id"), seed, "order")})
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("size "), F.col("size").cast("string")))  # rows without a key part too
+    dealt = dealt.withColumns({"shard": F.pmod(seeded(name, seed, "shard"), F.col("n_shards")), "order": seeded(F.col("doc_id"), seed, "order")})
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"), F.first("block").alias("shard_block"))
     quotas = sainte_lague(shards.withColumn("votes", F.col("shard_size").cast("double")), ["source", "source_blocks"], "shard", "votes", "source_blocks")
     quotas = quotas.withColumn("quota", F.least(F.col("seats") * F.col("shard_block"), F.col("shard_size") * most))

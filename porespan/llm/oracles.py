@@ -86,7 +86,7 @@ def mix() -> str:
     bl AS (SELECT *, target AS votes, greatest(1, least(4096, CAST(floor(coalesce(min(target) FILTER (target > 0) OVER (), 1.0) / 500) AS BIGINT))) AS block FROM tg),
     bs AS (SELECT *, CAST(round(sum(target) OVER () / block) AS BIGINT) AS seats_all FROM bl),
     {sainte_lague("src", "bs", "", "source")},
-    dealt AS (SELECT d.*, s.source_size, s.target, s.block, s.seats AS source_blocks, {draw("d.doc_id", "shard")} % greatest(1, CAST(ceil(s.n_docs / {mixing.SHARD_DOCS}::DOUBLE) AS BIGINT)) AS shard, {draw("d.doc_id", "order")} AS ord FROM sized d JOIN src s ON d.source IS NOT DISTINCT FROM s.source),
+    dealt AS (SELECT d.*, s.source_size, s.target, s.block, s.seats AS source_blocks, {draw("coalesce(d.doc_id::VARCHAR, 'size ' || d.size)", "shard")} % greatest(1, CAST(ceil(s.n_docs / {mixing.SHARD_DOCS}::DOUBLE) AS BIGINT)) AS shard, {draw("d.doc_id", "order")} AS ord FROM sized d JOIN src s ON d.source IS NOT DISTINCT FROM s.source),
     shards AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS shard_size, CAST(sum(size) AS DOUBLE) AS votes, any_value(source_blocks) AS seats_all, any_value(block) AS block FROM dealt GROUP BY 1, 2),
     {sainte_lague("sh", "shards", "source", "shard")},
     q AS (SELECT *, least(seats * block, shard_size * {mixing.MOST}) AS quota FROM sh),
@@ -101,8 +101,14 @@ def derivatives() -> str:
     text = "html"
     for pattern, by in warc.STEPS:
         text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(by)}, 'g')"
-    for name, char in warc.ENTITIES:
+    for name, char in warc.ENTITIES[:-1]:
         text = f"replace({text}, {quoted(name)}, {quoted(char)})"
+    number = "regexp_extract(p, '^([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});', 1)"
+    value = f"(CASE WHEN lower(substr({number}, 1, 1)) = 'x' THEN CAST('0x' || substr({number}, 2) AS BIGINT) ELSE TRY_CAST({number} AS BIGINT) END)"
+    char = f"CASE WHEN {value} > 0 AND {value} < 1114112 AND {value} NOT BETWEEN 55296 AND 57343 THEN chr(CAST({value} AS INT)) ELSE chr({ord(warc.NO_CHARACTER)}) END"
+    part = f"CASE WHEN {number} = '' THEN '&#' || p ELSE {char} || substr(p, length({number}) + 2) END"
+    text = f"(SELECT s[1] || coalesce(array_to_string(list_transform(s[2:], lambda p: {part}), ''), '') FROM (SELECT string_split({text}, '&#') AS s))"
+    text = f"replace({text}, {quoted(warc.ENTITIES[-1][0])}, {quoted(warc.ENTITIES[-1][1])})"
     for pattern, by in warc.SPACES:
         text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(by)}, 'g')"
     urn = lambda x: f"(SELECT '<urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) || '>' FROM (SELECT md5({x}) AS h))"
