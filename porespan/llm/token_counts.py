@@ -79,6 +79,8 @@ class Transducer:
     def _follows(self, a: str | None, b: str) -> bool:
         got = self.fits.get((a, b))
         if got is None:
+            if len(self.fits) > KEPT:
+                self.fits.clear()
             got = self.merge((self._symbols(a) if a else []) + self._symbols(b)) == ([a, b] if a else [b])
             self.fits[a, b] = got
         return got

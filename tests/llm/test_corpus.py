@@ -89,6 +89,39 @@ def test_warc_reads_responses(spark, tmp_path):
     assert "source-status: 404" in m.block and "source-content-type: text/plain" in m.block
 
 
+def test_warc_bodies_as_recorded(spark, tmp_path):
+    """Bodies in another charset, packed and in chunks give their text; digests and lengths are the source's."""
+    import gzip
+
+    page, cut = "<p>caf\u00e9 WARC/1.0\r\nWARC-Type: response\r\n\r\n \u20ac</p>", []
+    packed = gzip.compress(page.encode("cp1252"))
+    chunks = b"5\r\n" + packed[:5] + b"\r\n" + f"{len(packed) - 5:x};x=1\r\n".encode() + packed[5:] + b"\r\n0\r\n\r\n"
+    for i, (extra, body) in enumerate((("", page.encode("cp1252")), ("Content-Encoding: gzip\r\n", packed), ("Content-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n", chunks))):
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=windows-1252\r\n{extra}\r\n".encode() + body
+        given = "WARC-Payload-Digest: sha1:GIVEN\r\nWARC-Block-Digest: sha1:BLOCK\r\n" if i == 1 else ""
+        cut.append((f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{i}>\r\n{given}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n", block, body))
+    (tmp_path / "plain.warc").write_bytes(b"".join(r for r, _, _ in cut))
+    (tmp_path / "packed.warc.gz").write_bytes(b"".join(gzip.compress(r) for r, _, _ in cut))
+    b32 = lambda x: "sha1:" + __import__("base64").b32encode(hashlib.sha1(x).digest()).decode()
+    for name in ("plain.warc", "packed.warc.gz"):
+        source = warc.read_warc(spark, str(tmp_path / name))
+        got = {r.record_id: r for r in source.collect()}
+        assert len(got) == 3
+        for i, (_, block, body) in enumerate(cut):
+            r = got[f"<{i}>"]
+            assert r.payload == page and r.payload_length == len(body)
+            assert (r.payload_digest, r.block_digest) == (("sha1:GIVEN", "sha1:BLOCK") if i == 1 else (b32(body), b32(block)))
+        m = {r.refers_to: r for r in warc.derive(source).where("record_type = 'metadata'").collect()}
+        for k, r in got.items():
+            assert f"source-block-digest: {r.block_digest}\r\n" in m[k].block and m[k].payload_digest == r.payload_digest and f"source-payload-length: {r.payload_length}\r\n" in m[k].block
+
+
+def test_warc_numeric_references(spark):
+    texts = ["a&#233;&#x20AC;b &#xD800; &#0; &#12 &#; &#x1F600;&#", "no references", "&#65;", "", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(warc.plain_text(F.col("t"))).collect()]
+    assert got == ["a\u00e9\u20acb \ufffd \ufffd &#12 &#; \U0001f600&#", "no references", "A", "", None]
+
+
 def test_warc_text_and_edges(spark):
     html = "<title>T</title><!-- c --><script>x<y</script><p>a &amp;lt; b&nbsp;c<br>d <b>e</b></p>\n\n<p>f"
     df = spark.createDataFrame([(1, "http://a/", html, "keep"), (2, None, None, "k"), (2, None, None, "k")], "page_id int, url string, html string, block string")
