@@ -66,29 +66,25 @@ def path_templates(urls: DataFrame, many: int = MANY, share: float = SHARE, alik
             break
         rows = rows.withColumn("_c", F.get(F.col("_s"), F.lit(level)))
         below = F.coalesce(F.get(F.col("_s"), F.lit(level + 1)), F.lit(""))
-        kind = F.when(below.startswith("{"), F.regexp_extract(below, r"^(\{[x9]+\})", 1)).when(below == "", F.lit("")).otherwise(F.lit("w"))
-        per_kind = rows.where("_c IS NOT NULL").groupBy("host", "template", "_c", kind.alias("_k")).agg(*[F.sum(c).alias(c) for c in ("n", "n_label", "n_block")], F.count("*").alias("n_urls"))
-        # totals are pre-aggregated; a branch may hold a third of all urls, so they meet its children by hot_join
-        of_branch, of_child, of_kind = (F.xxhash64(*c).alias(n) for c, n in ((["host", "template"], "_branch"), (["host", "template", "_c"], "_child"), (["host", "template", "_k"], "_kind")))
-        t = checkpointed(per_kind.select("*", of_branch, of_child, of_kind))
-        sums = lambda by, **names: t.groupBy(by).agg(*[F.sum(c).alias(n) for n, c in names.items()], F.count("*").alias("_rows"))
-        totals = {"_kind": sums("_kind", kn="n"), "_child": sums("_child", cn="n", lab="n_label", blk="n_block"), "_branch": sums("_branch", total="n", sl="n_label", sb="n_block")}
-        met = t.select("host", "template", "_c", "_branch", "_child", "_kind", "n")
-        for by, found in totals.items():
-            met = hot_join(met, found.drop("_rows"), by, hot_keys(found, by, "_rows"))
-        one = met.groupBy("_child").agg(
-            *[F.first(c).alias(c) for c in ("host", "template", "_c", "_branch", "cn", "lab", "blk", "total", "sl", "sb")],
-            (F.sum(F.abs(F.col("n") / F.col("cn") - F.col("kn") / F.col("total"))) / 2 + (1 - F.sum(F.col("kn") / F.col("total"))) / 2).alias("tv"),
-        )
-        kids = one.groupBy("_branch").agg(F.count("*").alias("kids"))
-        one = hot_join(one, kids, "_branch", hot_keys(kids, "_branch", "kids"))
+        kind = F.when(below == "", "end").when(below.startswith("{9}"), "number").when(below.startswith("{x9}"), "code").otherwise("word")
+        kinds = ("end", "number", "code", "word")
+        sums = lambda names: [F.sum(c).alias(c) for c in names]
+        shares = [F.coalesce(F.sum(F.when(kind == k, F.col("n"))), F.lit(0)).alias(k) for k in kinds]
+        of = lambda *c: F.xxhash64(*c)
+        child = rows.where("_c IS NOT NULL").groupBy("host", "template", "_c").agg(*sums(("n", "n_label", "n_block")), F.count("*").alias("n_urls"), *shares)
+        child = checkpointed(child.select("*", of("host", "template").alias("_branch"), of("host", "template", "_c").alias("_child")))
+        # a branch may hold a third of all urls: its totals are pre-aggregated and meet its children by hot_join
+        totals = [F.sum(c).alias(f"all_{c}") for c in ("n", "n_label", "n_block", *kinds)]
+        branch = child.groupBy("_branch").agg(F.count("*").alias("kids"), *totals)
+        one = hot_join(child, branch, "_branch", hot_keys(branch, "_branch", "kids"))
+        apart = [F.abs(F.col(k) / F.col("n") - F.col(f"all_{k}") / F.col("all_n")) for k in kinds]
+        one = one.withColumn("tv", (apart[0] + apart[1] + apart[2] + apart[3]) / 2)
         rate = lambda b, n: (F.col(b) + 1) / (F.col(n) + 2)
-        merged = (F.col("kids") > 1) & (F.col("tv") <= alike) & (((F.col("lab") == 0) & (F.col("sl") == 0)) | ((F.col("lab") > 0) & (F.abs(rate("blk", "lab") - rate("sb", "sl")) <= 0.25)))
-        name = F.when((F.col("kids") > many) & (F.col("cn") < share * F.col("total")), F.lit("*")).when(merged & ~F.col("_c").startswith("{"), F.lit("~")).otherwise(F.col("_c"))
+        merged = (F.col("kids") > 1) & (F.col("tv") <= alike) & (((F.col("n_label") == 0) & (F.col("all_n_label") == 0)) | ((F.col("n_label") > 0) & (F.abs(rate("n_block", "n_label") - rate("all_n_block", "all_n_label")) <= 0.25)))
+        name = F.when((F.col("kids") > many) & (F.col("n") < share * F.col("all_n")), F.lit("*")).when(merged & ~F.col("_c").startswith("{"), F.lit("~")).otherwise(F.col("_c"))
         one = one.select("_child", name.alias("_name"))
-        deep = rows.where("_c IS NOT NULL").withColumn("_child", F.xxhash64("host", "template", "_c"))
-        urls_of = t.groupBy("_child").agg(F.sum("n_urls").alias("_rows"))
-        named = hot_join(deep, one, "_child", hot_keys(urls_of, "_child", "_rows")).withColumn("template", F.concat("template", F.lit("/"), F.col("_name")))
+        deep = rows.where("_c IS NOT NULL").withColumn("_child", of("host", "template", "_c"))
+        named = hot_join(deep, one, "_child", hot_keys(child, "_child", "n_urls")).withColumn("template", F.concat("template", F.lit("/"), F.col("_name")))
         rows = named.select(*columns).unionByName(rows.where("_c IS NULL").select(*columns))
         rows = checkpointed(rows)
     return rows.drop("_s")
