@@ -14,7 +14,7 @@ from .common import ascii_lower, split_words
 SHINGLE, BINS, BITS = 5, 128, 4
 SEED = 7
 #: About so many documents share a bucket when each is paired with the next one, and more when there would be over MOST_BUCKETS.
-BUCKET_DOCS, MOST_BUCKETS = 2000, 1 << 15
+BUCKET_DOCS, MOST_BUCKETS = 500, 1 << 15
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, shingle: int = SHINGLE, bins: int = BINS, seed: int = SEED) -> DataFrame:
