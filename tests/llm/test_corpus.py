@@ -240,6 +240,60 @@ def test_passages_of_pieces_that_others_hold(spark):
         assert got == [(4, 3, 12, 72)]
 
 
+def test_passages_equal_brute_force_on_any_partitioning(spark):
+    """Recall against a comparison of all pairs, equal rows on 1, 4 and 28 partitions, and texts that share a key."""
+    import difflib
+
+    rng = random.Random(8)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [fresh(rng.choice((55, 70, 120))) for _ in range(12)]
+    texts = {}
+    for i in range(120):
+        p, kind = rng.choice(passages), i % 4
+        if kind == 0:
+            p = p[:16] if i % 8 else fresh(60)
+        elif kind == 2:
+            p = [w if rng.random() > 0.06 else f"c{rng.randrange(10**9)}" for w in p]
+        texts[i * 7 - 300] = fresh(rng.randrange(60)) + p + fresh(rng.randrange(60))
+    # pieces of 16 words that earlier documents hold singly
+    apart = fresh(90)
+    texts |= {900 + i: fresh(20) + apart[16 * i : 16 * i + 16] + fresh(20) for i in range(6)} | {1000: fresh(9) + apart + fresh(9), 1001: fresh(30) + apart + fresh(3)}
+    ids = sorted(texts)
+    want = set()
+    for i, d in enumerate(ids):
+        for e in ids[:i]:
+            m = difflib.SequenceMatcher(None, texts[d], texts[e], autojunk=False).get_matching_blocks()
+            near = [b for b in m if b.size]
+            if near and sum(b.size for b in near) >= 48 and near[-1].a + near[-1].size - near[0].a >= 50:
+                want.add(d)
+    r = [(d, " ".join(w)) for d, w in texts.items()] + [(ids[5], "another text under the same key " * 20), (None, " ".join(apart)), (None, None)]
+    df = spark.createDataFrame(r, "doc_id long, text string").withColumn("words", F.lit(1)).withColumn("block", F.lit("x"))
+    got = [sorted(map(tuple, substring_dedup.passages(df.repartition(n)).collect())) for n in (1, 4, 28)]
+    assert got[0] == got[1] == got[2]
+    found = {x[0] for x in got[0]}
+    assert len(found & want) >= 0.97 * len(want) and 1001 in found
+    for d, e, a, b, x, y, n, like, _ in got[0]:
+        here, there = texts[d][a:b], texts[e][x:y]
+        assert e < d and min(len(here), len(there)) >= 50 and like == n / max(len(here), len(there)) >= 0.8 and substring_dedup._common(here, there) >= n
+    small = {n: sorted(map(tuple, part.collect())) for n, part in ((b, _with_blocks(df, b)) for b in (2000, 1 << 30))}
+    assert {x[0] for x in small[2000]} == {x[0] for x in small[1 << 30]} == found
+
+
+def _with_blocks(df, size):
+    before, substring_dedup.BLOCK_BYTES = substring_dedup.BLOCK_BYTES, size
+    try:
+        return substring_dedup.passages(df)
+    finally:
+        substring_dedup.BLOCK_BYTES = before
+
+
+def test_packed_columns():
+    rng = np.random.default_rng(2)
+    for columns in ([np.array([-(1 << 63), (1 << 63) - 1, 0])], [np.arange(200_000), rng.integers(-50, 50, 200_000)], [rng.integers(-(1 << 62), 1 << 62, 70_000)]):
+        back = substring_dedup.together([substring_dedup.unpacked(b) for b in substring_dedup.packed(*columns)])
+        assert all((a == b).all() for a, b in zip(columns, back, strict=True))
+
+
 def brute_chain(m, k, gap):
     best = {}
     for i, (x, y) in sorted(enumerate(m), key=lambda q: q[1]):
@@ -254,7 +308,7 @@ def test_chains_are_optimal_without_slip():
         got = substring_dedup.chains(m, k=5, gap=0.1, slip=0.0)
         want = brute_chain([tuple(x) for x in m.tolist()], 5, 0.1)
         if want > 5:
-            x0, x1, y0, y1, n = got[0]
+            x0, x1, y0, y1, n, _ = got[0]
             assert want == pytest.approx(5 * n - 0.1 * (x1 - 5 - x0 + y1 - 5 - y0))
 
 
