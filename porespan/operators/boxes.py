@@ -137,6 +137,11 @@ def section_order(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return boxes.groupBy(*keys).agg(mid.alias("z_mid")).withColumn("z_rank", F.row_number().over(part))
 
 
+def with_section(rows: DataFrame, order: DataFrame, keys: list[str], unknown: int = 999) -> DataFrame:
+    """Rows with their track's ``z_rank``; tracks without a box come last, with ``unknown``."""
+    return rows.join(order.select(*keys, "z_rank"), keys, "left").withColumn("z_rank", F.coalesce("z_rank", F.lit(unknown)))
+
+
 def section_pivot(boxes: DataFrame, order: DataFrame, n_keep: int = 8) -> DataFrame:
     """Scans by sections s1 .. in z order, with their mean and population deviation."""
     j = boxes.join(order.select("track_id", "z_rank"), "track_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import re
 import socket
 from datetime import datetime
@@ -83,9 +85,16 @@ def preflight(files: DataFrame, summaries: DataFrame, boxes: DataFrame) -> DataF
 
 
 def insert_ignore(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The table with the rows whose keys it lacks; of new rows with one key an arbitrary one."""
-    new = rows.join(table.select(*keys), keys, "left_anti").dropDuplicates(keys)
-    return table.unionByName(new.select(*table.columns))
+    """The table with the rows whose keys it lacks; of new rows with one key the least by their other columns, in their order."""
+    rest = [c for c in table.columns if c not in keys]
+    new = rows.join(table.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")) if rest else rows.join(table.select(*keys), keys, "left_anti").distinct()
+    return table.unionByName(new.select(*keys, *([F.col(f"_r.{c}").alias(c) for c in rest])).select(*table.columns))
+
+
+def fit_records(fits: DataFrame, values: list[str], dataset: str, form: str) -> DataFrame:
+    """Rows of the table of fits, for ``upsert`` by run, dataset, form and phase: parameter names and values as JSON arrays."""
+    as_json = lambda items: F.to_json(F.array(*items))
+    return fits.select("run_id", F.lit(dataset).alias("dataset"), F.lit(form).alias("form"), "phase", F.lit(json.dumps(values, separators=(",", ":"))).alias("param_names"), as_json([F.col(v) for v in values]).alias("param_values"), "n_points")
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -24,6 +24,22 @@ def kr_wide(results: DataFrame) -> DataFrame:
     return k.groupBy(*TRACK, "scan_index").agg(F.max("sw").alias("sw"), pick("gas").alias("kr_gas"), pick("water").alias("kr_brine"))
 
 
+def back_fill(results: DataFrame, simulator: str) -> DataFrame:
+    """The results with kr of one simulator's phases filled from the track's K_abs in that run, whatever the connectivity; where
+    several connectivities have a positive one, the greatest of them."""
+    kabs = results.where((F.col("simulator") == simulator) & (F.col("sim_type") == "absolute") & (F.col("k_z") > 0)).groupBy("run_id", "track_id").agg(F.max("k_z").alias("_k"))
+    mine = (F.col("simulator") == simulator) & (F.col("sim_type") != "absolute") & F.col("_k").isNotNull()
+    return results.join(kabs, ["run_id", "track_id"], "left").withColumn("kr", F.when(mine, F.col("k_z") / F.col("_k")).otherwise(F.col("kr"))).select(*results.columns)
+
+
+def write_back(results: DataFrame, wide: DataFrame) -> DataFrame:
+    """The results with the points' kr on the rows of their phases, for every simulator; null kr changes nothing."""
+    key = ["run_id", "scan_index", "track_id", "connectivity"]
+    sides = F.explode(F.array(*[F.struct(F.lit(t).alias("sim_type"), F.col(c).alias("kr")) for t, c in (("gas", "kr_gas"), ("water", "kr_brine"))]))
+    new = wide.select(*key, sides.alias("p")).select(*key, "p.sim_type", F.col("p.kr").alias("_kr")).where("_kr IS NOT NULL")
+    return results.join(new, [*key, "sim_type"], "left").withColumn("kr", F.coalesce("_kr", "kr")).select(*results.columns)
+
+
 def complete_cases(wide: DataFrame, outliers: list[int] | None = None) -> DataFrame:
     """Rows with saturation and both phases, without the tracks named as outliers."""
     return wide.where("sw IS NOT NULL AND kr_gas IS NOT NULL AND kr_brine IS NOT NULL").where(~F.col("track_id").isin(outliers or []) if outliers else F.lit(True))

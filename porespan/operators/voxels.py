@@ -111,19 +111,31 @@ def overlap(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFr
     return j.select(*on, F.when(F.col("_a") & F.col("_b"), 1).when(F.col("_a"), 2).otherwise(3).alias("value"))
 
 
-def agreement(values: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Counts of an overlap map, Jaccard agreement and agreement of the counts, in per cent."""
-    n = lambda v: F.coalesce(F.sum(F.when(F.col("value") == v, 1)), F.lit(0))
-    g = values.groupBy(*(keys or [])).agg(n(1).alias("n_both"), n(2).alias("only_a"), n(3).alias("only_b"))
+def overlap_counts(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Voxels in both of two masks, given as runs, in the first alone and in the second alone, for each of ``keys``.
+
+    Runs of a row meet by keys and row, and add the length that they share; no voxel is made."""
+    row = [*keys, "z", "y"]
+    met = a.select(*row, "x0", "x1").join(b.select(*row, F.col("x0").alias("b0"), F.col("x1").alias("b1")), row).where("x0 <= b1 AND x1 >= b0")
+    sized = lambda df, kind: df.select(*keys, F.lit(kind).alias("kind"), length().alias("n"))
+    shared = met.select(*keys, F.greatest("x0", "b0").alias("x0"), F.least("x1", "b1").alias("x1"))
+    every = sized(a, "a").unionByName(sized(b, "b")).unionByName(sized(shared, "both"))
+    n = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    return every.groupBy(*keys).agg(n("both").alias("n_both"), (n("a") - n("both")).alias("only_a"), (n("b") - n("both")).alias("only_b"))
+
+
+def agreement(counts: DataFrame) -> DataFrame:
+    """Jaccard agreement of two masks and agreement of their counts, in per cent, added to their ``overlap_counts``."""
     na, nb = F.col("n_both") + F.col("only_a"), F.col("n_both") + F.col("only_b")
-    return g.withColumns({"agreement": 100 * F.try_divide(F.col("n_both").cast("double"), F.col("n_both") + F.col("only_a") + F.col("only_b")), "count_agreement": 100 * F.try_divide(F.least(na, nb).cast("double"), F.greatest(na, nb))})
+    return counts.withColumns({"agreement": 100 * F.try_divide(F.col("n_both").cast("double"), F.col("n_both") + F.col("only_a") + F.col("only_b")), "count_agreement": 100 * F.try_divide(F.least(na, nb).cast("double"), F.greatest(na, nb))})
 
 
-def register(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Mask a moved so that its bounding box begins where b's does."""
-    low = lambda d, p: d.agg(*[F.min(c).alias(f"{p}{c}") for c in "zyx"])
-    moved = a.join(F.broadcast(low(a, "a").join(low(b, "b"))))  # one row
-    return moved.select(*[(F.col(c) - F.col(f"a{c}") + F.col(f"b{c}")).alias(c) for c in "zyx"])
+def register(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs of mask a moved so that its bounding box begins where b's does, for each of ``keys``; without b's box there are none."""
+    low = lambda d, p: d.groupBy(*keys).agg(*[F.min(c).alias(f"{p}{c}") for c in ("z", "y", "x0")])
+    moves = low(a, "a").join(low(b, "b"), keys).select(*keys, *[(F.col(f"b{c}") - F.col(f"a{c}")).alias(f"by_{c}") for c in ("z", "y", "x0")])
+    moved = a.join(moves, keys)
+    return moved.select(*keys, *[(F.col(c) + F.col("by_x0" if c == "x1" else f"by_{c}")).alias(c) for c in ("z", "y", "x0", "x1")])
 
 
 def footprint(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,8 +143,8 @@ def footprint(runs: DataFrame, keys: list[str]) -> DataFrame:
     return voxels_from_runs(runs.select("scan_index", "z", "y", "x0", "x1", "label")).select("y", "x").distinct() if not keys else runs.select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x")).distinct()
 
 
-def surface_voxels(voxels: DataFrame) -> DataFrame:
-    """Voxels of a mask(z, y, x) with a face neighbour outside it; a mesh's starting point."""
+def surface_voxels(voxels: DataFrame, keys: list[str]) -> DataFrame:
+    """Voxels of a mask(.., z, y, x) with a face neighbour outside it; a mesh's starting point."""
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in ((0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))]))
-    seen = voxels.select("z", "y", "x", steps.alias("s")).select((F.col("z") + F.col("s.a")).alias("z"), (F.col("y") + F.col("s.b")).alias("y"), (F.col("x") + F.col("s.c")).alias("x"), (F.abs("s.a") + F.abs("s.b") + F.abs("s.c")).alias("far"))
-    return seen.groupBy("z", "y", "x").agg(F.count("*").alias("n"), F.min("far").alias("near")).where("near = 0 AND n < 7").select("z", "y", "x")
+    seen = voxels.select(*keys, "z", "y", "x", steps.alias("s")).select(*keys, (F.col("z") + F.col("s.a")).alias("z"), (F.col("y") + F.col("s.b")).alias("y"), (F.col("x") + F.col("s.c")).alias("x"), (F.abs("s.a") + F.abs("s.b") + F.abs("s.c")).alias("far"))
+    return seen.groupBy(*keys, "z", "y", "x").agg(F.count("*").alias("n"), F.min("far").alias("near")).where("near = 0 AND n < 7").select(*keys, "z", "y", "x")

@@ -111,8 +111,8 @@ def oracle_sql() -> dict[str, str]:
         "domain_counts": sql("SELECT scan_index, count(*) FILTER (label IN (1, 2)) AS absolute_open, count(*) FILTER (label = 2) AS gas_open, count(*) FILTER (label = 1) AS water_open FROM vox WHERE label > 0 GROUP BY 1", "vox"),
         "box_crop": sql("SELECT b.track_id, v.scan_index, v.label, count(*) AS n FROM boxes b JOIN vox v ON v.z >= b.z0 AND v.z < b.z1 WHERE v.label > 0 GROUP BY ALL", "boxes"),
         "overlap_agreement": sql("SELECT a.scan_index, count(*) FILTER (a.label = 2 AND b.label = 2) AS n_both, count(*) FILTER (a.label = 2 AND b.label <> 2) AS only_a, count(*) FILTER (a.label <> 2 AND b.label = 2) AS only_b, round(100 * count(*) FILTER (a.label = 2 AND b.label = 2) / count(*) FILTER (a.label = 2 OR b.label = 2)::DOUBLE, 6) AS agreement, round(100 * least(count(*) FILTER (a.label = 2), count(*) FILTER (b.label = 2)) / greatest(count(*) FILTER (a.label = 2), count(*) FILTER (b.label = 2))::DOUBLE, 6) AS count_agreement FROM vox a JOIN vox b ON b.scan_index = a.scan_index + 1 AND a.z = b.z AND a.y = b.y AND a.x = b.x GROUP BY 1", "vox"),
-        "registration": sql("SELECT z - (SELECT min(z) FROM vox WHERE label = 2 AND scan_index = 0) + (SELECT min(z) FROM vox WHERE label = 2 AND scan_index = 3 AND z >= 5 AND y >= 2) AS z, y - (SELECT min(y) FROM vox WHERE label = 2 AND scan_index = 0) + (SELECT min(y) FROM vox WHERE label = 2 AND scan_index = 3 AND z >= 5 AND y >= 2) AS y, x - (SELECT min(x) FROM vox WHERE label = 2 AND scan_index = 0) + (SELECT min(x) FROM vox WHERE label = 2 AND scan_index = 3 AND z >= 5 AND y >= 2) AS x FROM vox WHERE label = 2 AND scan_index = 0", "vox"),
-        "surface_voxels": sql(f"SELECT z, y, x FROM vox v WHERE label = 2 AND scan_index = 0 AND (SELECT count(*) FROM vox n WHERE n.scan_index = 0 AND n.label = 2 AND abs(n.z - v.z) + abs(n.y - v.y) + abs(n.x - v.x) = 1) < 6", "vox"),
+        "registration": sql("SELECT a.scan_index, a.z + m.z AS z, a.y + m.y AS y, a.x0 + m.x AS x0, a.x1 + m.x AS x1 FROM runs_x a JOIN (SELECT p.scan_index, q.z - p.z AS z, q.y - p.y AS y, q.x - p.x AS x FROM (SELECT scan_index, min(z) AS z, min(y) AS y, min(x0) AS x FROM runs_x WHERE label = 2 GROUP BY 1) p JOIN (SELECT scan_index - 1 AS scan_index, min(z) AS z, min(y) AS y, min(x0) AS x FROM runs_x WHERE label = 2 AND z >= 5 AND y >= 2 GROUP BY 1) q USING (scan_index)) m USING (scan_index) WHERE label = 2", "runs_x"),
+        "surface_voxels": sql("SELECT scan_index, z, y, x FROM vox v WHERE label = 2 AND (SELECT count(*) FROM vox n WHERE n.scan_index = v.scan_index AND n.label = 2 AND abs(n.z - v.z) + abs(n.y - v.y) + abs(n.x - v.x) = 1) < 6", "vox"),
         "footprint": sql("SELECT DISTINCT track_id, y, x FROM clusters", "clusters"),
         "regime_fit_shared": sql("SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, bp1, bp2, round(sse, 9) AS sse, round(slope1, 9) AS slope1, round(slope2, 9) AS slope2, round(slope3, 9) AS slope3 FROM fit", "fit"),
         "regime_fit_disjoint": sql("""SELECT CAST(s1.b AS INT) + 1 AS i, CAST(s2.b AS INT) + 1 AS j, round(s1.sse + s2.sse + s3.sse, 9) AS sse FROM dseg s1 JOIN dseg s2 ON s2.a = s1.b + 1 JOIN dseg s3 ON s3.a = s2.b + 1
@@ -215,6 +215,21 @@ SELECT 0 AS scan_index""", 1),
         "am_history": "SELECT 's' || s_suppkey AS scan_file, 1 AS step_order, 'Filter_' || s_suppkey % 3 AS module, 'L' || s_suppkey AS label, '9.1' AS version, s_suppkey::VARCHAR AS size FROM supplier UNION ALL SELECT 's' || s_suppkey, 2, 'Crop', NULL, NULL, NULL FROM supplier",
         "am_voxel_size": "SELECT 's' || s_suppkey AS scan_file, 'ushort' AS dtype, 'hxzip' AS codec, 3 AS nz, 5 AS ny, s_suppkey % 4 + 1 AS nx, round(3 * s_suppkey / 2.0::DOUBLE, 6) AS dz, round(2 * s_suppkey / 4.0::DOUBLE, 6) AS dy, CASE WHEN s_suppkey % 4 > 0 THEN round(s_suppkey / (s_suppkey % 4)::DOUBLE, 6) END AS dx, 3.0 AS last_dz, 9.0 AS last_dy, 1.0 AS last_dx FROM supplier",
         "saturation_ref": "SELECT s_suppkey AS scan_index, '8_' || s_suppkey || '_sub.am' AS file_name, r.m AS elapsed_minutes, r.sw AS sw_ref FROM supplier LEFT JOIN (SELECT s_suppkey % 40 AS p, max(s_suppkey) * 2.0::DOUBLE AS m, round(1 - max_by(s_suppkey % 100 / 100.0::DOUBLE, s_suppkey), 6) AS sw FROM supplier GROUP BY 1) r ON r.p = s_suppkey",
+        "latest_run_by_connectivity": sql("SELECT connectivity, max_by(run_id, started_at) AS run_id FROM (SELECT run_id, connectivity FROM fixed_boxes UNION SELECT 'r2', '26') JOIN runs USING (run_id) GROUP BY 1", "fixed_boxes"),
+        "face_memberships": sql(f"SELECT scan_index, component, CASE WHEN bool_or(z = 0) AND bool_or(z = {NZ - 1}) THEN 'both' WHEN bool_or(z = 0) THEN 'a' ELSE 'b' END AS side FROM lab WHERE z IN (0, {NZ - 1}) GROUP BY 1, 2", "lab6"),
+        "panel_picks": sql("SELECT run_id, scan_index, is_x FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY scan_index) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n FROM scans) WHERE n <= 5 OR is_x OR i IN (SELECT round_even(k * (n - 1) / 3.0::DOUBLE, 0) FROM range(4) t(k)) UNION ALL SELECT 'all', scan_index, is_x FROM scans WHERE run_id = 'r1'", "scans"),
+        "z_rank_of_results": sql("SELECT s.run_id, s.track_id, s.scan_index, sim_type, simulator, coalesce(z_rank, 999) AS z_rank FROM sim s LEFT JOIN (SELECT run_id, track_id, row_number() OVER (PARTITION BY run_id ORDER BY m, track_id) AS z_rank FROM (SELECT run_id, track_id, (min(z0) + min(z1)) / 2.0 AS m FROM fixed_boxes WHERE track_id <> 2 GROUP BY run_id, track_id)) r ON r.run_id = s.run_id AND r.track_id = s.track_id", "sim"),
+        "kr_back_fill": sql("SELECT run_id, track_id, scan_index, sim_type, simulator, CASE WHEN simulator = 'lbm_MRT' AND sim_type <> 'absolute' THEN round(k_z / k, 9) END AS kr FROM sim LEFT JOIN (SELECT run_id, track_id, max(k_z) AS k FROM sim WHERE sim_type = 'absolute' AND simulator = 'lbm_MRT' AND k_z > 0 GROUP BY 1, 2) USING (run_id, track_id)", "sim"),
+        "kr_write_back": sql("SELECT s.run_id, s.track_id, s.scan_index, s.sim_type, s.simulator, round(k.kr, 9) AS kr FROM sim s LEFT JOIN (SELECT * FROM kr WHERE simulator = 'LIR' AND run_id = 'r1') k ON k.run_id = s.run_id AND k.track_id = s.track_id AND k.scan_index = s.scan_index AND k.connectivity = s.connectivity AND k.sim_type = s.sim_type", "kr"),
         "stream_sw_windows": "SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1",
     }
+    evolution = lambda name, level: f"{name} AS (SELECT s.scan_index, s.gas, coalesce(p.percolates, FALSE) AS percolates FROM sw s LEFT JOIN (WITH RECURSIVE {_components(level)} SELECT scan_index, bool_or(lo AND hi) AS percolates FROM (SELECT scan_index, component, bool_or(z = 0) AS lo, bool_or(z = {NZ - 1}) AS hi FROM lab GROUP BY ALL) GROUP BY 1) p USING (scan_index))"
+    q["connectivity_comparison"] = sql("SELECT 1", "sw").rsplit("\n", 1)[0] + f""",
+    {evolution("e6", 1)},
+    {evolution("e26", 3)},
+    part AS (SELECT * FROM (VALUES ('whole', 0), ('late', 2)) t(part, low)),
+    a AS (SELECT part, e6.*, row_number() OVER (PARTITION BY part ORDER BY scan_index) AS i FROM e6, part WHERE scan_index >= low), b AS (SELECT part, e26.*, row_number() OVER (PARTITION BY part ORDER BY scan_index) AS i FROM e26, part WHERE scan_index >= low)
+    SELECT part, gas_a, gas_b, gas_a - gas_b AS difference, round(100 * (gas_a - gas_b)::DOUBLE / nullif(gas_b, 0), 6) AS relative, n_compared, n_disagree FROM (SELECT part, max_by(a.gas, a.scan_index) AS gas_a, max_by(b.gas, b.scan_index) AS gas_b, count(*) AS n_compared, count(*) FILTER (a.percolates <> b.percolates) AS n_disagree FROM a JOIN b USING (part, i) GROUP BY 1)"""
+    new = f"SELECT run_id, 'LIR' AS dataset, 'grid' AS form, phase, '[\"n\"]' AS param_names, to_json([round(n, 4)])::VARCHAR AS param_values, n_points FROM ({q['corey_grid_fit']}) JOIN ({with_bars} SELECT run_id, simulator, count(*) AS n_points FROM bars GROUP BY ALL) USING (run_id, simulator) WHERE simulator = 'LIR'"
+    q["fit_records"] = f"WITH new AS ({new}) SELECT * FROM new UNION ALL SELECT * REPLACE ('basic' AS form, '[0]' AS param_values) FROM new WHERE run_id = 'r1'"
     return q

@@ -143,22 +143,26 @@ def gas_voxels(c: Catalogue) -> DataFrame:
     return RL.voxels_from_runs(c.runs_x.where("label = 2")).drop("label")
 
 
+def gas_runs(c: Catalogue, shift: int = 0) -> DataFrame:
+    """Runs of gas without their label, each scan under the number ``shift`` lower."""
+    return c.runs_x.where("label = 2").select((F.col("scan_index") - shift).alias("scan_index"), "z", "y", "x0", "x1")
+
+
 @query
 def overlap_agreement(c):
-    a = gas_voxels(c).where(F.col("scan_index") < NS - 1)
-    b = gas_voxels(c).where("scan_index > 0").withColumn("scan_index", F.col("scan_index") - 1)
-    return rounded(V.agreement(V.overlap(a, b, ["scan_index"]), ["scan_index"]), "agreement", "count_agreement", places=6)
+    a, b = gas_runs(c).where(F.col("scan_index") < NS - 1), gas_runs(c, 1).where("scan_index >= 0")
+    return rounded(V.agreement(V.overlap_counts(a, b, ["scan_index"])), "agreement", "count_agreement", places=6)
 
 
 @query
 def registration(c):
-    g = gas_voxels(c)
-    return V.register(g.where("scan_index = 0"), g.where("scan_index = 3 AND z >= 5 AND y >= 2"))
+    """Every scan but the last moved to where the inner part of the next one begins."""
+    return V.register(gas_runs(c), gas_runs(c, 1).where("z >= 5 AND y >= 2"), ["scan_index"])
 
 
 @query
 def surface_voxels(c):
-    return V.surface_voxels(gas_voxels(c).where("scan_index = 0").drop("scan_index"))
+    return V.surface_voxels(gas_voxels(c), ["scan_index"])
 
 
 @query
@@ -353,6 +357,39 @@ def match_across_connectivity(c):
     return compare.match_clusters(all_clusters(c), other, ["scan_index"], 5.0)
 
 
+def spans(c: Catalogue, connectivity: int) -> DataFrame:
+    """Evolution of the whole volume under a connectivity: scans with their gas and whether it percolates."""
+    lab = c.labelled if connectivity == 6 else C.label_components(c.runs_x, connectivity, slab_depth=4, shape=SHAPE[1:])
+    p = C.percolation(lab, ["scan_index"], 0, NZ).select("scan_index", (F.col("spanning_count") > 0).alias("percolates"))
+    return V.sw_series(c.runs_x).select("scan_index", F.col("gas").alias("gas_voxels")).join(p, "scan_index", "left")
+
+
+@query
+def connectivity_comparison(c):
+    """6N against 26N, of the whole volume and of its scans from the third on."""
+    part = F.explode(F.array(F.struct(F.lit("whole").alias("part"), F.lit(0).alias("low")), F.struct(F.lit("late").alias("part"), F.lit(2).alias("low"))))
+    cut = lambda d: d.withColumn("_p", part).where("scan_index >= _p.low").select("_p.part", "scan_index", "gas_voxels", "percolates")
+    return rounded(compare.connectivity_comparison(cut(spans(c, 6)), cut(spans(c, 26)), ["part"]), "relative", places=6)
+
+
+@query
+def latest_run_by_connectivity(c):
+    boxes = c.fixed_boxes.unionByName(c.fixed_boxes.where("run_id = 'r2'").withColumn("connectivity", F.lit("26")))
+    return compare.latest_run_by_connectivity(boxes, c.runs)
+
+
+@query
+def face_memberships(c):
+    """Components that reach the first slice, the last one, or both."""
+    at = lambda z: c.labelled.where(F.col("z") == z).select("scan_index", "component").distinct()
+    return compare.memberships(at(0), at(NZ - 1), ["scan_index", "component"])
+
+
+@query
+def panel_picks(c):
+    return compare.panel_picks(c.scans.select("run_id", "scan_index", "is_x"), ["run_id"], 5).unionByName(compare.panel_picks(c.scans.where("run_id = 'r1'").select(F.lit("all").alias("run_id"), "scan_index", "is_x"), ["run_id"], 7))
+
+
 @query
 def gas_pct_change(c):
     return rounded(B.pct_change(c.fixed_boxes, ["run_id", "track_id"]).drop("gas_voxels"), "pct_change", places=6)
@@ -368,6 +405,12 @@ def z_rank(c):
     return B.section_order(c.fixed_boxes, ["run_id", "track_id"])
 
 
+@query
+def z_rank_of_results(c):
+    order = B.section_order(c.fixed_boxes.where("track_id <> 2"), ["run_id", "track_id"])
+    return B.with_section(c.simulation_results.select("run_id", "track_id", "scan_index", "sim_type", "simulator"), order, ["run_id", "track_id"])
+
+
 @query
 def section_pivot(c):
     p = B.section_pivot(c.counts, B.section_order(c.boxes, ["track_id"]))
@@ -445,6 +488,27 @@ def kr_complete(c):
     return P.complete_cases(wide(c), [4]).select("run_id", "track_id", "simulator", "scan_index")
 
 
+@query
+def kr_back_fill(c):
+    return rounded(P.back_fill(c.simulation_results, "lbm_MRT").select("run_id", "track_id", "scan_index", "sim_type", "simulator", "kr"), "kr")
+
+
+@query
+def kr_write_back(c):
+    points = wide(c).where("simulator = 'LIR' AND run_id = 'r1'")
+    return rounded(P.write_back(c.simulation_results, points).select("run_id", "track_id", "scan_index", "sim_type", "simulator", "kr"), "kr")
+
+
+@query
+def fit_records(c):
+    """Records of the grid fits in a table that has older ones of the first run."""
+    points = fit_points(c).where("simulator = 'LIR'")
+    fits = fitting.grid_fit(points, ["run_id"]).join(points.groupBy("run_id").agg(F.count("*").alias("n_points")), "run_id")
+    new = R.fit_records(rounded(fits, "n", "k0", places=4), ["n"], "LIR", "grid")
+    old = new.where("run_id = 'r1'").unionByName(new.where("run_id = 'r1'").withColumn("form", F.lit("basic"))).withColumn("param_values", F.lit("[0]"))
+    return R.upsert(old, new, ["run_id", "dataset", "form", "phase"])
+
+
 @query
 def kr_per_timestep(c):
     t = P.per_timestep(wide(c), ["run_id", "simulator"])

@@ -293,7 +293,7 @@ def test_stream_saturation_and_tracks(spark, tmp_path):
 def test_surface_and_blocks(spark):
     cube = [(z, y, x) for z in range(3) for y in range(3) for x in range(3)]
     v = spark.createDataFrame(cube, "z int, y int, x int")
-    assert V.surface_voxels(v).count() == 26
+    assert V.surface_voxels(v, []).count() == 26
     runs = spark.createDataFrame([(0, 0, 0, 3, 8, 2)], RL.RUNS)
     assert V.block_any(runs, 4).count() == 3
     assert math.isclose(V.centre_of_gravity(runs, ["scan_index"]).first().cog_x, 5.5)
