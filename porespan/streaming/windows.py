@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,22 +11,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.boxes import Tracker
 from ..operators.voxels import sw_series
-from ..scratch import shared_dir
+from ..scratch import table_path
 
 
 def windowed_mean(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Count and mean value in tumbling event-time windows; rows later than the watermark are left out."""
+    """Count and mean value in tumbling event-time windows. In append and update mode rows later than the watermark are left out;
+    in complete mode, where all windows are kept, none is."""
     g = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
     return g.select(F.col("w.start").alias("window_start"), "n", "mean_value")
 
 
-def final_state(stream: DataFrame, name: str | None = None) -> DataFrame:
-    """Run a stream over what is there now and return the complete result table."""
-    spark = stream.sparkSession
-    name = name or f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
+def final_state(stream: DataFrame) -> DataFrame:
+    """Run a stream over what is there now and return the complete result table, read back from the shared folder: each batch
+    writes the table anew, from the executors."""
+    spark, path, written = stream.sparkSession, table_path(stream.sparkSession, "stream"), []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        written.append(number)
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/{written[-1]}")
 
 
 def stream_saturation(spark: SparkSession, folder: str, target: str, checkpoint: str):
