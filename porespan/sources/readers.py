@@ -6,6 +6,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from io import BytesIO
+from typing import NamedTuple
 from xml.etree import ElementTree
 
 import numpy as np
@@ -107,32 +108,96 @@ def decode_payload(codec: str, data: bytes, size: int) -> bytes:
     return bytes(out[:size])
 
 
+class Head(NamedTuple):
+    """What a label volume's header says: its size, the type and coding of its voxels, and where they begin."""
+
+    nz: int
+    ny: int
+    nx: int
+    kind: np.dtype
+    codec: str
+    start: int
+
+
+def volume_head(data: bytes, name: str) -> Head:
+    head = data[:HEADER_BYTES].decode("latin-1")
+    nx, ny, nz = map(int, re.search(LATTICE, head).groups())
+    token = (re.search(r"(?i)Lattice\s*\{\s*(\w+)\s+Data", head) or [None, "byte"])[1].lower()
+    if token not in DTYPES:
+        raise ValueError(f"unsupported voxel type {token!r} in {name}")
+    codec = "hxzip" if re.search("(?i)HxZip", head) else "byterle" if re.search("(?i)ByteRLE", head) else "raw"
+    return Head(nz, ny, nx, np.dtype(DTYPES[token]), codec, re.search(rb"\n@1\r?\n", data).end())
+
+
+def labels_of(raw: bytes, head: Head, name: str) -> np.ndarray:
+    """Slices of one byte a voxel; an error where a label isn't an integer from 0 to 255."""
+    vol = np.frombuffer(raw, dtype=head.kind).reshape(-1, head.ny, head.nx)
+    if head.kind.kind == "f" or vol.min(initial=0) < 0 or vol.max(initial=0) > 255:
+        raise TypeError(f"labels of {name} are no integers from 0 to 255")
+    return vol.astype(np.uint8)
+
+
 def read_volumes(spark: SparkSession, path: str) -> DataFrame:
-    """slices(name, z, ny, nx, labels) of headed label volumes; one task a file, as compressed payloads are sequential."""
+    """slices(name, z, ny, nx, labels) of headed label volumes in any store that Spark reads; one task a file, as compressed payloads
+    are sequential. Larger files than an array holds, and slice ranges of files that aren't compressed: ``LabelVolume``."""
     schema = "name string, z int, ny int, nx int, labels binary"
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, data in zip(b["name"], b["content"], strict=True):
-                head = data[:HEADER_BYTES].decode("latin-1")
-                nx, ny, nz = map(int, re.search(LATTICE, head).groups())
-                token = (re.search(r"(?i)Lattice\s*\{\s*(\w+)\s+Data", head) or [None, "byte"])[1].lower()
-                if token not in DTYPES:
-                    raise ValueError(f"unsupported voxel type {token!r} in {name}")
-                codec = "hxzip" if re.search("(?i)HxZip", head) else "byterle" if re.search("(?i)ByteRLE", head) else "raw"
-                start = re.search(rb"\n@1\r?\n", data).end()
-                kind = np.dtype(DTYPES[token])
-                raw = decode_payload(codec, data[start:], nz * ny * nx * kind.itemsize)
-                vol = np.frombuffer(raw, dtype=kind).reshape(nz, ny, nx)
-                if kind.kind == "f" or vol.min(initial=0) < 0 or vol.max(initial=0) > 255:
-                    raise TypeError(f"labels of {name} are no integers from 0 to 255")
-                for z in range(nz):
-                    yield pd.DataFrame({"name": [name], "z": [z], "ny": [ny], "nx": [nx], "labels": [vol[z].astype(np.uint8).tobytes()]})
+                h = volume_head(data, name)
+                vol = labels_of(decode_payload(h.codec, data[h.start :], h.nz * h.ny * h.nx * h.kind.itemsize), h, name)
+                for z in range(h.nz):
+                    yield pd.DataFrame({"name": [name], "z": [z], "ny": [h.ny], "nx": [h.nx], "labels": [vol[z].tobytes()]})
 
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     return files.mapInPandas(parse, schema)
 
 
+class LabelVolume(DataSource):
+    """A headed label volume by slice ranges: ``format("labelvolume").option("path", ..)``, optionally ``z0`` and ``z1`` (half-open).
+
+    Where the payload isn't compressed, ``depth`` slices (64 by default) make a partition, read by seek, and slices outside the range
+    aren't read. A compressed payload is one partition. The path must be one that every executor can open."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "labelvolume"
+
+    def schema(self) -> str:
+        return "name string, z int, ny int, nx int, labels binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _LabelReader({k.lower(): v for k, v in self.options.items()})
+
+
+class _LabelReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.path = options["path"].removeprefix("file://")
+        self.name = self.path.rsplit("/", 1)[-1]
+        with open(self.path, "rb") as f:
+            self.head = volume_head(f.read(HEADER_BYTES), self.name)
+        self.low, self.high = max(0, int(options.get("z0", 0))), min(self.head.nz, int(options.get("z1", self.head.nz)))
+        self.depth = int(options.get("depth", 64))
+
+    def partitions(self) -> list[InputPartition]:
+        step = self.depth if self.head.codec == "raw" else self.head.nz
+        return [InputPartition((z, min(z + step, self.high))) for z in range(self.low, self.high, max(1, step))]
+
+    def read(self, partition: InputPartition):
+        h, (low, high) = self.head, partition.value
+        plane = h.ny * h.nx * h.kind.itemsize
+        with open(self.path, "rb") as f:
+            if h.codec == "raw":
+                f.seek(h.start + low * plane)
+                raw = f.read((high - low) * plane)
+            else:
+                f.seek(h.start)
+                raw = decode_payload(h.codec, f.read(), h.nz * plane)[low * plane : high * plane]
+        for z, labels in zip(range(low, high), labels_of(raw, h, self.name), strict=True):
+            yield self.name, z, h.ny, h.nx, labels.tobytes()
+
+
 class RawVolume(DataSource):
     """Headerless volumes: ``format("rawvolume").option("path", ..).option("ny", ..).option("nx", ..)``.
 
@@ -180,8 +245,18 @@ def raw_volumes(spark: SparkSession, path: str, ny: int, nx: int, itemsize: int
 
 
 def raw_slices(volumes: DataFrame) -> DataFrame:
-    """slices(name, z, ny, nx, labels) of raw_volumes' one-byte files."""
-    return volumes.select("name", "ny", "nx", "content", F.explode(F.sequence(F.lit(0), F.col("nz") - 1)).alias("z")).select("name", "z", "ny", "nx", F.expr("substring(content, z * ny * nx + 1, ny * nx)").alias("labels"))
+    """slices(name, z, ny, nx, labels) of raw_volumes' one-byte files; a file's bytes are cut where they are, not copied with each
+    slice."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, nz, ny, nx, content in b.itertuples(index=False):
+                plane = ny * nx
+                for z in range(0, nz, 64):
+                    some = range(z, min(z + 64, nz))
+                    yield pd.DataFrame({"name": name, "z": some, "ny": ny, "nx": nx, "labels": [bytes(content[i * plane : (i + 1) * plane]) for i in some]})
+
+    return volumes.select("name", "nz", "ny", "nx", "content").mapInPandas(cut, "name string, z int, ny int, nx int, labels binary")
 
 
 def saturation_reference(spark: SparkSession, path: str, name_col: int = 0, sg_col: int = 4, time_col: int = 7) -> DataFrame:

@@ -208,6 +208,11 @@ def test_headers_and_volumes(spark, tmp_path):
         readers.discover_scans(spark, str(tmp_path), "*.zzz")
     got = {(r.name, r.z): bytes(r.labels) for r in readers.read_volumes(spark, f"{tmp_path}/*.am").collect()}
     assert got == {(n, z): vol[z].tobytes() for n in ("8_10_a.am", "8_2_a.am", "notes.am") for z in range(3)}
+    spark.dataSource.register(readers.LabelVolume)
+    for name in ("8_10_a.am", "8_2_a.am"):
+        df = spark.read.format("labelvolume").option("path", str(tmp_path / name)).option("depth", 1).option("z0", 1).load()
+        assert {r.z: bytes(r.labels) for r in df.collect()} == {z: vol[z].tobytes() for z in (1, 2)}
+        assert df.rdd.getNumPartitions() == (2 if name == "8_10_a.am" else 1)
     h = readers.headers(spark, str(tmp_path / "8_2_a.am"))
     r = h.select(readers.header_dtype(F.col("header")).alias("d"), readers.header_codec(F.col("header")).alias("c"), readers.header_spacing(F.col("header"), F.lit(3), F.lit(4), F.lit(1)).alias("s"), readers.lattice_box(F.col("header")).alias("b")).first()
     assert (r.d, r.c, tuple(r.s)) == ("byte", "hxzip", (2.0, 2.0, 8.0))
