@@ -279,10 +279,20 @@ def text_table(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("row_number", clean.alias("cells"))
 
 
-def workbook(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
-    """(row_number, cells) of a workbook's sheet, read with the standard library."""
+def workbook(spark: SparkSession, path: str, sheet: int | str = 1) -> DataFrame:
+    """(row_number, cells) of a workbook's sheet, by its number or its name, read with the standard library. A workbook without a
+    sheet of that name has no rows."""
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
+    def part(z: zipfile.ZipFile) -> str | None:
+        """The file in the workbook that holds the sheet: names lead to relations, and these to files."""
+        if isinstance(sheet, int):
+            return f"xl/worksheets/sheet{sheet}.xml"
+        key = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+        ids = [s.get(key) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{ns['m']}}}sheet") if s.get("name") == sheet]
+        files = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        return f"xl/{files[ids[0]].removeprefix('/xl/')}" if ids else None
+
     def column(ref: str) -> int:
         n = 0
         for ch in re.match("[A-Z]+", ref)[0]:
@@ -295,8 +305,8 @@ def workbook(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
                 with zipfile.ZipFile(BytesIO(data)) as z:
                     names = z.namelist()
                     shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)] if "xl/sharedStrings.xml" in names else []
-                    rows = []
-                    for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{{{ns['m']}}}row"):
+                    rows, file = [], part(z)
+                    for row in ElementTree.fromstring(z.read(file)).iter(f"{{{ns['m']}}}row") if file else ():
                         cells: list[str | None] = []
                         for c in row.findall("m:c", ns):
                             at, v = column(c.get("r")), c.find("m:v", ns)
@@ -304,19 +314,43 @@ def workbook(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
                             inline = c.find("m:is", ns)
                             cells[at] = shared[int(v.text)] if c.get("t") == "s" and v is not None else "".join(t.text or "" for t in inline.iter(f"{{{ns['m']}}}t")) if inline is not None else v.text if v is not None else None
                         rows.append((int(row.get("r")), cells))
-                yield pd.DataFrame(rows, columns=["row_number", "cells"])
+                yield pd.DataFrame(rows, columns=["row_number", "cells"]).astype({"row_number": "int32"})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "row_number int, cells array<string>")
 
 
-def baseline_points(spark: SparkSession, path: str, first_row: int = 5) -> DataFrame:
+#: The baseline workbook's sheet, the row from which its points begin, and the columns of its curve's parameters there.
+BASELINE_SHEET, BASELINE_ROW = "Complete tables", 5
+BASELINE_CURVE = {"swc": 55, "snr": 56, "krw0": 57, "krn0": 58, "nw": 59, "nn": 60}
+
+
+def _baseline(spark: SparkSession, path: str) -> DataFrame:
+    return workbook(spark, path, BASELINE_SHEET) if re.search(r"\.(xlsx|xlsm)$", path, re.I) else text_table(spark, path)
+
+
+def _number(column: int) -> Column:
+    """A cell of a row as a number, null where it is none; columns count from 1."""
+    return F.get("cells", F.lit(column - 1)).try_cast("double")
+
+
+def baseline_points(spark: SparkSession, path: str, first_row: int = BASELINE_ROW) -> DataFrame:
     """Published points of the baseline workbook, from ``first_row`` on, both readings of the saturation kept."""
-    rows = workbook(spark, path) if re.search(r"\.(xlsx|xlsm)$", path, re.I) else text_table(spark, path)
-    n = lambda i: F.get("cells", F.lit(i - 1)).try_cast("double")
-    r = rows.where(F.col("row_number") >= first_row).select(F.get("cells", F.lit(2)).alias("section"), n(4).cast("int").alias("scan"), n(5).alias("k_abs_md"), n(11).alias("kr_gas"), n(12).alias("kr_brine"), (1 - n(13)).alias("sw_a"), n(14).alias("sw_b"))
+    n = _number
+    r = _baseline(spark, path).where(F.col("row_number") >= first_row).select(F.get("cells", F.lit(2)).alias("section"), n(4).cast("int").alias("scan"), n(5).alias("k_abs_md"), n(11).alias("kr_gas"), n(12).alias("kr_brine"), (1 - n(13)).alias("sw_a"), n(14).alias("sw_b"))
     return r.where("scan IS NOT NULL AND scan <> 0")
 
 
+def baseline_kabs(spark: SparkSession, path: str, first_row: int = BASELINE_ROW) -> DataFrame:
+    """Absolute permeabilities (mD) of the baseline workbook, whatever their scan."""
+    return _baseline(spark, path).where(F.col("row_number") >= first_row).select("row_number", _number(5).alias("k_abs_md")).where("k_abs_md IS NOT NULL")
+
+
+def baseline_curve(spark: SparkSession, path: str, row: int = BASELINE_ROW) -> DataFrame:
+    """The published parameters of the modified curve: one row, or none where one of them is missing."""
+    r = _baseline(spark, path).where(F.col("row_number") == row).select(*[_number(c).alias(n) for n, c in BASELINE_CURVE.items()])
+    return r.dropna()
+
+
 SUMMARY = "raw_path string, nx int, ny int, nz int, voxel_m double, permeability_z_m2 double, stopping_criteria_flag string, reached_error_bound_z double, geodict_version string, result_txt string"
 
 

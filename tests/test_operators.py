@@ -222,6 +222,32 @@ def test_headers_and_volumes(spark, tmp_path):
     assert steps[0].parameters == {"size": "5", "kind": "x"}
 
 
+def test_baseline_workbook(spark, tmp_path):
+    """The sheet is found by its name, not by its place; its points, permeabilities and curve are read."""
+    import zipfile
+
+    def column(n):
+        return (chr(64 + (n - 1) // 26) if n > 26 else "") + chr(65 + (n - 1) % 26)
+
+    def sheet(rows):
+        cells = lambda r, row: "".join(f'<c r="{column(c)}{r}"><v>{v}</v></c>' for c, v in row.items())
+        return '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + "".join(f'<row r="{r}">{cells(r, row)}</row>' for r, row in rows.items()) + "</sheetData></worksheet>"
+
+    curve = {55: 0.1, 56: 0.39, 57: 0.14, 58: 0.77, 59: 3.9, 60: 3.3}
+    main = {5: {4: 0, 5: 370} | curve, 6: {4: 7, 11: 0.5, 12: 0.1, 13: 0.4, 14: 0.61}, 7: {4: 8, 5: 380, 13: 0.3}}
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Other" r:id="rId1"/><sheet name="Complete tables" r:id="rId2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet({5: {4: 9, 5: 1}}))
+        z.writestr("xl/worksheets/sheet2.xml", sheet(main))
+    path = str(tmp_path / "b.xlsx")
+    got = sorted((r.scan, r.kr_gas, r.kr_brine, round(r.sw_a, 9), r.sw_b) for r in readers.baseline_points(spark, path).collect())
+    assert got == [(7, 0.5, 0.1, 0.6, 0.61), (8, None, None, 0.7, None)]
+    assert sorted(r.k_abs_md for r in readers.baseline_kabs(spark, path).collect()) == [370.0, 380.0]
+    assert [r.asDict() for r in readers.baseline_curve(spark, path).collect()] == [{"swc": 0.1, "snr": 0.39, "krw0": 0.14, "krn0": 0.77, "nw": 3.9, "nn": 3.3}]
+    assert readers.workbook(spark, path, "No such sheet").count() == 0
+
+
 def test_raw_volume_source(spark, tmp_path):
     vol = np.arange(24, dtype=np.uint8).reshape(4, 2, 3)
     (tmp_path / "v.raw").write_bytes(vol.tobytes())
