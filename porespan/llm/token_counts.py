@@ -14,10 +14,18 @@ from pyspark.sql import functions as F
 
 #: Characters in a chunk: the unit that is counted on its own before the state maps are composed.
 CHUNK = 1 << 16
-#: Whole-word transitions that a worker keeps; beyond that they are forgotten and made again. Counts don't depend on it.
-KEPT = 400_000
+#: Characters of a whole-word transition, and how many of these a worker keeps; others are walked, and beyond that number they
+#: are forgotten and made again. Counts don't depend on it.
+WORD_CHARS, KEPT = 64, 400_000
+#: Characters before a cut that are read for the states in which a chunk may be entered.
+LOOK = 128
 #: White space at which the machine is in its start state whatever came before it.
 SYNC = " \t\n\r\x0b\x0c"
+#: ASCII signs that only ever lengthen a run of signs, whatever stands beside them in it.
+SIGNS = frozenset('!"#$%&()*+,-./:;=?@[\\]^_`{}~')
+#: A state of the machine: a suffix that begins some token; at each of its positions the last token and the relative count.
+State = tuple[str, tuple, tuple]
+START: State = ("", (None,), (0,))
 
 #: Letters that Python lower-cases and the vocabulary's library does not.
 NO_CASE = "\ua7cb\ua7dc"
@@ -49,7 +57,7 @@ class Transducer:
         self.keys: list[tuple] = []
         self.moves: list[dict[str, tuple[int, int]]] = []
         self.ends: list[dict[str, int]] = []
-        self.start = self._state(("", (None,), (0,)))
+        self.start = self._state(START)
         self.words = _Words(self._walk)
         self.letters = _byte_letters()
         import regex
@@ -113,75 +121,149 @@ class Transducer:
         self.moves[state][symbol] = move
         return move
 
-    def _walk(self, word: str) -> int:
-        """Tokens of one word: the sum of the counts on its path."""
+    def _bytes(self, word: str) -> str:
+        return "".join(map(self.letters.__getitem__, word.encode("utf-8")))
+
+    def _run(self, state: State, symbols: str, closes: bool) -> tuple[State, int]:
+        """The state after ``symbols`` of a word, and the tokens on that path; ``closes``: the word ends with them."""
         if len(self.keys) > KEPT:
             self.states, self.keys, self.moves, self.ends = {}, [], [], []
-            self.start = self._state(("", (None,), (0,)))
-        symbols = "".join(map(self.letters.__getitem__, word.encode("utf-8")))
-        state, total, moves = self.start, 0, self.moves
-        for s in symbols[:-1]:
-            move = moves[state].get(s) or self._move(state, s)
-            state = move[0]
+            self.start = self._state(START)
+        at, total, moves = self._state(state), 0, self.moves
+        for s in symbols[:-1] if closes else symbols:
+            move = moves[at].get(s) or self._move(at, s)
+            at = move[0]
             total += move[1]
+        if not closes:
+            return self.keys[at], total
         last = symbols[-1]
-        final = self.ends[state].get(last)
+        final = self.ends[at].get(last)
         if final is None:
-            final = self.ends[state][last] = self._last(self.keys[state], last, self.end)[1]
-        return total + final
+            final = self.ends[at][last] = self._last(self.keys[at], last, self.end)[1]
+        return START, total + final
 
-    def tokens(self, text: str) -> int:
-        """Tokens of a text, from start state to end."""
-        parts = self.specials(text) if self.specials and "<|" in text else [text]
-        total = len(parts) - 1
-        for part in parts:
+    def _walk(self, word: str) -> int:
+        """Tokens of one word: the sum of the counts on its path."""
+        return self._run(START, self._bytes(word), True)[1]
+
+    def _pieces(self, text: str) -> Iterator[list[str]]:
+        """The words of a text, normalised, in the stretches between special strings."""
+        for part in self.specials(text) if self.specials and "<|" in text else [text]:
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
                 if any(c in part for c in NO_CASE):
-                    part = "".join(c if c in NO_CASE else c.lower() for c in part)
-                    total += sum(map(self.words.__getitem__, self.split(part)))
+                    yield self.split("".join(c if c in NO_CASE else c.lower() for c in part))
                     continue
-            total += sum(map(self.words.__getitem__, self.split(part.lower())))
+            yield self.split(part.lower())
+
+    def _sum(self, words: list[str]) -> int:
+        n = sum(map(self.words.__getitem__, words))
         if len(self.words) > KEPT:
             self.words.clear()
-        return total
-
-    def chunk(self, text: str) -> StateMap:
-        """The state map of a chunk: what it does to any state that it is entered in."""
-        first = next((i for i, c in enumerate(text) if c in SYNC), -1)
-        if first < 0:
-            return StateMap(text, None, "")
-        last = next(i for i in range(len(text) - 1, -1, -1) if text[i] in SYNC)
-        return StateMap(text[:first], self.tokens(text[first : last + 1]), text[last + 1 :])
-
-    def compose(self, a: StateMap, b: StateMap) -> StateMap:
-        """The map of two neighbouring chunks; associative, with ``StateMap("", None, "")`` as identity."""
-        if a.count is None:
-            return StateMap(a.head + b.head, b.count, b.tail)
-        if b.count is None:
-            return StateMap(a.head, a.count, a.tail + b.head)
-        return StateMap(a.head, a.count + self.tokens(a.tail + b.head) + b.count, b.tail)
-
-    def finish(self, m: StateMap) -> int:
-        return self.tokens(m.head) + (m.count or 0) + self.tokens(m.tail)
+        return n
+
+    def tokens(self, text: str) -> int:
+        """Tokens of a text, from start state to end."""
+        counts = [self._sum(words) for words in self._pieces(text)]
+        return sum(counts) + len(counts) - 1
+
+    def _inside(self, text: str, i: int) -> bool:
+        """True where a cut before character ``i`` falls within a word, and both sides are split as the whole text is."""
+        near = text[i - 3 : i + 1]
+        if i < 3 or "<|" in text[max(0, i - 20) : i + 1] or (i > 3 and text[i - 4] in "'’"):
+            return False
+        return all(c in SIGNS for c in near) or all(map(_plain, near))
+
+    def cuts(self, text: str, chunk: int) -> list[tuple[int, bool]]:
+        """Where a text is cut: the next white space after every ``chunk`` characters, or, where a word goes on for ``LOOK``
+        characters more, within that word (true)."""
+        out, i = [], chunk
+        while i < len(text):
+            for at in range(i, len(text)):
+                if text[at] in SYNC or (at - i >= LOOK and self._inside(text, at)):
+                    out.append((at, text[at] not in SYNC))
+                    break
+            else:
+                break
+            i = at + chunk
+        return out
+
+    def entries(self, text: str, cut: int) -> set[State]:
+        """States in which the chunk from a cut within a word may be entered, by the characters before: the word's own if it
+        begins among these, else those of all words that may begin at one of the first places read."""
+        from_, word = max(0, cut - LOOK), ""
+        for words in self._pieces(text[from_:cut]):
+            word = words[-1] if words else ""
+        symbols = self._bytes(word)
+        if from_ == 0 or len(symbols) < len(self._bytes(text[from_:cut].lower())):
+            return {self._run(START, symbols, False)[0]}
+        return {self._run(START, symbols[q:], False)[0] for q in range(min(self.longest, len(symbols)))}
+
+    def chunk(self, text: str, begin: int = 0, end: int | None = None, within: bool = False, goes_on: bool = False) -> StateMap:
+        """The state map of the chunk ``text[begin:end]``, whose first word goes on one before it (``within``) and whose last
+        word goes on after it (``goes_on``): a table over the states it may be entered in. A state that the table lacks
+        is followed when it comes up, so the map holds for every state."""
+        stretches = list(self._pieces(text[begin:end]))
+        count = len(stretches) - 1
+        head = tail = None
+        if goes_on:
+            tail = self._bytes(stretches[-1].pop())
+        if within and stretches[0]:
+            head = self._bytes(stretches[0].pop(0))
+        elif within:
+            head, tail = tail, None
+        count += sum(map(self._sum, stretches))
+        whole = goes_on and tail is None  # one word, open on both sides
+        after, more = self._run(START, tail, False) if tail is not None else (START, 0)
+
+        def follow(entry: State) -> tuple[State, int]:
+            if head is None:
+                return after, count + more
+            state, n = self._run(entry, head, not whole)
+            return (state, n) if whole else (after, n + count + more)
+
+        return StateMap({e: follow(e) for e in (self.entries(text, begin) if within else (START,))}, follow)
+
+    def running(self, text: str, chunk: int = CHUNK) -> list[tuple[int, int]]:
+        """Where each chunk of a text ends, and the tokens up to there less those still open: the prefix scan of state maps."""
+        cuts = [(0, False), *self.cuts(text, chunk), (len(text), False)]
+        maps = [self.chunk(text, a, b, within, on) for (a, within), (b, on) in zip(cuts, cuts[1:], strict=False)]
+        return [(b, m.at(START)[1]) for (b, _), m in zip(cuts[1:], scan(maps, compose), strict=True)]
 
     def count(self, text: str | None, chunk: int = CHUNK) -> int:
-        """Tokens of a whole text; long ones by chunks whose maps are composed in a tree."""
+        """Tokens of a whole text; long ones by chunks whose maps are composed by prefix scan."""
         if not text:
             return 0
-        if len(text) <= chunk:
-            return self.tokens(text)
-        maps = [self.chunk(text[i : i + chunk]) for i in range(0, len(text), chunk)]
-        return self.finish(scan(maps, self.compose)[-1])
+        return self.tokens(text) if len(text) <= chunk else self.running(text, chunk)[-1][1]
 
 
 class StateMap(NamedTuple):
-    """A chunk cut at its first and last synchronising white space: ``count`` tokens between them whatever the entry state,
-    ``head`` to be read from the entry state, ``tail`` to be read before what follows. ``count`` None: no such space."""
+    """What a chunk does to the state that it is entered in: the state it is left in and the tokens it adds. ``table`` has the
+    states that the characters before admit, mostly one; ``follow`` answers for any other."""
+
+    table: dict[State, tuple[State, int]]
+    follow: Callable[[State], tuple[State, int]]
+
+    def at(self, entry: State) -> tuple[State, int]:
+        return self.table.get(entry) or self.follow(entry)
+
+
+def compose(a: StateMap, b: StateMap) -> StateMap:
+    """The map of two neighbouring chunks; associative."""
+
+    def follow(entry: State) -> tuple[State, int]:
+        state, n = a.at(entry)
+        after, more = b.at(state)
+        return after, n + more
+
+    return StateMap({e: follow(e) for e in a.table}, follow)
+
 
-    head: str
-    count: int | None
-    tail: str
+def _plain(c: str) -> bool:
+    """Letters that no normalisation or lower-casing changes or joins with a neighbour, save for ASCII's case."""
+    if c < "\x80":
+        return c.isalpha()
+    return c <= "\uffff" and not "\u1100" <= c <= "\u11ff" and unicodedata.category(c) in ("Ll", "Lo") and unicodedata.normalize("NFC", c) == c == c.lower()
 
 
 def scan(maps: list, compose: Callable) -> list:
@@ -201,7 +283,9 @@ class _Words(dict):
         self.walk = walk
 
     def __missing__(self, word: str) -> int:
-        self[word] = n = self.walk(word)
+        n = self.walk(word)
+        if len(word) <= WORD_CHARS:
+            self[word] = n
         return n
 
 

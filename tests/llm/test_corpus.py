@@ -156,11 +156,34 @@ def test_chunks_compose(library):
     for _ in range(150):
         t = "".join(rng.choice("abe thing's 12 é你\n<|endoftext|>") for _ in range(rng.randint(0, 80)))
         assert m.count(t) == library(t) == m.count(t, rng.randint(1, 9))
-    a, b, c = (m.chunk(x) for x in ("ab cd e", "fgh", "i jk l"))
-    assert m.compose(m.compose(a, b), c) == m.compose(a, m.compose(b, c))
     assert token_counts.scan([1, 2, 3, 4, 5], lambda x, y: x + y) == [1, 3, 6, 10, 15]
 
 
+def test_state_maps_within_words(library, monkeypatch):
+    """Words without end, cut anywhere: maps over entry states compose to the library's counts, in any grouping."""
+    m, rng = token_counts.compiled(BPE), random.Random(2)
+    monkeypatch.setattr(token_counts, "LOOK", 12)
+    for signs in ("ab", "a", "=-", "ethanosr", "你好吗abc", "thing's=-", "aé!İΣσñ", "ab<|endoftext|>", "he'llo're12", "각가나ㄱᆨ"):
+        for _ in range(12):
+            t = "".join(rng.choice([*signs, signs[:3]]) for _ in range(rng.randint(60, 400)))
+            t = t if rng.random() < 0.5 else t[:90] + " " + t[90:]
+            size = rng.randint(1, 40)
+            assert m.count(t, size) == library(t) == m.count(t), (t, size)
+            cuts = [(0, False), *m.cuts(t, size), (len(t), False)]
+            maps = [m.chunk(t, a, b, within, on) for (a, within), (b, on) in zip(cuts, cuts[1:], strict=False)]
+            if len(maps) > 2:
+                a, b, c = maps[:3]
+                left, right = token_counts.compose(token_counts.compose(a, b), c), token_counts.compose(a, token_counts.compose(b, c))
+                for entry in {*a.table, *b.table, *c.table}:
+                    assert left.at(entry) == right.at(entry)
+    words = "thequickbrownfoxjumpsoverthelazydog" * 40
+    cuts = m.cuts(words, 100)
+    assert len(cuts) > 5 and all(within for _, within in cuts)
+    states = [m._run(token_counts.START, words[:at], False)[0] for at, _ in cuts]
+    assert all(state in m.entries(words, at) for state, (at, _) in zip(states, cuts, strict=True))
+    assert [n for _, n in m.running("one two three. four", 5)][-1] == library("one two three. four")
+
+
 def test_transducer_on_random_words(library):
     m, rng = token_counts.compiled(BPE), random.Random(1)
     for _ in range(3000):
