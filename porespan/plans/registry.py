@@ -17,6 +17,7 @@ from ..operators import permeability as P
 from ..operators import regime as T
 from ..operators import runs as RL
 from ..operators import voxels as V
+from ..sources import tiff
 from ..streaming import windows
 from .oracles import oracle_sql  # noqa: F401
 
@@ -84,6 +85,22 @@ def slices_roundtrip(c):
     return V.label_histogram(RL.runs_from_slices(slices))
 
 
+def stacks(c: Catalogue) -> DataFrame:
+    """A TIFF stack of every scan."""
+    return tiff.stack_files(RL.slices_from_runs(c.runs_x, NZ, NY, NX), "scan_index")
+
+
+@query
+def tiff_slices(c):
+    slices = tiff.stack_slices(stacks(c)).withColumn("scan_index", F.col("name").cast("int"))
+    return V.label_histogram(RL.runs_from_slices(slices.drop("name")))
+
+
+@query
+def tiff_info(c):
+    return tiff.stack_info(stacks(c))
+
+
 def wrapped(c: Catalogue) -> DataFrame:
     """Columns 4 .. 11 of the fixture on a 16-wide grid, folded over its border."""
     v = c.voxels.where("label > 0 AND x >= 4").withColumn("x", F.pmod(F.col("x") + 9, F.lit(16)))
@@ -346,7 +363,7 @@ def all_clusters(c: Catalogue) -> DataFrame:
 
 @query
 def track_clusters(c):
-    return B.track_clusters(all_clusters(c), ["series"], distance=4.0)
+    return rounded(B.track_clusters(all_clusters(c), ["series"], distance=4.0), "cog_z", "cog_y", "cog_x", places=6)
 
 
 @query
@@ -354,7 +371,7 @@ def match_across_connectivity(c):
     lab = C.label_components(c.runs_x, 18, slab_depth=4, shape=SHAPE[1:])
     top = C.top_clusters(C.component_sizes(lab)).select("scan_index", "component", "label_id")
     other = V.centre_of_gravity(lab.join(top, ["scan_index", "component"]), ["scan_index", "label_id"])
-    return compare.match_clusters(all_clusters(c), other, ["scan_index"], 5.0)
+    return rounded(compare.match_clusters(all_clusters(c), other, ["scan_index"], 5.0), "distance", places=6)
 
 
 def spans(c: Catalogue, connectivity: int) -> DataFrame:

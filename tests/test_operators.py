@@ -1,4 +1,6 @@
+import itertools
 import math
+import struct
 import zlib
 
 import numpy as np
@@ -14,7 +16,7 @@ from porespan.operators import regime as T
 from porespan.operators import runs as RL
 from porespan.operators import voxels as V
 from porespan.schema import KEYS, conform, duplicate_keys
-from porespan.sources import readers, writers
+from porespan.sources import readers, tiff, writers
 from porespan.streaming import windows
 
 
@@ -261,6 +263,89 @@ def test_raw_volume_source(spark, tmp_path):
         readers.raw_volumes(spark, str(tmp_path / "v.raw"), 5, 3).collect()
 
 
+def tiff_file(order, pages, wide=False):
+    """A TIFF file of pages (tags, strips): every value as the format says, offsets and counts in arrays."""
+    offset, count = ("Q", "Q") if wide else ("I", "H")
+    out = bytearray((b"II" if order == "<" else b"MM") + (struct.pack(order + "HHHQ", 43, 8, 0, 0) if wide else struct.pack(order + "HI", 42, 0)))
+    link = 8 if wide else 4
+    for tags, strips in pages:
+        starts = []
+        for strip in strips:
+            starts.append(len(out))
+            out += strip
+        entries = b""
+        for tag, values in sorted((tags | {273: starts, 279: [len(x) for x in strips]}).items()):
+            data = struct.pack(f"{order}{len(values)}{'I' if tag in (273, 279) else 'H'}", *values)
+            if len(data) > (8 if wide else 4):
+                at, data = len(out), out.extend(data) or b""
+                data = struct.pack(order + offset, at)
+            entries += struct.pack(order + "HH" + offset, tag, 4 if tag in (273, 279) else 3, len(values)) + data.ljust(8 if wide else 4, b"\0")
+        out[link : link + (8 if wide else 4)] = struct.pack(order + offset, len(out))
+        out += struct.pack(order + count, len(tags) + 2) + entries
+        link = len(out)
+        out += bytes(8 if wide else 4)
+    return bytes(out)
+
+
+def lzw(data):
+    """The format's encoder, cleared where its table is full."""
+    codes, table, width, word = [(256, 9)], {bytes([i]): i for i in range(256)}, 9, b""
+    for i in range(len(data)):
+        b = data[i : i + 1]
+        if word + b in table:
+            word += b
+            continue
+        codes.append((table[word], width))
+        table[word + b] = len(table) + 2
+        if len(table) + 2 in (512, 1024, 2048):
+            width += 1
+        if len(table) + 2 == 4094:
+            codes.append((256, width))
+            table, width = {bytes([i]): i for i in range(256)}, 9
+        word = b
+    bits = "".join(f"{c:0{w}b}" for c, w in [*codes, (table[word], width)])
+    bits += f"{257:0{width + (len(table) + 3 in (512, 1024, 2048))}b}"
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_tiff_stacks(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 3, (5, 70, 90), dtype=np.uint8)
+    rgb = np.stack([a[0], a[1], a[2]], axis=-1)
+    base = {256: [90], 257: [70], 258: [8], 262: [1], 277: [1]}
+    two = lambda x, f=bytes: [f(x[:40].tobytes()), f(x[40:].tobytes())]
+    equal = lambda raw: [(b, len(list(g))) for b, g in itertools.groupby(raw)]
+    runs = lambda raw: b"\x80".join(bytes([257 - n, b]) if n > 1 else bytes([0, b]) for b, n in equal(raw))
+    diff = np.diff(a[4], axis=1, prepend=np.uint8(0)).astype(np.uint8)
+    pages = [
+        (base | {259: [1], 278: [40]}, two(a[0])),
+        (base | {259: [32773], 278: [70]}, [runs(a[1].tobytes())]),
+        (base | {259: [5], 278: [70]}, [lzw(a[2].tobytes())]),
+        (base | {259: [8], 258: [16], 278: [40]}, None),
+        (base | {259: [8], 317: [2], 278: [40]}, two(diff, zlib.compress)),
+        (base | {259: [1], 258: [8, 8, 8], 262: [2], 277: [3], 278: [40]}, two(rgb)),
+        (base | {259: [1], 258: [8, 8, 8], 262: [2], 277: [3], 278: [70], 284: [2]}, [a[i].tobytes() for i in (3, 0, 1)]),
+        (base | {259: [1], 258: [1], 262: [0], 278: [70]}, [np.packbits(1 - a[0] // 2, axis=1).tobytes()]),
+        (base | {259: [1], 262: [0], 278: [70]}, [(255 - a[1]).tobytes()]),
+    ]
+    want = [a[0], a[1], a[2], a[3], a[4], a[0], a[3], a[0] // 2, a[1]]
+    for name, order, wide in (("le.tif", "<", False), ("be.tif", ">", False), ("big.tif", "<", True)):
+        own = [(t, s or two(a[3].astype(order + "u2"), zlib.compress)) for t, s in pages]
+        (tmp_path / name).write_bytes(tiff_file(order, own, wide))
+    spark.dataSource.register(tiff.TiffStack)
+    for name in ("le.tif", "be.tif", "big.tif"):
+        df = spark.read.format("tiffstack").option("path", str(tmp_path / name)).option("depth", 4).load()
+        assert df.rdd.getNumPartitions() == 3
+        whole = tiff.read_stacks(spark, str(tmp_path / name)).collect()
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, whole))
+        assert {r.z: bytes(r.labels) for r in whole} == {z: v.tobytes() for z, v in enumerate(want)}
+    part = spark.read.format("tiffstack").option("path", str(tmp_path / "be.tif")).option("z0", 2).option("z1", 4).load()
+    assert sorted(r.z for r in part.collect()) == [2, 3]
+    (tmp_path / "wide.tif").write_bytes(tiff_file("<", [(base | {259: [1], 258: [16], 278: [70]}, [np.full((70, 90), 300, "<u2").tobytes()])]))
+    with pytest.raises(Exception, match="0 to 255"):
+        tiff.read_stacks(spark, str(tmp_path / "wide.tif")).collect()
+
+
 def test_saturation_reference(spark, tmp_path):
     rows = ['8_2_a,,,,0.5,,,10', '8_3,,,,1.5,,,10', 'x,,,,0.5,,,1', '"8_4, b",,,,0.25,,,3', '8_5,,,,0.5,,,-1', '8_6,,,,0.5,,,10:30', '8_7,,,']
     (tmp_path / "s.csv").write_text("\ufeff" + "\n".join(rows))
