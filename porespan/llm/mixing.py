@@ -14,6 +14,8 @@ WEIGHTS = (5, 2, 1)
 PERCENT, MOST = 150, 2
 #: About so many documents make a shard: the unit that one task orders.
 SHARD_DOCS = 2000
+#: So many neighbouring shards make a shelf: one task ranks the shelves of a source, or the shards of a shelf.
+SHELF_SHARDS = 1000
 
 
 def seeded(doc_id: Column, seed: int, salt: str) -> Column:
@@ -66,11 +68,11 @@ def sainte_lague(votes: DataFrame, group: list[str], key: str, votes_col: str, s
     return v.alias("v").join(won.alias("w"), on, "left").select(*[F.col(f"v.{c}") for c in votes.columns], (F.col("_base") + F.coalesce("_won", F.lit(0))).alias("seats"))
 
 
-def apportion(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST, seed: int = SEED) -> DataFrame:
+def apportion(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST, seed: int = SEED, shard_docs: int = SHARD_DOCS, shelf_shards: int = SHELF_SHARDS) -> DataFrame:
     """Decide how many words the mix takes from each row of ``sized(doc_id, source, size)``; no row is dropped.
 
-    All targets are cut in equal blocks of words, and the blocks dealt to sources, then to the shards of a source, by
-    Sainte-Lague. A shard orders its documents by a seeded hash and lays them end to end, in blocks; its quota takes the
+    All targets are cut in equal blocks of words, and the blocks dealt to sources, then to the shelves of a source, then
+    to the shards of a shelf, by Sainte-Lague. A shard orders its documents by a seeded hash and lays them end to end, in blocks; its quota takes the
     whole stream as often as it fits, and for the rest a run of blocks from a seeded start, wrapping round. So a document
     gives ``size`` times the passes, plus what the run covers of it: never more than ``most`` times its size.
 
@@ -86,14 +88,18 @@ def apportion(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int
     src = targets.withColumns({"one": F.lit(1), "block": block})
     src = src.withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy()) / F.col("block")).cast("long"))
     src = sainte_lague(src, ["one"], "source", "target", "blocks").withColumnRenamed("seats", "source_blocks").drop("one", "blocks")
-    src = src.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / SHARD_DOCS)).cast("long"))
+    src = src.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / shard_docs)).cast("long"))
 
     plan = src.select(F.col("source").alias("_source"), "source_size", "target", "block", "source_blocks", "n_shards")
     dealt = sized.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("size "), F.col("size").cast("string")))  # rows without a key part too
     dealt = dealt.withColumns({"shard": F.pmod(seeded(name, seed, "shard"), F.col("n_shards")), "order": seeded(F.col("doc_id"), seed, "order")})
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"), F.first("block").alias("shard_block"))
-    quotas = sainte_lague(shards.withColumn("votes", F.col("shard_size").cast("double")), ["source", "source_blocks"], "shard", "votes", "source_blocks")
+    shards = shards.withColumns({"shelf": F.expr(f"shard div {int(shelf_shards)}"), "votes": F.col("shard_size").cast("double")})
+    shelves = shards.groupBy("source", "shelf").agg(F.sum("votes").alias("votes"), F.first("source_blocks").alias("source_blocks"))
+    shelves = sainte_lague(shelves, ["source", "source_blocks"], "shelf", "votes", "source_blocks").select(F.col("source").alias("_source"), F.col("shelf").alias("_shelf"), F.col("seats").alias("shelf_blocks"))
+    shards = shards.join(shelves, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shelf") == F.col("_shelf"))).drop("_source", "_shelf", "source_blocks")
+    quotas = sainte_lague(shards, ["source", "shelf", "shelf_blocks"], "shard", "votes", "shelf_blocks")
     quotas = quotas.withColumn("quota", F.least(F.col("seats") * F.col("shard_block"), F.col("shard_size") * most))
     quotas = quotas.withColumns({
         "passes": F.when(F.col("shard_size") > 0, F.expr("quota div shard_size")).otherwise(F.lit(0)).cast("long"),

@@ -87,8 +87,11 @@ def mix() -> str:
     bs AS (SELECT *, CAST(round(sum(target) OVER () / block) AS BIGINT) AS seats_all FROM bl),
     {sainte_lague("src", "bs", "", "source")},
     dealt AS (SELECT d.*, s.source_size, s.target, s.block, s.seats AS source_blocks, {draw("coalesce(d.doc_id::VARCHAR, 'size ' || d.size)", "shard")} % greatest(1, CAST(ceil(s.n_docs / {mixing.SHARD_DOCS}::DOUBLE) AS BIGINT)) AS shard, {draw("d.doc_id", "order")} AS ord FROM sized d JOIN src s ON d.source IS NOT DISTINCT FROM s.source),
-    shards AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS shard_size, CAST(sum(size) AS DOUBLE) AS votes, any_value(source_blocks) AS seats_all, any_value(block) AS block FROM dealt GROUP BY 1, 2),
-    {sainte_lague("sh", "shards", "source", "shard")},
+    piles AS (SELECT source, shard, shard // {mixing.SHELF_SHARDS} AS shelf, CAST(sum(size) AS BIGINT) AS shard_size, CAST(sum(size) AS DOUBLE) AS votes, any_value(source_blocks) AS source_blocks, any_value(block) AS block FROM dealt GROUP BY 1, 2),
+    shelves AS (SELECT source, shelf, sum(votes) AS votes, any_value(source_blocks) AS seats_all FROM piles GROUP BY 1, 2),
+    {sainte_lague("sf", "shelves", "source", "shelf")},
+    shards AS (SELECT p.*, sf.seats AS seats_all FROM piles p JOIN sf ON p.source IS NOT DISTINCT FROM sf.source AND p.shelf = sf.shelf),
+    {sainte_lague("sh", "shards", "source, shelf", "shard")},
     q AS (SELECT *, least(seats * block, shard_size * {mixing.MOST}) AS quota FROM sh),
     qq AS (SELECT source, shard, shard_size, CASE WHEN shard_size > 0 THEN quota // shard_size ELSE 0 END AS passes, CASE WHEN shard_size > 0 THEN quota % shard_size ELSE 0 END AS rest,
       CASE WHEN shard_size > 0 THEN ({draw("coalesce(source, '') || ':' || shard", "start")} % greatest(1, shard_size // block)) * block ELSE 0 END AS start FROM q),

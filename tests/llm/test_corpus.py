@@ -570,6 +570,19 @@ def test_mixing(docs, rows, odd):
     assert mixing.apportion(mixing.sized_documents(empty(odd))).count() == 0
 
 
+def test_mixing_by_shelves(spark):
+    """A source of many shards on many shelves: quotas follow the shards' sizes as if they were ranked at once."""
+    r = [(i, "big" if i % 10 else None, i % 90 + 10) for i in range(4000)]
+    sized = spark.createDataFrame(r, "doc_id long, source string, size long")
+    at_once, by_shelves = ({x.doc_id: x for x in mixing.apportion(sized, shard_docs=20, shelf_shards=n).collect()} for n in (1000, 7))
+    assert len(at_once) == len(by_shelves) == len(r)
+    for got in (at_once, by_shelves):
+        for s in ("big", None):
+            mine = [x for x in got.values() if x.source == s]
+            assert abs(sum(x.taken for x in mine) - mine[0].target) <= 0.02 * mine[0].target
+            assert all(0 <= x.taken <= 2 * x.size for x in mine)
+
+
 def test_sainte_lague_equals_highest_quotients(spark):
     rng = random.Random(8)
     for _ in range(4):
