@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,23 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(m, ["scan_index", "z", "y", "x"], "left").select("scan_index", "z", "y", "x", label.cast("int").alias("label"))
 
 
+def grown_slices(spark: SparkSession, sf_dir: str, side: int = 128, lines: int = 9375) -> DataFrame:
+    """Slices of a volume that grows with the tables: seven scans, one slice of ``side`` x ``side`` voxels for so many order lines
+    each (four at least). Boxes of 3 x 4 x 6 voxels have one label, by a hash of their place; gas recedes from scan to scan."""
+    nz = max(4, spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // lines)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        y, x = np.arange(side, dtype=np.int64)[:, None] // 4, np.arange(side, dtype=np.int64)[None, :] // 6
+        for b in batches:
+            for i in b["id"]:
+                scan, z = divmod(int(i), nz)
+                m = (z // 3 * 73856093 ^ y * 19349663 ^ x * 83492791) % 101
+                labels = np.where(m < 46 - 5 * scan, 2, np.where(m < 70, 1, 0)).astype(np.uint8)
+                yield pd.DataFrame({"scan_index": [scan], "z": [z], "ny": [side], "nx": [side], "labels": [labels.tobytes()]})
+
+    return spark.range(SHAPE[0] * nz).mapInPandas(draw, "scan_index int, z int, ny int, nx int, labels binary")
+
+
 class Catalogue:
     """The fixture's tables. Those that queries read as stored tables are written once for each session and scale."""
 

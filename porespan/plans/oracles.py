@@ -240,8 +240,8 @@ SELECT 0 AS scan_index""", 1),
     near AS (SELECT a.scan_index, a.label_id, list({{'d': {apart}, 'b': b.label_id}} ORDER BY {apart}, b.label_id) FILTER ({apart} <= 5) AS found FROM c6 a LEFT JOIN c18 b USING (scan_index) GROUP BY ALL),
     turn AS (SELECT scan_index, 0::BIGINT AS label_a, NULL::STRUCT(d DOUBLE, b BIGINT) AS got, []::BIGINT[] AS used FROM c6 GROUP BY ALL
       UNION ALL SELECT scan_index, label_id, got, CASE WHEN got IS NULL THEN used ELSE list_append(used, got.b) END FROM (SELECT n.scan_index, n.label_id, t.used, list_filter(n.found, lambda f: NOT list_contains(t.used, f.b))[1] AS got FROM turn t JOIN near n ON n.scan_index = t.scan_index AND n.label_id = t.label_a + 1))
-    SELECT scan_index, label_a, got.b AS label_b, round(got.d, 6) AS distance FROM turn WHERE label_a > 0
-    UNION ALL SELECT scan_index, NULL, label_id, NULL FROM c18 WHERE NOT EXISTS (SELECT 1 FROM turn t WHERE t.scan_index = c18.scan_index AND t.got.b = c18.label_id)"""
+    SELECT scan_index, CAST(label_a AS INT) AS label_a, CAST(got.b AS INT) AS label_b, round(got.d, 6) AS distance FROM turn WHERE label_a > 0
+    UNION ALL SELECT scan_index, NULL, CAST(label_id AS INT), NULL FROM c18 WHERE NOT EXISTS (SELECT 1 FROM turn t WHERE t.scan_index = c18.scan_index AND t.got.b = c18.label_id)"""
     state = "STRUCT(track_id BIGINT, status VARCHAR, first_seen INT, last_seen INT, seen INT, lost INT, n BIGINT, z DOUBLE, y DOUBLE, x DOUBLE, open BOOLEAN, met BOOLEAN)"
     # the end of a scan: tracks that were open and met nothing are lost, the active ones are open to the next scan
     ended = "list_transform(tracks, lambda t: struct_update(t, status := CASE WHEN t.open AND NOT t.met THEN 'lost' ELSE t.status END, lost := CASE WHEN t.open AND NOT t.met THEN t.lost + 1 ELSE t.lost END, open := t.status = 'active' AND (t.met OR NOT t.open), met := FALSE))"
@@ -253,7 +253,7 @@ SELECT 0 AS scan_index""", 1),
           WHEN seeds THEN list_append(tracks, {{'track_id': len(tracks), 'status': 'active', 'first_seen': scan_index, 'last_seen': scan_index, 'seen': 1, 'lost': 0, 'n': n, 'z': z, 'y': y, 'x': x, 'open': FALSE, 'met': FALSE}}::{state}) ELSE tracks END
         FROM (SELECT *, list_sort(list_filter(list_transform(list_filter(tracks, lambda t: t.open), lambda t: {{'d': sqrt(pow(t.z - z, 2) + pow(t.y - y, 2) + pow(t.x - x, 2)), 'track_id': t.track_id}}), lambda d: d.d < 4.0))[1] AS hit
         FROM (SELECT l.* EXCLUDE (i), l.i, CASE WHEN l.fresh THEN {ended} ELSE tracks END AS tracks FROM walk w JOIN line l ON l.i = w.i + 1)))
-    SELECT 'r1' AS series, t.track_id, t.status, t.first_seen, t.last_seen, t.seen AS timesteps_seen, t.lost AS timesteps_lost, t.n AS final_voxels, round(t.z, 6) AS cog_z, round(t.y, 6) AS cog_y, round(t.x, 6) AS cog_x
+    SELECT 'r1' AS series, CAST(t.track_id AS INT) AS track_id, t.status, t.first_seen, t.last_seen, t.seen AS timesteps_seen, t.lost AS timesteps_lost, t.n AS final_voxels, round(t.z, 6) AS cog_z, round(t.y, 6) AS cog_y, round(t.x, 6) AS cog_x
     FROM (SELECT unnest({ended}) AS t FROM (SELECT tracks FROM walk ORDER BY i DESC LIMIT 1))"""
     new = f"SELECT run_id, 'LIR' AS dataset, 'grid' AS form, phase, '[\"n\"]' AS param_names, to_json([round(n, 4)])::VARCHAR AS param_values, n_points FROM ({q['corey_grid_fit']}) JOIN ({with_bars} SELECT run_id, simulator, count(*) AS n_points FROM bars GROUP BY ALL) USING (run_id, simulator) WHERE simulator = 'LIR'"
     q["fit_records"] = f"WITH new AS ({new}) SELECT * FROM new UNION ALL SELECT * REPLACE ('basic' AS form, '[0]' AS param_values) FROM new WHERE run_id = 'r1'"

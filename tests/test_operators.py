@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from porespan.config import Config
+from porespan.fixtures import grown_slices
 from porespan.functions import names as N
 from porespan.operators import boxes as B
 from porespan.operators import catalog as R
 from porespan.operators import compare, fitting
+from porespan.operators import components as C
 from porespan.operators import regime as T
 from porespan.operators import runs as RL
 from porespan.operators import voxels as V
@@ -263,6 +265,17 @@ def test_raw_volume_source(spark, tmp_path):
         readers.raw_volumes(spark, str(tmp_path / "v.raw"), 5, 3).collect()
 
 
+def test_grown_volume(spark, sf):
+    """Runs of the growing volume hold its voxels, and components don't depend on slabs."""
+    slices = grown_slices(spark, sf, side=24)
+    raw = {(r.scan_index, r.z): np.frombuffer(r.labels, np.uint8) for r in slices.collect()}
+    encoded = RL.runs_from_slices(slices)
+    got = {r.scan_index: (r.gas, r.brine) for r in V.sw_series(encoded).collect()}
+    assert len(raw) == 7 * 4 and got == {s: tuple(int(sum((v == k).sum() for (t, _), v in raw.items() if t == s)) for k in (2, 1)) for s in range(7)}
+    by_depth = [sorted(map(tuple, C.component_sizes(C.label_components(encoded, 26, slab_depth=d)).collect())) for d in (1, 64)]
+    assert by_depth[0] == by_depth[1]
+
+
 def tiff_file(order, pages, wide=False):
     """A TIFF file of pages (tags, strips): every value as the format says, offsets and counts in arrays."""
     offset, count = ("Q", "Q") if wide else ("I", "H")
