@@ -90,7 +90,8 @@ def apportion(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int
     src = sainte_lague(src, ["one"], "source", "target", "blocks").withColumnRenamed("seats", "source_blocks").drop("one", "blocks")
     src = src.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / shard_docs)).cast("long"))
 
-    plan = src.select(F.col("source").alias("_source"), "source_size", "target", "block", "source_blocks", "n_shards")
+    # a row for each source, which the windows above have in one task; written, as the shards below read it several times
+    plan = written(src.select(F.col("source").alias("_source"), "source_size", "target", "block", "source_blocks", "n_shards").coalesce(1), "targets")
     dealt = sized.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("size "), F.col("size").cast("string")))  # rows without a key part too
     dealt = dealt.withColumns({"shard": F.pmod(seeded(name, seed, "shard"), F.col("n_shards")), "order": seeded(F.col("doc_id"), seed, "order")})
