@@ -129,5 +129,34 @@ def derivatives() -> str:
     SELECT page_id, record_type, record_id, refers_to, target_uri, content_type, content_length, block_digest, payload_digest, md5('WARC/1.1' || {crlf} || {header}) AS header_md5, block FROM d"""
 
 
+def vector_code_rows() -> str:
+    from . import vector_codes as V
+
+    between = lambda v, c: f"list_sum(list_transform(range(1, len({v}) + 1), lambda i: ({v}[i] - {c}[i]) * ({v}[i] - {c}[i])))"
+    steps = [f"""k AS (SELECT vec_id, label, [CAST(least(greatest(floor(x::DOUBLE * {V.SCALE}), -{V.TOP}), {V.TOP}) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+    f"x AS (SELECT vec_id, label, p, v[p * (len(v) // {V.PARTS}) + 1 : (p + 1) * (len(v) // {V.PARTS})] AS v FROM k, (SELECT unnest(range({V.PARTS})) AS p))",
+    f"b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v AS c FROM x QUALIFY e < {V.ENTRIES})"]
+    near = lambda book: f"SELECT vec_id, any_value(label) AS label, x.p, any_value(v) AS v, min({between('v', 'c')} * {V.ENTRIES} + e) AS best FROM x JOIN {book} b ON x.p = b.p GROUP BY vec_id, x.p"
+    for r in range(V.ROUNDS):
+        steps += [f"a{r} AS ({near(f'b{r}')})", f"s{r} AS (SELECT p, best % {V.ENTRIES} AS e, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r}, unnest(range(1, len(v) + 1)) AS t(i) GROUP BY p, best % {V.ENTRIES}, i)",
+                  f"m{r} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY p, e)", f"b{r + 1} AS (SELECT p, e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m USING (p, e))"]
+    return f"""WITH {", ".join(steps)}, z AS ({near(f"b{V.ROUNDS}")}),
+    o AS (SELECT vec_id, label, string_agg(printf('%02x', (best % {V.ENTRIES})::INT), '' ORDER BY p) AS code, sum(best // {V.ENTRIES})::BIGINT AS error FROM z GROUP BY vec_id, label),
+    h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{V.ROUNDS})
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o, h"""
+
+
+def lexical_rows() -> str:
+    from . import lexical as L
+
+    terms = lambda t: f"unnest(regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{L.BETWEEN.replace('[', '[^', 1)}'))"
+    return f"""WITH d AS (SELECT doc_id, {terms("text")} AS term FROM documents), q AS (SELECT DISTINCT item_id, {terms("text")} AS term FROM benchmark),
+    p AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL), l AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY ALL), t AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM l),
+    w AS (SELECT term, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, t GROUP BY term),
+    s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // ll))))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN l USING (doc_id), t GROUP BY ALL)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= {L.TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": derivatives(), "op4_near_dedup": near_dedup(), "op8_mixing": mix(), "op9_quality_rules": quality()}
+    return {"op1_warc": derivatives(), "op4_near_dedup": near_dedup(), "op8_mixing": mix(), "op9_quality_rules": quality(), "op11_vector_codes": vector_code_rows(), "op13_lexical_search": lexical_rows()}

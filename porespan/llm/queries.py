@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_dedup, pieces, quality_rules, substring_dedup, token_counts, toxicity, url_filters, warc
+from . import fingerprints, lexical, mixing, near_dedup, packing, pieces, quality_rules, substring_dedup, token_counts, toxicity, url_filters, vector_codes, warc
 from .common import table
 from .oracles import oracle_sql  # noqa: F401
 
@@ -65,5 +65,17 @@ def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.md5(F.col("decoded").cast("binary")).alias("decoded_md5"), "log_prob", "perturbed", "inclusion")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_substring_dedup, op4_near_dedup, op5_url_filters, op6_toxicity, op7_fingerprints, op8_mixing, op9_quality_rules, op10_segmentations)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_substring_dedup, op4_near_dedup, op5_url_filters, op6_toxicity, op7_fingerprints, op8_mixing, op9_quality_rules, op10_segmentations, op11_vector_codes, op12_packing, op13_lexical_search)}
