@@ -71,7 +71,7 @@ def first_books(kept: DataFrame, length: int, parts: int, entries: int, scale: i
     """The parts of the vectors of the smallest ids, ties by vector: at most ``entries`` rows come to the driver."""
     rows = kept.orderBy(F.col("id").asc_nulls_last(), "v").limit(entries).select("v").toArrow()
     whole = integers(rows.column(0).combine_chunks(), length, scale)
-    return whole.reshape(len(whole), parts, -1).transpose(1, 0, 2)
+    return whole.reshape(len(whole), parts, length // parts).transpose(1, 0, 2)
 
 
 def refined(kept: DataFrame, books: np.ndarray, scale: int) -> np.ndarray:
