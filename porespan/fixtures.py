@@ -41,10 +41,15 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(m, ["scan_index", "z", "y", "x"], "left").select("scan_index", "z", "y", "x", label.cast("int").alias("label"))
 
 
+def grown_depth(spark: SparkSession, sf_dir: str, lines: int = 9375) -> int:
+    """Slices of the growing volume: one for so many order lines, four at least."""
+    return max(4, spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // lines)
+
+
 def grown_slices(spark: SparkSession, sf_dir: str, side: int = 128, lines: int = 9375) -> DataFrame:
     """Slices of a volume that grows with the tables: seven scans, one slice of ``side`` x ``side`` voxels for so many order lines
     each (four at least). Boxes of 3 x 4 x 6 voxels have one label, by a hash of their place; gas recedes from scan to scan."""
-    nz = max(4, spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // lines)
+    nz = grown_depth(spark, sf_dir, lines)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         y, x = np.arange(side, dtype=np.int64)[:, None] // 4, np.arange(side, dtype=np.int64)[None, :] // 6

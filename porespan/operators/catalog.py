@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import parse_domain, scan_prefix
+from .quantiles import percentiles
 
 BOX = ["run_id", "scan_index", "track_id", "connectivity"]
 JOB = [*BOX, "sim_type", "simulator"]
@@ -123,7 +124,9 @@ def provenance(results: DataFrame, boxes: DataFrame, scans: DataFrame) -> DataFr
 def convergence(results: DataFrame) -> DataFrame:
     """Flags and error bounds of the solver's notes, by simulator."""
     j = results.select("simulator", F.get_json_object("notes", "$.flag").alias("flag"), F.get_json_object("notes", "$.bound").try_cast("double").alias("bound"))
-    return j.groupBy("simulator").agg(F.count("*").alias("n"), F.count_if(F.col("flag") == "converged").alias("n_converged"), F.median("bound").alias("median_bound"), F.min("bound").alias("min_bound"), F.max("bound").alias("max_bound"), F.avg((F.col("bound") < 0.01).cast("double")).alias("share_below"))
+    per = j.groupBy("simulator").agg(F.count("*").alias("n"), F.count_if(F.col("flag") == "converged").alias("n_converged"), F.min("bound").alias("min_bound"), F.max("bound").alias("max_bound"), F.avg((F.col("bound") < 0.01).cast("double")).alias("share_below"))
+    middle = percentiles(j, ["simulator"], "bound", {"median_bound": 0.5}).withColumnRenamed("simulator", "_simulator")
+    return per.join(middle, F.col("simulator").eqNullSafe(F.col("_simulator")), "left").select("simulator", "n", "n_converged", "median_bound", "min_bound", "max_bound", "share_below")
 
 
 def inventory(runs: DataFrame, scans: DataFrame, boxes: DataFrame, results: DataFrame) -> DataFrame:

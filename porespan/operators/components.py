@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import GAS
 from ..scratch import checkpointed
+from . import spans
 from .graph import connected_components
 from .runs import length
 
@@ -24,37 +23,58 @@ def _tolerance(connectivity: int, dz: int, dy: int) -> int | None:
     return 1
 
 
-def local_roots(rows: list[tuple[int, int, int, int]], connectivity: int) -> list[int]:
-    """For runs (z, y, x0, x1), the place of the first run of each one's component; union-find with sorted rows."""
-    order = sorted(range(len(rows)), key=lambda i: rows[i])
-    by_row: dict[tuple[int, int], list[int]] = {}
-    for i in order:
-        by_row.setdefault(rows[i][:2], []).append(i)
-    parent = list(range(len(rows)))
-    rank = {i: r for r, i in enumerate(order)}
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for (z, y), mine in by_row.items():
-        for dz, dy in ((0, -1), (-1, -1), (-1, 0), (-1, 1)):
-            tol = _tolerance(connectivity, -dz, abs(dy))
-            other = by_row.get((z + dz, y + dy)) if tol is not None else None
-            if not other:
-                continue
-            ends = [rows[j][3] for j in other]
-            for i in mine:
-                k = bisect_left(ends, rows[i][2] - tol)
-                while k < len(other) and rows[other[k]][2] <= rows[i][3] + tol:
-                    a, b = find(i), find(other[k])
-                    if a != b:
-                        a, b = (a, b) if rank[a] < rank[b] else (b, a)
-                        parent[b] = a
-                    k += 1
-    return [find(i) for i in range(len(rows))]
+def touching_runs(rows: np.ndarray, connectivity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of touching runs; ``rows`` (z, y, x0, x1) are sorted, and the runs of a row disjoint.
+
+    Runs that touch one are neighbours in the row beside: all whose end isn't before its start and whose start isn't behind its
+    end, two searches in one sorted array of rows and places."""
+    z, y, x0, x1 = rows.T
+    tall, wide = int(y.max()) + 3, int(x1.max()) + 4
+    line = z * tall + y + 1  # the lines of two slices never meet, as y stays below tall - 2
+    lines, row = np.unique(line, return_inverse=True)
+    starts, ends = row * wide + x0 + 1, row * wide + x1 + 1
+    here = np.flatnonzero((row[1:] == row[:-1]) & (x0[1:] <= x1[:-1] + 1))
+    left, right = [here], [here + 1]
+    for dz, dy in ((0, -1), (-1, -1), (-1, 0), (-1, 1)):
+        tol = _tolerance(connectivity, -dz, abs(dy))
+        if tol is None:
+            continue
+        beside = line + dz * tall + dy
+        at = np.minimum(np.searchsorted(lines, beside), len(lines) - 1)
+        there = lines[at] == beside
+        first = np.searchsorted(ends, at * wide + np.maximum(x0 + 1 - tol, 0))
+        n = np.where(there, np.searchsorted(starts, at * wide + x1 + 1 + tol, side="right") - first, 0).clip(0)
+        mine = np.repeat(np.arange(len(rows)), n)
+        left.append(mine)
+        right.append(np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(mine)))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n vertices the least one that the edges (a, b) connect it with: parents hang on the least grandparent of a
+    neighbour and jump up until nothing moves (FastSV; Zhang, Azad and Hu, PP 2020)."""
+    parent = np.arange(n)
+    a, b = np.concatenate([a, b]), np.concatenate([b, a])
+    while True:
+        grand = parent[parent]
+        before = parent.copy()
+        np.minimum.at(parent, before[a], grand[b])
+        np.minimum.at(parent, a, grand[b])
+        np.minimum(parent, grand, out=parent)
+        if (parent == before).all():
+            return parent
+
+
+def local_roots(rows: list[tuple[int, int, int, int]] | np.ndarray, connectivity: int) -> np.ndarray:
+    """For runs (z, y, x0, x1), the place of the first run of each one's component, by z, then y, then x."""
+    rows = np.asarray(rows, dtype=np.int64).reshape(-1, 4)
+    if not len(rows):
+        return np.zeros(0, dtype=np.int64)
+    order = np.lexsort(rows.T[::-1])
+    ranked = rows[order] - [rows[:, 0].min(), rows[:, 1].min(), rows[:, 2].min(), rows[:, 2].min()]
+    root = np.empty(len(rows), dtype=np.int64)
+    root[order] = order[least_reachable(len(rows), *touching_runs(ranked, connectivity))]
+    return root
 
 
 def label_components(runs: DataFrame, connectivity: int = 18, slab_depth: int = 64, seam_mode: str = "true", gas: int = GAS, keys: list[str] | None = None, shape: tuple[int, int, int] | None = None) -> DataFrame:
@@ -72,8 +92,9 @@ def label_components(runs: DataFrame, connectivity: int = 18, slab_depth: int =
     columns = [*gas_runs.columns, "slab", "local"]
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(pdf["z"].tolist(), pdf["y"].tolist(), pdf["x0"].tolist(), pdf["x1"].tolist(), strict=True))
-        pdf["local"] = [(rows[r][0] * ny + rows[r][1]) * nx + rows[r][2] for r in local_roots(rows, connectivity)]
+        rows = pdf[["z", "y", "x0", "x1"]].to_numpy(np.int64)
+        first = rows[local_roots(rows, connectivity)]
+        pdf["local"] = (first[:, 0] * ny + first[:, 1]) * nx + first[:, 2]
         return pdf[columns]
 
     slabs = gas_runs.withColumn("slab", F.expr(f"CAST(z DIV {slab_depth} AS INT)"))
@@ -117,9 +138,11 @@ def percolation(labelled: DataFrame, keys: list[str], z0: int | str, z1: int | s
 
 
 def matched_component(labelled: DataFrame, footprint: DataFrame, keys: list[str]) -> DataFrame:
-    """The component with most voxels over a footprint(y, x); the largest where none is over it. Ties: first voxel."""
-    v = labelled.select(*keys, "component", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    per = v.join(footprint.select("y", "x", F.lit(1).alias("hit")), ["y", "x"], "left").groupBy(*keys, "component").agg(F.count("*").alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("over"))
+    """The component with most voxels over a footprint, disjoint runs (y, x0, x1); the largest where none is over it. Ties: first voxel."""
+    own = [*keys, "component"]
+    sizes = labelled.groupBy(*own).agg(F.sum(length()).alias("n"))
+    over = spans.shared_length(labelled, footprint, ["y"], own).withColumnRenamed("n", "over")
+    per = sizes.join(over, own, "left").withColumn("over", F.coalesce("over", F.lit(0)))
     best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("over"), F.desc("n"), "component"))
     return per.withColumn("r", best).where("r = 1").drop("r")
 
@@ -145,12 +168,18 @@ def route_overlap(labelled: DataFrame, route: DataFrame, keys: list[str], z0: in
 def disagreement_shapes(labelled: DataFrame, only_a: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
     """Shape of each component of a disagreement mask: counts, bounds, fill, elongation, centroid and class.
 
-    ``only_a(.., z, y, x)`` are the voxels of the first mask alone."""
-    v = labelled.select(*keys, "component", "z", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    v = v.join(only_a.select(*keys, "z", "y", "x", F.lit(1).alias("_a")), [*keys, "z", "y", "x"], "left")
-    extent = lambda c: (F.max(c) - F.min(c) + 1).alias(f"extent_{c}")
-    g = v.groupBy(*keys, "component").agg(F.count("*").alias("n_vox"), F.coalesce(F.sum("_a"), F.lit(0)).alias("n_a"), extent("z"), extent("y"), extent("x"), *[F.avg(c).alias(f"c{c}") for c in "zyx"]).where(F.col("n_vox") >= least)
+    ``only_a(keys.., z, y, x0, x1)`` are disjoint runs of the first mask alone. Sums over a run are closed forms, and what it shares
+    with the first mask is the overlap of their ends."""
+    own, n = [*keys, "component"], length()
+    extent = lambda low, high, name: (F.max(high) - F.min(low) + 1).alias(f"extent_{name}")
+    mean = lambda c, name: (F.sum(c) / F.sum(n)).alias(f"c{name}")
+    bounds = [extent("z", "z", "z"), extent("y", "y", "y"), extent("x0", "x1", "x")]
+    means = [mean(n * F.col("z"), "z"), mean(n * F.col("y"), "y"), mean(F.expr("(CAST(x0 AS BIGINT) + x1) * (CAST(x1 AS BIGINT) - x0 + 1) DIV 2"), "x")]
+    sizes = labelled.groupBy(*own).agg(F.sum(n).alias("n_vox"), *bounds, *means).where(F.col("n_vox") >= least)
+    of_a = spans.shared_length(labelled, only_a, [*keys, "z", "y"], own).withColumnRenamed("n", "n_a")
+    g = sizes.join(of_a, own, "left").withColumn("n_a", F.coalesce("n_a", F.lit(0)))
     big, small = F.greatest("extent_z", "extent_y", "extent_x"), F.least("extent_z", "extent_y", "extent_x")
     rf, fill, elong = F.col("n_a") / F.col("n_vox"), F.col("n_vox") / (F.col("extent_z") * F.col("extent_y") * F.col("extent_x")), big / small
+    # fixed values: the classes, their limits and their order
     kind = F.when((elong > 8) & (fill < 0.25), "boundary_strip").when((F.abs(rf - 0.5) < 0.2) & (elong > 3), "interleaved_boundary").when(rf > 0.75, "raw_dominant").when(rf < 0.25, "tif_dominant").otherwise("mixed_boundary")
-    return g.select(*keys, "component", "n_vox", "n_a", (F.col("n_vox") - F.col("n_a")).alias("n_b"), "extent_z", "extent_y", "extent_x", F.round(fill, 3).alias("fill"), F.round(elong, 2).alias("elongation"), F.round(rf, 3).alias("share_a"), kind.alias("kind"), *[F.round(f"c{c}", 1).alias(f"c{c}") for c in "zyx"])
+    return g.select(*own, "n_vox", "n_a", (F.col("n_vox") - F.col("n_a")).alias("n_b"), "extent_z", "extent_y", "extent_x", F.round(fill, 3).alias("fill"), F.round(elong, 2).alias("elongation"), F.round(rf, 3).alias("share_a"), kind.alias("kind"), *[F.round(f"c{c}", 1).alias(f"c{c}") for c in "zyx"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import K_REFERENCE
 from ..functions.names import darcy, millidarcy
+from .quantiles import percentiles, same
 
 TRACK = ["run_id", "track_id", "connectivity", "simulator"]
 
@@ -53,11 +54,13 @@ def per_timestep(wide: DataFrame, keys: list[str]) -> DataFrame:
 def error_bars(points: DataFrame, keys: list[str], value: str, snr: float = 0.39) -> DataFrame:
     """Bars of a scan's points: their range, of lone or equal points the median of the positive ranges (1e-6 if none);
     50 times that beyond the residual saturation 1 - snr. Adds ``sigma``."""
-    w, whole = Window.partitionBy(*keys, "scan_index"), Window.partitionBy(*keys)
-    p = points.withColumn("_r", F.max(value).over(w) - F.min(value).over(w)).withColumn("_first", F.row_number().over(w.orderBy("sw", value)))
-    fallback = F.coalesce(F.median(F.when((F.col("_first") == 1) & (F.col("_r") > 0), F.col("_r"))).over(whole), F.lit(1e-6))
-    bar = F.when(F.col("_r") > 0, F.col("_r")).otherwise(fallback)
-    return p.withColumn("sigma", bar * F.when(F.col("sw") > 1 - snr, 50.0).otherwise(1.0)).drop("_r", "_first")
+    scan = [*keys, "scan_index"]
+    ranges = points.groupBy(*scan).agg((F.max(value) - F.min(value)).alias("_r"))
+    middle = percentiles(ranges.where("_r > 0"), keys, "_r", {"_m": 0.5})
+    r, m = ranges.withColumnsRenamed({k: f"_{k}" for k in scan}), middle.withColumnsRenamed({k: f"__{k}" for k in keys})
+    p = points.join(r, same(scan, "", "_"), "left").join(m, same(keys, "", "__"), "left")
+    bar = F.when(F.col("_r") > 0, F.col("_r")).otherwise(F.coalesce("_m", F.lit(1e-6)))
+    return p.withColumn("sigma", bar * F.when(F.col("sw") > 1 - snr, 50.0).otherwise(1.0)).select(*points.columns, "sigma")
 
 
 def clip01(x: Column) -> Column:
@@ -104,7 +107,7 @@ def rev_effect(boxes: DataFrame, results: DataFrame) -> DataFrame:
     b = boxes.withColumn("_r", one).where("_r = 1").select("run_id", "track_id", "connectivity", "extent_z")
     p = b.join(results.where("sim_type = 'absolute'"), ["run_id", "track_id", "connectivity"]).select("run_id", "simulator", F.col("extent_z").cast("double").alias("x"), millidarcy(F.col("k_z")).alias("y"))
     keys = ["run_id", "simulator"]
-    q = p.groupBy(*keys).agg(F.expr("percentile_cont(0.25) WITHIN GROUP (ORDER BY y)").alias("q1"), F.expr("percentile_cont(0.75) WITHIN GROUP (ORDER BY y)").alias("q3"))
+    q = percentiles(p, keys, "y", {"q1": 0.25, "q3": 0.75})
     i = p.join(q, keys).withColumn("inlier", F.col("y").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     part = lambda c: [F.count(F.when(c, F.col("y"))), F.corr(F.when(c, F.col("x")), F.when(c, F.col("y"))), F.regr_slope(F.when(c, F.col("y")), F.when(c, F.col("x")))]
     names = ("n", "r", "slope")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BRINE, GAS
-from .runs import length, voxels_from_runs
+from . import spans
+from .runs import length
 
 
 def label_histogram(runs: DataFrame) -> DataFrame:
@@ -75,8 +76,10 @@ def bounding_boxes(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stride_sample(runs: DataFrame, step: int) -> DataFrame:
-    """Voxels whose coordinates are multiples of ``step``."""
-    return voxels_from_runs(runs.where((F.col("z") % step == 0) & (F.col("y") % step == 0))).where(F.col("x") % step == 0)
+    """Voxels whose coordinates are multiples of ``step``; of a run only those are made."""
+    first = F.ceil(F.col("x0") / step).cast("int") * step
+    hit = runs.where((F.col("z") % step == 0) & (F.col("y") % step == 0)).withColumn("_f", first).where("_f <= x1")
+    return hit.select("scan_index", "z", "y", F.explode(F.sequence(F.col("_f"), F.col("x1"), F.lit(step))).alias("x"), "label")
 
 
 def block_any(runs: DataFrame, step: int, gas: int = GAS) -> DataFrame:
@@ -86,11 +89,10 @@ def block_any(runs: DataFrame, step: int, gas: int = GAS) -> DataFrame:
 
 
 def projection(runs: DataFrame, axis: str) -> DataFrame:
-    """Greatest label along an axis, at every place that has one."""
+    """Greatest label along an axis at every place that has one: of x rows (scan_index, z, y, label), of y and z runs of the image."""
     if axis == "x":
         return runs.groupBy("scan_index", "z", "y").agg(F.max("label").alias("label"))
-    other = "y" if axis == "z" else "z"
-    return voxels_from_runs(runs).groupBy("scan_index", other, "x").agg(F.max("label").alias("label"))
+    return spans.greatest_label(runs, ["scan_index", "y" if axis == "z" else "z"])
 
 
 def domain_value(kind: str, label: Column, inside: Column | None = None) -> Column:
@@ -105,10 +107,8 @@ def domain_value(kind: str, label: Column, inside: Column | None = None) -> Colu
 
 
 def overlap(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Voxels of two masks(z, y, x): 1 in both, 2 only in a, 3 only in b."""
-    on = [*(keys or []), "z", "y", "x"]
-    j = a.select(*on, F.lit(True).alias("_a")).join(b.select(*on, F.lit(True).alias("_b")), on, "full")
-    return j.select(*on, F.when(F.col("_a") & F.col("_b"), 1).when(F.col("_a"), 2).otherwise(3).alias("value"))
+    """Runs of two masks, given as runs, with ``value``: 1 in both, 2 only in a, 3 only in b."""
+    return spans.overlay(a, b, [*(keys or []), "z", "y"])
 
 
 def overlap_counts(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,12 +139,23 @@ def register(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def footprint(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Places (y, x) of each key, whatever the slice."""
-    return voxels_from_runs(runs.select("scan_index", "z", "y", "x0", "x1", "label")).select("y", "x").distinct() if not keys else runs.select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x")).distinct()
+    """Places (y, x) of each key, whatever the slice, as runs (keys.., y, x0, x1)."""
+    return spans.covered(runs, [*keys, "y"])
+
+
+def surface(mask: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs of a mask's voxels with a face neighbour outside it; a mesh's starting point.
+
+    A voxel is inside where five things cover it: its own run without both ends, and the runs of the four rows beside. So each run is
+    put on its own row once whole and once shortened, and on each row beside it, and the rows are swept."""
+    row = [*keys, "z", "y"]
+    whole = spans.covered(mask, row)
+    put = lambda dz, dy, cut, own: F.struct((F.col("z") + dz).alias("z"), (F.col("y") + dy).alias("y"), (F.col("x0") + cut).alias("x0"), (F.col("x1") - cut).alias("x1"), F.lit(own).alias("_own"), F.lit(1 - own).alias("_cover"))
+    each = whole.select(*keys, F.explode(F.array(put(0, 0, 0, 1), put(0, 0, 1, 0), *[put(dz, dy, 0, 0) for dz, dy in ((-1, 0), (1, 0), (0, -1), (0, 1))])).alias("p")).select(*keys, "p.*").where("x0 <= x1")
+    return spans.merged(spans.levels(each, row, ["_own", "_cover"]).where("_own > 0 AND _cover < 5"), row)
 
 
 def surface_voxels(voxels: DataFrame, keys: list[str]) -> DataFrame:
-    """Voxels of a mask(.., z, y, x) with a face neighbour outside it; a mesh's starting point."""
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in ((0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))]))
-    seen = voxels.select(*keys, "z", "y", "x", steps.alias("s")).select(*keys, (F.col("z") + F.col("s.a")).alias("z"), (F.col("y") + F.col("s.b")).alias("y"), (F.col("x") + F.col("s.c")).alias("x"), (F.abs("s.a") + F.abs("s.b") + F.abs("s.c")).alias("far"))
-    return seen.groupBy(*keys, "z", "y", "x").agg(F.count("*").alias("n"), F.min("far").alias("near")).where("near = 0 AND n < 7").select(*keys, "z", "y", "x")
+    """``surface`` of a mask that is given as voxels (.., z, y, x), as voxels."""
+    at = F.col("x")
+    return spans.places(surface(voxels.select(*keys, "z", "y", at.alias("x0"), at.alias("x1")), keys))

@@ -84,6 +84,37 @@ def sql(select: str, *needs: str) -> str:
     return ("WITH RECURSIVE " + ",\n    ".join(CTE[n][1] for n in order) + "\n" if order else "") + select
 
 
+def fitted(points: str, n: tuple[float, float], k: tuple[float, float], g: tuple[float, float], side: int = 20, rounds: int = 4) -> str:
+    """Expressions that fit ``points(run_id, simulator, b, v, sigma)``: sums for a grid of exponents, the best, a finer grid around
+    it and so on; then residuals, normal matrix and covariance in ``curves``. With equal bounds of g it is no parameter."""
+    two = g[1] > g[0]
+    key = "run_id, simulator"
+    steps = [f"pt AS (SELECT {key}, b, v, 1 / (sigma * sigma) AS w FROM ({points}))", f"o0 AS (SELECT {key}, {(n[0] + n[1]) / 2}::DOUBLE AS n, {(n[1] - n[0]) / 80}::DOUBLE AS step FROM pt GROUP BY ALL)"]
+    edge = "list_min([{0}])"
+    sse = lambda kk, gg: f"vv - 2 * ({kk} * fv + {gg} * bv) + {kk} * {kk} * ff + 2 * {kk} * {gg} * fb + {gg} * {gg} * bb"
+    of_k = lambda kk: f"least(greatest((bv - {kk} * fb) / bb, {g[0]}), {g[1]})"
+    of_g = lambda gg: f"least(greatest((fv - {gg} * fb) / ff, {k[0]}), {k[1]})"
+    one = lambda kk, gg: f"{{'sse': {sse(kk, gg)}, 'k0': {kk}, 'g': {gg}}}"
+    edges = ", ".join([one(f"{x}::DOUBLE", of_k(f"{x}::DOUBLE")) for x in k] + [one(of_g(f"{x}::DOUBLE"), f"{x}::DOUBLE") for x in g])
+    inside = f"det > 1e-13 * ff * bb AND kf BETWEEN {k[0]} AND {k[1]} AND gf BETWEEN {g[0]} AND {g[1]}"
+    for r in range(rounds + 1):
+        half = 40 if r == 0 else side
+        steps.append(f"""t{r} AS (SELECT {key}, n, step, sum(w * f * f) AS ff, sum(w * f * b) AS fb, sum(w * b * b) AS bb, sum(w * f * v) AS fv, sum(w * b * v) AS bv, sum(w * v * v) AS vv
+          FROM (SELECT pt.*, step, least(greatest(o.n + i * step, {n[0]}), {n[1]}) AS n, pow(b, least(greatest(o.n + i * step, {n[0]}), {n[1]})) AS f FROM pt JOIN o{r} o USING ({key}), range({-half}, {half + 1}) t(i)) GROUP BY ALL)""")
+        steps.append(f"""o{r + 1} AS (SELECT {key}, n, step / {side} AS step, best.k0 AS k0, best.g AS g FROM (SELECT *, CASE WHEN {inside} THEN {one('kf', 'gf')} ELSE {edge.format(edges)} END AS best
+          FROM (SELECT *, ff * bb - fb * fb AS det, (fv * bb - bv * fb) / (ff * bb - fb * fb) AS kf, (bv * ff - fv * fb) / (ff * bb - fb * fb) AS gf FROM t{r})) QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY best.sse, n) = 1)""")
+    d, e, c22 = ("m11", "m12", "m22") if two else ("m11", "0.0", "1.0")
+    m02 = "m02" if two else "0.0"
+    steps.append(f"""mat AS (SELECT {key}, any_value(n) AS n, any_value(k0) AS k0, any_value(g) AS g, count(*) AS m, sum(w * r * r) AS wrr, sum(r * r) AS rr, sum(w * j0 * j0) AS m00, sum(w * j0 * j1) AS m01, sum(w * j0 * j2) AS m02, sum(w * j1 * j1) AS m11, sum(w * j1 * j2) AS m12, sum(w * j2 * j2) AS m22
+      FROM (SELECT *, v - k0 * pow(b, n) - g * b AS r, pow(b, n) AS j0, CASE WHEN b > 0 THEN k0 * pow(b, n) * ln(CASE WHEN b > 0 THEN b END) ELSE 0.0 END AS j1, b * pow(1 - g, 2) AS j2 FROM pt JOIN o{rounds + 1} USING ({key})) GROUP BY ALL)""")
+    steps.append(f"dets AS (SELECT *, m00 * ({d} * {c22} - {e} * {e}) + m01 * ({m02} * {e} - m01 * {c22}) + {m02} * (m01 * {e} - {m02} * {d}) AS det FROM mat)")
+    near = lambda x, b: f"least(abs({x} - {b[0]}), abs({x} - {b[1]})) <= 1e-6 * greatest(1.0, {b[1] - b[0]})"
+    c = tuple(x / (1 - x) for x in g)
+    steps.append(f"""curves AS (SELECT *, g / (1 - g) AS c, ({d} * {c22} - {e} * {e}) / det AS v00, ({m02} * {e} - m01 * {c22}) / det AS v01, (m01 * {e} - {m02} * {d}) / det AS v02, (m00 * {c22} - {m02} * {m02}) / det AS v11, (m01 * {m02} - m00 * {e}) / det AS v12, (m00 * {d} - m01 * m01) / det AS v22,
+      list_filter([CASE WHEN {near("k0", k)} THEN 'k0' END, CASE WHEN {near("n", n)} THEN 'n' END, {f"CASE WHEN {near('g / (1 - g)', c)} THEN 'c' END" if two else "NULL"}], lambda x: x IS NOT NULL) AS at_bound FROM dets)""")
+    return ", ".join(steps)
+
+
 def oracle_sql() -> dict[str, str]:
     gas, brine = _gas_base.format("sw"), _brine_base.format("sw")
     comp = "SELECT scan_index, component, count(*) AS n FROM lab GROUP BY ALL"
@@ -92,7 +123,18 @@ def oracle_sql() -> dict[str, str]:
       fall AS (SELECT run_id, simulator, median(r) FILTER (r > 0) AS m FROM (SELECT DISTINCT run_id, simulator, scan_index, r FROM rng) GROUP BY ALL),
       bars AS (SELECT rng.*, CASE WHEN r > 0 THEN r ELSE coalesce(m, 1e-6) END * CASE WHEN sw > 1 - 0.39 THEN 50.0 ELSE 1.0 END AS sigma FROM rng JOIN fall USING (run_id, simulator))"""
     with_bars = sql("SELECT 1", "kr").rsplit("\n", 1)[0] + ",\n    " + bars + "\n"
-    q = {
+    point = f"SELECT run_id, simulator, {gas} AS b, kr_gas AS v, sigma FROM bars"
+    u = lambda place, start: f"((('0x' || substr(md5('0:' || draw || ':{place}'), {start}, 8))::BIGINT)::DOUBLE + 0.5) / 4294967296.0"
+    z = lambda place: f"sqrt(-2 * ln({u(place, 1)})) * cos(2 * pi() * ({u(place, 9)}))"
+    fits = {
+        "corey_fit": with_bars + ", " + fitted(f"{point} UNION ALL SELECT run_id, simulator, 0.0, 0.0, min(sigma) FROM bars GROUP BY ALL", (2.0, 6.0), (0.2, 1.0), (0.0, 0.5 / 1.5)) + """SELECT run_id, simulator, 'gas' AS phase, m::INT AS n_points, round(k0, 4) AS k0, round(n, 4) AS n, round(c, 4) AS c, round(sqrt(rr / m), 4) AS rmse, round(wrr / greatest(m - 3, 1), 4) AS chi2,
+          array_to_string(at_bound, ',') AS at_bound, round(sqrt(v00), 4) AS sd_k0, round(sqrt(v11), 4) AS sd_n, round(sqrt(v22), 4) AS sd_c FROM curves""",
+        "corey_band": with_bars + ", " + fitted(point, (2.0, 6.0), (0.2, 1.0), (0.0, 0.0)) + f""", bases AS (SELECT i / 20.0::DOUBLE AS base FROM range(21) t(i)),
+          drawn AS (SELECT run_id, simulator, least(greatest(k0 + sqrt(v00) * z0, 0.2), 1.0) AS pk, least(greatest(n + v01 / sqrt(v00) * z0 + sqrt(v11 - v01 / sqrt(v00) * (v01 / sqrt(v00))) * z1, 2.0), 6.0) AS pn FROM curves, (SELECT {z(0)} AS z0, {z(1)} AS z1 FROM range(2000) t(draw)) WHERE NOT list_contains(at_bound, 'n')),
+          spread AS (SELECT run_id, simulator, base, quantile_cont(pk * pow(base, pn), 0.025) AS low, quantile_cont(pk * pow(base, pn), 0.975) AS high FROM drawn, bases GROUP BY ALL)
+          SELECT run_id, simulator, 'gas' AS phase, round(base, 4) AS base, round(k0 * pow(base, n), 4) AS curve, round(low, 4) AS low, round(high, 4) AS high FROM curves CROSS JOIN bases LEFT JOIN spread USING (run_id, simulator, base)""",
+    }
+    q = fits | {
         "label_histogram": sql("SELECT scan_index, label, count(*) AS n FROM vox WHERE label <> 0 GROUP BY ALL", "vox"),
         "sw_series": sql("SELECT scan_index, gas, brine, round(sw, 9) AS sw FROM sw", "sw"),
         "x_density": sql("SELECT scan_index, x, count(*) AS n FROM vox WHERE label > 0 GROUP BY ALL", "vox"),

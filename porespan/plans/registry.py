@@ -16,10 +16,12 @@ from ..operators import components as C
 from ..operators import permeability as P
 from ..operators import regime as T
 from ..operators import runs as RL
+from ..operators import spans as A
 from ..operators import voxels as V
+from ..operators.quantiles import percentiles
 from ..sources import tiff
 from ..streaming import windows
-from .oracles import oracle_sql  # noqa: F401
+from . import oracles, volumes
 
 NS, NZ, NY, NX = SHAPE
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,12 +123,12 @@ def unwrap_x(c):
 
 @query
 def mip_z(c):
-    return V.projection(c.runs_x, "z")
+    return A.places(V.projection(c.runs_x, "z"))
 
 
 @query
 def mip_y(c):
-    return V.projection(c.runs_x, "y")
+    return A.places(V.projection(c.runs_x, "y"))
 
 
 @query
@@ -156,10 +158,6 @@ def box_crop(c):
     return RL.clip(c.runs_x, c.boxes, []).groupBy("track_id", "scan_index", "label").agg(F.sum(RL.length()).alias("n"))
 
 
-def gas_voxels(c: Catalogue) -> DataFrame:
-    return RL.voxels_from_runs(c.runs_x.where("label = 2")).drop("label")
-
-
 def gas_runs(c: Catalogue, shift: int = 0) -> DataFrame:
     """Runs of gas without their label, each scan under the number ``shift`` lower."""
     return c.runs_x.where("label = 2").select((F.col("scan_index") - shift).alias("scan_index"), "z", "y", "x0", "x1")
@@ -179,12 +177,12 @@ def registration(c):
 
 @query
 def surface_voxels(c):
-    return V.surface_voxels(gas_voxels(c), ["scan_index"])
+    return A.places(V.surface(gas_runs(c), ["scan_index"]))
 
 
 @query
 def footprint(c):
-    return V.footprint(c.clusters, ["track_id"])
+    return A.places(V.footprint(c.clusters, ["track_id"]))
 
 
 # -- regime
@@ -301,11 +299,10 @@ def x_route_overlap(c):
 
 @query
 def disagreement_components(c):
-    a, b = gas_voxels(c).where("scan_index = 3").drop("scan_index"), gas_voxels(c).where("scan_index = 4").drop("scan_index")
-    v = V.overlap(a, b).where("value > 1")
-    marked = v.select(F.lit(0).alias("scan_index"), "z", "y", "x", F.lit(2).alias("label"))
-    lab = C.label_components(RL.runs_from_voxels(marked), 26, slab_depth=4, shape=SHAPE[1:])
-    return C.disagreement_shapes(lab, v.where("value = 2").select(F.lit(0).alias("scan_index"), "z", "y", "x"), ["scan_index"])
+    a, b = (gas_runs(c).where(F.col("scan_index") == i).withColumn("scan_index", F.lit(0)) for i in (3, 4))
+    row = ["scan_index", "z", "y"]
+    lab = C.label_components(A.exclusive(a, b, row).withColumn("label", F.lit(2)), 26, slab_depth=4, shape=SHAPE[1:])
+    return C.disagreement_shapes(lab, A.difference(a, b, row), ["scan_index"])
 
 
 # -- boxes, tracks
@@ -570,12 +567,13 @@ def corey_grid_fit(c):
 
 @query
 def corey_fit(c):
-    return fitting.fit_curves(fitting.anchor(fit_points(c), ["run_id", "simulator"]), ["run_id", "simulator"], modified=True)
+    f = fitting.fit_curves(fitting.anchor(fit_points(c), ["run_id", "simulator"]), ["run_id", "simulator"], modified=True)
+    return rounded(f.withColumn("at_bound", F.array_join("at_bound", ",")), "k0", "n", "c", "rmse", "chi2", "sd_k0", "sd_n", "sd_c", places=4)
 
 
 @query
 def corey_band(c):
-    return fitting.fit_bands(fit_points(c), ["run_id", "simulator"], modified=False)
+    return rounded(fitting.fit_bands(fit_points(c), ["run_id", "simulator"], modified=False), "base", "curve", "low", "high", places=4)
 
 
 @query
@@ -593,7 +591,7 @@ def rev_effect(c):
 @on_tables
 def iqr_outliers(read):
     li = read("lineitem").select("l_returnflag", "l_extendedprice")
-    q = li.groupBy("l_returnflag").agg(*[F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY l_extendedprice)").alias(n) for p, n in ((0.25, "q1"), (0.75, "q3"))])
+    q = percentiles(li, ["l_returnflag"], "l_extendedprice", {"q1": 0.25, "q3": 0.75})
     far = (F.col("l_extendedprice") < F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) | (F.col("l_extendedprice") > F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     return li.join(F.broadcast(q), "l_returnflag").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(far).alias("n_outliers"))  # three flags
 
@@ -787,6 +785,10 @@ FOUND["stream_sw_windows"] = stream_sw_windows
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(FOUND)
+    return FOUND | volumes.queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.oracle_sql() | volumes.oracle_sql()
 
 
