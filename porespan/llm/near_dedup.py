@@ -43,6 +43,12 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(h)
 
 
+def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that don't depend on the order of a set's hashes, as two signed numbers."""
+    sums = np.array([mix(shingles).sum(dtype=np.uint64), mix(shingles * _MIX + np.uint64(7)).sum(dtype=np.uint64)], dtype=np.uint64)
+    return tuple(sums.view(np.int64).tolist())
+
+
 def bands_for(percent: int, miss: float = MISS, rows: int | None = None) -> tuple[int, int]:
     """Bands and registers in each, so that a pair at the threshold misses all with probability ``miss`` at most."""
     j = percent / 100
@@ -100,33 +106,32 @@ def jaccard_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
 
 
 def sketched(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int, seed: int = SEED) -> DataFrame:
-    """``(key, n_shingles, fp1, fp2, sketch, keys)`` of each row: set size, 128-bit fingerprint of the set, registers, and a
-    hash of each band. Sets without shingles have null fingerprint, sketch and keys."""
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_shingles long, fp1 long, fp2 long, sketch binary, keys array<bigint>"
+    """``(key, text_hash, n_shingles, fp1, fp2, sketch, keys)`` of each row: hash of the text, set size, 128-bit fingerprint of the set,
+    registers, and a hash of each band. Sets without shingles have null fingerprint, sketch and keys."""
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, text_hash long, n_shingles long, fp1 long, fp2 long, sketch binary, keys array<bigint>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = bands * rows
         for batch in batches:
             out = []
-            for d, t in zip(batch[key], batch[text], strict=True):
+            for d, t, of_text in zip(batch.iloc[:, 0], batch.iloc[:, 1], batch.iloc[:, 2], strict=True):
                 d = None if pd.isna(d) else d
                 s = shingle_set(t, k)
                 if not len(s):
-                    out.append((d, 0, None, None, None, None))
+                    out.append((d, of_text, 0, None, None, None, None))
                     continue
                 r = registers(s, m, seed)
                 h = np.full(bands, seed, dtype=np.uint64)
                 for c in r.reshape(bands, rows).T.astype(np.uint64):
                     h = mix(h * _MIX + c)
                 h = mix(h * _MIX + np.arange(bands, dtype=np.uint64))
-                fp1, fp2 = int(mix(s).sum(dtype=np.uint64)), int(mix(s * _MIX + np.uint64(7)).sum(dtype=np.uint64))
-                out.append((d, len(s), *np.array([fp1, fp2], dtype=np.uint64).view(np.int64).tolist(), r.tobytes(), h.view(np.int64)))
-            frame = pd.DataFrame(out, columns=[key, "n_shingles", "fp1", "fp2", "sketch", "keys"])
+                out.append((d, of_text, len(s), *fingerprint(s), r.tobytes(), h.view(np.int64)))
+            frame = pd.DataFrame(out, columns=[key, "text_hash", "n_shingles", "fp1", "fp2", "sketch", "keys"])
             for c in (key, "fp1", "fp2"):
                 frame[c] = frame[c].astype("Int64")
             yield frame
 
-    return docs.select(key, text).mapInPandas(tidied(run), schema)
+    return docs.select(key, text, F.xxhash64(text).alias("text_hash")).mapInPandas(tidied(run), schema)
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, loose: float) -> DataFrame:
@@ -184,14 +189,15 @@ def linked(sets: list[np.ndarray], percent: int, split: int | None = None) -> li
 
 
 def _verified(members: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """Exact links (src, dst) that span the components within the loose groups of ``members(id, group, n_shingles)``.
+    """Exact links (src, dst) that span the components within the loose groups of ``members(id, group, n_shingles, doc, text_hash, fp1)``,
+    whose text is one with that key and hash.
 
-    Groups are dealt to blocks of bounded size by their keys' hashes. First each block is compared with itself and with the group's
-    least key, which connects what is like that one. Only groups that still fall apart are then compared block by block."""
+    Groups are dealt to blocks of bounded size by their members' hashes. First each block is compared with itself and with the group's
+    least member, which connects what is like that one. Only groups that still fall apart are then compared block by block."""
     sizes = checkpointed(members.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("n_blocks"), F.min("id").alias("lead"), F.count("*").alias("n")))
     hot = hot_keys(sizes, "group", "n")
     placed = hot_join(members.drop("n_shingles"), sizes.drop("n"), "group", hot).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text"))
+    texts = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
     pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     every = F.sequence(F.lit(0), F.col("n_blocks") - 1)
     own = F.when(F.col("id") == F.col("lead"), F.transform(every, lambda o: pair(o, o))).otherwise(F.array(pair(F.col("block"), F.col("block"))))
@@ -208,7 +214,7 @@ def _verified(members: DataFrame, docs: DataFrame, key: str, text: str, k: int,
 
 def _compared(placed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between the members of each pair of blocks in the arrays ``m``, each pair a task of its own."""
-    work = placed.join(texts, "id").select("id", "group", "block", "_text", F.explode("m").alias("m")).select("id", "group", "block", "_text", F.col("m.a").alias("a"), F.col("m.b").alias("b"))
+    work = placed.join(texts, ["doc", "text_hash"]).select("id", "fp1", "group", "block", "_text", F.explode("m").alias("m")).select("id", "fp1", "group", "block", "_text", F.col("m.a").alias("a"), F.col("m.b").alias("b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solve(rows: list[tuple[int, int, np.ndarray]], a: int, b: int) -> pd.DataFrame:
@@ -218,19 +224,23 @@ def _compared(placed: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
             links = linked([r[2] for r in rows], percent)
             return pd.DataFrame([(rows[i][0], rows[j][0]) for i, j in links], columns=["src", "dst"], dtype="int64")
 
-        last, rows = None, []
+        last, rows, seen = None, [], set()
         for batch in batches:
-            for g, a, b, i, block, t in zip(batch["group"], batch["a"], batch["b"], batch["id"], batch["block"], batch["_text"], strict=True):
+            for g, a, b, i, fp1, block, t in zip(batch["group"], batch["a"], batch["b"], batch["id"], batch["fp1"], batch["block"], batch["_text"], strict=True):
                 if (g, a, b) != last:
                     if len(rows) > 1:
                         yield solve(rows, *last[1:])
-                    last, rows = (g, a, b), []
-                rows.append((int(i), int(block), shingle_set(t, k)))
+                    last, rows, seen = (g, a, b), [], set()
+                if i not in seen:  # repeated rows come as often as they are there
+                    shingles = shingle_set(t, k)
+                    if fingerprint(shingles)[0] == fp1:
+                        seen.add(i)
+                        rows.append((int(i), int(block), shingles))
         if len(rows) > 1:
             yield solve(rows, *last[1:])
 
     tasks = work.repartition("group", "a", "b").sortWithinPartitions("group", "a", "b")
-    return tasks.select("group", "a", "b", "id", "block", "_text").mapInPandas(tidied(run), "src long, dst long")
+    return tasks.select("group", "a", "b", "id", "fp1", "block", "_text").mapInPandas(tidied(run), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, seed: int = SEED) -> DataFrame:
@@ -242,31 +252,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     rows with a null key are grouped by their text, kept only without a group (component_id null). Rows that share a key are
     grouped each by its own text, and each is kept whose group has that key as its smallest.
 
-    1. Sketch every text in one pass; equal sets fold to their smallest key, pre-aggregated.
-    2. Band the registers. A bucket links each member to its least and to the next key, so links grow with rows, not pairs.
+    1. Sketch every text in one pass; equal sets fold to one, known by the least key and text that has it, pre-aggregated.
+    2. Band the registers. A bucket links each set to its least and to the next one, so links grow with sets, not pairs.
     3. Drop links whose likelihood estimate is more than LOOSE below the threshold, and label what hangs together: the loose groups.
        A pair that reaches the threshold is in one, but for those that share no band (MISS) or whose links are all dropped.
-    4. Verify within loose groups on full sets: a block of bounded size is one task, larger groups meet their least key, and
+    4. Verify within loose groups on full sets: a block of bounded size is one task, larger groups meet their least set, and
        block by block only where that leaves them in parts.
     """
     bands, rows = bands_for(percent)
-    facts = checkpointed(sketched(docs, key, text, k, bands, rows, seed).withColumn("id", F.col(key).cast("long")))
-    sets = facts.where("n_shingles > 0 AND id IS NOT NULL").groupBy("fp1", "fp2").agg(F.min("id").alias("id"), F.min("n_shingles").alias("n_shingles"))
-    # a repeated key stands once for each set; copies of the same row fold here
-    owned = facts.select("id", "fp1", "fp2", "sketch", "keys")
-    reps = checkpointed(sets.join(owned, ["id", "fp1", "fp2"]).dropDuplicates(["fp1", "fp2"]))
+    facts = checkpointed(sketched(docs, key, text, k, bands, rows, seed).withColumn("doc", F.col(key).cast("long")))
+    # what is linked are sets, whatever keys their rows have; a set is met by the least of its rows
+    sets = facts.where("n_shingles > 0 AND doc IS NOT NULL").groupBy("fp1", "fp2").agg(F.min(F.struct("doc", "text_hash")).alias("least"), F.min("n_shingles").alias("n_shingles"))
+    sets = sets.select("fp1", "fp2", "n_shingles", "least.*")
+    owned = facts.select("doc", "text_hash", "fp1", "fp2", "sketch", "keys")
+    reps = sets.join(owned, ["doc", "text_hash", "fp1", "fp2"]).dropDuplicates(["fp1", "fp2"])
+    reps = checkpointed(reps.withColumn("id", F.monotonically_increasing_id()))  # numbered once, when they are written
     inside = reps.select("id", F.explode("keys").alias("key"))
     shared = checkpointed(inside.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    # a bucket may hold a third of all rows: its chain is made in parts, which all hang on its least key
+    # a bucket may hold a third of all rows: its chain is made in parts, which all hang on its least set
     chained = hot_join(inside, shared, "key", hot_keys(shared, "key", "n")).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHAINED)))
     chained = chained.withColumn("before", F.lag("id").over(Window.partitionBy("key", "part").orderBy("id")))
     pairs = chained.select(F.explode(F.array(F.struct(F.col("id").alias("src"), F.col("hub").alias("dst")), F.struct(F.col("id").alias("src"), F.col("before").alias("dst")))).alias("p"))
     pairs = pairs.select("p.*").where("src > dst").distinct()
     loose = connected_components(_estimated(pairs, reps.select("id", "n_shingles", "sketch"), percent / 100 - LOOSE))
-    members = loose.select(F.col("vertex").alias("id"), F.col("component").alias("group")).join(reps.select("id", "n_shingles"), "id")
-    links = _verified(members, docs, key, text, k, percent)
-    groups = connected_components(links)
-    named = sets.join(groups, F.col("id") == F.col("vertex"), "left").select(F.col("fp1").alias("_f1"), F.col("fp2").alias("_f2"), F.coalesce("component", "id").alias("_c"))
-    out = facts.select(key, "id", "n_shingles", "fp1", "fp2").join(named, (F.col("fp1") == F.col("_f1")) & (F.col("fp2") == F.col("_f2")), "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("_c", "id"))
+    members = loose.select(F.col("vertex").alias("id"), F.col("component").alias("group")).join(reps.select("id", "n_shingles", "doc", "text_hash", "fp1"), "id")
+    groups = connected_components(_verified(members, docs, key, text, k, percent))
+    grouped = groups.join(reps.select("id", "doc", "fp1", "fp2"), F.col("vertex") == F.col("id"))
+    least = grouped.groupBy("component").agg(F.min("doc").alias("_least"), F.count("*").alias("n"))
+    hot = hot_keys(least, "component", "n")
+    named = hot_join(grouped.select("component", F.col("fp1").alias("_f1"), F.col("fp2").alias("_f2")), least.drop("n"), "component", hot).drop("component")
+    own = reps.select(F.col("fp1").alias("_f1"), F.col("fp2").alias("_f2"), "doc").join(named, ["_f1", "_f2"], "left").select("_f1", "_f2", F.coalesce("_least", "doc").alias("_c"))
+    out = facts.select(key, F.col("doc").alias("_doc"), "n_shingles", "fp1", "fp2").join(own, (F.col("fp1") == F.col("_f1")) & (F.col("fp2") == F.col("_f2")), "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("_doc")).otherwise(F.coalesce("_c", "_doc"))
     return out.select(key, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.col("component_id").isNull()))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import tidied
-from .words import mix, pieced
+from .words import hashes, mix
 
 SPACE = "▁"
 #: Cost of a piece: PIECE + RANK * log(1 + its rank in the vocabulary); a segmentation has probability ~ exp(-sum of costs).
@@ -369,7 +369,7 @@ class Chunks:
         self.first = np.flatnonzero(begins)
         self.last = np.append(self.first[1:], len(self.chars))[: len(self.first)]
         self.counts = np.diff(np.searchsorted(self.first, np.concatenate(([0], ends))))
-        self.keys = pieced(self.chars, self.first, self.last, lambda c: mix(c.astype(np.uint64) + np.uint64(1 << 40)))
+        self.keys = hashes(self.chars.view(np.uint8), 4 * self.first, 4 * self.last)
 
     def name(self, i: int) -> str:
         return self.whole[self.first[i] : self.last[i]]

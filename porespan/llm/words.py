@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import sys
 
 import numpy as np
 
-#: Bytes of a text whose words are coded together; longer texts go piece by piece.
-PIECE = 1 << 19
+#: Runs that are hashed together; longer runs than LONG bytes are hashed one by one.
+TOGETHER, LONG = 1 << 16, 128
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_rng = np.random.default_rng(20)
-_BASE = np.uint64(int(_rng.integers(1 << 62)) * 4 + 3)
-#: A random number for each byte; A-Z have those of a-z.
-_LETTER = _rng.integers(0, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LETTER[65:91] = _LETTER[97:123]
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Of eight bytes, those that belong to a run with so many left.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,17 +25,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base, and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(4096, 1 << (n - 1).bit_length())
-        for i, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
-            row = np.full(size, base, dtype=np.uint64)
-            row[0] = 1
-            _powers[i] = np.multiply.accumulate(row)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def as_bytes(text: str | bytes | None) -> np.ndarray:
     return np.frombuffer((text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text) or b"", dtype=np.uint8)
 
@@ -49,31 +37,38 @@ def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def runs(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hashes of the runs ``values[first:last]``: a polynomial over each, from prefix sums, and its length."""
-    up, down = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * _MIX)
-
-
-def pieced(data: np.ndarray, first: np.ndarray, last: np.ndarray, letters: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Hashes of the ascending runs ``data[first:last]``, whose elements ``letters`` turns into numbers; long data go piece by piece."""
-    if not len(first):
+def hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the byte runs ``data[first:last]``: eight bytes at a time are mixed in, so runs of one length up to eight bytes never
+    share one, and no rule makes longer ones that do; beyond LONG bytes a run's BLAKE2b digest."""
+    out = np.empty(len(first), dtype=np.uint64)
+    eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=np.concatenate([data, np.zeros(8, dtype=np.uint8)]), strides=(1,))
+    for a in range(0, len(first), TOGETHER):
+        begin, size = first[a : a + TOGETHER], (last - first)[a : a + TOGETHER]
+        h = mix(size.astype(np.uint64) * _MIX + np.uint64(1)) ^ eights[begin] & _KEEP[np.minimum(size, 8)]
+        h = mix(h)
+        for at in range(8, min(int(size.max()), LONG), 8):
+            on = np.flatnonzero(size > at)
+            h[on] = mix(h[on] * _MIX + mix(eights[begin[on] + at] & _KEEP[np.minimum(size[on] - at, 8)]))
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : begin[i] + size[i]].tobytes(), digest_size=8).digest(), sys.byteorder)
+        out[a : a + TOGETHER] = h
+    return out
+
+
+def windows(codes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every ``n`` codes in a row, made of those of half as many."""
+    if len(codes) < n:
         return np.zeros(0, dtype=np.uint64)
-    if len(data) <= PIECE:
-        return runs(letters(data), first, last)
-    cuts = np.flatnonzero(np.diff(first // PIECE, prepend=-1))
-    out = []
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(first)], strict=True):
-        low = first[a]
-        out.append(runs(letters(data[low : last[b - 1]]), first[a:b] - low, last[a:b] - low))
-    return np.concatenate(out)
+    if n == 1:
+        return mix(codes)
+    half = windows(codes, n // 2)
+    h = mix(half[: len(codes) - n + 1] * _MIX + half[n // 2 : n // 2 + len(codes) - n + 1])
+    return mix(h * _MIX + codes[n - 1 :]) if n % 2 else h
 
 
 def codes_of(data: np.ndarray) -> np.ndarray:
     """A code for each word of a text's bytes, A-Z taken as a-z."""
-    return pieced(data, *spans(data), _LETTER.__getitem__)
+    return hashes(_LOWER[data], *spans(data))
 
 
 def word_codes(text: str | bytes | None) -> np.ndarray:
