@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -27,8 +28,15 @@ SIGNS = frozenset('!"#$%&()*+,-./:;=?@[\\]^_`{}~')
 State = tuple[str, tuple, tuple]
 START: State = ("", (None,), (0,))
 
-#: Letters that Python lower-cases and the vocabulary's library does not.
-NO_CASE = "\ua7cb\ua7dc"
+
+
+def newer_letters(path: str) -> dict[str, str]:
+    """Letters that this Python doesn't know yet, as the vocabulary's library lower-cases them: its tables may be of a later Unicode."""
+    from tokenizers import Tokenizer
+
+    unknown = [chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Cn"]
+    lower = Tokenizer.from_file(path).normalizer.normalize_str("a".join(unknown)).split("a")
+    return {c: low for c, low in zip(unknown, lower, strict=True) if c != low}
 
 
 class Transducer:
@@ -49,6 +57,8 @@ class Transducer:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {tuple(p): i for i, p in enumerate(pairs)}
         self.special = [t["content"] for t in spec["added_tokens"]]
+        newer = newer_letters(path)
+        self.newer, self.has_newer = str.maketrans(newer), re.compile(f"[{''.join(newer) or 'a'}]").search
         inner = {t for t in self.vocab if not t.endswith(self.end) or t == self.end}
         self.prefix = {t.removesuffix(self.end)[:i] for t in self.vocab for i in range(1, len(t.removesuffix(self.end)))} | {t for t in inner}
         self.longest = max(map(len, self.prefix)) + 1
@@ -151,9 +161,8 @@ class Transducer:
         for part in self.specials(text) if self.specials and "<|" in text else [text]:
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                if any(c in part for c in NO_CASE):
-                    yield self.split("".join(c if c in NO_CASE else c.lower() for c in part))
-                    continue
+                if self.newer and self.has_newer(part):
+                    part = part.translate(self.newer)
             yield self.split(part.lower())
 
     def _sum(self, words: list[str]) -> int:

@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     The class prior is the toxic share of all labels outside the fold. Both samples are the rows with the least key hashes,
     at most ``most_positive`` and ``most_unlabelled``; their word sets, not their texts, come to the driver. Unlabelled
-    are rows of ``docs`` whatever their label. Null keys, null labels and labels without a document take no part.
+    are rows of ``docs`` whatever their label; a key counts once, however many rows have it. Null keys, null labels and labels without a document take no part.
     """
     open_ = labels.where((fold(F.col(key)) != HELD_OUT) & F.col("toxic").isNotNull() & F.col(key).isNotNull())
     n, toxic = open_.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
@@ -119,7 +119,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     pick = lambda df, most, kind: df.select(key).distinct().orderBy(F.xxhash64(key), key).limit(most).select(F.col(key).alias("_key"), F.lit(kind).alias("_positive"))
     rest = docs.where((fold(F.col(key)) != HELD_OUT) & F.col(key).isNotNull())
     chosen = pick(open_.where("toxic = 1").join(rest.select(key), key, "left_semi"), most_positive, True).unionByName(pick(rest, most_unlabelled, False))
-    texts = docs.select(key, text).join(F.broadcast(chosen), F.col(key) == F.col("_key")).select("_positive", text)  # bounded by the sample's size
+    texts = docs.select(key, text).join(F.broadcast(chosen), F.col(key) == F.col("_key"))  # bounded by the sample's size
+    # of rows that share a key the one with the least hash stands for all, so the samples' bounds hold for rows as well
+    texts = texts.groupBy("_key", "_positive").agg(F.min_by(F.struct(F.col(text).alias("_text")), F.xxhash64(text)).alias("_t")).select("_positive", F.col("_t._text").alias(text))
 
     def to_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

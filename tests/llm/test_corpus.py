@@ -764,3 +764,25 @@ def test_encode_and_decode(spark, odd):
     m = pieces.loaded(SP)
     for r in both.collect():
         assert r.ids == m.encode(r.text or "") and r.decoded == m.decode(r.ids)
+
+
+def test_letters_of_every_plane_count_as_the_library_has_them():
+    """Each character beside ASCII letters and alone, in both cases that Unicode may have given it since this Python."""
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(BPE), token_counts.Transducer(BPE)
+    points = [c for c in (*range(0x20, 0xD800), *range(0xE000, 0x12000), *range(0x12000, 0x20000, 5)) if c not in (0xFFFE, 0xFFFF)]
+    texts = [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}x" for c in points]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [c for c, t, n in zip(points, texts, want, strict=True) if own.count(t) != n] == []
+
+
+def test_a_repeated_key_is_one_example(spark, monkeypatch):
+    """However many rows share a key, the driver gets one for each key of the samples."""
+    got = []
+    monkeypatch.setattr(toxicity, "fit", lambda p, u, *_: got.append((len(p), len(u))) or toxicity.Classifier({}, 0.0))
+    docs = spark.createDataFrame([(1, f"bad word {i % 7}") for i in range(3000)] + [(i, f"text {i}") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < 5)) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    toxicity.train(docs, labels, most_positive=10, most_unlabelled=10)
+    (positive, unlabelled), = got
+    assert positive <= 4 and unlabelled == 10
