@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import K_REFERENCE
 from ..functions.names import darcy, millidarcy
+from ..scratch import checkpointed
 from .quantiles import percentiles, same
 
 TRACK = ["run_id", "track_id", "connectivity", "simulator"]
@@ -86,17 +87,46 @@ def kabs_summary(results: DataFrame, reference: float = K_REFERENCE) -> DataFram
     return a.select(*TRACK, F.col("k_z").alias("k_m2"), millidarcy(F.col("k_z")).alias("k_md"), darcy(F.col("k_z")).alias("k_d"), (100 * (F.col("k_z") - reference) / reference).alias("dev_reference"), (100 * (F.col("k_z") / F.avg("k_z").over(Window.partitionBy("run_id", "simulator")) - 1)).alias("dev_mean"))
 
 
-def nearest_saturation(ours: DataFrame, theirs: DataFrame, keys: list[str], most: int = 10_000) -> DataFrame:
+#: Saturations in a range of the nearest-saturation join: what one task sorts.
+RANGE_ROWS = 500_000
+
+
+def nearest_points(ours: DataFrame, theirs: DataFrame, value: str, order: str, rows: int | None = None) -> DataFrame:
+    """For each distinct ``value`` of ours the row of ``theirs(value, order, ..)`` whose value is nearest: ``(value, near)``. Between the one
+    below and the one above a tie, to 12 decimals, goes to the lower ``order``, as it does among equal values.
+
+    Both sides are sorted in ranges of about ``rows`` values, cut at approximate quantiles. In a range the last row of theirs before a
+    value and the first one after it are its neighbours; where a range has none they are carried over from the ranges beside
+    it. Nulls of either side are left out; with no rows of theirs ``near`` is null."""
+    rows = rows or RANGE_ROWS
+    mine = ours.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v")).distinct()
+    row = F.struct(*theirs.columns)
+    base = theirs.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.min_by(row, F.col(order)).alias("_b"))
+    line = checkpointed(base.select("_v", "_b", F.lit(0).alias("_own")).unionByName(mine.select("_v", F.lit(None).cast(base.schema["_b"].dataType).alias("_b"), F.lit(1).alias("_own"))))
+    ranges = max(1, -(-line.count() // rows))
+    cuts = sorted(set(line.approxQuantile("_v", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("_v"))) if cuts else F.lit(0)
+    line = line.withColumn("_part", part)
+    # the least and greatest row of theirs in each range: a row a range
+    edges = line.where("_own = 0").groupBy("_part").agg(F.min_by("_b", "_v").alias("_first"), F.max_by("_b", "_v").alias("_last"))
+    w = Window.orderBy("_part")
+    carried = line.select("_part").distinct().join(edges, "_part", "left").select("_part", F.last("_last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"), F.first("_first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_to"))
+    in_part = Window.partitionBy("_part").orderBy("_v", "_own")
+    below = F.last("_b", True).over(in_part.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first("_b", True).over(in_part.rowsBetween(0, Window.unboundedFollowing))
+    found = line.withColumns({"_below": below, "_above": above}).where("_own = 1").join(F.broadcast(carried), "_part")
+    far = lambda b: F.when(b.isNotNull(), F.struct(F.round(F.abs(b[value] - F.col("_v")), 12).alias("d"), b[order].alias("o"), b.alias("b")))
+    sides = F.array_compact(F.array(far(F.coalesce("_below", "_from")), far(F.coalesce("_above", "_to"))))
+    return found.select(F.col("_v").alias(value), F.array_min(sides)["b"].alias("near"))
+
+
+def nearest_saturation(ours: DataFrame, theirs: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
     """For each of our rows the baseline row with the nearest saturation, and the deviations in per cent.
 
-    Rows may share one; ties, to 12 decimals, go to the lower ``ordinal``. The baseline is a published table of some tens of
-    points: it goes along as one array, after a check that it has no more than ``most`` rows. Deviations from 0 or null
-    are null."""
-    if theirs.limit(most + 1).count() > most:
-        raise ValueError(f"the baseline has more than {most} rows")
-    row = theirs.agg(F.collect_list(F.struct("ordinal", "sw", "kr_gas", "kr_brine")).alias("b"))
-    near = F.array_min(F.transform("b", lambda p: F.struct(F.round(F.abs(p["sw"] - F.col("sw")), 12).alias("d"), p["ordinal"].alias("ordinal"), p["sw"].alias("sw"), p["kr_gas"].alias("kr_gas"), p["kr_brine"].alias("kr_brine"))))
-    n = ours.where("sw IS NOT NULL").join(F.broadcast(row)).select(*keys, "sw", "kr_gas", "kr_brine", near.alias("n"))
+    Rows may share one; ties, to 12 decimals, go to the lower ``ordinal``. Deviations from 0 or null are null. Rows of one
+    saturation meet its neighbours by a join on it."""
+    near = nearest_points(ours, theirs.select("ordinal", "sw", "kr_gas", "kr_brine"), "sw", "ordinal", rows)
+    n = ours.where("sw IS NOT NULL").withColumn("_v", F.col("sw").cast("double")).join(near.select(F.col("sw").alias("_v"), F.col("near").alias("n")), "_v", "left")
     dev = lambda c: 100 * F.try_divide(F.col(c) - F.col(f"n.{c}"), F.nullif(F.col(f"n.{c}"), F.lit(0.0)))
     return n.select(*keys, "sw", F.col("n.ordinal").alias("ordinal"), F.col("n.sw").alias("sw_baseline"), dev("kr_gas").alias("dev_gas"), dev("kr_brine").alias("dev_brine"))
 

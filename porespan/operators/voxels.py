@@ -138,6 +138,27 @@ def register(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return moved.select(*keys, *[(F.col(c) + F.col("by_x0" if c == "x1" else f"by_{c}")).alias(c) for c in ("z", "y", "x0", "x1")])
 
 
+def shared_canvas(masks: DataFrame, keys: list[str], fixed: str) -> tuple[DataFrame, DataFrame]:
+    """Masks(keys.., mask, z, y, x0, x1) in one frame, and the frame: each mask is moved so that its bounding box begins where that of the mask
+    ``fixed`` does; the canvas reaches to the farthest end. Keys without the fixed mask have no rows."""
+    low = masks.groupBy(*keys, "mask").agg(*[F.min(c).alias(f"_{c}") for c in ("z", "y", "x0")])
+    at = low.where(F.col("mask") == fixed).select(*keys, *[F.col(f"_{c}").alias(f"_to_{c}") for c in ("z", "y", "x0")])
+    by = low.join(at, keys).select(*keys, "mask", *[(F.col(f"_to_{c}") - F.col(f"_{c}")).alias(f"_by_{c}") for c in ("z", "y", "x0")])
+    moved = masks.join(by, [*keys, "mask"]).select(*keys, "mask", *[(F.col(c) + F.col("_by_x0" if c == "x1" else f"_by_{c}")).alias(c) for c in ("z", "y", "x0", "x1")])
+    ends = [F.min("z").alias("z0"), (F.max("z") + 1).alias("z1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.min("x0").alias("x0"), (F.max("x1") + 1).alias("x1")]
+    return moved, moved.groupBy(*keys).agg(*ends)
+
+
+def overlay_parts(masks: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Voxels of each combination of the masks ``names`` in one frame: ``(keys.., parts, n)``, parts being the names that cover them, joined
+    by "+". All masks are swept together, whatever their number."""
+    row = [*keys, "z", "y"]
+    on = masks.select(*row, "x0", "x1", *[(F.col("mask") == name).cast("int").alias(f"_{i}") for i, name in enumerate(names)])
+    swept = spans.levels(on, row, [f"_{i}" for i in range(len(names))])
+    parts = F.concat_ws("+", *[F.when(F.col(f"_{i}") > 0, name) for i, name in enumerate(names)])
+    return swept.groupBy(*keys, parts.alias("parts")).agg(F.sum(length()).alias("n"))
+
+
 def footprint(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Places (y, x) of each key, whatever the slice, as runs (keys.., y, x0, x1)."""
     return spans.covered(runs, [*keys, "y"])

@@ -265,6 +265,15 @@ SELECT 0 AS scan_index""", 1),
         "z_rank_of_results": sql("SELECT s.run_id, s.track_id, s.scan_index, sim_type, simulator, coalesce(z_rank, 999) AS z_rank FROM sim s LEFT JOIN (SELECT run_id, track_id, row_number() OVER (PARTITION BY run_id ORDER BY m, track_id) AS z_rank FROM (SELECT run_id, track_id, (min(z0) + min(z1)) / 2.0 AS m FROM fixed_boxes WHERE track_id <> 2 GROUP BY run_id, track_id)) r ON r.run_id = s.run_id AND r.track_id = s.track_id", "sim"),
         "kr_back_fill": sql("SELECT run_id, track_id, scan_index, sim_type, simulator, CASE WHEN simulator = 'lbm_MRT' AND sim_type <> 'absolute' THEN round(k_z / k, 9) END AS kr FROM sim LEFT JOIN (SELECT run_id, track_id, max(k_z) AS k FROM sim WHERE sim_type = 'absolute' AND simulator = 'lbm_MRT' AND k_z > 0 GROUP BY 1, 2) USING (run_id, track_id)", "sim"),
         "kr_write_back": sql("SELECT s.run_id, s.track_id, s.scan_index, s.sim_type, s.simulator, round(k.kr, 9) AS kr FROM sim s LEFT JOIN (SELECT * FROM kr WHERE simulator = 'LIR' AND run_id = 'r1') k ON k.run_id = s.run_id AND k.track_id = s.track_id AND k.scan_index = s.scan_index AND k.connectivity = s.connectivity AND k.sim_type = s.sim_type", "kr"),
+        "versioned_changes": """WITH u AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 0.0 ELSE o_totalprice END AS p FROM orders UNION ALL SELECT -o_orderkey, 1.0 FROM orders WHERE o_orderkey % 8 = 0 AND o_orderkey > 0)
+          SELECT k AS o_orderkey, p AS o_totalprice FROM (SELECT * FROM u UNION ALL SELECT o_orderkey + 1, 2.0 FROM orders WHERE o_orderkey + 1 NOT IN (SELECT k FROM u)) WHERE k NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)""",
+        "versioned_restore": "SELECT v.v::INT AS version, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders, (VALUES (1), (2), (3)) v(v) WHERE v.v <> 2 OR o_orderkey % 2 <> 0 GROUP BY v.v",
+        "path_resolution": """WITH stored AS (SELECT 'D:\\Out\\R' || s_suppkey % 4 || '\\S' || s_suppkey % 7 || '\\Domain_' || s_suppkey || '.raw' AS path FROM supplier),
+          files AS (SELECT DISTINCT '/data/' || CASE WHEN p_partkey % 3 = 0 THEN 'r' || p_partkey % 4 || '/' ELSE '' END || 's' || p_partkey % 7 || '/domain_' || p_partkey % 120 || '.raw' AS path FROM part),
+          a AS (SELECT path, string_split(lower(replace(path, '\\', '/')), '/') AS p FROM stored), b AS (SELECT path, list_filter(string_split(lower(path), '/'), lambda x: x <> '') AS p FROM files),
+          c AS (SELECT a.path AS stored, b.path AS found, CASE WHEN a.p[-1] <> b.p[-1] THEN 0 WHEN a.p[-2] IS DISTINCT FROM b.p[-2] THEN 1 WHEN a.p[-3] IS DISTINCT FROM b.p[-3] THEN 2 WHEN a.p[-4] IS DISTINCT FROM b.p[-4] THEN 3 ELSE 4 END AS agreed FROM a, b),
+          d AS (SELECT *, max(agreed) OVER (PARTITION BY stored) AS most FROM c WHERE agreed >= 2)
+          SELECT path AS stored, min(found) AS found, min(agreed)::INT AS agreed, count(found) AS n_found FROM stored LEFT JOIN d ON d.stored = path AND agreed = most GROUP BY path""",
         "stream_sw_windows": "SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1",
     }
     evolution = lambda name, level: f"{name} AS (SELECT s.scan_index, s.gas, coalesce(p.percolates, FALSE) AS percolates FROM sw s LEFT JOIN (WITH RECURSIVE {_components(level)} SELECT scan_index, bool_or(lo AND hi) AS percolates FROM (SELECT scan_index, component, bool_or(z = 0) AS lo, bool_or(z = {NZ - 1}) AS hi FROM lab GROUP BY ALL) GROUP BY 1) p USING (scan_index))"
@@ -297,6 +306,7 @@ SELECT 0 AS scan_index""", 1),
         FROM (SELECT l.* EXCLUDE (i), l.i, CASE WHEN l.fresh THEN {ended} ELSE tracks END AS tracks FROM walk w JOIN line l ON l.i = w.i + 1)))
     SELECT 'r1' AS series, CAST(t.track_id AS INT) AS track_id, t.status, t.first_seen, t.last_seen, t.seen AS timesteps_seen, t.lost AS timesteps_lost, t.n AS final_voxels, round(t.z, 6) AS cog_z, round(t.y, 6) AS cog_y, round(t.x, 6) AS cog_x
     FROM (SELECT unnest({ended}) AS t FROM (SELECT tracks FROM walk ORDER BY i DESC LIMIT 1))"""
+    q["stream_track_clusters"] = q["track_clusters"].replace("ORDER BY scan_index DESC, label_id", "ORDER BY scan_index, label_id").replace("scan_index IN (min(scan_index) OVER (), max(scan_index) OVER ())", "scan_index = min(scan_index) OVER ()")
     new = f"SELECT run_id, 'LIR' AS dataset, 'grid' AS form, phase, '[\"n\"]' AS param_names, to_json([round(n, 4)])::VARCHAR AS param_values, n_points FROM ({q['corey_grid_fit']}) JOIN ({with_bars} SELECT run_id, simulator, count(*) AS n_points FROM bars GROUP BY ALL) USING (run_id, simulator) WHERE simulator = 'LIR'"
     q["fit_records"] = f"WITH new AS ({new}) SELECT * FROM new UNION ALL SELECT * REPLACE ('basic' AS form, '[0]' AS param_values) FROM new WHERE run_id = 'r1'"
     return q

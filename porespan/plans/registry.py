@@ -19,7 +19,9 @@ from ..operators import runs as RL
 from ..operators import spans as A
 from ..operators import voxels as V
 from ..operators.quantiles import percentiles
+from ..scratch import table_path
 from ..sources import tiff
+from ..sources.versions import VersionedTable
 from ..streaming import windows
 from . import oracles, volumes
 
@@ -709,6 +711,36 @@ def update_coalesce(read):
     return R.update(o, new, ["o_orderkey"], ["o_totalprice"])
 
 
+def stored_orders(read) -> VersionedTable:
+    """Orders in a versioned table of their own."""
+    o, _ = _orders(read)
+    table = VersionedTable(o.sparkSession, table_path(o.sparkSession, "orders"))
+    table.create(o, ["o_orderkey"], 16)
+    return table
+
+
+@on_tables
+def versioned_changes(read):
+    """Orders after an upsert, an insert and a delete, each a version."""
+    o, new = _orders(read)
+    table = stored_orders(read)
+    table.upsert(new)
+    table.insert_ignore(o.select((F.col("o_orderkey") + 1).alias("o_orderkey"), F.lit(2.0).alias("o_totalprice")))
+    table.delete(o.where("o_orderkey % 3 = 0"))
+    return table.read()
+
+
+@on_tables
+def versioned_restore(read):
+    """Orders as they were, after a delete and its restoration; the version between is still there."""
+    o, _ = _orders(read)
+    table = stored_orders(read)
+    gone = table.delete(o.where("o_orderkey % 2 = 0"))
+    table.restore(1)
+    n = lambda v: table.read(v).agg(F.lit(v).alias("version"), F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return n(1).unionByName(n(gone)).unionByName(n(3))
+
+
 @on_tables
 def anti_semi_join(read):
     cust, orders = read("customer").select("c_custkey"), read("orders").select(F.col("o_custkey").alias("c_custkey"))
@@ -775,6 +807,18 @@ def saturation_ref(read):
     return rounded(T.align_reference(scans, ref), "sw_ref", places=6)
 
 
+@on_tables
+def path_resolution(read):
+    """Paths stored on one machine, found among the files of another by their longest common end."""
+    from ..sources.readers import resolve_paths
+
+    k, p = F.col("s_suppkey"), F.col("p_partkey")
+    t = lambda c: c.cast("string")
+    stored = read("supplier").select(F.concat(F.lit("D:\\Out\\R"), t(k % 4), F.lit("\\S"), t(k % 7), F.lit("\\Domain_"), t(k), F.lit(".raw")).alias("path"))
+    files = read("part").select(F.concat(F.lit("/data/"), F.when(p % 3 == 0, F.concat(F.lit("r"), t(p % 4), F.lit("/"))).otherwise(F.lit("")), F.lit("s"), t(p % 7), F.lit("/domain_"), t(p % 120), F.lit(".raw")).alias("path"))
+    return resolve_paths(stored, files)
+
+
 def stream_sw_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -784,6 +828,28 @@ def stream_sw_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOUND["stream_sw_windows"] = stream_sw_windows
 
 
+def stream_sw_arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saturation of the growing volume, whose runs arrive dealt over files: every scan in pieces, over several batches."""
+    folder = table_path(spark, "arriving")
+    volumes.encoded(spark, sf_dir).withColumn("part", (F.col("z") + F.col("y")) % 3).repartition("part").drop("part").write.parquet(folder)
+    runs = spark.readStream.schema(RL.RUNS).option("maxFilesPerTrigger", 1).parquet(folder)
+    return rounded(windows.latest_rows(windows.arriving_saturation(runs), ["scan_index"]), "sw")
+
+
+FOUND["stream_sw_arriving"] = stream_sw_arriving
+
+
+@query
+def stream_track_clusters(c):
+    """Forward tracks of the largest clusters, whose scans arrive in two batches."""
+    folder, found = table_path(c.spark, "clusters"), all_clusters(c)
+    for part in (F.col("scan_index") < 3, F.col("scan_index") >= 3):
+        found.where(part).coalesce(1).write.mode("append").parquet(folder)
+    clusters = c.spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    tracks = windows.latest_rows(windows.arriving_tracks(clusters, 4.0), ["series", "track_id"], windows.ROCKS)
+    return rounded(tracks, "cog_z", "cog_y", "cog_x", places=6)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return FOUND | volumes.queries()
 

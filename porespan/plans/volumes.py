@@ -75,8 +75,26 @@ def volume_stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.stride_sample(encoded(spark, sf_dir), 5)
 
 
+def canvas_masks(runs: DataFrame) -> DataFrame:
+    """Gas of the first scans as masks whose bounding boxes begin at different places; keyed by the parity of the slices."""
+    half = (F.col("z") % 2).alias("half")
+    one = lambda name, scan, where: runs.where(f"label = 2 AND scan_index = {scan} AND {where}").select(half, F.lit(name).alias("mask"), "z", "y", "x0", "x1")
+    return one("a", 0, "z >= 1 AND y >= 3").unionByName(one("b", 1, "y >= 9")).unionByName(one("c", 2, "x0 >= 20"))
+
+
+def volume_canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of the canvas that three masks share."""
+    return V.shared_canvas(canvas_masks(encoded(spark, sf_dir)), ["half"], "b")[1]
+
+
+def volume_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels of every combination of three masks on their canvas."""
+    moved, _ = V.shared_canvas(canvas_masks(encoded(spark, sf_dir)), ["half"], "b")
+    return V.overlay_parts(moved, ["half"], ["a", "b", "c"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (volume_runs_encode, volume_sw_series, volume_overlap, volume_cca_26n, volume_percolation_6n, volume_mip_z, volume_footprint, volume_surface, volume_disagreement, volume_stride_sample)
+    found = (volume_runs_encode, volume_sw_series, volume_overlap, volume_cca_26n, volume_percolation_6n, volume_mip_z, volume_footprint, volume_surface, volume_disagreement, volume_stride_sample, volume_canvas, volume_overlay)
     return {f.__name__: f for f in found}
 
 
@@ -101,9 +119,19 @@ def oracle_sql() -> dict[str, str]:
     rooted AS (SELECT scan_index, id, min(root) AS component FROM reach GROUP BY ALL),
     comp AS (SELECT scan_index, component, sum(n)::BIGINT AS n, bool_or(lo) AND bool_or(hi) AS spans FROM box JOIN rooted USING (scan_index, id) GROUP BY ALL)"""
     inside = " AND ".join(f"EXISTS (SELECT 1 FROM gas n WHERE n.scan_index = g.scan_index AND n.z = g.z + {dz} AND n.y = g.y + {dy} AND n.x = g.x + {dx})" for dz, dy, dx in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)))
+    # where a run of gas begins from column 20 on, all of it is in the mask
+    begins = "SELECT *, x - row_number() OVER (PARTITION BY scan_index, z, y ORDER BY x) AS g FROM gas WHERE scan_index = 2"
+    canvas = f"""{grown}, m AS (SELECT z % 2 AS half, 'a' AS mask, z, y, x FROM gas WHERE scan_index = 0 AND z >= 1 AND y >= 3 UNION ALL SELECT z % 2, 'b', z, y, x FROM gas WHERE scan_index = 1 AND y >= 9
+      UNION ALL SELECT z % 2, 'c', z, y, x FROM (SELECT *, min(x) OVER (PARTITION BY z, y, g) AS x0 FROM ({begins})) WHERE x0 >= 20),
+    low AS (SELECT half, mask, min(z) AS z0, min(y) AS y0, min(x) AS x0 FROM m GROUP BY ALL),
+    moved AS (SELECT m.half, m.mask, (m.z + f.z0 - l.z0)::INT AS z, (m.y + f.y0 - l.y0)::INT AS y, (m.x + f.x0 - l.x0)::INT AS x FROM m JOIN low l ON l.half = m.half AND l.mask = m.mask JOIN low f ON f.half = m.half AND f.mask = 'b')"""
+    series = f"{grown} SELECT scan_index, count(*) FILTER (label = 2) AS gas, count(*) FILTER (label = 1) AS brine, round(count(*) FILTER (label = 1) / nullif(count(*) FILTER (label > 0), 0)::DOUBLE, 9) AS sw FROM lab WHERE label > 0 GROUP BY 1"
     return {
+        "stream_sw_arriving": series,
+        "volume_canvas": f"{canvas} SELECT half, min(z) AS z0, max(z) + 1 AS z1, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM moved GROUP BY half",
+        "volume_overlay": f"{canvas} SELECT half, parts, count(*) AS n FROM (SELECT half, string_agg(mask, '+' ORDER BY mask) AS parts FROM moved GROUP BY half, z, y, x) GROUP BY ALL",
         "volume_runs_encode": f"{grown} {islands('SELECT * FROM lab WHERE label > 0', 'scan_index, z, y', 'label')}",
-        "volume_sw_series": f"{grown} SELECT scan_index, count(*) FILTER (label = 2) AS gas, count(*) FILTER (label = 1) AS brine, round(count(*) FILTER (label = 1) / nullif(count(*) FILTER (label > 0), 0)::DOUBLE, 9) AS sw FROM lab WHERE label > 0 GROUP BY 1",
+        "volume_sw_series": series,
         "volume_overlap": f"{grown} SELECT scan_index, count(a) FILTER (b) AS n_both, count(a) FILTER (b IS NULL) AS only_a, count(b) FILTER (a IS NULL) AS only_b FROM (SELECT *, TRUE AS a FROM gas) FULL JOIN (SELECT *, TRUE AS b FROM ({later})) USING (scan_index, z, y, x) GROUP BY 1",
         "volume_cca_26n": f"{grown}{linked(3)} SELECT scan_index, component, n FROM comp",
         "volume_percolation_6n": f"{grown}{linked(1)} SELECT scan_index, count(*) AS n_components, count(*) FILTER (spans) AS spanning_count, max(n) AS largest FROM comp GROUP BY 1",

@@ -388,9 +388,19 @@ def discover_domains(spark: SparkSession, folder: str) -> DataFrame:
     return p.groupBy(F.element_at("parts", -2).alias("folder"), F.col("p.track").alias("track"), F.col("p.scan").alias("scan")).agg(F.map_from_entries(F.collect_list(F.struct("p.kind", "path"))).alias("paths"))
 
 
+def path_tails(path: Column) -> Column:
+    """All tails of a path, lower-cased, with the number of their parts; backslashes part as slashes do."""
+    parts = F.filter(F.split(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), "/"), lambda x: x != "")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, -n, n), "/").alias("tail")))
+
+
 def resolve_paths(stored: DataFrame, files: DataFrame, parts: int = 2) -> DataFrame:
-    """Join stored(path), perhaps with backslashes, to files(path) by their last ``parts`` parts: (stored, found)."""
-    tail = lambda c: F.array_join(F.slice(F.split(F.replace(c, F.lit("\\"), F.lit("/")), "/"), F.greatest(F.lit(1), F.size(F.split(F.replace(c, F.lit("\\"), F.lit("/")), "/")) - parts + 1), F.lit(parts)), "/")
-    a = stored.select(F.col("path").alias("stored"), F.lower(tail(F.col("path"))).alias("_t"))
-    b = files.groupBy(F.lower(tail(F.col("path"))).alias("_t")).agg(F.min("path").alias("found"))
-    return a.join(b, "_t", "left").drop("_t")
+    """The file that each of stored(path) names: the one of files(path) that agrees with it in most parts from the end, ``parts`` or
+    more: ``(stored, found, agreed, n_found)``. Several files that agree as far are reported by their number, and the least is
+    taken; ``found`` is null without any.
+
+    Files with one tail fold to a row before the join, so a name that many folders have doesn't multiply."""
+    some = lambda df: df.select("path", F.explode(path_tails(F.col("path"))).alias("t")).where(F.col("t.n") >= parts).select("path", "t.*")
+    held = some(files.distinct()).groupBy("tail").agg(F.min("path").alias("found"), F.count("*").alias("n_found"))
+    met = some(stored.select("path").distinct()).join(held, "tail").groupBy(F.col("path").alias("_path")).agg(F.max_by(F.struct("found", F.col("n").alias("agreed"), "n_found"), "n").alias("m"))
+    return stored.join(met, F.col("path") == F.col("_path"), "left").select(F.col("path").alias("stored"), "m.found", "m.agreed", F.coalesce("m.n_found", F.lit(0)).alias("n_found"))
