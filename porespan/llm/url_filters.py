@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import hot_join, hot_keys
-from .common import checkpointed
+from .common import written
 
 #: (action, host suffix, path prefix); a rule is written as host/path, the longest that fits wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -14,6 +14,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 MANY, SHARE = 12, 0.25
 #: Siblings merge where the shares of their child shapes differ by at most this total variation, and their labels agree.
 ALIKE = 0.25
+#: Segments left from which chains without a fork are skipped; templates don't depend on it.
+SKIP = 6
 #: Pseudo-labels that a template borrows from the templates above it, and the purity from which it is rejected.
 SMOOTH, REJECT = 4.0, 0.5
 
@@ -43,36 +45,55 @@ def shape(segment: Column) -> Column:
     return F.when(stem.rlike(r"^[0-9]+$"), F.concat(F.lit("{9}"), ext)).when(stem.rlike(r"^(?=.*[0-9])[0-9A-Za-z_-]{6,}$"), F.concat(F.lit("{x9}"), ext)).otherwise(segment)
 
 
-def path_templates(urls: DataFrame, many: int = MANY, share: float = SHARE, alike: float = ALIKE) -> DataFrame:
+def skipped_chains(rows: DataFrame) -> DataFrame:
+    """``rows`` with the segments ``_s`` that all urls of a branch share up to its first fork moved to their template.
+
+    The greatest rest of a branch is compared with the others: the least place at which one has another segment is the fork.
+    A url that ends before it gets there whole. What a branch shares has an only child at every step, which keeps its name."""
+    of = F.xxhash64("host", "template").alias("_branch")
+    left = rows.where(F.size("_s") > 0).select("*", of)
+    most = left.groupBy("_branch", "host", "template").agg(F.max("_s").alias("_most"), F.count("*").alias("_n"))
+    hot = hot_keys(most, "_branch", "_n")
+    differs = F.array_position(F.zip_with(F.col("_s"), F.slice("_most", 1, F.size("_s")), lambda x, y: x == y), False).cast("int")
+    forks = hot_join(left, most.drop("_n"), "_branch", hot, ("host", "template")).groupBy("_branch", "host", "template").agg(F.min(F.when(differs > 0, differs - 1)).alias("_fork"))
+    met = hot_join(left, forks, "_branch", hot, ("host", "template"))
+    take = F.least(F.coalesce("_fork", F.size("_s")), F.size("_s"))
+    name = F.when(take > 0, F.concat("template", F.lit("/"), F.array_join(F.slice("_s", F.lit(1), take), "/"))).otherwise(F.col("template"))
+    moved = met.withColumns({"template": name, "_s": F.slice("_s", take + 1, F.greatest(F.size("_s"), F.lit(1)))})
+    return written(moved.select(*rows.columns).unionByName(rows.where(F.size("_s") == 0)), "chains")
+
+
+def path_templates(urls: DataFrame, many: int = MANY, share: float = SHARE, alike: float = ALIKE, skip: int = SKIP) -> DataFrame:
     """Template of every distinct ``(host, path)`` of ``urls(host, path, n, n_label, n_block)``, a table of counts.
 
-    Level by level, a branch is a host with the template so far. Its children are the next segments, by shape; where
+    Step by step, a branch is a host with the template so far. Its children are the next segments, by shape; where
     there are more than ``many``, those with less than ``share`` of the rows become ``*``. Siblings whose own children
     have like shapes (total variation to the pooled siblings at most ``alike``) and whose blocked labels agree (both
-    unlabelled, or rates within 0.25 after smoothing) merge into ``~``. Adds ``template`` and ``branch``, the template
-    before merging at the last level. Each level is a pre-aggregated count and a join on the branch; its
-    result is checkpointed, since the next level reads it twice. Levels go on while a branch has two urls with segments
-    left; an only one keeps its segments as they are.
-    """
+    unlabelled, or rates within 0.25 after smoothing) merge into ``~``. Adds ``template``.
+
+    Each step is a pre-aggregated count and a join on the branch, and its result is written and read back, so plans don't
+    grow. Steps go on while a branch has two urls with segments left; an only one keeps its segments as they are. Where more than
+    ``skip`` segments are left, chains without a fork are skipped first, so steps go by the forks of a path, not by its length."""
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = checkpointed(urls.withColumns({"_s": F.transform(segs, shape), "template": F.lit("")}))
+    rows = written(urls.withColumns({"_s": F.transform(segs, shape), "template": F.lit("")}), "segments")
     columns = rows.columns
-    deepest = rows.agg(F.max(F.size("_s"))).first()[0] or 0
-    for level in range(deepest):
-        left = rows.where(F.size("_s") > level)
+    while deepest := rows.agg(F.max(F.size("_s"))).first()[0]:
+        left = rows.where(F.size("_s") > 0)
         if left.groupBy("host", "template").count().where("count > 1").isEmpty():
-            rest = F.array_join(F.slice("_s", level + 1, deepest), "/")
-            rows = rows.withColumn("template", F.when(F.size("_s") > level, F.concat("template", F.lit("/"), rest)).otherwise(F.col("template")))
+            whole = F.concat("template", F.lit("/"), F.array_join("_s", "/"))
+            rows = rows.withColumn("template", F.when(F.size("_s") > 0, whole).otherwise(F.col("template")))
             break
-        rows = rows.withColumn("_c", F.get(F.col("_s"), F.lit(level)))
-        below = F.coalesce(F.get(F.col("_s"), F.lit(level + 1)), F.lit(""))
+        if deepest > skip:
+            rows = skipped_chains(rows)
+        rows = rows.withColumn("_c", F.get(F.col("_s"), F.lit(0)))
+        below = F.coalesce(F.get(F.col("_s"), F.lit(1)), F.lit(""))
         kind = F.when(below == "", "end").when(below.startswith("{9}"), "number").when(below.startswith("{x9}"), "code").otherwise("word")
         kinds = ("end", "number", "code", "word")
         sums = lambda names: [F.sum(c).alias(c) for c in names]
         shares = [F.coalesce(F.sum(F.when(kind == k, F.col("n"))), F.lit(0)).alias(k) for k in kinds]
         of = lambda *c: F.xxhash64(*c)
         child = rows.where("_c IS NOT NULL").groupBy("host", "template", "_c").agg(*sums(("n", "n_label", "n_block")), F.count("*").alias("n_urls"), *shares)
-        child = checkpointed(child.select("*", of("host", "template").alias("_branch"), of("host", "template", "_c").alias("_child")))
+        child = written(child.select("*", of("host", "template").alias("_branch"), of("host", "template", "_c").alias("_child")), "children")
         # a branch may hold a third of all urls: its totals are pre-aggregated and meet its children by hot_join
         totals = [F.sum(c).alias(f"all_{c}") for c in ("n", "n_label", "n_block", *kinds)]
         branch = child.groupBy("_branch").agg(F.count("*").alias("kids"), *totals)
@@ -84,9 +105,8 @@ def path_templates(urls: DataFrame, many: int = MANY, share: float = SHARE, alik
         name = F.when((F.col("kids") > many) & (F.col("n") < share * F.col("all_n")), F.lit("*")).when(merged & ~F.col("_c").startswith("{"), F.lit("~")).otherwise(F.col("_c"))
         one = one.select("_child", name.alias("_name"))
         deep = rows.where("_c IS NOT NULL").withColumn("_child", of("host", "template", "_c"))
-        named = hot_join(deep, one, "_child", hot_keys(child, "_child", "n_urls")).withColumn("template", F.concat("template", F.lit("/"), F.col("_name")))
-        rows = named.select(*columns).unionByName(rows.where("_c IS NULL").select(*columns))
-        rows = checkpointed(rows)
+        named = hot_join(deep, one, "_child", hot_keys(child, "_child", "n_urls")).withColumns({"template": F.concat("template", F.lit("/"), F.col("_name")), "_s": F.slice("_s", F.lit(2), F.greatest(F.size("_s"), F.lit(1)))})
+        rows = written(named.select(*columns).unionByName(rows.where("_c IS NULL").select(*columns)), "level")
     return rows.drop("_s")
 
 
