@@ -265,6 +265,20 @@ SELECT 0 AS scan_index""", 1),
         "z_rank_of_results": sql("SELECT s.run_id, s.track_id, s.scan_index, sim_type, simulator, coalesce(z_rank, 999) AS z_rank FROM sim s LEFT JOIN (SELECT run_id, track_id, row_number() OVER (PARTITION BY run_id ORDER BY m, track_id) AS z_rank FROM (SELECT run_id, track_id, (min(z0) + min(z1)) / 2.0 AS m FROM fixed_boxes WHERE track_id <> 2 GROUP BY run_id, track_id)) r ON r.run_id = s.run_id AND r.track_id = s.track_id", "sim"),
         "kr_back_fill": sql("SELECT run_id, track_id, scan_index, sim_type, simulator, CASE WHEN simulator = 'lbm_MRT' AND sim_type <> 'absolute' THEN round(k_z / k, 9) END AS kr FROM sim LEFT JOIN (SELECT run_id, track_id, max(k_z) AS k FROM sim WHERE sim_type = 'absolute' AND simulator = 'lbm_MRT' AND k_z > 0 GROUP BY 1, 2) USING (run_id, track_id)", "sim"),
         "kr_write_back": sql("SELECT s.run_id, s.track_id, s.scan_index, s.sim_type, s.simulator, round(k.kr, 9) AS kr FROM sim s LEFT JOIN (SELECT * FROM kr WHERE simulator = 'LIR' AND run_id = 'r1') k ON k.run_id = s.run_id AND k.track_id = s.track_id AND k.scan_index = s.scan_index AND k.connectivity = s.connectivity AND k.sim_type = s.sim_type", "kr"),
+        "export_summary_kr": sql("""SELECT track_id AS track, scan_index AS scan, round(sw_local, 6) AS sw_local, round(k_abs / 9.869233e-13 * 1000, 6) AS k_abs_md, round(k_gas / 9.869233e-13 * 1000, 6) AS k_gas_md, round(k_brine / 9.869233e-13 * 1000, 6) AS k_brine_md, round(k_gas / k_abs, 6) AS kr_gas, round(k_brine / k_abs, 6) AS kr_brine
+          FROM (SELECT track_id, scan_index, avg(k_z) FILTER (sim_type = 'gas') AS k_gas, avg(k_z) FILTER (sim_type = 'water') AS k_brine FROM sim WHERE run_id = 'r2' AND sim_type <> 'absolute' GROUP BY ALL)
+          LEFT JOIN (SELECT track_id, avg(k_z) AS k_abs FROM sim WHERE run_id = 'r2' AND sim_type = 'absolute' GROUP BY ALL) USING (track_id) LEFT JOIN (SELECT track_id, scan_index, sw_local FROM fixed_boxes WHERE run_id = 'r2') USING (track_id, scan_index)""", "sim"),
+        "export_summary_kabs": sql("SELECT track_id AS track, round(avg(k_z) / 9.869233e-13 * 1000, 6) AS k_abs_md, round(avg(k_z) / 9.869233e-13, 6) AS k_abs_d FROM sim WHERE run_id = 'r2' AND sim_type = 'absolute' GROUP BY ALL", "sim"),
+        "export_overview": sql("""SELECT field, value FROM (VALUES ('run_id', 'r2'), ('connectivity_filter', '(all)'), ('runs.run_id', 'r2'), ('n_rows.runs', '1')) v(field, value) UNION ALL SELECT unnest(['n_rows.scans', 'n_scans']), count(*)::VARCHAR FROM scans WHERE run_id = 'r2'
+          UNION ALL SELECT 'n_rows.fixed_boxes', count(*)::VARCHAR FROM fixed_boxes WHERE run_id = 'r2' UNION ALL SELECT unnest(['n_rows.simulation_results', 'n_sim_results']), count(*)::VARCHAR FROM sim WHERE run_id = 'r2'""", "scans", "sim"),
+        "export_sheets": sql("""SELECT * FROM (SELECT 'summary_kr' AS sheet, count(*) AS n, 8 AS n_columns FROM (SELECT DISTINCT track_id, scan_index FROM sim WHERE run_id = 'r2' AND sim_type <> 'absolute') UNION ALL SELECT 'summary_kabs', count(DISTINCT track_id), 4 FROM sim WHERE run_id = 'r2' AND sim_type = 'absolute'
+          UNION ALL SELECT 'runs', 1, 2 UNION ALL SELECT 'scans', count(*), 7 FROM scans WHERE run_id = 'r2' UNION ALL SELECT 'fixed_boxes', count(*), 19 FROM fixed_boxes WHERE run_id = 'r2' UNION ALL SELECT 'simulation_results', count(*), 10 FROM sim WHERE run_id = 'r2') WHERE n > 0 OR sheet NOT LIKE 'summary%'""", "scans", "sim"),
+        "file_formats": """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 4 = 0 THEN (l_orderkey % 97)::INT END AS file_index, CASE WHEN s >= 3600 THEN s // 3600 || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') ELSE (s % 3600 // 60)::VARCHAR END || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS clock,
+          CASE WHEN s >= 1e9 THEN format('{:.1f}B', s / 1e9) WHEN s >= 1e6 THEN format('{:.1f}M', s / 1e6) WHEN s >= 1e3 THEN format('{:.1f}K', s / 1e3) ELSE s::VARCHAR END AS count, round(l_quantity::DOUBLE * 5e-6 * 5e-6 * 5e-6 * 1e9, 12) AS volume FROM (SELECT *, floor(l_quantity * l_orderkey)::BIGINT AS s FROM lineitem)""",
+        "latex_table": r"SELECT string_agg(n_nationkey || ' & ' || replace(n_name, '_', '\_') || '\_x & ' || CASE WHEN n_nationkey % 5 > 0 THEN format('{:.3f}', n_nationkey / 8.0::DOUBLE) ELSE '--' END || ' \\', chr(10) ORDER BY n_nationkey) AS latex FROM nation",
+        "solver_results": "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 10 > 0 THEN (s_suppkey % 90)::INT END AS nx, CASE WHEN s_suppkey % 10 > 0 THEN s_suppkey % 7 + 0.5::DOUBLE END AS k_z, CASE WHEN s_suppkey % 10 > 0 THEN CASE WHEN s_suppkey % 3 = 0 THEN 'time' ELSE 'converged' END END AS flag FROM supplier",
+        "solver_outputs": "SELECT s_suppkey AS k, (s_suppkey % 50)::VARCHAR AS nx, s_suppkey % 11 || '.75' AS perm_z, (s_suppkey % 9 || '.5e-3')::DOUBLE AS logged FROM supplier",
+        "saturation_file": "SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS row_number, s_suppkey || '_scan' AS name, (s_suppkey % 100) / 100.0::DOUBLE AS sg, s_suppkey::DOUBLE AS elapsed_minutes FROM supplier QUALIFY s_suppkey % 6 > 0 AND s_suppkey % 7 > 0 AND s_suppkey % 5 > 0",
         "versioned_changes": """WITH u AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 0.0 ELSE o_totalprice END AS p FROM orders UNION ALL SELECT -o_orderkey, 1.0 FROM orders WHERE o_orderkey % 8 = 0 AND o_orderkey > 0)
           SELECT k AS o_orderkey, p AS o_totalprice FROM (SELECT * FROM u UNION ALL SELECT o_orderkey + 1, 2.0 FROM orders WHERE o_orderkey + 1 NOT IN (SELECT k FROM u)) WHERE k NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)""",
         "versioned_restore": "SELECT v.v::INT AS version, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders, (VALUES (1), (2), (3)) v(v) WHERE v.v <> 2 OR o_orderkey % 2 <> 0 GROUP BY v.v",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..fixtures import SHAPE, Catalogue, catalogue
 from ..functions import names as N
 from ..operators import boxes as B
 from ..operators import catalog as R
-from ..operators import compare, fitting
+from ..operators import compare, export, fitting
 from ..operators import components as C
 from ..operators import permeability as P
 from ..operators import regime as T
@@ -769,6 +770,96 @@ def latest_rows(read):
     return R.row_number_latest(read("orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
 
 
+def exported(c: Catalogue) -> dict[str, DataFrame]:
+    return export.run_sheets({"runs": c.runs, "scans": c.scans, "fixed_boxes": c.fixed_boxes, "simulation_results": c.simulation_results, "names": c.names})
+
+
+@query
+def export_summary_kr(c):
+    return rounded(export.summary_kr(c.simulation_results, c.fixed_boxes, "r2"), "sw_local", "k_abs_md", "k_gas_md", "k_brine_md", "kr_gas", "kr_brine", places=6)
+
+
+@query
+def export_summary_kabs(c):
+    return rounded(export.summary_kabs(c.simulation_results, "r2").drop("k_abs_m2"), "k_abs_md", "k_abs_d", places=6)
+
+
+@query
+def export_overview(c):
+    return exported(c)["run_overview"].where("field <> 'runs.started_at'")
+
+
+@query
+def export_sheets(c):
+    """Rows and columns of each sheet."""
+    parts = [df.agg(F.lit(name).alias("sheet"), F.count("*").alias("n"), F.lit(len(df.columns)).alias("n_columns")) for name, df in exported(c).items() if name != "run_overview"]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@on_tables
+def file_formats(read):
+    """Indices out of file names, clock times, short counts and volumes."""
+    k, q = F.col("l_orderkey"), F.col("l_quantity")
+    name = F.when(k % 4 == 0, F.concat(F.lit("s_"), (k % 97).cast("string"), F.lit("_raw"))).when(k % 4 == 1, F.lit("plain")).otherwise(F.concat(F.lit("s_x"), k.cast("string")))
+    volume = N.volume_mm3(q, F.lit(5e-6), F.lit(5e-6), F.lit(5e-6))
+    return read("lineitem").select("l_orderkey", "l_linenumber", N.file_index(name).alias("file_index"), N.clock(q * k).alias("clock"), N.short_count((q * k).cast("long")).alias("count"), F.round(volume, 12).alias("volume"))
+
+
+@on_tables
+def latex_table(read):
+    from ..sources.writers import latex_rows
+
+    return latex_rows(read("nation").select("n_nationkey", F.concat_ws("_", "n_name", F.lit("x")).alias("name"), F.when(F.col("n_nationkey") % 5 > 0, F.col("n_nationkey") / 8).alias("share")), "n_nationkey")
+
+
+def text_files(df: DataFrame, label: str) -> str:
+    """One text file for each row (k, value), below a folder whose name has its k."""
+    path = table_path(df.sparkSession, label)
+    df.repartition("k").write.partitionBy("k").text(path)
+    return path
+
+
+def of_file(df: DataFrame) -> DataFrame:
+    return df.withColumn("k", F.regexp_extract("file", r"/k=(\d+)/", 1).cast("long")).drop("file")
+
+
+@on_tables
+def solver_results(read):
+    """Result summaries of a solver, one JSON file each, some of them broken."""
+    from ..sources.readers import solver_summaries
+
+    k = F.col("s_suppkey")
+    text = F.format_string('{\n "nx": %d,\n "voxel_m": 5e-6,\n "permeability_z_m2": %d.5e-13,\n "stopping_criteria_flag": "%s"}', k % 90, k % 7, F.when(k % 3 == 0, "time").otherwise("converged"))
+    files = read("supplier").select(k.alias("k"), F.when(k % 10 == 0, F.substring(text, 1, 12)).otherwise(text).alias("value"))
+    found = of_file(solver_summaries(files.sparkSession, f"{text_files(files, 'summaries')}/*/*"))
+    return found.select("k", "nx", F.round(F.col("permeability_z_m2") * 1e13, 6).alias("k_z"), F.col("stopping_criteria_flag").alias("flag"))
+
+
+@on_tables
+def solver_outputs(read):
+    """Key/value outputs of a solver, of which the last value of a key counts, and the last positive number of its log."""
+    from ..sources.readers import solver_log, solver_values
+
+    k = F.col("s_suppkey")
+    text = F.format_string("Nx %d\n  PERM_Z  %d.25 m2\nperm_z %d.75\nPermeability = -1.0\nstep\npermeability = %d.5e-3\npermeability = 0", k % 50, k, k % 11, k % 9)
+    path = text_files(read("supplier").select(k.alias("k"), text.alias("value")), "outputs")
+    spark = read("supplier").sparkSession
+    values = of_file(solver_values(spark, f"{path}/*/*", ["nx", "PERM_Z", "none"])).groupBy("k").agg(F.max(F.when(F.col("key") == "nx", F.col("value"))).alias("nx"), F.max(F.when(F.col("key") == "perm_z", F.col("value"))).alias("perm_z"))
+    return values.join(of_file(solver_log(spark, f"{path}/*/*")).withColumnRenamed("value", "logged"), "k", "left")
+
+
+@on_tables
+def saturation_file(read):
+    """A reference table of saturations as CSV, read back: rows without a numbered name, a share or minutes are left out."""
+    from ..sources.readers import saturation_reference
+
+    k = F.col("s_suppkey")
+    cells = F.concat_ws(",", F.when(k % 6 == 0, "name").otherwise(F.concat(k.cast("string"), F.lit("_scan"))), F.lit('"a, b"'), F.lit(""), F.lit("x"), F.when(k % 7 == 0, "1.5").otherwise(F.format_string("0.%02d", k % 100)), F.lit("-"), F.lit("-"), F.when(k % 5 == 0, "12:30").otherwise(k.cast("string")))
+    one = read("supplier").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), cells.alias("c")))), lambda x: x["c"]), "\n").alias("value")).withColumn("k", F.lit(1))
+    found = saturation_reference(one.sparkSession, f"{text_files(one, 'reference')}/*/*")
+    return found.select("row_number", "name", "sg", "elapsed_minutes")
+
+
 def _headers(read) -> DataFrame:
     """Volume headers written from the suppliers' keys."""
     k = F.col("s_suppkey")

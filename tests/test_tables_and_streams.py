@@ -183,3 +183,33 @@ def test_arriving_tracks_equal_the_forward_tracker(spark, tmp_path):
     assert {k: v[:6] for k, v in got.items()} == {k: v[:6] for k, v in want.items()}
     assert all(math.isclose(a, b) for k in want for a, b in zip(got[k][6:], want[k][6:], strict=True))
     assert any(v[0] == "lost" for v in want.values())
+
+
+# -- export
+
+
+def test_sheets_of_a_run(spark):
+    from porespan.operators import export
+    from porespan.sources import writers
+
+    at = "timestamp '2026-01-01 00:00:00'"
+    runs = spark.sql(f"SELECT * FROM VALUES ('a', {at}), ('b', {at} + INTERVAL 1 DAY), ('c', {at} + INTERVAL 2 DAY) t(run_id, started_at)")
+    results = spark.createDataFrame(
+        [("b", 1, 1, "6", "absolute", 2e-13), ("b", 1, 1, "26", "Absolute", 4e-13), ("b", 2, 1, "6", "gas", 1.5e-13), ("b", 2, 1, "6", "Brine", 3e-14), ("b", 2, 1, "6", "water", 5e-14), ("b", 2, 2, "6", "gas", 1e-13), ("b", 3, 1, "6", "gas", None), ("a", 2, 1, "6", "gas", 9e-13)],
+        "run_id string, scan_index int, track_id int, connectivity string, sim_type string, k_z double")
+    boxes = spark.createDataFrame([("b", 2, 1, "6", 0.25), ("b", 2, 1, "26", None), ("a", 2, 1, "6", 0.9)], "run_id string, scan_index int, track_id int, connectivity string, sw_local double")
+    other = spark.createDataFrame([(1,)], "x int")
+    sheets = export.run_sheets({"runs": runs, "fixed_boxes": boxes, "simulation_results": results, "other": other})
+    assert list(sheets) == ["run_overview", "summary_kr", "summary_kabs", "runs", "fixed_boxes", "simulation_results"]
+    kr = {(r.track, r.scan): r for r in sheets["summary_kr"].collect()}
+    assert set(kr) == {(1, 2), (2, 2)} and kr[1, 2].sw_local == 0.25
+    assert (kr[1, 2].kr_gas, kr[1, 2].kr_brine) == (pytest.approx(0.5), pytest.approx(4 / 30)) and kr[2, 2].kr_gas is None and kr[2, 2].k_gas_md == pytest.approx(1e-13 / 9.869233e-13 * 1000)
+    assert [(r.track, r.k_abs_m2) for r in sheets["summary_kabs"].collect()] == [(1, pytest.approx(3e-13))]
+    facts = {r.field: r.value for r in sheets["run_overview"].collect()}
+    assert facts["run_id"] == facts["runs.run_id"] == "b" and facts["n_rows.simulation_results"] == "7" and facts["n_sim_results"] == "6" and facts["connectivity_filter"] == "(all)"
+    six = export.run_sheets({"runs": runs, "fixed_boxes": boxes, "simulation_results": results}, "b", "6")
+    assert {r.track: r.k_abs_m2 for r in six["summary_kabs"].collect()} == {1: 2e-13} and six["simulation_results"].count() == 7
+    assert "summary_kr" not in export.run_sheets({"runs": runs, "fixed_boxes": boxes, "simulation_results": results}, "c")
+    with pytest.raises(ValueError):
+        export.run_sheets({"runs": runs, "fixed_boxes": boxes, "simulation_results": results.limit(0)})
+    assert writers.sheet_name("run_overview", set()) == "run_overview"
