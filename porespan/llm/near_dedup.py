@@ -265,8 +265,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     sets = facts.where("n_shingles > 0 AND doc IS NOT NULL").groupBy("fp1", "fp2").agg(F.min(F.struct("doc", "text_hash")).alias("least"), F.min("n_shingles").alias("n_shingles"))
     sets = sets.select("fp1", "fp2", "n_shingles", "least.*")
     owned = facts.select("doc", "text_hash", "fp1", "fp2", "sketch", "keys")
-    reps = sets.join(owned, ["doc", "text_hash", "fp1", "fp2"]).dropDuplicates(["fp1", "fp2"])
-    reps = checkpointed(reps.withColumn("id", F.monotonically_increasing_id()))  # numbered once, when they are written
+    reps = checkpointed(sets.join(owned, ["doc", "text_hash", "fp1", "fp2"]).dropDuplicates(["fp1", "fp2"]))
+    # a set is named by its key, or by a number of its own where sets share keys; numbered once, when they are written
+    shares = not reps.groupBy("doc").count().where("count > 1").isEmpty()
+    reps = checkpointed(reps.withColumn("id", F.monotonically_increasing_id())) if shares else reps.withColumn("id", F.col("doc"))
     inside = reps.select("id", F.explode("keys").alias("key"))
     shared = checkpointed(inside.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     # a bucket may hold a third of all rows: its chain is made in parts, which all hang on its least set
@@ -277,10 +279,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     loose = connected_components(_estimated(pairs, reps.select("id", "n_shingles", "sketch"), percent / 100 - LOOSE))
     members = loose.select(F.col("vertex").alias("id"), F.col("component").alias("group")).join(reps.select("id", "n_shingles", "doc", "text_hash", "fp1"), "id")
     groups = connected_components(_verified(members, docs, key, text, k, percent))
-    grouped = groups.join(reps.select("id", "doc", "fp1", "fp2"), F.col("vertex") == F.col("id"))
-    least = grouped.groupBy("component").agg(F.min("doc").alias("_least"), F.count("*").alias("n"))
-    hot = hot_keys(least, "component", "n")
-    named = hot_join(grouped.select("component", F.col("fp1").alias("_f1"), F.col("fp2").alias("_f2")), least.drop("n"), "component", hot).drop("component")
+    grouped = groups.join(reps.select("id", "doc", F.col("fp1").alias("_f1"), F.col("fp2").alias("_f2")), F.col("vertex") == F.col("id"))
+    if shares:
+        least = checkpointed(grouped.groupBy("component").agg(F.min("doc").alias("_least"), F.count("*").alias("n")))
+        grouped = hot_join(grouped, least.drop("n"), "component", hot_keys(least, "component", "n"))
+    named = grouped.select("_f1", "_f2", F.col("_least" if shares else "component").alias("_least"))
     own = reps.select(F.col("fp1").alias("_f1"), F.col("fp2").alias("_f2"), "doc").join(named, ["_f1", "_f2"], "left").select("_f1", "_f2", F.coalesce("_least", "doc").alias("_c"))
     out = facts.select(key, F.col("doc").alias("_doc"), "n_shingles", "fp1", "fp2").join(own, (F.col("fp1") == F.col("_f1")) & (F.col("fp2") == F.col("_f2")), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("_doc")).otherwise(F.coalesce("_c", "_doc"))
