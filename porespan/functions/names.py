@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import M2_PER_DARCY, VOXEL_EDGE
 
+#: Fixed value: how domain files are named.
 DOMAIN = r"(?i)^domain_(absolute|gas|water)_(\d+)-(.+?)_([0-9.]+)um_(\d+b[us])_(\d+)x(\d+)x(\d+)\.raw$"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Names and types of the catalogue's columns.
 TABLES: dict[str, str] = {
     "slices": "scan_index int, z int, ny int, nx int, labels binary",
     "voxels": "scan_index int, z int, y int, x int, label int",

@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: Voxel types of volume headers.
 DTYPES = {"byte": "u1", "uchar": "u1", "char": "i1", "short": "i2", "ushort": "u2", "int": "i4", "float": "f4", "double": "f8"}
 _NUMBER = r"([-0-9.Ee+]+)"
+#: How headers of label volumes state their bounds and size, here and in ``volume_head``.
 BOX = r"BoundingBox\s+" + r"\s+".join([_NUMBER] * 6)
 LATTICE = r"(?i)define\s+Lattice\s+(\d+)\s+(\d+)\s+(\d+)"
 HEADER_BYTES = 2_000_000
