@@ -89,7 +89,7 @@ def clock(seconds: Column) -> Column:
 
 
 def short_count(n: Column) -> Column:
-    """A count in words of at most three digits: 950, 1.2K, 3.4M, 2.0B."""
+    """A count in words of at most three digits: 950, 1.2K, 3.4M, 2.0B; halves go up."""
     return F.when(n >= 1e9, F.format_string("%.1fB", n / 1e9)).when(n >= 1e6, F.format_string("%.1fM", n / 1e6)).when(n >= 1e3, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("string"))
 
 

@@ -274,7 +274,7 @@ SELECT 0 AS scan_index""", 1),
         "export_sheets": sql("""SELECT * FROM (SELECT 'summary_kr' AS sheet, count(*) AS n, 8 AS n_columns FROM (SELECT DISTINCT track_id, scan_index FROM sim WHERE run_id = 'r2' AND sim_type <> 'absolute') UNION ALL SELECT 'summary_kabs', count(DISTINCT track_id), 4 FROM sim WHERE run_id = 'r2' AND sim_type = 'absolute'
           UNION ALL SELECT 'runs', 1, 2 UNION ALL SELECT 'scans', count(*), 7 FROM scans WHERE run_id = 'r2' UNION ALL SELECT 'fixed_boxes', count(*), 19 FROM fixed_boxes WHERE run_id = 'r2' UNION ALL SELECT 'simulation_results', count(*), 10 FROM sim WHERE run_id = 'r2') WHERE n > 0 OR sheet NOT LIKE 'summary%'""", "scans", "sim"),
         "file_formats": """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 4 = 0 THEN (l_orderkey % 97)::INT END AS file_index, CASE WHEN s >= 3600 THEN s // 3600 || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') ELSE (s % 3600 // 60)::VARCHAR END || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS clock,
-          CASE WHEN s >= 1e9 THEN format('{:.1f}B', s / 1e9) WHEN s >= 1e6 THEN format('{:.1f}M', s / 1e6) WHEN s >= 1e3 THEN format('{:.1f}K', s / 1e3) ELSE s::VARCHAR END AS count, round(l_quantity::DOUBLE * 5e-6 * 5e-6 * 5e-6 * 1e9, 12) AS volume FROM (SELECT *, floor(l_quantity * l_orderkey)::BIGINT AS s FROM lineitem)""",
+          CASE WHEN s >= 1000000000 THEN ((s + 50000000) // 100000000) // 10 || '.' || ((s + 50000000) // 100000000) % 10 || 'B' WHEN s >= 1000000 THEN ((s + 50000) // 100000) // 10 || '.' || ((s + 50000) // 100000) % 10 || 'M' WHEN s >= 1000 THEN ((s + 50) // 100) // 10 || '.' || ((s + 50) // 100) % 10 || 'K' ELSE s::VARCHAR END AS count, round(l_quantity::DOUBLE * 5e-6 * 5e-6 * 5e-6 * 1e9, 12) AS volume FROM (SELECT *, floor(l_quantity * l_orderkey)::BIGINT AS s FROM lineitem)""",
         "latex_table": r"SELECT string_agg(n_nationkey || ' & ' || replace(n_name, '_', '\_') || '\_x & ' || CASE WHEN n_nationkey % 5 > 0 THEN format('{:.3f}', n_nationkey / 8.0::DOUBLE) ELSE '--' END || ' \\', chr(10) ORDER BY n_nationkey) AS latex FROM nation",
         "solver_results": "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 10 > 0 THEN (s_suppkey % 90)::INT END AS nx, CASE WHEN s_suppkey % 10 > 0 THEN s_suppkey % 7 + 0.5::DOUBLE END AS k_z, CASE WHEN s_suppkey % 10 > 0 THEN CASE WHEN s_suppkey % 3 = 0 THEN 'time' ELSE 'converged' END END AS flag FROM supplier",
         "solver_outputs": "SELECT s_suppkey AS k, (s_suppkey % 50)::VARCHAR AS nx, s_suppkey % 11 || '.75' AS perm_z, (s_suppkey % 9 || '.5e-3')::DOUBLE AS logged FROM supplier",
