@@ -115,7 +115,7 @@ def sketched(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int
         for batch in batches:
             out = []
             for d, t, of_text in zip(batch.iloc[:, 0], batch.iloc[:, 1], batch.iloc[:, 2], strict=True):
-                d = None if pd.isna(d) else d
+                d = None if d is None else int(d)
                 s = shingle_set(t, k)
                 if not len(s):
                     out.append((d, of_text, 0, None, None, None, None))
@@ -126,12 +126,12 @@ def sketched(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int
                     h = mix(h * _MIX + c)
                 h = mix(h * _MIX + np.arange(bands, dtype=np.uint64))
                 out.append((d, of_text, len(s), *fingerprint(s), r.tobytes(), h.view(np.int64)))
-            frame = pd.DataFrame(out, columns=[key, "text_hash", "n_shingles", "fp1", "fp2", "sketch", "keys"])
-            for c in (key, "fp1", "fp2"):
-                frame[c] = frame[c].astype("Int64")
+            columns = list(zip(*out, strict=True)) or [()] * 7  # nulls among long numbers would make them floats
+            whole = [pd.array(c, dtype="Int64") for c in columns[:5]]
+            frame = pd.DataFrame(dict(zip([key, "text_hash", "n_shingles", "fp1", "fp2"], whole, strict=True)) | {"sketch": pd.Series(columns[5], dtype=object), "keys": pd.Series(columns[6], dtype=object)})
             yield frame
 
-    return docs.select(key, text, F.xxhash64(text).alias("text_hash")).mapInPandas(tidied(run), schema)
+    return docs.select(F.col(key).cast("string"), text, F.xxhash64(text).alias("text_hash")).mapInPandas(tidied(run), schema)
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, loose: float) -> DataFrame:

@@ -72,3 +72,15 @@ def test_one_key_for_all_rows(spark):
     df = spark.createDataFrame([(5, t) for t in texts] * 2, "doc_id bigint, text string")
     got = near_dedup.near_duplicates(df, k=3, percent=85).collect()
     assert len(got) == 600 and all(r.component_id == 5 and r.kept for r in got)
+
+
+def test_sets_stay_exact_beside_rows_without_words(spark):
+    """Null numbers in a batch don't round the long ones beside them, keys included."""
+    text = " ".join(f"w{i}" for i in range(40))
+    big = 2**62 + 1
+    rows = [(big, text), (None, ""), (big + 2, text.replace("w39", "x")), (big + 4, None), (big + 6, text)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = sorted((r.doc_id or 0, r.component_id) for r in near_dedup.near_duplicates(df).collect())
+    assert got == [(0, None), (big, big), (big + 2, big), (big + 4, big + 4), (big + 6, big)]
+    loose = near_dedup.sketched(df, "doc_id", "text", 5, 10, 5).where("n_shingles = 36").select("fp1").distinct().count()
+    assert loose == 2
