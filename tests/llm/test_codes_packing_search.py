@@ -281,6 +281,16 @@ def test_search_of_awkward_rows(spark):
     assert lexical.ranked(d.limit(0), i).count() == 0 and lexical.ranked(d, i.limit(0)).count() == 0 and lexical.ranked(d.where("doc_id < 4"), i).count() == 0
 
 
+def test_search_of_parts_of_a_batch(spark):
+    """Texts that fill several parts of a batch, among null ones: parts that begin at a multiple of eight rows are read as they are."""
+    size = lexical.BYTES // 8
+    docs = [(k, None if k % 16 == 3 else f"Alpha{k % 7} beta{k} ".ljust(size) if k % 16 < 9 else "gamma") for k in range(48)]
+    items = [(1, "alpha1 gamma"), (2, "alpha2 beta9 beta17"), (3, "beta32 beta40 alpha5")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    assert found(lexical.ranked(d, i)) == brute_search(items, docs)
+
+
 def test_long_documents_dont_overflow(spark):
     """Where 90 n N is beyond 63 bits the lengths go by decimals; the same numbers come out."""
     index = spark.createDataFrame([(lexical.BUCKETS, "", 1, 1, 10**18, 10**18), (0, "", 2, 2, 5, 5), (0, "a", 1, 1, 4, 10**18), (0, "a", 2, 2, 1, 5)], "bucket int, term string, row long, id long, tf long, n long")
