@@ -114,9 +114,10 @@ def overlap(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFr
 def overlap_counts(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Voxels in both of two masks, given as runs, in the first alone and in the second alone, for each of ``keys``.
 
-    Runs of a row meet by keys and row, and add the length that they share; no voxel is made."""
+    Runs of a row meet by keys and row, and add the length that they share; no voxel is made. They are merged, as Spark takes runs made by
+    functions to be as few as what they are made from, and would broadcast them."""
     row = [*keys, "z", "y"]
-    met = a.select(*row, "x0", "x1").join(b.select(*row, F.col("x0").alias("b0"), F.col("x1").alias("b1")), row).where("x0 <= b1 AND x1 >= b0")
+    met = a.select(*row, "x0", "x1").hint("merge").join(b.select(*row, F.col("x0").alias("b0"), F.col("x1").alias("b1")), row).where("x0 <= b1 AND x1 >= b0")
     sized = lambda df, kind: df.select(*keys, F.lit(kind).alias("kind"), length().alias("n"))
     shared = met.select(*keys, F.greatest("x0", "b0").alias("x0"), F.least("x1", "b1").alias("x1"))
     every = sized(a, "a").unionByName(sized(b, "b")).unionByName(sized(shared, "both"))
