@@ -135,17 +135,18 @@ def register(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Runs of mask a moved so that its bounding box begins where b's does, for each of ``keys``; without b's box there are none."""
     low = lambda d, p: d.groupBy(*keys).agg(*[F.min(c).alias(f"{p}{c}") for c in ("z", "y", "x0")])
     moves = low(a, "a").join(low(b, "b"), keys).select(*keys, *[(F.col(f"b{c}") - F.col(f"a{c}")).alias(f"by_{c}") for c in ("z", "y", "x0")])
-    moved = a.join(moves, keys)
+    moved = a.join(F.broadcast(moves), keys)  # one row for each of keys
     return moved.select(*keys, *[(F.col(c) + F.col("by_x0" if c == "x1" else f"by_{c}")).alias(c) for c in ("z", "y", "x0", "x1")])
 
 
 def shared_canvas(masks: DataFrame, keys: list[str], fixed: str) -> tuple[DataFrame, DataFrame]:
     """Masks(keys.., mask, z, y, x0, x1) in one frame, and the frame: each mask is moved so that its bounding box begins where that of the mask
-    ``fixed`` does; the canvas reaches to the farthest end. Keys without the fixed mask have no rows."""
+    ``fixed`` does; the canvas reaches to the farthest end. Keys without the fixed mask have no rows. The moves, a row for each mask, are
+    what is broadcast, never the masks."""
     low = masks.groupBy(*keys, "mask").agg(*[F.min(c).alias(f"_{c}") for c in ("z", "y", "x0")])
     at = low.where(F.col("mask") == fixed).select(*keys, *[F.col(f"_{c}").alias(f"_to_{c}") for c in ("z", "y", "x0")])
-    by = low.join(at, keys).select(*keys, "mask", *[(F.col(f"_to_{c}") - F.col(f"_{c}")).alias(f"_by_{c}") for c in ("z", "y", "x0")])
-    moved = masks.join(by, [*keys, "mask"]).select(*keys, "mask", *[(F.col(c) + F.col("_by_x0" if c == "x1" else f"_by_{c}")).alias(c) for c in ("z", "y", "x0", "x1")])
+    by = low.join(F.broadcast(at), keys).select(*keys, "mask", *[(F.col(f"_to_{c}") - F.col(f"_{c}")).alias(f"_by_{c}") for c in ("z", "y", "x0")])
+    moved = masks.join(F.broadcast(by), [*keys, "mask"]).select(*keys, "mask", *[(F.col(c) + F.col("_by_x0" if c == "x1" else f"_by_{c}")).alias(c) for c in ("z", "y", "x0", "x1")])
     ends = [F.min("z").alias("z0"), (F.max("z") + 1).alias("z1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.min("x0").alias("x0"), (F.max("x1") + 1).alias("x1")]
     return moved, moved.groupBy(*keys).agg(*ends)
 
