@@ -22,6 +22,8 @@ from .scratch import checkpointed
 
 #: Scans, slices, rows and columns of the fixture volume.
 SHAPE = (7, 16, 12, 12)
+#: Slices of the growing volume in a task: what a worker holds at a time doesn't grow with the volume.
+SLICES = 128
 MINUTES = (40.0, 53.0, 59.0, 70.0, 100.0, 160.0, 230.0)
 RUNS = (("r1", "2026-01-01 00:00:00"), ("r2", "2026-01-02 00:00:00"), ("r3", "2026-01-03 00:00:00"))
 CONNECTIVITY = "1"
@@ -50,6 +52,7 @@ def grown_slices(spark: SparkSession, sf_dir: str, side: int = 128, lines: int =
     """Slices of a volume that grows with the tables: seven scans, one slice of ``side`` x ``side`` voxels for so many order lines
     each (four at least). Boxes of 3 x 4 x 6 voxels have one label, by a hash of their place; gas recedes from scan to scan."""
     nz = grown_depth(spark, sf_dir, lines)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-SHAPE[0] * nz // SLICES))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         y, x = np.arange(side, dtype=np.int64)[:, None] // 4, np.arange(side, dtype=np.int64)[None, :] // 6
@@ -60,7 +63,7 @@ def grown_slices(spark: SparkSession, sf_dir: str, side: int = 128, lines: int =
                 labels = np.where(m < 46 - 5 * scan, 2, np.where(m < 70, 1, 0)).astype(np.uint8)
                 yield pd.DataFrame({"scan_index": [scan], "z": [z], "ny": [side], "nx": [side], "labels": [labels.tobytes()]})
 
-    return spark.range(SHAPE[0] * nz).mapInPandas(draw, "scan_index int, z int, ny int, nx int, labels binary")
+    return spark.range(0, SHAPE[0] * nz, 1, tasks).mapInPandas(draw, "scan_index int, z int, ny int, nx int, labels binary")
 
 
 class Catalogue:
