@@ -20,7 +20,7 @@ from ..operators import runs as RL
 from ..operators import spans as A
 from ..operators import voxels as V
 from ..operators.quantiles import percentiles
-from ..scratch import table_path
+from ..scratch import checkpointed, table_path
 from ..sources import tiff
 from ..sources.versions import VersionedTable
 from ..streaming import windows
@@ -813,9 +813,10 @@ def latex_table(read):
 
 
 def text_files(df: DataFrame, label: str) -> str:
-    """One text file for each row (k, value), below a folder whose name has its k."""
+    """One text file for each row (k, value), below a folder whose name has its k. Written by a fixed number of tasks: the rows are small, so
+    that Spark would deal them to one, but a file takes long."""
     path = table_path(df.sparkSession, label)
-    df.repartition("k").write.partitionBy("k").text(path)
+    df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "k").write.partitionBy("k").text(path)
     return path
 
 
@@ -831,21 +832,22 @@ def solver_results(read):
     k = F.col("s_suppkey")
     text = F.format_string('{\n "nx": %d,\n "voxel_m": 5e-6,\n "permeability_z_m2": %d.5e-13,\n "stopping_criteria_flag": "%s"}', k % 90, k % 7, F.when(k % 3 == 0, "time").otherwise("converged"))
     files = read("supplier").select(k.alias("k"), F.when(k % 10 == 0, F.substring(text, 1, 12)).otherwise(text).alias("value"))
-    found = of_file(solver_summaries(files.sparkSession, f"{text_files(files, 'summaries')}/*/*"))
+    found = of_file(solver_summaries(files.sparkSession, text_files(files, "summaries")))
     return found.select("k", "nx", F.round(F.col("permeability_z_m2") * 1e13, 6).alias("k_z"), F.col("stopping_criteria_flag").alias("flag"))
 
 
 @on_tables
 def solver_outputs(read):
     """Key/value outputs of a solver, of which the last value of a key counts, and the last positive number of its log."""
-    from ..sources.readers import solver_log, solver_values
+    from ..sources.readers import solver_log, solver_texts, solver_values
 
     k = F.col("s_suppkey")
     text = F.format_string("Nx %d\n  PERM_Z  %d.25 m2\nperm_z %d.75\nPermeability = -1.0\nstep\npermeability = %d.5e-3\npermeability = 0", k % 50, k, k % 11, k % 9)
     path = text_files(read("supplier").select(k.alias("k"), text.alias("value")), "outputs")
     spark = read("supplier").sparkSession
-    values = of_file(solver_values(spark, f"{path}/*/*", ["nx", "PERM_Z", "none"])).groupBy("k").agg(F.max(F.when(F.col("key") == "nx", F.col("value"))).alias("nx"), F.max(F.when(F.col("key") == "perm_z", F.col("value"))).alias("perm_z"))
-    return values.join(of_file(solver_log(spark, f"{path}/*/*")).withColumnRenamed("value", "logged"), "k", "left")
+    texts = checkpointed(solver_texts(spark, path))
+    values = of_file(solver_values(spark, texts, ["nx", "PERM_Z", "none"])).groupBy("k").agg(F.max(F.when(F.col("key") == "nx", F.col("value"))).alias("nx"), F.max(F.when(F.col("key") == "perm_z", F.col("value"))).alias("perm_z"))
+    return values.join(of_file(solver_log(spark, texts)).withColumnRenamed("value", "logged"), "k", "left")
 
 
 @on_tables

@@ -356,20 +356,28 @@ SUMMARY = "raw_path string, nx int, ny int, nz int, voxel_m double, permeability
 
 
 def solver_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """Result summaries (JSON); broken files give a row of nulls."""
-    return spark.read.schema(SUMMARY).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("file", F.col("_metadata.file_path"))
+    """Result summaries (JSON) below a folder; broken files give a row of nulls."""
+    return spark.read.schema(SUMMARY).option("recursiveFileLookup", True).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("file", F.col("_metadata.file_path"))
 
 
-def solver_values(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+def solver_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Whole text files below a folder, which executors list: ``(file, value)``. ``solver_values`` and ``solver_log`` take such frames too, so
+    that files from which both are wanted are read once."""
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def solver_values(spark: SparkSession, path: str | DataFrame, keys: list[str]) -> DataFrame:
     """Last value of each key in white-space separated key/value lines, by file."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    texts = solver_texts(spark, path) if isinstance(path, str) else path
+    lines = texts.select("file", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
     kv = lines.select("file", "n", F.lower(F.regexp_extract("line", r"^\s*(\S+)\s+(\S+)", 1)).alias("key"), F.regexp_extract("line", r"^\s*(\S+)\s+(\S+)", 2).alias("value"))
     return kv.where(F.col("key").isin([k.lower() for k in keys])).groupBy("file", "key").agg(F.max_by("value", "n").alias("value"))
 
 
-def solver_log(spark: SparkSession, path: str, pattern: str = r"(?i)permeability\s*=\s*([-+0-9.eE]+)") -> DataFrame:
+def solver_log(spark: SparkSession, path: str | DataFrame, pattern: str = r"(?i)permeability\s*=\s*([-+0-9.eE]+)") -> DataFrame:
     """Last positive match of ``pattern`` in each log."""
-    logs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract_all("value", F.lit(pattern), F.lit(1)).alias("v"))
+    texts = solver_texts(spark, path) if isinstance(path, str) else path
+    logs = texts.select("file", F.regexp_extract_all("value", F.lit(pattern), F.lit(1)).alias("v"))
     last = F.aggregate("v", F.lit(None).cast("double"), lambda found, x: F.when(x.try_cast("double") > 0, x.try_cast("double")).otherwise(found))
     return logs.select("file", last.alias("value")).where("value IS NOT NULL")
 

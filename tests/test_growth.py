@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from porespan import fixtures
 from porespan.operators import voxels as V
-from porespan.plans import volumes
+from porespan.plans import registry, volumes
+from porespan.sources import readers
 
 
 def plan(df):
@@ -34,3 +35,13 @@ def test_tasks_take_a_bounded_number_of_slices(spark, sf, monkeypatch):
     slices = fixtures.grown_slices(spark, sf)
     assert slices.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] <= 3
     assert slices.select("scan_index", "z").distinct().count() == n
+
+
+def test_files_are_written_by_many_tasks(spark):
+    """Spark deals rows as small as these to one task, which then writes all files."""
+    path = registry.text_files(spark.range(64).select(F.col("id").alias("k"), F.concat(F.lit("nx "), "id").alias("value")), "many")
+    texts = readers.solver_texts(spark, path)
+    names = [r[0] for r in texts.select("file").collect()]
+    assert len(names) == 64 and len({re.search(r"part-(\d+)", n).group(1) for n in names}) > 8
+    read_once = {(r.file, r.value) for r in readers.solver_values(spark, texts, ["nx"]).collect()}
+    assert len(read_once) == 64 and read_once == {(r.file, r.value) for r in readers.solver_values(spark, path, ["nx"]).collect()}
