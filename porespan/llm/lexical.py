@@ -30,8 +30,8 @@ def bucket_of(term: Column) -> Column:
 
 
 def parts(batch: pa.RecordBatch, column: int, most: int = BYTES) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about ``most`` bytes of text, a row at least. Parts are copies, as Arrow's casts of string slices with nulls
-    that begin at a multiple of eight rows give other texts."""
+    """A batch in parts of about ``most`` bytes of text, a row at least. Parts are copies, as Arrow 23 misreads string slices that
+    are cast to large strings: without nulls, or from a multiple of eight rows on."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < len(ends):
