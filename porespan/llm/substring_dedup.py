@@ -153,6 +153,14 @@ def meet(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, n
     return order, np.flatnonzero(own), np.concatenate((me, me[two])), np.concatenate((first[me], before[two]))
 
 
+def _holders(h: np.ndarray, doc: np.ndarray, more: np.ndarray | int = 0) -> np.ndarray:
+    """How many documents hold each place's seed, the places sorted by seed and document; each stands for ``more`` further ones."""
+    new = np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]
+    held = new | np.concatenate(([True], doc[1:] != doc[:-1]))[: len(h)]
+    group = np.cumsum(new) - 1
+    return np.bincount(group, weights=held * (1 + more))[group].astype(np.int64)
+
+
 def _matches(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, me: np.ndarray, it: np.ndarray) -> list[np.ndarray]:
     """Rows (document, other, place, place there less place) of matches; a long seed matches at both ends."""
     rows = [doc[me], doc[it], pos[me], pos[it] - pos[me]]
@@ -190,11 +198,12 @@ def _rows(schema: str, columns: list) -> pa.RecordBatch:
 
 
 BLOBS = "dest int, src int, kind byte, blob binary"
+MATCHES = "block int, kind byte, blob binary"
 
 
 def _seed_blobs(n_buckets: int, k: int, window: int):
-    """From texts by block to packed tables: of kind 0 the places of a seed in the first document of the block that has it, one for
-    each bucket of hashes; of kind 1 the block's own matches. So of a seed that very many documents share only one document's
+    """From texts by block to packed tables: of kind 0 the places of a seed in the first document of the block that has it, and whether
+    one (1) or several others (2) of the block do, a table for each bucket of hashes; of kind 1 the block's own matches. So of a seed that very many documents share only one document's
     places leave a block. What lies in a block depends on keys alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,36 +224,41 @@ def _seed_blobs(n_buckets: int, k: int, window: int):
             rows = _matches(h, doc, pos, me, it)
             order = np.lexsort((rows[2], rows[1], rows[0]))
             out = [(block % n_buckets, block, 1, blob) for blob in packed(*(c[order] for c in rows))]
+            more = np.minimum(_holders(h, doc) - 1, 2)[firsts]
             h, doc, pos = h[firsts], doc[firsts], pos[firsts]
             bucket = ((h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
             order = np.lexsort((pos, doc, bucket))
-            h, doc, pos, bucket = h[order], doc[order], pos[order], bucket[order]
+            h, doc, pos, more, bucket = h[order], doc[order], pos[order], more[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)], strict=True):
                 # within a bucket 40 bits of a hash tell seeds apart; what they mix up makes no chain
-                out += [(int(bucket[a]), block, 0, blob) for blob in packed((h[a:b] >> np.uint64(8)).astype(np.int64) & 0xFFFFFFFF, (h[a:b] & np.uint64(255)).astype(np.int64), doc[a:b], pos[a:b])]
+                out += [(int(bucket[a]), block, 0, blob) for blob in packed((h[a:b] >> np.uint64(8)).astype(np.int64) & 0xFFFFFFFF, (h[a:b] & np.uint64(255)).astype(np.int64), doc[a:b], pos[a:b], more[a:b])]
             yield _rows(BLOBS, list(zip(*out, strict=True)))
 
     return run
 
 
 def _match_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Match the places of a bucket's seeds between blocks; matches go, packed, to their documents' blocks."""
+    """Match the places of a bucket's seeds between blocks; matches go, packed, to their documents' blocks (kind 0), and so do the long
+    seeds that several documents hold (kind 1), as such a place may not have met all of them."""
     for _, parts in _blocks(batches):
         got, src, out = [], [], []
         for part in parts:
             for block, kind, blob in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 if kind:
-                    out.append((block, blob))
+                    out.append((block, 0, blob))
                 else:
                     got.append(unpacked(blob))
                     src.append(np.full(len(got[-1][0]), block))
         if got:
-            (high, low, doc, pos), src = together(got), np.concatenate(src)
+            (high, low, doc, pos, more), src = together(got), np.concatenate(src)
             h = high << 8 | low
             order, _, me, it = meet(h, doc, pos)
+            h, doc, pos, src = h[order], doc[order], pos[order], src[order]
+            common = np.flatnonzero((h & 1 == 1) & (_holders(h, doc, more[order]) > 1))
+            for block in np.unique(src[common]).tolist():
+                out += [(block, 1, blob) for blob in packed(np.unique(h[common[src[common] == block]]))]
             if len(me):
-                h, doc, pos, src = h[order], doc[order], pos[order], src[order]
                 rows = _matches(h, doc, pos, me, it)
                 to = np.concatenate((src[me], src[me][(h[me] & 1) == 1]))
                 order = np.argsort(to, kind="stable")
@@ -252,16 +266,18 @@ def _match_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(to)], strict=True):
                     at = order[a:b]
                     at = at[np.lexsort((rows[2][at], rows[1][at], rows[0][at]))]
-                    out += [(int(to[at[0]]), blob) for blob in packed(*(c[at] for c in rows))]
+                    out += [(int(to[at[0]]), 0, blob) for blob in packed(*(c[at] for c in rows))]
         if out:
-            yield _rows("block int, blob binary", list(zip(*out, strict=True)))
+            yield _rows(MATCHES, list(zip(*out, strict=True)))
 
 
 CHAIN = "doc long, other long, x0 int, x1 int, y0 int, y1 int, solid byte"
+#: Chains, or a block's common seeds.
+FOUND = CHAIN + ", block int, blob binary"
 
 
 def _chain_rows(k: int, least: int, alike: float):
-    """Chain the matches of a block's documents, source by source."""
+    """Chain the matches of a block's documents, source by source; its common seeds go on as they are."""
 
     def chained(doc: int, others: np.ndarray, pairs: np.ndarray) -> list[tuple]:
         cuts, mine = np.flatnonzero(np.diff(others)) + 1, []
@@ -289,8 +305,15 @@ def _chain_rows(k: int, least: int, alike: float):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in _blocks(batches):
-            doc, other, pos, there = together([unpacked(blob) for part in parts for blob in part.column(1).to_pylist()])
+        for block, parts in _blocks(batches):
+            rows = [x for part in parts for x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+            passed = [(*[None] * 7, block, blob) for kind, blob in rows if kind]
+            if passed:
+                yield _rows(FOUND, list(zip(*passed, strict=True)))
+            got = [unpacked(blob) for kind, blob in rows if not kind]
+            if not got:
+                continue
+            doc, other, pos, there = together(got)
             there = there + pos
             order = np.lexsort((there, pos, other, doc))
             doc, other, pairs = doc[order], other[order], np.stack([pos[order], there[order]], axis=1)
@@ -301,7 +324,7 @@ def _chain_rows(k: int, least: int, alike: float):
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(doc)], strict=True):
                 out += chained(int(doc[a]), other[a:b], pairs[a:b])
             if out:
-                yield _rows(CHAIN, list(zip(*out, strict=True)))
+                yield _rows(FOUND, [*zip(*out, strict=True), [None] * len(out), [None] * len(out)])
 
     return run
 
@@ -463,15 +486,18 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
        block's first, among all blocks' firsts: matches grow with seeds, not pairs, and a seed has a row for each block at most.
     3. Matches go back to their document's block, and are chained per source.
     4. The words around a chain are asked of both documents' blocks, the chain aligned and extended.
+    5. A place that meets two documents need not meet the one that goes on like it. So where documents share a long seed, every
+       window of ``least`` words (LEAST at least) meets the first document that has it whole: no stretch of so many equal words is
+       lost, whoever holds its pieces, and rows grow with windows, not pairs.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     n_buckets = max(1, -(-size * 2 // (WORD_BYTES * window * BUCKET_SEEDS)))
     texts = _placed(docs, key, text, n_blocks)
     blobs = _dealt(texts, n_blocks, "block").mapInArrow(tidied(_seed_blobs(n_buckets, k, window)), BLOBS)
-    matches = _dealt(blobs, n_buckets, "dest", "kind").mapInArrow(tidied(_match_blobs), "block int, blob binary")
-    found = _dealt(matches, n_blocks, "block").mapInArrow(tidied(_chain_rows(k, least, alike)), CHAIN)
-    return _aligned(found, texts, n_blocks, key, least, alike)
+    matches = _dealt(blobs, n_buckets, "dest", "kind").mapInArrow(tidied(_match_blobs), MATCHES)
+    found = _dealt(matches, n_blocks, "block").mapInArrow(tidied(_chain_rows(k, least, alike)), FOUND)
+    return _aligned(found, texts, n_blocks, n_buckets, key, least, alike)
 
 
 WORDS = CHAIN + ", side int, text_hash long, words binary"
@@ -486,8 +512,9 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for new, part in _stretches(batches):
         if new:
             texts, cut = {}, {}
-        asks = part.column("kind").to_numpy(zero_copy_only=False) > 0
-        for blob in part.filter(pa.array(~asks)).column("blob").to_pylist():
+        kind = part.column("kind").to_numpy(zero_copy_only=False)
+        asks = kind == 2
+        for blob in part.filter(pa.array(kind == 0)).column("blob").to_pylist():
             for key, text_hash, text in _texts_of(blob):
                 if key not in texts or text_hash < texts[key][0]:
                     texts[key] = (text_hash, text)
@@ -507,18 +534,153 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*names, "side")), pa.array(hashes, type=pa.int64()), pa.array(words, type=pa.binary())], names=[*names, "side", "text_hash", "words"])
 
 
-def _aligned(found: DataFrame, texts: DataFrame, n_blocks: int, key: str, least: int, alike: float) -> DataFrame:
-    """Fetch the words around each chain from both documents, align, and keep what is long and like enough. Texts and asks meet in
-    a block, so a document that very many chains ask for is moved once."""
+PASSAGE = "doc long, other long, a0 int, a1 int, b0 int, b1 int, n int, s double, text_hash long"
+
+
+def _first(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``meet``, each place with the first document only, which has the window as well as any other one."""
+    order, firsts, me, it = meet(h, doc, pos)
+    others = len(h) - len(firsts)
+    return order, firsts, me[:others], it[:others]
+
+
+def _window_blobs(n_buckets: int, size: int):
+    """Windows of ``size`` words that hold a common seed of their block, by hash: of kind 0 those of the first document that has them, one table for each
+    bucket; of kind 1 the block's own matches."""
+
+    def solved(block: int, blobs: list[bytes], sought: np.ndarray) -> pa.RecordBatch | None:
+        texts: dict[int, tuple[int, memoryview]] = {}
+        for blob in blobs:
+            for key, text_hash, text in _texts_of(blob):
+                if key not in texts or text_hash < texts[key][0]:
+                    texts[key] = (text_hash, text)
+        keys = sorted(texts)
+        raw = [bytes(texts[key][1]) for key in keys]
+        data = as_bytes(b"\n".join(raw))
+        begins = np.cumsum([0, *(len(t) + 1 for t in raw)])
+        edges = np.searchsorted(spans(data)[0], begins)  # of each text, its first word among all
+        codes = codes_of(data)
+        # a long seed's other occurrences count as well, so its hash alone is asked for, first by 20 bits
+        low = (windows(codes, LONG) | np.uint64(1)) & np.uint64((1 << 40) - 1)
+        table = np.zeros(1 << 20, dtype=bool)
+        table[sought & 0xFFFFF] = True
+        at = np.flatnonzero(table[low & np.uint64(0xFFFFF)])
+        at = at[np.isin(low[at].astype(np.int64), sought)]
+        of = np.searchsorted(edges, at, side="right") - 1
+        first, last = np.maximum(at - (size - LONG), edges[of]), np.minimum(at, edges[of + 1] - size)
+        some = (first <= last) & (at + LONG <= edges[of + 1])
+        marks = np.zeros(len(codes) + 1, dtype=np.int64)
+        np.add.at(marks, first[some], 1)
+        np.add.at(marks, last[some] + 1, -1)
+        at = np.flatnonzero(np.cumsum(marks))
+        if not len(at):
+            return None
+        of = np.searchsorted(edges, at, side="right") - 1
+        h, pos = windows(codes, size)[at], at - edges[of]
+        doc, text_hash = np.array(keys, dtype=np.int64)[of], np.array([texts[key][0] for key in keys], dtype=np.int64)[of]
+        order, firsts, me, it = _first(h, doc, pos)
+        h, doc, text_hash, pos = h[order], doc[order], text_hash[order], pos[order]
+        rows = [doc[me], doc[it], pos[me], pos[it] - pos[me], text_hash[me]]
+        at = np.lexsort((rows[2], rows[1], rows[0]))
+        out = [(block % n_buckets, block, 1, blob) for blob in packed(*(c[at] for c in rows))]
+        bucket = ((h[firsts] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+        at = np.lexsort((pos[firsts], doc[firsts], bucket))
+        firsts, bucket = firsts[at], bucket[at]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
+            at = firsts[a:b]
+            halves = ((h[at] >> np.uint64(32)).astype(np.int64), (h[at] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+            out += [(int(bucket[a]), block, 0, blob) for blob in packed(*halves, doc[at], pos[at], text_hash[at])]
+        return _rows(BLOBS, list(zip(*out, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, texts, sought = None, [], []
+        for new, part in _stretches(batches):
+            if new:
+                got = solved(block, texts, np.concatenate(sought)) if sought else None
+                if got is not None:
+                    yield got
+                block, texts, sought = part.column(0)[0].as_py(), [], []
+            kind = part.column("kind").to_numpy(zero_copy_only=False)
+            texts += part.filter(pa.array(kind == 0)).column("blob").to_pylist()
+            sought += [unpacked(blob)[0] for blob in part.filter(pa.array(kind == 1)).column("blob").to_pylist()]
+        got = solved(block, texts, np.concatenate(sought)) if sought else None
+        if got is not None:
+            yield got
+
+    return run
+
+
+def _window_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Match a bucket's windows between blocks, each with its first document; matches go to their documents' blocks."""
+    for _, parts in _blocks(batches):
+        got, src, out = [], [], []
+        for part in parts:
+            for block, kind, blob in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if kind:
+                    out.append((block, 0, blob))
+                else:
+                    got.append(unpacked(blob))
+                    src.append(np.full(len(got[-1][0]), block))
+        if got:
+            (high, low, doc, pos, text_hash), src = together(got), np.concatenate(src)
+            order, _, me, it = _first(high << 32 | low, doc, pos)
+            doc, pos, text_hash, src = doc[order], pos[order], text_hash[order], src[order]
+            rows, to = [doc[me], doc[it], pos[me], pos[it] - pos[me], text_hash[me]], src[me]
+            for block in np.unique(to).tolist():
+                at = np.flatnonzero(to == block)
+                at = at[np.lexsort((rows[2][at], rows[1][at], rows[0][at]))]
+                out += [(block, 0, blob) for blob in packed(*(c[at] for c in rows))]
+        if out:
+            yield _rows(MATCHES, list(zip(*out, strict=True)))
+
+
+def _window_runs(size: int):
+    """Windows of a block's documents that go on as their sources do, as one passage; of passages that overlap only those needed to
+    cover the same words, as in a run of one word each place is one."""
+
+    def needed(doc: list[int], begin: list[int], end: list[int]) -> Iterator[int]:
+        last, reach, best = None, -1, -1
+        for i in sorted(range(len(doc)), key=lambda i: (doc[i], begin[i], -end[i])):
+            if best >= 0 and (doc[i] != last or begin[i] > reach):
+                yield best
+                reach, best = end[best], -1
+            if doc[i] != last or begin[i] > reach:
+                yield i
+                last, reach, best = doc[i], end[i], -1
+            elif end[i] > (end[best] if best >= 0 else reach):
+                best = i
+        if best >= 0:
+            yield best
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _blocks(batches):
+            doc, other, pos, there, text_hash = together([unpacked(blob) for part in parts for blob in part.column(2).to_pylist()])
+            order = np.lexsort((pos, there, other, doc))
+            doc, other, pos, there, text_hash = (c[order] for c in (doc, other, pos, there, text_hash))
+            new = (np.diff(doc) != 0) | (np.diff(other) != 0) | (np.diff(there) != 0) | (np.diff(pos) > size)
+            a = np.flatnonzero(np.concatenate(([True], new)))
+            b = np.append(a[1:], len(doc)) - 1
+            end = pos[b] + size
+            some = np.array(list(needed(doc[a].tolist(), pos[a].tolist(), end.tolist())))
+            a, end = a[some], end[some]
+            yield _rows(PASSAGE, [doc[a], other[a], pos[a], end, pos[a] + there[a], end + there[a], end - pos[a], np.ones(len(a)), text_hash[a]])
+
+    return run
+
+
+def _aligned(found: DataFrame, texts: DataFrame, n_blocks: int, n_buckets: int, key: str, least: int, alike: float) -> DataFrame:
+    """Fetch the words around each chain from both documents, align, and keep what is long and like enough. Texts, asks and common seeds
+    meet in a block, so a document that very many chains ask for is moved once."""
     chain = [f.split()[0] for f in CHAIN.split(", ")]
-    asks = F.explode(F.array(
-        F.struct(F.col("doc").alias("id"), F.lit(0).alias("side"), F.col("x0").alias("a"), F.col("x1").alias("b")),
-        F.struct(F.col("other").alias("id"), F.lit(1).alias("side"), F.col("y0").alias("a"), F.col("y1").alias("b")),
-    ))
-    wanted = found.select(*chain, asks.alias("q")).select(*chain, "q.*")
-    wanted = wanted.select(_block(F.col("id"), n_blocks).alias("block"), F.lit(1).alias("kind"), "*")
-    both = wanted.unionByName(texts, allowMissingColumns=True)
-    answers = _dealt(both, n_blocks, "block", "kind").mapInArrow(tidied(_asked), WORDS)
+    ask = lambda side, name, a, b: F.struct(F.lit(side).alias("side"), F.col(name).alias("id"), F.col(a).alias("a"), F.col(b).alias("b"))
+    asks = F.explode(F.when(F.col("blob").isNull(), F.array(ask(0, "doc", "x0", "x1"), ask(1, "other", "y0", "y1"))).otherwise(F.array(ask(0, "doc", "x0", "x1"))))
+    wanted = found.select(*chain, "block", "blob", asks.alias("q")).select(*chain, F.coalesce("block", _block(F.col("q.id"), n_blocks)).alias("block"), F.when(F.col("blob").isNull(), 2).otherwise(1).alias("kind"), "blob", "q.*")
+    both = _dealt(wanted.unionByName(texts, allowMissingColumns=True).select("block", "kind", *chain, "blob", "side", "id", "a", "b"), n_blocks, "block", "kind")
+    size = max(least, LEAST)
+    same = _dealt(both.mapInArrow(tidied(_window_blobs(n_buckets, size)), BLOBS), n_buckets, "dest", "kind").mapInArrow(tidied(_window_matches), MATCHES)
+    same = _dealt(same, n_blocks, "block").mapInArrow(tidied(_window_runs(size)), PASSAGE)
+    answers = both.mapInArrow(tidied(_asked), WORDS)
     pick = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
     both = answers.groupBy(*chain).agg(pick("words", 0).alias("here"), pick("words", 1).alias("there"), pick("text_hash", 0).alias("text_hash"))
 
@@ -537,7 +699,7 @@ def _aligned(found: DataFrame, texts: DataFrame, n_blocks: int, key: str, least:
                     out.append((doc, other, a0 + dx, a1 + dx, b0 + dy, b1 + dy, equal, like, text_hash))
             yield pd.DataFrame(out, columns=["doc", "other", "a0", "a1", "b0", "b1", "n", "s", "text_hash"])
 
-    rows = both.mapInPandas(tidied(solve), "doc long, other long, a0 int, a1 int, b0 int, b1 int, n int, s double, text_hash long")
+    rows = both.mapInPandas(tidied(solve), PASSAGE).unionByName(same)
     # a passage inside another one of the document is the same copy met at another source
     earlier = Window.partitionBy("doc").orderBy("a0", F.desc("a1"), "other", "b0", "b1").rowsBetween(Window.unboundedPreceding, -1)
     once = rows.distinct().withColumn("_end", F.max("a1").over(earlier)).where("_end IS NULL OR _end < a1")

@@ -263,6 +263,47 @@ def test_passages_of_pieces_that_others_hold(spark):
         assert got == [(4, 3, 12, 72)]
 
 
+@pytest.mark.parametrize("block", [4 << 20, 1 << 11])
+def test_passages_whose_pieces_others_hold_before_and_between(spark, monkeypatch, block):
+    """All seeds of the copies have other documents first and just before, none of which has 50 words of the passage."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", block)
+    rng = random.Random(9)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    texts, want = {}, set()
+    for i in range(0, 400, 10):
+        p = fresh(60)
+        texts |= {i: fresh(20) + p[:45] + fresh(9), i + 1: fresh(30) + p[15:] + fresh(5), i + 2: fresh(11) + p + fresh(25)}
+        texts |= {i + 3: fresh(7) + p[:45] + fresh(16), i + 4: fresh(3) + p[15:] + fresh(8), i + 5: fresh(17) + p + fresh(4)}
+        want.add((i + 5, i + 2, 17, 77, 11, 71))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.source_doc_id, r.start_word, r.end_word, r.source_start, r.source_end) for r in substring_dedup.passages(df).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [4 << 20, 1 << 13])
+def test_no_repeated_window_is_lost(spark, monkeypatch, block):
+    """Every 50 words that an earlier document has are covered: in runs of few words, too, and where a chain runs on into unlike words."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", block)
+    rng = random.Random(10)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    runs = [["on"] * n for n in (80, 300, 500)] + [["on", "and"] * 90, ["on"] * 60 + fresh(45) + ["on"] * 70]
+    texts = {i: fresh(rng.randrange(40)) + rng.choice(runs) + fresh(rng.randrange(90)) + rng.choice(runs) for i in range(60)}
+    for i in range(100, 160, 2):
+        p, q = fresh(50), fresh(6)
+        texts |= {i: fresh(20) + p + fresh(45) + q + fresh(30), i + 1: fresh(5) + p + fresh(45) + q + fresh(8)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    covered = {}
+    for r in substring_dedup.passages(df).collect():
+        assert texts[r.source_doc_id][r.source_start : r.source_end] == texts[r.doc_id][r.start_word : r.end_word] or r.similarity < 1
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    seen = set()
+    for i, w in sorted(texts.items()):
+        for j in range(len(w) - 49):
+            if tuple(w[j : j + 50]) in seen:
+                assert covered[i] >= set(range(j, j + 50)), (i, j)
+        seen |= {tuple(w[j : j + 50]) for j in range(len(w) - 49)}
+
+
 def test_passages_equal_brute_force_on_any_partitioning(spark):
     """Recall against a comparison of all pairs, equal rows on 1, 4 and 28 partitions, and texts that share a key."""
     import difflib
