@@ -32,6 +32,8 @@ SHORT, SHIFT = 20, 30.0
 CELLS = 1 << 14
 #: Bytes of the texts that are prepared and returned together.
 TOGETHER = 1_000_000
+#: Pieces that are spelled out together.
+SPELLED = 1 << 16
 #: Chunks that a worker keeps decoded; beyond that they are forgotten and made again, with equal results.
 KEPT, KEPT_LATTICES = 160_000, 8_000
 
@@ -639,9 +641,12 @@ class Pieces:
             raw = [bytes([int(p[3:5], 16)]) if self.lib.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(map(self.lib.id_to_piece, range(self.lib.get_piece_size())))]
             n = np.array([len(x) for x in raw], dtype=np.int64)
             self.spans = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum(n) - n, n
-        data, at, n = self.spans[0], self.spans[1][ids], self.spans[2][ids]
+        data, n = self.spans[0], self.spans[2][ids]
         ends = np.concatenate(([0], np.cumsum(n)))
-        flat = data[np.repeat(at - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        flat = bytearray()
+        for i in range(0, len(ids), SPELLED):  # eight bytes of places for each byte of text, so not for all at once
+            part, sizes_of = ids[i : i + SPELLED], n[i : i + SPELLED]
+            flat += data[np.repeat(self.spans[1][part] - ends[i : i + len(part)] + ends[i], sizes_of) + np.arange(sizes_of.sum())].tobytes()
         cuts = ends[np.concatenate(([0], np.cumsum(sizes)))].tolist()
         texts = [flat[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
         return [t[1:] if t[:1] == " " else t for t in texts]

@@ -76,6 +76,15 @@ def test_warc_records(spark, sf, tmp_path):
     assert {r.record_id: r.payload for r in back.collect()} == {r.record_id: r.block for r in got if r.record_type == "conversion"}
 
 
+def test_warc_digest_hashes_once(spark):
+    """The base-32 SHA-1 of any block, leading zeros included, without a lambda that would hash the block for each of its parts."""
+    texts = [None, "", "é 你好 \x00", *(f"block {i}" for i in range(400))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", warc.digest(F.col("t")).alias("d"))
+    for r in df.collect():
+        assert r.d == (None if r.t is None else "sha1:" + __import__("base64").b32encode(hashlib.sha1(r.t.encode()).digest()).decode())
+    assert "lambda" not in df._jdf.queryExecution().analyzed().toString()
+
+
 def test_warc_reads_responses(spark, tmp_path):
     import gzip
 
@@ -412,6 +421,23 @@ def test_near_duplicate_family(spark, block, monkeypatch):
     assert got == brute_groups(texts, 3, 85)
 
 
+def test_near_duplicates_read_texts_twice(spark, monkeypatch):
+    """Once to sketch them and once to verify them, also where large groups are compared block by block."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 300)
+    rng, read = random.Random(12), spark.sparkContext.accumulator(0)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(120)]
+    r = [(i, " ".join(w if rng.random() > 0.01 * (i % 9) else f"c{rng.randrange(10**6)}" for w in base)) for i in range(40)]
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(r, "doc_id long, text string").mapInPandas(counted, "doc_id long, text string")
+    got = near_dedup.near_duplicates(df, k=3, percent=85).collect()
+    assert len(got) == 40 and len({x.component_id for x in got}) < 40 and read.value == 2 * 40
+
+
 def test_near_duplicates_edges(odd):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(odd, k=3, percent=85).collect()]
     by = {g[0]: g for g in got}
@@ -691,6 +717,21 @@ def test_sketches_merge(docs):
 # -- 10: segmentations
 
 
+def test_spelling_out_takes_little_memory():
+    import tracemalloc
+
+    model = pieces.loaded(SP)
+    ids = np.array(model.encode("some words to spell out, again and again; é 你好 ") * 60_000, dtype=np.int32)
+    sizes = np.full(60_000, len(ids) // 60_000)
+    model.spelled_out(ids[:1], np.array([1]))
+    tracemalloc.start()
+    got = model.spelled_out(ids, sizes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(got)) == 1 and got[0] == model.decode(ids[: sizes[0]].tolist())
+    assert peak < 55 * len(ids)
+
+
 def test_segmentations_decode_and_differ(docs, odd):
     for df in (docs.limit(60), odd):
         text = [(r.doc_id, r.text or "") for r in df.collect()]
