@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import hot_join, hot_keys
-from .common import checkpointed, connected_components, tidied
+from .common import checkpointed, connected_components, tidied, written
 from .words import _MIX, mix, word_codes
 
 #: Words in a shingle and the least similarity, in percent, for pipelines; the contract query passes its own.
@@ -193,7 +193,8 @@ def _verified(members: DataFrame, docs: DataFrame, key: str, text: str, k: int,
     whose text is one with that key and hash.
 
     Groups are dealt to blocks of bounded size by their members' hashes. First each block is compared with itself and with the group's
-    least member, which connects what is like that one. Only groups that still fall apart are then compared block by block."""
+    least member, which connects what is like that one. Only groups that still fall apart are then compared block by block. All
+    texts are shuffled once, to pick the members'; where these are needed twice they are kept."""
     sizes = checkpointed(members.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("n_blocks"), F.min("id").alias("lead"), F.count("*").alias("n")))
     hot = hot_keys(sizes, "group", "n")
     placed = hot_join(members.drop("n_shingles"), sizes.drop("n"), "group", hot).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
@@ -201,20 +202,21 @@ def _verified(members: DataFrame, docs: DataFrame, key: str, text: str, k: int,
     pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     every = F.sequence(F.lit(0), F.col("n_blocks") - 1)
     own = F.when(F.col("id") == F.col("lead"), F.transform(every, lambda o: pair(o, o))).otherwise(F.array(pair(F.col("block"), F.col("block"))))
-    links = _compared(placed.withColumn("m", own), texts, k, percent)
+    placed = placed.join(texts, ["doc", "text_hash"]).drop("doc", "text_hash")
     if sizes.where("n_blocks > 1").isEmpty():
-        return links
-    links = checkpointed(links)
+        return _compared(placed.withColumn("m", own), k, percent)
+    placed = written(placed, "near_dedup_members")
+    links = checkpointed(_compared(placed.withColumn("m", own), k, percent))
     large = placed.where("n_blocks > 1")
     named = large.join(connected_components(links), F.col("id") == F.col("vertex"), "left").withColumn("c", F.coalesce("component", "id"))
     apart = named.groupBy("group").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("group")
     others = F.transform(F.filter(every, lambda o: o != F.col("block")), lambda o: pair(F.least(o, F.col("block")), F.greatest(o, F.col("block"))))
-    return links.unionByName(_compared(hot_join(large, apart, "group", hot).withColumn("m", others), texts, k, percent))
+    return links.unionByName(_compared(hot_join(large, apart, "group", hot).withColumn("m", others), k, percent))
 
 
-def _compared(placed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _compared(placed: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between the members of each pair of blocks in the arrays ``m``, each pair a task of its own."""
-    work = placed.join(texts, ["doc", "text_hash"]).select("id", "fp1", "group", "block", "_text", F.explode("m").alias("m")).select("id", "fp1", "group", "block", "_text", F.col("m.a").alias("a"), F.col("m.b").alias("b"))
+    work = placed.select("id", "fp1", "group", "block", "_text", F.explode("m").alias("m")).select("id", "fp1", "group", "block", "_text", F.col("m.a").alias("a"), F.col("m.b").alias("b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solve(rows: list[tuple[int, int, np.ndarray]], a: int, b: int) -> pd.DataFrame:
