@@ -9,12 +9,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import tidied
-from .words import _MIX, as_bytes, codes_of, mix, spans, windows
+from .words import _LOWER, _MIX, as_bytes, hashes, mix, spans, windows
 
 #: Words in a seed, and neighbouring seeds of which the least hash is kept: any K + WINDOW - 1 equal words share a seed.
 K, WINDOW = 5, 4
@@ -29,44 +30,49 @@ CONTEXT, DROP = 80, 12
 NEARBY = 32
 #: Bytes of text in a block of documents and seeds in a bucket: what a worker holds at a time. Tasks hold several beyond MOST_TASKS.
 BLOCK_BYTES, BUCKET_SEEDS, MOST_TASKS = 4 << 20, 1 << 19, 20_000
-#: Rows of a packed table; bytes of a word of text with its share of blanks.
-PACKED, WORD_BYTES = 1 << 16, 6
+#: Blocks in a pile, which is moved as one, at most; a block's seeds go to so many buckets before piles have more than one.
+PILE, FEW_BUCKETS = 16, 256
+#: Rows of a packed table; bytes of a word of text with its share of blanks; bytes of text that are compressed together.
+PACKED, WORD_BYTES, TEXT_BYTES = 1 << 16, 6, 32 << 20
 _SPANS = re.compile(r"[^\x20\x09-\x0D]+").finditer
 
 
 def _least(h: np.ndarray, window: int) -> np.ndarray:
-    """Places of the least of each ``window`` neighbours, ascending."""
-    if len(h) <= window:
-        return np.array([int(h.argmin())]) if len(h) else np.zeros(0, dtype=np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(h, window)
-    return np.unique(views.argmin(axis=1) + np.arange(len(views)))
-
-
-def seeds(codes: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the seeds kept of a text: short ones, their last bit 0, and long ones, their last bit 1."""
-    n = len(codes) - k + 1
-    if n < 1:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    """The place of the least of each ``window`` neighbours, the first one of equals."""
+    at, width = np.arange(len(h)), 1
+    while width < window and len(at):
+        step = min(width, window - width)
+        a, b = at[:-step], at[step:]
+        at, width = np.where(h[a] <= h[b], a, b), width + step
+    return at
+
+
+def seeds(codes: np.ndarray, edges: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, places among all words and texts of the seeds kept of texts that begin at ``edges`` (the last one: the end): short ones,
+    their last bit 0, and long ones, their last bit 1."""
+    of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    left = edges[1:][of] - np.arange(len(codes))
+    n = max(len(codes) - k + 1, 0)
     h = np.zeros(n, dtype=np.uint64)
     for i in range(k):
         h = mix(h * _MIX + codes[i : n + i])
-    at = _least(h, window)
+    least = _least(h, window)
+    few = [edges[i] + h[edges[i] : edges[i + 1] - k + 1].argmin() for i in np.flatnonzero((np.diff(edges) >= k) & (np.diff(edges) < k + window - 1)).tolist()]
+    at = np.unique(np.concatenate((least[left[: len(least)] >= k + window - 1], np.array(few, dtype=np.int64))))
     h = h[at]
     # a seed that comes again nearby also carries its count, so that runs of one seed match in step
-    order = np.argsort(h, kind="stable")
-    start = np.flatnonzero(np.concatenate(([True], (np.diff(h[order]) != 0) | (np.diff(at[order]) > NEARBY))))
+    order = np.lexsort((h, of[at]))
+    start = np.flatnonzero(np.concatenate(([True], (np.diff(of[at][order]) != 0) | (np.diff(h[order]) != 0) | (np.diff(at[order]) > NEARBY)))[: len(h)])
     again = np.empty(len(h), dtype=np.int64)
     again[order] = np.arange(len(h)) - np.repeat(start, np.diff(np.append(start, len(h))))
     more = again > 0
-    found = [(h, at)]
-    if more.any():
-        found.append((mix(h[more] * _MIX + again[more].astype(np.uint64)), at[more]))
-    found = [(x & ~np.uint64(1), y) for x, y in found]
-    if len(codes) >= LEAST:
-        h = windows(codes, LONG)
-        at = _least(h, LONG_WINDOW)
-        found.append((h[at] | np.uint64(1), at))
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+    found = [(h & ~np.uint64(1), at), (mix(h[more] * _MIX + again[more].astype(np.uint64)) & ~np.uint64(1), at[more])]
+    h = windows(codes, LONG)
+    least = _least(h, LONG_WINDOW)
+    at = np.unique(least[left[: len(least)] >= LEAST])
+    found.append((h[at] | np.uint64(1), at))
+    h, at = (np.concatenate(c) for c in zip(*found, strict=True))
+    return h, at, of[at]
 
 
 _pack, _unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
@@ -102,33 +108,68 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
-TEXTS = "block int, kind int, blob binary"
+TEXTS = "pile int, kind int, blob binary"
 
 
-def _text_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(block, id, text_hash, _text)`` as one compressed table for each block and batch."""
-    for batch in batches:
-        block = batch.column(0).to_numpy(zero_copy_only=False)
-        order, out = np.argsort(block, kind="stable"), []
-        cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
-            part = batch.take(pa.array(order[a:b]))
-            raw = [t.as_buffer() if t.is_valid else b"" for t in part.column(3)]
-            heads = np.stack([part.column(1).to_numpy(), part.column(2).to_numpy(), np.array([len(memoryview(t)) for t in raw])]).astype(np.int64)
-            out.append((int(block[order[a]]), 0, _pack(np.array([b - a], dtype=np.int64).tobytes() + heads.tobytes() + b"".join(raw))))
-        if out:
-            yield _rows(TEXTS, list(zip(*out, strict=True)))
+def _text_tables(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list]], size: int) -> pa.RecordBatch:
+    block, key, text_hash = (np.concatenate(c) for c in list(zip(*held, strict=True))[:3])
+    raw = [t for h in held for t in h[3]]
+    heads, out = np.stack([block, key, text_hash, np.array([len(memoryview(t)) for t in raw])]).astype(np.int64), []
+    for pile, at in _cut(block // size):
+        out.append((pile, 0, _pack(np.array([len(at)], dtype=np.int64).tobytes() + heads[:, at].tobytes() + b"".join([raw[i] for i in at.tolist()]))))
+    return _rows(TEXTS, list(zip(*out, strict=True)))
+
+
+def _text_blobs(size: int):
+    """Rows ``(block, id, text_hash, _text)`` as compressed tables for piles of ``size`` blocks, of TEXT_BYTES of text together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                raw = [t.as_buffer() if t.is_valid else b"" for t in batch.column(3)]
+                held.append((*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), raw))
+                n += sum(len(memoryview(t)) for t in raw)
+            if n >= TEXT_BYTES:
+                yield _text_tables(held, size)
+                held, n = [], 0
+        if held:
+            yield _text_tables(held, size)
+
+    return run
+
+
+def _cut(by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value of ``by`` with its places."""
+    order = np.argsort(by, kind="stable")
+    cuts = np.flatnonzero(np.diff(by[order])) + 1
+    for at in np.split(order, cuts) if len(by) else ():
+        yield int(by[at[0]]), at
+
+
+def _texts_of(blobs: list[bytes]) -> dict[int, dict[int, tuple[int, memoryview]]]:
+    """Compressed tables by block and id: ``(text_hash, text)``, of unlike texts under one id the one with the least hash."""
+    out: dict[int, dict[int, tuple[int, memoryview]]] = {}
+    for blob in blobs:
+        data = memoryview(_unpack(blob))
+        n = int(np.frombuffer(data, np.int64, 1)[0])
+        at = 8 + 32 * n
+        for block, key, text_hash, size in zip(*np.frombuffer(data, np.int64, 4 * n, 8).reshape(4, n).tolist(), strict=True):
+            texts = out.setdefault(block, {})
+            if key not in texts or text_hash < texts[key][0]:
+                texts[key] = (text_hash, data[at : at + size])
+            at += size
+    return out
 
 
-def _texts_of(blob: bytes) -> Iterator[tuple[int, int, memoryview]]:
-    """``(id, text_hash, text)`` of a compressed table."""
-    data = memoryview(_unpack(blob))
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    ids, hashes, sizes = np.frombuffer(data, np.int64, 3 * n, 8).reshape(3, n).tolist()
-    at = 8 + 24 * n
-    for key, text_hash, size in zip(ids, hashes, sizes, strict=True):
-        yield key, text_hash, data[at : at + size]
-        at += size
+def _words_of(texts: dict[int, tuple[int, memoryview]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's ids, ascending, the codes of all words, and of each text its first word among these (the last one: the end)."""
+    keys = sorted(texts)
+    raw = [bytes(texts[key][1]) for key in keys]
+    data = as_bytes(b"\n".join(raw))
+    begin, end = spans(data)
+    edges = np.searchsorted(begin, np.cumsum([0, *(len(t) + 1 for t in raw)]))
+    return np.array(keys, dtype=np.int64), hashes(_LOWER[data], begin, end), edges
 
 
 def together(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
@@ -198,86 +239,102 @@ def _rows(schema: str, columns: list) -> pa.RecordBatch:
 
 
 BLOBS = "dest int, src int, kind byte, blob binary"
-MATCHES = "block int, kind byte, blob binary"
+MATCHES = "pile int, kind byte, blob binary"
+
+
+def _by_bucket(h: np.ndarray, n_buckets: int, *columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each bucket of hashes begins in the columns (the last one: the end), and the columns in that order."""
+    bucket = ((h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return np.searchsorted(bucket[order], np.arange(n_buckets + 1)), [c[order] for c in columns]
+
+
+def _sent(pile: int, n_buckets: int, own: list[tuple[int, bytes]], blocks: list[tuple[np.ndarray, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """A pile's rows: tables that come back to it as they are, by kind, and what its blocks send to each bucket, as one table."""
+    out = [(pile % n_buckets, pile, kind, blob) for kind, blob in own]
+    for bucket in range(n_buckets):
+        parts = [[c[edges[bucket] : edges[bucket + 1]] for c in columns] for edges, columns in blocks if edges[bucket] < edges[bucket + 1]]
+        if parts:
+            out += [(bucket, pile, 0, blob) for blob in packed(*together(parts))]
+        if len(out) >= 1024:
+            yield _rows(BLOBS, list(zip(*out, strict=True)))
+            out = []
+    if out:
+        yield _rows(BLOBS, list(zip(*out, strict=True)))
 
 
 def _seed_blobs(n_buckets: int, k: int, window: int):
-    """From texts by block to packed tables: of kind 0 the places of a seed in the first document of the block that has it, and whether
-    one (1) or several others (2) of the block do, a table for each bucket of hashes; of kind 1 the block's own matches. So of a seed that very many documents share only one document's
+    """From texts by pile to packed tables: of kind 0 the places of a seed in the first document of a block that has it, and whether
+    one (1) or several others (2) of the block do, a table for each bucket of hashes; of kind 1 the blocks' own matches. So of a seed that very many documents share only one document's
     places leave a block. What lies in a block depends on keys alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, parts in _blocks(batches):
-            found: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
-            for part in parts:
-                for blob in part.column(2).to_pylist():
-                    for key, text_hash, text in _texts_of(blob):
-                        if key not in found or text_hash < found[key][0]:
-                            found[key] = (text_hash, *seeds(codes_of(as_bytes(text)), k, window))
-            keys = sorted(found)
-            h, pos = (np.concatenate([found[d][i] for d in keys]) for i in (1, 2))
-            doc = np.repeat(np.array(keys, dtype=np.int64), [len(found[d][1]) for d in keys])
-            if not len(h):
-                continue
-            order, firsts, me, it = meet(h, doc, pos)
-            h, doc, pos = h[order], doc[order], pos[order]
-            rows = _matches(h, doc, pos, me, it)
-            order = np.lexsort((rows[2], rows[1], rows[0]))
-            out = [(block % n_buckets, block, 1, blob) for blob in packed(*(c[order] for c in rows))]
-            more = np.minimum(_holders(h, doc) - 1, 2)[firsts]
-            h, doc, pos = h[firsts], doc[firsts], pos[firsts]
-            bucket = ((h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((pos, doc, bucket))
-            h, doc, pos, more, bucket = h[order], doc[order], pos[order], more[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)], strict=True):
+        for pile, parts in _blocks(batches):
+            texts = _texts_of([blob for part in parts for blob in part.column(2).to_pylist()])
+            own, sent = [], []
+            for block in sorted(texts):
+                keys, codes, edges = _words_of(texts.pop(block))
+                h, at, of = seeds(codes, edges, k, window)
+                if not len(h):
+                    continue
+                doc, pos = keys[of], at - edges[of]
+                order, firsts, me, it = meet(h, doc, pos)
+                h, doc, pos = h[order], doc[order], pos[order]
+                rows = _matches(h, doc, pos, me, it)
+                order = np.lexsort((rows[2], rows[1], rows[0]))
+                own += [(1, blob) for blob in packed(*(c[order] for c in rows))]
+                more = np.minimum(_holders(h, doc) - 1, 2)[firsts]
+                h, doc, pos = h[firsts], doc[firsts], pos[firsts]
+                order = np.lexsort((pos, doc))
+                h, doc, pos, more = h[order], doc[order], pos[order], more[order]
                 # within a bucket 40 bits of a hash tell seeds apart; what they mix up makes no chain
-                out += [(int(bucket[a]), block, 0, blob) for blob in packed((h[a:b] >> np.uint64(8)).astype(np.int64) & 0xFFFFFFFF, (h[a:b] & np.uint64(255)).astype(np.int64), doc[a:b], pos[a:b], more[a:b])]
-            yield _rows(BLOBS, list(zip(*out, strict=True)))
+                sent.append(_by_bucket(h, n_buckets, (h >> np.uint64(8)).astype(np.uint32), h.astype(np.uint8), doc, pos.astype(np.int32), more.astype(np.int8)))
+            yield from _sent(pile, n_buckets, own, sent)
 
     return run
 
 
+def _received(parts: list[pa.RecordBatch]) -> tuple[list[tuple[int, int, bytes]], list[np.ndarray], np.ndarray | None]:
+    """A bucket's rows: tables that go back to their piles as they are, columns of the others, and the piles these come from."""
+    back, got, src = [], [], []
+    for part in parts:
+        for pile, kind, blob in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            if kind:
+                back.append((pile, kind - 1, blob))
+            else:
+                got.append(unpacked(blob))
+                src.append(np.full(len(got[-1][0]), pile))
+    return (back, together(got), np.concatenate(src)) if got else (back, [], None)
+
+
 def _match_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Match the places of a bucket's seeds between blocks; matches go, packed, to their documents' blocks (kind 0), and so do the long
+    """Match the places of a bucket's seeds between blocks; matches go, packed, to their documents' piles (kind 0), and so do the long
     seeds that several documents hold (kind 1), as such a place may not have met all of them."""
     for _, parts in _blocks(batches):
-        got, src, out = [], [], []
-        for part in parts:
-            for block, kind, blob in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                if kind:
-                    out.append((block, 0, blob))
-                else:
-                    got.append(unpacked(blob))
-                    src.append(np.full(len(got[-1][0]), block))
+        out, got, src = _received(parts)
         if got:
-            (high, low, doc, pos, more), src = together(got), np.concatenate(src)
+            high, low, doc, pos, more = got
             h = high << 8 | low
             order, _, me, it = meet(h, doc, pos)
             h, doc, pos, src = h[order], doc[order], pos[order], src[order]
             common = np.flatnonzero((h & 1 == 1) & (_holders(h, doc, more[order]) > 1))
-            for block in np.unique(src[common]).tolist():
-                out += [(block, 1, blob) for blob in packed(np.unique(h[common[src[common] == block]]))]
-            if len(me):
-                rows = _matches(h, doc, pos, me, it)
-                to = np.concatenate((src[me], src[me][(h[me] & 1) == 1]))
-                order = np.argsort(to, kind="stable")
-                cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
-                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(to)], strict=True):
-                    at = order[a:b]
-                    at = at[np.lexsort((rows[2][at], rows[1][at], rows[0][at]))]
-                    out += [(int(to[at[0]]), 0, blob) for blob in packed(*(c[at] for c in rows))]
+            for pile, at in _cut(src[common]):
+                out += [(pile, 1, blob) for blob in packed(np.unique(h[common[at]]))]
+            rows = _matches(h, doc, pos, me, it)
+            for pile, at in _cut(np.concatenate((src[me], src[me][(h[me] & 1) == 1]))):
+                at = at[np.lexsort((rows[2][at], rows[1][at], rows[0][at]))]
+                out += [(pile, 0, blob) for blob in packed(*(c[at] for c in rows))]
         if out:
             yield _rows(MATCHES, list(zip(*out, strict=True)))
 
 
 CHAIN = "doc long, other long, x0 int, x1 int, y0 int, y1 int, solid byte"
-#: Chains, or a block's common seeds.
-FOUND = CHAIN + ", block int, blob binary"
+#: Chains, or a pile's common seeds.
+FOUND = CHAIN + ", pile int, blob binary"
 
 
 def _chain_rows(k: int, least: int, alike: float):
-    """Chain the matches of a block's documents, source by source; its common seeds go on as they are."""
+    """Chain the matches of a pile's documents, source by source; its common seeds go on as they are."""
 
     def chained(doc: int, others: np.ndarray, pairs: np.ndarray) -> list[tuple]:
         cuts, mine = np.flatnonzero(np.diff(others)) + 1, []
@@ -305,9 +362,9 @@ def _chain_rows(k: int, least: int, alike: float):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, parts in _blocks(batches):
+        for pile, parts in _blocks(batches):
             rows = [x for part in parts for x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-            passed = [(*[None] * 7, block, blob) for kind, blob in rows if kind]
+            passed = [(*[None] * 7, pile, blob) for kind, blob in rows if kind]
             if passed:
                 yield _rows(FOUND, list(zip(*passed, strict=True)))
             got = [unpacked(blob) for kind, blob in rows if not kind]
@@ -453,19 +510,23 @@ def align(here: list, there: list, x0: int, x1: int, y0: int, y1: int, least: in
     return bx + 1, ex, by + 1, ey, equal + less
 
 
-def _placed(docs: DataFrame, key: str, text: str, n_blocks: int) -> DataFrame:
-    """The rows with a key, in compressed tables ``(block, kind 0, blob)``."""
+def _placed(docs: DataFrame, key: str, text: str, n_blocks: int, pile: int) -> DataFrame:
+    """The rows with a key, in compressed tables ``(pile, kind 0, blob)``."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("_text"))
     rows = rows.where("id IS NOT NULL").select(_block(F.col("id"), n_blocks).alias("block"), "id", "text_hash", "_text")
-    return rows.mapInArrow(tidied(_text_blobs), TEXTS)
+    return rows.mapInArrow(tidied(_text_blobs(pile)), TEXTS)
 
 
 def _block(key: Column, n_blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
 
 
+def _spread(df: DataFrame, n: int, by: str) -> DataFrame:
+    return df.repartition(min(n, MOST_TASKS), F.col(by))
+
+
 def _dealt(df: DataFrame, n: int, by: str, *order: str) -> DataFrame:
-    return df.repartition(min(n, MOST_TASKS), F.col(by)).sortWithinPartitions(by, *order)
+    return _spread(df, n, by).sortWithinPartitions(by, *order)
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, alike: float = ALIKE, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -479,13 +540,15 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     one document give no rows. Of unlike texts under one key the one with the least hash is searched, the others are left alone.
 
     Documents lie in blocks and seeds in buckets by hashes of key and seed; their numbers follow from the bytes of all texts, and
-    results depend on nothing else: not on files, partitions or task order.
+    results depend on nothing else: not on files, partitions or task order. Blocks are moved in piles, larger ones where there are many
+    buckets, so that the tables sent from each pile to each bucket don't become small and many.
 
     1. A block matches its own documents and sends a seed's places in the first of them to the seed's bucket, packed.
     2. A bucket matches these. Each place meets the seed's first document and the one before its own, in the block or, for the
        block's first, among all blocks' firsts: matches grow with seeds, not pairs, and a seed has a row for each block at most.
-    3. Matches go back to their document's block, and are chained per source.
-    4. The words around a chain are asked of both documents' blocks, the chain aligned and extended.
+    3. Matches go back to their document's pile, and are chained per source.
+    4. The words around a chain are asked of both documents' piles, whose texts still lie where the seeds were taken; the chain is
+       aligned and extended.
     5. A place that meets two documents need not meet the one that goes on like it. So where documents share a long seed, every
        window of ``least`` words (LEAST at least) meets the first document that has it whole: no stretch of so many equal words is
        lost, whoever holds its pieces, and rows grow with windows, not pairs.
@@ -493,45 +556,45 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     n_buckets = max(1, -(-size * 2 // (WORD_BYTES * window * BUCKET_SEEDS)))
-    texts = _placed(docs, key, text, n_blocks)
-    blobs = _dealt(texts, n_blocks, "block").mapInArrow(tidied(_seed_blobs(n_buckets, k, window)), BLOBS)
+    pile = min(PILE, max(1, n_buckets // FEW_BUCKETS))
+    n_piles = -(-n_blocks // pile)
+    texts = _spread(_placed(docs, key, text, n_blocks, pile), n_piles, "pile")
+    blobs = texts.sortWithinPartitions("pile").mapInArrow(tidied(_seed_blobs(n_buckets, k, window)), BLOBS)
     matches = _dealt(blobs, n_buckets, "dest", "kind").mapInArrow(tidied(_match_blobs), MATCHES)
-    found = _dealt(matches, n_blocks, "block").mapInArrow(tidied(_chain_rows(k, least, alike)), FOUND)
-    return _aligned(found, texts, n_blocks, n_buckets, key, least, alike)
+    found = _dealt(matches, n_piles, "pile").mapInArrow(tidied(_chain_rows(k, least, alike)), FOUND)
+    return _aligned(found, texts, n_blocks, pile, n_buckets, key, least, alike)
 
 
 WORDS = CHAIN + ", side int, text_hash long, words binary"
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answer a block's asks, which come after its texts, with the words of a stretch, unless it is solid, and CONTEXT more on either
-    side."""
+    """Answer a pile's asks, which come after its texts and by document, with the words of a stretch, unless it is solid, and CONTEXT
+    more on either side."""
     names = [f.split()[0] for f in CHAIN.split(", ")]
     texts: dict[int, tuple[int, memoryview]] = {}
-    cut: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    last = None
     for new, part in _stretches(batches):
         if new:
-            texts, cut = {}, {}
+            texts, last = {}, None
         kind = part.column("kind").to_numpy(zero_copy_only=False)
         asks = kind == 2
-        for blob in part.filter(pa.array(kind == 0)).column("blob").to_pylist():
-            for key, text_hash, text in _texts_of(blob):
-                if key not in texts or text_hash < texts[key][0]:
-                    texts[key] = (text_hash, text)
+        for found in _texts_of(part.filter(pa.array(kind == 0)).column("blob").to_pylist()).values():
+            texts |= {key: t for key, t in found.items() if key not in texts or t[0] < texts[key][0]}
         part = part.filter(pa.array(asks))
         if not part.num_rows:
             continue
-        words, hashes = [], []
+        words, hashed = [], []
         for key, a, b, solid in zip(*(part.column(c).to_pylist() for c in ("id", "a", "b", "solid")), strict=True):
             text_hash, text = texts[key]
-            if key not in cut:
-                cut[key] = spans(as_bytes(text))
-            begin, end = cut[key]
+            if key != last:
+                begin, end = spans(as_bytes(text))
+                last = key
             stretch = lambda i, j: bytes(text[begin[i] : end[j - 1]]) if i < j else b""  # noqa: B023, E731
             low, high = max(0, a - CONTEXT), min(len(begin), b + CONTEXT)
             words.append(stretch(low, a) + b" " + stretch(b, high) if solid else stretch(low, high))
-            hashes.append(text_hash)
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*names, "side")), pa.array(hashes, type=pa.int64()), pa.array(words, type=pa.binary())], names=[*names, "side", "text_hash", "words"])
+            hashed.append(text_hash)
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*names, "side")), pa.array(hashed, type=pa.int64()), pa.array(words, type=pa.binary())], names=[*names, "side", "text_hash", "words"])
 
 
 PASSAGE = "doc long, other long, a0 int, a1 int, b0 int, b1 int, n int, s double, text_hash long"
@@ -545,98 +608,76 @@ def _first(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray,
 
 
 def _window_blobs(n_buckets: int, size: int):
-    """Windows of ``size`` words that hold a common seed of their block, by hash: of kind 0 those of the first document that has them, one table for each
-    bucket; of kind 1 the block's own matches."""
-
-    def solved(block: int, blobs: list[bytes], sought: np.ndarray) -> pa.RecordBatch | None:
-        texts: dict[int, tuple[int, memoryview]] = {}
-        for blob in blobs:
-            for key, text_hash, text in _texts_of(blob):
-                if key not in texts or text_hash < texts[key][0]:
-                    texts[key] = (text_hash, text)
-        keys = sorted(texts)
-        raw = [bytes(texts[key][1]) for key in keys]
-        data = as_bytes(b"\n".join(raw))
-        begins = np.cumsum([0, *(len(t) + 1 for t in raw)])
-        edges = np.searchsorted(spans(data)[0], begins)  # of each text, its first word among all
-        codes = codes_of(data)
-        # a long seed's other occurrences count as well, so its hash alone is asked for, first by 20 bits
-        low = (windows(codes, LONG) | np.uint64(1)) & np.uint64((1 << 40) - 1)
-        table = np.zeros(1 << 20, dtype=bool)
-        table[sought & 0xFFFFF] = True
-        at = np.flatnonzero(table[low & np.uint64(0xFFFFF)])
-        at = at[np.isin(low[at].astype(np.int64), sought)]
+    """Windows of ``size`` words whose own long seed is a common one, by hash: of kind 0 those of the first document of a block that has
+    them, a table for each bucket; of kind 1 the blocks' own matches; of kind 2 their documents' text hashes."""
+
+    def solved(texts: dict[int, tuple[int, memoryview]], sought: np.ndarray, table: np.ndarray) -> tuple[list[tuple[int, bytes]], tuple[np.ndarray, list[np.ndarray]]] | None:
+        keys, codes, edges = _words_of(texts)
+        long = windows(codes, LONG)
+        least = _least(long, LONG_WINDOW)  # the seed that the first LEAST words of each window are found by, wherever they are
+        low = ((long | np.uint64(1)) & np.uint64((1 << 40) - 1)).astype(np.int64)
+        at = np.unique(least)
+        at = at[table[low[at] & 0xFFFFF]]  # first by 20 bits
+        common = np.zeros(len(long), dtype=bool)
+        common[at[np.isin(low[at], sought)]] = True
+        at = np.flatnonzero(common[least])
         of = np.searchsorted(edges, at, side="right") - 1
-        first, last = np.maximum(at - (size - LONG), edges[of]), np.minimum(at, edges[of + 1] - size)
-        some = (first <= last) & (at + LONG <= edges[of + 1])
-        marks = np.zeros(len(codes) + 1, dtype=np.int64)
-        np.add.at(marks, first[some], 1)
-        np.add.at(marks, last[some] + 1, -1)
-        at = np.flatnonzero(np.cumsum(marks))
+        whole = edges[of + 1] - at >= size
+        at, of = at[whole], of[whole]
         if not len(at):
             return None
-        of = np.searchsorted(edges, at, side="right") - 1
-        h, pos = windows(codes, size)[at], at - edges[of]
-        doc, text_hash = np.array(keys, dtype=np.int64)[of], np.array([texts[key][0] for key in keys], dtype=np.int64)[of]
+        h, pos, doc = windows(codes, size)[at], at - edges[of], keys[of]
         order, firsts, me, it = _first(h, doc, pos)
-        h, doc, text_hash, pos = h[order], doc[order], text_hash[order], pos[order]
-        rows = [doc[me], doc[it], pos[me], pos[it] - pos[me], text_hash[me]]
+        h, doc, pos = h[order], doc[order], pos[order]
+        rows = [doc[me], doc[it], pos[me], pos[it] - pos[me]]
         at = np.lexsort((rows[2], rows[1], rows[0]))
-        out = [(block % n_buckets, block, 1, blob) for blob in packed(*(c[at] for c in rows))]
-        bucket = ((h[firsts] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-        at = np.lexsort((pos[firsts], doc[firsts], bucket))
-        firsts, bucket = firsts[at], bucket[at]
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
-            at = firsts[a:b]
-            halves = ((h[at] >> np.uint64(32)).astype(np.int64), (h[at] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-            out += [(int(bucket[a]), block, 0, blob) for blob in packed(*halves, doc[at], pos[at], text_hash[at])]
-        return _rows(BLOBS, list(zip(*out, strict=True)))
+        own = [(1, blob) for blob in packed(*(c[at] for c in rows))]
+        held = np.unique(doc)
+        own += [(2, blob) for blob in packed(held, np.array([texts[d][0] for d in held.tolist()], dtype=np.int64))]
+        firsts = firsts[np.lexsort((pos[firsts], doc[firsts]))]
+        h = h[firsts]
+        return own, _by_bucket(h, n_buckets, (h >> np.uint64(32)).astype(np.uint32), h.astype(np.uint32), doc[firsts], pos[firsts].astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, texts, sought = None, [], []
-        for new, part in _stretches(batches):
-            if new:
-                got = solved(block, texts, np.concatenate(sought)) if sought else None
+        for pile, parts in _blocks(part.select(["pile", "kind", "blob"]).filter(pc.less(part.column("kind"), 2)) for part in batches):
+            of_kind = lambda k: [blob for part in parts for blob in part.filter(pc.equal(part.column(1), k)).column(2).to_pylist()]  # noqa: B023, E731
+            sought = of_kind(1)
+            if not sought:
+                continue
+            sought = np.concatenate([unpacked(blob)[0] for blob in sought])
+            table = np.zeros(1 << 20, dtype=bool)
+            table[sought & 0xFFFFF] = True
+            texts, own, sent = _texts_of(of_kind(0)), [], []
+            if not texts:
+                raise RuntimeError("a pile's seeds came without its texts: the union was not spread by pile")
+            for block in sorted(texts):
+                got = solved(texts.pop(block), sought, table)
                 if got is not None:
-                    yield got
-                block, texts, sought = part.column(0)[0].as_py(), [], []
-            kind = part.column("kind").to_numpy(zero_copy_only=False)
-            texts += part.filter(pa.array(kind == 0)).column("blob").to_pylist()
-            sought += [unpacked(blob)[0] for blob in part.filter(pa.array(kind == 1)).column("blob").to_pylist()]
-        got = solved(block, texts, np.concatenate(sought)) if sought else None
-        if got is not None:
-            yield got
+                    own += got[0]
+                    sent.append(got[1])
+            yield from _sent(pile, n_buckets, own, sent)
 
     return run
 
 
 def _window_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Match a bucket's windows between blocks, each with its first document; matches go to their documents' blocks."""
+    """Match a bucket's windows between blocks, each with its first document; matches go to their documents' piles."""
     for _, parts in _blocks(batches):
-        got, src, out = [], [], []
-        for part in parts:
-            for block, kind, blob in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                if kind:
-                    out.append((block, 0, blob))
-                else:
-                    got.append(unpacked(blob))
-                    src.append(np.full(len(got[-1][0]), block))
+        out, got, src = _received(parts)
         if got:
-            (high, low, doc, pos, text_hash), src = together(got), np.concatenate(src)
+            high, low, doc, pos = got
             order, _, me, it = _first(high << 32 | low, doc, pos)
-            doc, pos, text_hash, src = doc[order], pos[order], text_hash[order], src[order]
-            rows, to = [doc[me], doc[it], pos[me], pos[it] - pos[me], text_hash[me]], src[me]
-            for block in np.unique(to).tolist():
-                at = np.flatnonzero(to == block)
+            doc, pos, src = doc[order], pos[order], src[order]
+            rows = [doc[me], doc[it], pos[me], pos[it] - pos[me]]
+            for pile, at in _cut(src[me]):
                 at = at[np.lexsort((rows[2][at], rows[1][at], rows[0][at]))]
-                out += [(block, 0, blob) for blob in packed(*(c[at] for c in rows))]
+                out += [(pile, 0, blob) for blob in packed(*(c[at] for c in rows))]
         if out:
             yield _rows(MATCHES, list(zip(*out, strict=True)))
 
 
 def _window_runs(size: int):
-    """Windows of a block's documents that go on as their sources do, as one passage; of passages that overlap only those needed to
+    """Windows of a pile's documents that go on as their sources do, as one passage; of passages that overlap only those needed to
     cover the same words, as in a run of one word each place is one."""
 
     def needed(doc: list[int], begin: list[int], end: list[int]) -> Iterator[int]:
@@ -655,31 +696,40 @@ def _window_runs(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in _blocks(batches):
-            doc, other, pos, there, text_hash = together([unpacked(blob) for part in parts for blob in part.column(2).to_pylist()])
+            rows = [x for part in parts for x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+            keys, text_hash = together([unpacked(blob) for kind, blob in rows if kind])
+            got = [unpacked(blob) for kind, blob in rows if not kind]
+            if not got:
+                continue
+            doc, other, pos, there = together(got)
             order = np.lexsort((pos, there, other, doc))
-            doc, other, pos, there, text_hash = (c[order] for c in (doc, other, pos, there, text_hash))
+            doc, other, pos, there = (c[order] for c in (doc, other, pos, there))
             new = (np.diff(doc) != 0) | (np.diff(other) != 0) | (np.diff(there) != 0) | (np.diff(pos) > size)
             a = np.flatnonzero(np.concatenate(([True], new)))
             b = np.append(a[1:], len(doc)) - 1
             end = pos[b] + size
             some = np.array(list(needed(doc[a].tolist(), pos[a].tolist(), end.tolist())))
             a, end = a[some], end[some]
-            yield _rows(PASSAGE, [doc[a], other[a], pos[a], end, pos[a] + there[a], end + there[a], end - pos[a], np.ones(len(a)), text_hash[a]])
+            order = np.argsort(keys)
+            text_hash = text_hash[order][np.searchsorted(keys[order], doc[a])]
+            yield _rows(PASSAGE, [doc[a], other[a], pos[a], end, pos[a] + there[a], end + there[a], end - pos[a], np.ones(len(a)), text_hash])
 
     return run
 
 
-def _aligned(found: DataFrame, texts: DataFrame, n_blocks: int, n_buckets: int, key: str, least: int, alike: float) -> DataFrame:
-    """Fetch the words around each chain from both documents, align, and keep what is long and like enough. Texts, asks and common seeds
-    meet in a block, so a document that very many chains ask for is moved once."""
+def _aligned(found: DataFrame, texts: DataFrame, n_blocks: int, pile: int, n_buckets: int, key: str, least: int, alike: float) -> DataFrame:
+    """Fetch the words around each chain from both documents, align, and keep what is long and like enough. Asks and common seeds go to
+    the piles, whose texts aren't moved again: a union of what is spread alike has each pile in one place."""
     chain = [f.split()[0] for f in CHAIN.split(", ")]
     ask = lambda side, name, a, b: F.struct(F.lit(side).alias("side"), F.col(name).alias("id"), F.col(a).alias("a"), F.col(b).alias("b"))
     asks = F.explode(F.when(F.col("blob").isNull(), F.array(ask(0, "doc", "x0", "x1"), ask(1, "other", "y0", "y1"))).otherwise(F.array(ask(0, "doc", "x0", "x1"))))
-    wanted = found.select(*chain, "block", "blob", asks.alias("q")).select(*chain, F.coalesce("block", _block(F.col("q.id"), n_blocks)).alias("block"), F.when(F.col("blob").isNull(), 2).otherwise(1).alias("kind"), "blob", "q.*")
-    both = _dealt(wanted.unionByName(texts, allowMissingColumns=True).select("block", "kind", *chain, "blob", "side", "id", "a", "b"), n_blocks, "block", "kind")
+    wanted = found.select(*chain, "pile", "blob", asks.alias("q"))
+    wanted = wanted.select(F.coalesce("pile", F.floor(_block(F.col("q.id"), n_blocks) / pile).cast("int")).alias("pile"), F.when(F.col("blob").isNull(), 2).otherwise(1).alias("kind"), "blob", *chain, "q.*")
+    n_piles = -(-n_blocks // pile)
+    both = texts.unionByName(_spread(wanted, n_piles, "pile"), allowMissingColumns=True).sortWithinPartitions("pile", "kind", "id")
     size = max(least, LEAST)
     same = _dealt(both.mapInArrow(tidied(_window_blobs(n_buckets, size)), BLOBS), n_buckets, "dest", "kind").mapInArrow(tidied(_window_matches), MATCHES)
-    same = _dealt(same, n_blocks, "block").mapInArrow(tidied(_window_runs(size)), PASSAGE)
+    same = _dealt(same, n_piles, "pile").mapInArrow(tidied(_window_runs(size)), PASSAGE)
     answers = both.mapInArrow(tidied(_asked), WORDS)
     pick = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
     both = answers.groupBy(*chain).agg(pick("words", 0).alias("here"), pick("words", 1).alias("there"), pick("text_hash", 0).alias("text_hash"))

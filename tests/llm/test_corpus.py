@@ -360,6 +360,73 @@ def _with_blocks(df, size):
         substring_dedup.BLOCK_BYTES = before
 
 
+def _shuffled(spark, df):
+    """Records read from sources by the job, and (bytes, records) that each of its stages wrote to the shuffle."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)
+        return {(x.stageId(), x.attemptId()): x for x in map(found.apply, range(found.size()))}
+
+    before = stages()
+    got = sorted(map(tuple, df().collect()))
+    new = [x for at, x in stages().items() if at not in before]
+    return got, sum(x.inputRecords() for x in new), [(x.shuffleWriteBytes(), x.shuffleWriteRecords()) for x in new]
+
+
+def test_passages_move_texts_once(spark, tmp_path):
+    """Texts are read for their size and for one exchange, in which the second step finds them again."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    p = fresh(60)
+    spark.createDataFrame([(i, " ".join(fresh(300) + p * (i % 10 == 0))) for i in range(40)], "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "d"))
+    got, read, wrote = _shuffled(spark, lambda: substring_dedup.passages(spark.read.parquet(str(tmp_path / "d"))))
+    assert [r[:4] for r in got] == [(10, 0, 300, 360), (20, 0, 300, 360), (30, 0, 300, 360)]
+    assert read == 80, read
+
+
+def test_passages_of_many_buckets_send_no_crumbs(spark, monkeypatch):
+    """Blocks go in piles where buckets are many, so tables don't grow as blocks times buckets; the rows stay the same."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    p = fresh(80)
+    texts = [(i, " ".join(fresh(rng.randrange(200)) + p * (i % 3 == 0) + fresh(300))) for i in range(120)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 1 << 15)
+    few, _, _ = _shuffled(spark, lambda: substring_dedup.passages(df))
+    monkeypatch.setattr(substring_dedup, "BUCKET_SEEDS", 128)
+    monkeypatch.setattr(substring_dedup, "MOST_TASKS", 4)
+    size = sum(len(t) for _, t in texts)
+    blocks, buckets = -(-size // (1 << 15)), -(-size * 2 // (24 * 128))
+    assert blocks > 10 and buckets > 256
+    got, _, wrote = _shuffled(spark, lambda: substring_dedup.passages(df))
+    assert got == few and len({r[0] for r in got}) == 39
+    monkeypatch.setattr(substring_dedup, "FEW_BUCKETS", 32)
+    piled, _, wrote = _shuffled(spark, lambda: substring_dedup.passages(df))
+    assert piled == few
+    assert max(n for _, n in wrote) < 0.3 * blocks * buckets, wrote
+
+
+def test_seeds_of_a_block_are_those_of_its_texts():
+    """Texts side by side have the seeds that each has alone, by a plain search for the least of neighbours."""
+    rng = np.random.default_rng(5)
+    sizes = [0, 3, 5, 6, 7, 8, 9, 49, 50, 51, 0, 200, 400, 4]
+    codes = [rng.integers(0, 1 << 62, n).astype(np.uint64) if i % 4 else rng.integers(0, 2, n).astype(np.uint64) for i, n in enumerate(sizes)]
+    h, at, of = substring_dedup.seeds(np.concatenate(codes), np.cumsum([0, *sizes]))
+    begins = np.cumsum([0, *sizes])
+    for i, c in enumerate(codes):
+        x, y, _ = substring_dedup.seeds(c, np.array([0, len(c)]))
+        assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == sorted(zip(h[of == i].tolist(), (at[of == i] - begins[i]).tolist(), strict=True))
+        long = substring_dedup.windows(c, 30)
+        want = {j + int(np.argmin(long[j : j + 21])) for j in range(len(c) - 49)}
+        assert set(y[x & np.uint64(1) == 1].tolist()) == want
+        short = np.zeros(max(len(c) - 4, 0), dtype=np.uint64)
+        for j in range(5):
+            short = substring_dedup.mix(short * substring_dedup._MIX + c[j : len(short) + j])
+        want = {j + int(np.argmin(short[j : j + 4])) for j in range(max(min(1, len(short)), len(short) - 3))}
+        assert set(y[x & np.uint64(1) == 0].tolist()) == want
+
+
 def test_packed_columns():
     rng = np.random.default_rng(2)
     for columns in ([np.array([-(1 << 63), (1 << 63) - 1, 0])], [np.arange(200_000), rng.integers(-50, 50, 200_000)], [rng.integers(-(1 << 62), 1 << 62, 70_000)]):
