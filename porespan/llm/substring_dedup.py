@@ -34,6 +34,8 @@ BLOCK_BYTES, BUCKET_SEEDS, MOST_TASKS = 4 << 20, 1 << 19, 20_000
 PILE, FEW_BUCKETS = 16, 256
 #: Rows of a packed table; bytes of a word of text with its share of blanks; bytes of text that are compressed together.
 PACKED, WORD_BYTES, TEXT_BYTES = 1 << 16, 6, 32 << 20
+#: What a worker works on at a time, so that arrays in between stay small: bytes of a block's texts, seeds of a bucket, answers or chains.
+TEXT_PART, SEED_PART, ROW_PART = 1 << 19, 1 << 16, 1 << 10
 _SPANS = re.compile(r"[^\x20\x09-\x0D]+").finditer
 
 
@@ -162,14 +164,25 @@ def _texts_of(blobs: list[bytes]) -> dict[int, dict[int, tuple[int, memoryview]]
     return out
 
 
-def _words_of(texts: dict[int, tuple[int, memoryview]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's ids, ascending, the codes of all words, and of each text its first word among these (the last one: the end)."""
-    keys = sorted(texts)
-    raw = [bytes(texts[key][1]) for key in keys]
-    data = as_bytes(b"\n".join(raw))
-    begin, end = spans(data)
-    edges = np.searchsorted(begin, np.cumsum([0, *(len(t) + 1 for t in raw)]))
-    return np.array(keys, dtype=np.int64), hashes(_LOWER[data], begin, end), edges
+def _words_of(texts: dict[int, tuple[int, memoryview]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For every TEXT_PART bytes of a block's whole texts: their ids, ascending, the codes of all words, and of each text its first word
+    among these (the last one: the end)."""
+
+    def words(keys: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data = as_bytes(b"\n".join([texts[key][1] for key in keys]))
+        begin, end = spans(data)
+        edges = np.searchsorted(begin, np.cumsum([0, *(len(texts[key][1]) + 1 for key in keys)]))
+        return np.array(keys, dtype=np.int64), hashes(_LOWER[data], begin, end), edges
+
+    held, n = [], 0
+    for key in sorted(texts):
+        held.append(key)
+        n += len(texts[key][1])
+        if n >= TEXT_PART:
+            yield words(held)
+            held, n = [], 0
+    if held:
+        yield words(held)
 
 
 def together(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
@@ -273,11 +286,13 @@ def _seed_blobs(n_buckets: int, k: int, window: int):
             texts = _texts_of([blob for part in parts for blob in part.column(2).to_pylist()])
             own, sent = [], []
             for block in sorted(texts):
-                keys, codes, edges = _words_of(texts.pop(block))
-                h, at, of = seeds(codes, edges, k, window)
+                got = []
+                for keys, codes, edges in _words_of(texts.pop(block)):
+                    h, at, of = seeds(codes, edges, k, window)
+                    got.append([h, keys[of], at - edges[of]])
+                h, doc, pos = together(got)
                 if not len(h):
                     continue
-                doc, pos = keys[of], at - edges[of]
                 order, firsts, me, it = meet(h, doc, pos)
                 h, doc, pos = h[order], doc[order], pos[order]
                 rows = _matches(h, doc, pos, me, it)
@@ -294,34 +309,52 @@ def _seed_blobs(n_buckets: int, k: int, window: int):
     return run
 
 
-def _received(parts: list[pa.RecordBatch]) -> tuple[list[tuple[int, int, bytes]], list[np.ndarray], np.ndarray | None]:
-    """A bucket's rows: tables that go back to their piles as they are, columns of the others, and the piles these come from."""
-    back, got, src = [], [], []
+def _received(parts: list[pa.RecordBatch], shift: int) -> tuple[list[tuple[int, int, bytes]], list[np.ndarray]]:
+    """A bucket's rows: tables that go back to their piles as they are, and columns of the others: hash, whose low ``shift`` bits are the
+    second column, document, place, a further column or 0, and pile."""
+    back, got = [], []
     for part in parts:
         for pile, kind, blob in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             if kind:
                 back.append((pile, kind - 1, blob))
             else:
-                got.append(unpacked(blob))
-                src.append(np.full(len(got[-1][0]), pile))
-    return (back, together(got), np.concatenate(src)) if got else (back, [], None)
+                high, low, doc, pos, *more = unpacked(blob)
+                more = more[0].astype(np.int8) if more else np.zeros(len(doc), dtype=np.int8)
+                got.append([high << shift | low, doc, pos.astype(np.int32), more, np.full(len(doc), pile, dtype=np.int32)])
+    return back, together(got) if got else []
+
+
+def _by_seed(columns: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The rows of a bucket, all rows of a hash (the first column) together, in parts of about SEED_PART."""
+    h = columns[0]
+    n = min(128, -(-len(h) // SEED_PART))
+    if n < 2:
+        yield columns
+        return
+    part = ((h >> 1 & 127) % n).astype(np.int8)
+    for i in range(n):
+        at = np.flatnonzero(part == i)
+        yield [c[at] for c in columns]
 
 
 def _match_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Match the places of a bucket's seeds between blocks; matches go, packed, to their documents' piles (kind 0), and so do the long
     seeds that several documents hold (kind 1), as such a place may not have met all of them."""
     for _, parts in _blocks(batches):
-        out, got, src = _received(parts)
+        out, got = _received(parts, 8)
         if got:
-            high, low, doc, pos, more = got
-            h = high << 8 | low
-            order, _, me, it = meet(h, doc, pos)
-            h, doc, pos, src = h[order], doc[order], pos[order], src[order]
-            common = np.flatnonzero((h & 1 == 1) & (_holders(h, doc, more[order]) > 1))
-            for pile, at in _cut(src[common]):
-                out += [(pile, 1, blob) for blob in packed(np.unique(h[common[at]]))]
-            rows = _matches(h, doc, pos, me, it)
-            for pile, at in _cut(np.concatenate((src[me], src[me][(h[me] & 1) == 1]))):
+            met, shared = [], []
+            for h, doc, pos, more, src in _by_seed(got):
+                order, _, me, it = meet(h, doc, pos)
+                h, doc, pos, src = h[order], doc[order], pos[order], src[order]
+                common = np.flatnonzero((h & 1 == 1) & (_holders(h, doc, more[order]) > 1))
+                shared.append([h[common], src[common]])
+                met.append([*_matches(h, doc, pos, me, it), np.concatenate((src[me], src[me][(h[me] & 1) == 1]))])
+            common, src = together(shared)
+            for pile, at in _cut(src):
+                out += [(pile, 1, blob) for blob in packed(np.unique(common[at]))]
+            *rows, src = together(met)
+            for pile, at in _cut(src):
                 at = at[np.lexsort((rows[2][at], rows[1][at], rows[0][at]))]
                 out += [(pile, 0, blob) for blob in packed(*(c[at] for c in rows))]
         if out:
@@ -526,7 +559,9 @@ def _spread(df: DataFrame, n: int, by: str) -> DataFrame:
 
 
 def _dealt(df: DataFrame, n: int, by: str, *order: str) -> DataFrame:
-    return _spread(df, n, by).sortWithinPartitions(by, *order)
+    """The rows by a number under ``n``, each number in a task of its own up to MOST_TASKS; by a hash several would meet in one."""
+    n = min(n, MOST_TASKS)
+    return df.repartitionById(n, F.col(by) % n).sortWithinPartitions(by, *order)
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, alike: float = ALIKE, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -581,20 +616,20 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asks = kind == 2
         for found in _texts_of(part.filter(pa.array(kind == 0)).column("blob").to_pylist()).values():
             texts |= {key: t for key, t in found.items() if key not in texts or t[0] < texts[key][0]}
-        part = part.filter(pa.array(asks))
-        if not part.num_rows:
-            continue
-        words, hashed = [], []
-        for key, a, b, solid in zip(*(part.column(c).to_pylist() for c in ("id", "a", "b", "solid")), strict=True):
-            text_hash, text = texts[key]
-            if key != last:
-                begin, end = spans(as_bytes(text))
-                last = key
-            stretch = lambda i, j: bytes(text[begin[i] : end[j - 1]]) if i < j else b""  # noqa: B023, E731
-            low, high = max(0, a - CONTEXT), min(len(begin), b + CONTEXT)
-            words.append(stretch(low, a) + b" " + stretch(b, high) if solid else stretch(low, high))
-            hashed.append(text_hash)
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*names, "side")), pa.array(hashed, type=pa.int64()), pa.array(words, type=pa.binary())], names=[*names, "side", "text_hash", "words"])
+        asked = part.filter(pa.array(asks))
+        for i in range(0, asked.num_rows, ROW_PART):
+            part = asked.slice(i, ROW_PART)
+            words, hashed = [], []
+            for key, a, b, solid in zip(*(part.column(c).to_pylist() for c in ("id", "a", "b", "solid")), strict=True):
+                text_hash, text = texts[key]
+                if key != last:
+                    begin, end = spans(as_bytes(text))
+                    last = key
+                stretch = lambda i, j: bytes(text[begin[i] : end[j - 1]]) if i < j else b""  # noqa: B023, E731
+                low, high = max(0, a - CONTEXT), min(len(begin), b + CONTEXT)
+                words.append(stretch(low, a) + b" " + stretch(b, high) if solid else stretch(low, high))
+                hashed.append(text_hash)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*names, "side")), pa.array(hashed, type=pa.int64()), pa.array(words, type=pa.binary())], names=[*names, "side", "text_hash", "words"])
 
 
 PASSAGE = "doc long, other long, a0 int, a1 int, b0 int, b1 int, n int, s double, text_hash long"
@@ -612,21 +647,12 @@ def _window_blobs(n_buckets: int, size: int):
     them, a table for each bucket; of kind 1 the blocks' own matches; of kind 2 their documents' text hashes."""
 
     def solved(texts: dict[int, tuple[int, memoryview]], sought: np.ndarray, table: np.ndarray) -> tuple[list[tuple[int, bytes]], tuple[np.ndarray, list[np.ndarray]]] | None:
-        keys, codes, edges = _words_of(texts)
-        long = windows(codes, LONG)
-        least = _least(long, LONG_WINDOW)  # the seed that the first LEAST words of each window are found by, wherever they are
-        low = ((long | np.uint64(1)) & np.uint64((1 << 40) - 1)).astype(np.int64)
-        at = np.unique(least)
-        at = at[table[low[at] & 0xFFFFF]]  # first by 20 bits
-        common = np.zeros(len(long), dtype=bool)
-        common[at[np.isin(low[at], sought)]] = True
-        at = np.flatnonzero(common[least])
-        of = np.searchsorted(edges, at, side="right") - 1
-        whole = edges[of + 1] - at >= size
-        at, of = at[whole], of[whole]
-        if not len(at):
+        found = []
+        for part in _words_of(texts):
+            found.append(windowed(*part, sought, table))
+        h, pos, doc = together(found)
+        if not len(h):
             return None
-        h, pos, doc = windows(codes, size)[at], at - edges[of], keys[of]
         order, firsts, me, it = _first(h, doc, pos)
         h, doc, pos = h[order], doc[order], pos[order]
         rows = [doc[me], doc[it], pos[me], pos[it] - pos[me]]
@@ -638,6 +664,21 @@ def _window_blobs(n_buckets: int, size: int):
         h = h[firsts]
         return own, _by_bucket(h, n_buckets, (h >> np.uint64(32)).astype(np.uint32), h.astype(np.uint32), doc[firsts], pos[firsts].astype(np.int32))
 
+    def windowed(keys: np.ndarray, codes: np.ndarray, edges: np.ndarray, sought: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
+        long = windows(codes, LONG)
+        least = _least(long, LONG_WINDOW)  # the seed that the first LEAST words of each window are found by, wherever they are
+        low = ((long | np.uint64(1)) & np.uint64((1 << 40) - 1)).astype(np.int64)
+        at = np.unique(least)
+        at = at[table[low[at] & 0xFFFFF]]  # first by 20 bits
+        common = np.zeros(len(long), dtype=bool)
+        common[at[np.isin(low[at], sought)]] = True
+        at = np.flatnonzero(common[least])
+        of = np.searchsorted(edges, at, side="right") - 1
+        whole = edges[of + 1] - at >= size
+        at, of = at[whole], of[whole]
+        h = windows(codes, size)[at] if len(at) else np.zeros(0, dtype=np.uint64)
+        return [h, at - edges[of], keys[of]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pile, parts in _blocks(part.select(["pile", "kind", "blob"]).filter(pc.less(part.column("kind"), 2)) for part in batches):
             of_kind = lambda k: [blob for part in parts for blob in part.filter(pc.equal(part.column(1), k)).column(2).to_pylist()]  # noqa: B023, E731
@@ -663,13 +704,15 @@ def _window_blobs(n_buckets: int, size: int):
 def _window_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Match a bucket's windows between blocks, each with its first document; matches go to their documents' piles."""
     for _, parts in _blocks(batches):
-        out, got, src = _received(parts)
+        out, got = _received(parts, 32)
         if got:
-            high, low, doc, pos = got
-            order, _, me, it = _first(high << 32 | low, doc, pos)
-            doc, pos, src = doc[order], pos[order], src[order]
-            rows = [doc[me], doc[it], pos[me], pos[it] - pos[me]]
-            for pile, at in _cut(src[me]):
+            met = []
+            for h, doc, pos, _, src in _by_seed(got):
+                order, _, me, it = _first(h, doc, pos)
+                doc, pos, src = doc[order], pos[order], src[order]
+                met.append([doc[me], doc[it], pos[me], pos[it] - pos[me], src[me]])
+            *rows, src = together(met)
+            for pile, at in _cut(src):
                 at = at[np.lexsort((rows[2][at], rows[1][at], rows[0][at]))]
                 out += [(pile, 0, blob) for blob in packed(*(c[at] for c in rows))]
         if out:
@@ -734,10 +777,10 @@ def _aligned(found: DataFrame, texts: DataFrame, n_blocks: int, pile: int, n_buc
     pick = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
     both = answers.groupBy(*chain).agg(pick("words", 0).alias("here"), pick("words", 1).alias("there"), pick("text_hash", 0).alias("text_hash"))
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (batch.slice(i, ROW_PART) for batch in batches for i in range(0, batch.num_rows, ROW_PART)):
             out = []
-            for doc, other, x0, x1, y0, y1, solid, here, there, text_hash in b[[*chain, "here", "there", "text_hash"]].itertuples(index=False):
+            for doc, other, x0, x1, y0, y1, solid, here, there, text_hash in zip(*(b.column(c).to_pylist() for c in (*chain, "here", "there", "text_hash")), strict=True):
                 # bytes.lower() changes A-Z alone, bytes.split() parts at ASCII white space alone
                 h, t = here.lower().split(), there.lower().split()
                 dx, dy = max(0, x0 - CONTEXT), max(0, y0 - CONTEXT)
@@ -747,9 +790,10 @@ def _aligned(found: DataFrame, texts: DataFrame, n_blocks: int, pile: int, n_buc
                 like = equal / max(a1 - a0, b1 - b0, 1)
                 if a1 - a0 >= least and b1 - b0 >= least and like >= alike:
                     out.append((doc, other, a0 + dx, a1 + dx, b0 + dy, b1 + dy, equal, like, text_hash))
-            yield pd.DataFrame(out, columns=["doc", "other", "a0", "a1", "b0", "b1", "n", "s", "text_hash"])
+            if out:
+                yield _rows(PASSAGE, list(zip(*out, strict=True)))
 
-    rows = both.mapInPandas(tidied(solve), PASSAGE).unionByName(same)
+    rows = both.mapInArrow(tidied(solve), PASSAGE).unionByName(same)
     # a passage inside another one of the document is the same copy met at another source
     earlier = Window.partitionBy("doc").orderBy("a0", F.desc("a1"), "other", "b0", "b1").rowsBetween(Window.unboundedPreceding, -1)
     once = rows.distinct().withColumn("_end", F.max("a1").over(earlier)).where("_end IS NULL OR _end < a1")
@@ -780,7 +824,7 @@ def cut_passages(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: s
             out.append("".join(parts) + t[last:])
         return pd.Series(out)
 
-    kept = joined.withColumn("_new", F.when(F.col("_spans").isNull(), F.col(text)).otherwise(without(F.col(text), F.col("_spans"))))
+    kept = joined.withColumn("_new", F.when(F.col("_spans").isNull(), F.col(text)).otherwise(without(F.when(F.col("_spans").isNotNull(), F.col(text)), F.col("_spans"))))
     kept = kept.where(F.col("_spans").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
     kept = kept.withColumn(text, F.col("_new"))
     if "n_chars" in docs.columns:

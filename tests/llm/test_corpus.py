@@ -6,10 +6,12 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -407,6 +409,74 @@ def test_passages_of_many_buckets_send_no_crumbs(spark, monkeypatch):
     assert max(n for _, n in wrote) < 0.3 * blocks * buckets, wrote
 
 
+def _text_table(texts):
+    """A pile of one block, as its first step reads it."""
+    raw = [t.encode() for t in texts]
+    columns = [pa.array([0] * len(raw), pa.int32()), pa.array(range(len(raw)), pa.int64()), pa.array(range(len(raw)), pa.int64()), pa.array(raw, pa.binary())]
+    return list(substring_dedup._text_blobs(1)(iter([pa.RecordBatch.from_arrays(columns, names=["block", "id", "text_hash", "_text"])])))
+
+
+def _bucket(seeds, documents, piles, rng):
+    """Rows of a bucket to which ``piles`` send ``seeds`` places, half of them of seeds that a place of another pile has as well."""
+    rows, n = [], seeds // piles
+    h = rng.integers(0, 1 << 40, seeds // 2)
+    for pile in range(piles):
+        mine = np.concatenate((rng.choice(h, n // 2, replace=False), rng.integers(0, 1 << 40, n - n // 2)))
+        doc, pos = np.sort(rng.integers(0, documents, n)) * piles + pile, rng.integers(0, 5000, n)
+        rows += [(0, pile, 0, blob) for blob in substring_dedup.packed((mine >> 8).astype(np.uint32), mine.astype(np.uint8), doc, pos.astype(np.int32), (mine % 3).astype(np.int8))]
+    return substring_dedup._rows(substring_dedup.BLOBS, list(zip(*rows, strict=True)))
+
+
+def _peak_mb(step, batches):
+    tracemalloc.start()
+    try:
+        for _ in step(iter(batches)):
+            pass
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_passages_of_whole_blocks_and_buckets_hold_little():
+    """What a worker holds besides a block or a bucket is of the size of a part of it (50 and 92 MB when both were worked on whole, 35 and 46 in parts)."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**5, 600).tolist()) for _ in range(1000)]
+    assert sum(map(len, texts)) > 0.95 * substring_dedup.BLOCK_BYTES
+    assert _peak_mb(substring_dedup._seed_blobs(100, 5, 4), _text_table(texts)) < 43
+    assert _peak_mb(substring_dedup._match_blobs, [_bucket(700_000, 3000, 50, rng)]) < 60
+
+
+def test_passages_by_parts_are_those_of_the_whole(monkeypatch):
+    """A block's texts and a bucket's seeds in parts give the tables that they give at once; also a text larger than a part."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, n).tolist()) for n in (0, 1, 4, 7, 60, 3000, 0, 200, 49, 50, 51, 0)]
+    texts += [texts[5][:2000], texts[7] + " " + texts[4], ""]
+    bucket = _bucket(4000, 40, 5, rng)
+
+    def out(size):
+        monkeypatch.setattr(substring_dedup, "TEXT_PART", size)
+        monkeypatch.setattr(substring_dedup, "SEED_PART", size)
+        seeds = list(substring_dedup._seed_blobs(7, 5, 4)(iter(_text_table(texts))))
+        sought = [x for b in seeds for r in b.to_pylist() if r["kind"] == 0 for x in zip(*(c.tolist() for c in substring_dedup.unpacked(r["blob"])), strict=True)]
+        long = np.unique(np.array([high << 8 | low for high, low, *_ in sought if low & 1], dtype=np.int64))
+        assert len(long) > 20
+        pile = substring_dedup._rows(substring_dedup.TEXTS, [[0] * 2, [0, 1], [_text_table(texts)[0].column(2)[0].as_py(), next(substring_dedup.packed(long))]])
+        every = [seeds, list(substring_dedup._window_blobs(7, 50)(iter([pile]))), list(substring_dedup._match_blobs(iter([bucket])))]
+        return [sorted((tuple(v for v in r.values() if not isinstance(v, bytes)), sorted(zip(*(c.tolist() for c in substring_dedup.unpacked(r["blob"])), strict=True))) for b in batches for r in b.to_pylist()) for batches in every]
+
+    whole, parts = out(1 << 30), out(500)
+    assert whole == parts and all(whole)
+
+
+def test_passages_of_each_bucket_have_a_task(spark, monkeypatch):
+    """No task gets several buckets, whose tables would lie together in a worker; dealt by a hash of the number some get several."""
+    df = spark.range(0, 400, 1, 3).select((F.col("id") % 40).cast("int").alias("dest"), "id")
+    spread = lambda: [sorted({r.dest for r in part}) for part in substring_dedup._dealt(df, 40, "dest", "id").rdd.glom().collect()]
+    assert sorted(spread()) == [[i] for i in range(40)]
+    monkeypatch.setattr(substring_dedup, "MOST_TASKS", 8)
+    assert sorted(spread()) == [list(range(i, 40, 8)) for i in range(8)]
+
+
 def test_seeds_of_a_block_are_those_of_its_texts():
     """Texts side by side have the seeds that each has alone, by a plain search for the least of neighbours."""
     rng = np.random.default_rng(5)
